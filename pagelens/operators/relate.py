@@ -51,20 +51,16 @@ def with_styles(el: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     Inline style wins over style-sheet rules unless the rule is !important;
     ``rules`` (optional) carries resolved style-sheet values per element.
     """
-    out = el
-    for prop in ("display", "visibility", "opacity", "cursor", "position", "width", "height"):
-        out = out.withColumn(f"_in_{prop}", inline_decl(prop))
+    props = ("display", "visibility", "opacity", "cursor", "position", "width", "height")
+    out = el.withColumns({f"_in_{p}": inline_decl(p) for p in props})
     if rules is not None:
         out = out.join(rules, FRAME + ["eid"], "left")
-        for prop in ("display", "visibility", "opacity", "cursor", "position", "width", "height"):
-            out = out.withColumn(
-                f"st_{prop}",
-                F.when(F.col(f"ss_{prop}_imp"), F.col(f"ss_{prop}"))
-                .otherwise(F.coalesce(F.col(f"_in_{prop}"), F.col(f"ss_{prop}"))))
+        out = out.withColumns({
+            f"st_{p}": F.when(F.coalesce(F.col(f"ss_{p}_imp"), F.lit(False)), F.col(f"ss_{p}"))
+            .otherwise(F.coalesce(F.col(f"_in_{p}"), F.col(f"ss_{p}"))) for p in props})
         out = out.drop(*[c for c in out.columns if c.startswith("ss_")])
     else:
-        for prop in ("display", "visibility", "opacity", "cursor", "position", "width", "height"):
-            out = out.withColumnRenamed(f"_in_{prop}", f"st_{prop}")
+        out = out.withColumnsRenamed({f"_in_{p}": f"st_{p}" for p in props})
     out = out.drop(*[c for c in out.columns if c.startswith("_in_")])
     tag = F.col("tag")
     ua_none = (
@@ -78,26 +74,22 @@ def with_styles(el: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     zero_box = (
         F.coalesce(F.col("st_width").rlike(zero) & F.col("st_height").rlike(zero), F.lit(False))
     )
-    return (
-        out.withColumn("dn_self", display_none)
-        .withColumn("op0_self", parse_float_zero(F.col("st_opacity")))
-        .withColumn("zero_box_self", zero_box)
-    )
+    return out.withColumns({"dn_self": display_none, "op0_self": parse_float_zero(F.col("st_opacity")),
+                            "zero_box_self": zero_box})
 
 
 def with_inherited_flags(el: DataFrame) -> DataFrame:
     """J5 inherited flags (crossing shadow boundaries, like the traversal)."""
-    return (
-        el.withColumn("dn_inh", covered(F.col("dn_self")))
-        .withColumn("op0_inh", covered(F.col("op0_self")))
-        .withColumn("hattr_inh", covered(A["hidden"].isNotNull()))
-        .withColumn("ah_inh", covered(F.coalesce(A["aria-hidden"] == "true", F.lit(False))))
+    doc_form = (F.col("tag") == "form") & (F.col("root_id") == 0)
+    return el.withColumns({
+        "dn_inh": covered(F.col("dn_self")),
+        "op0_inh": covered(F.col("op0_self")),
+        "hattr_inh": covered(A["hidden"].isNotNull()),
+        "ah_inh": covered(F.coalesce(A["aria-hidden"] == "true", F.lit(False))),
         # running count of document forms (W3), same window sort
-        .withColumn("form_idx", F.when(
-            (F.col("tag") == "form") & (F.col("root_id") == 0),
-            F.count(F.when((F.col("tag") == "form") & (F.col("root_id") == 0), 1)).over(
-                Window.partitionBy(*FRAME).orderBy("eid").rowsBetween(Window.unboundedPreceding, 0)) - 1))
-    )
+        "form_idx": F.when(doc_form, F.count(F.when(doc_form, 1)).over(
+            Window.partitionBy(*FRAME).orderBy("eid").rowsBetween(Window.unboundedPreceding, 0)) - 1),
+    })
 
 
 # ---------------------------------------------------------------------------
@@ -213,7 +205,8 @@ def labelledby_text(subjects: DataFrame, ids: DataFrame, elements: DataFrame, fr
 
 
 def labelable(df: DataFrame) -> Column:
-    return F.col("tag").isin(LABELABLE_TAGS) & ~((F.col("tag") == "input") & (F.lower(A["type"]) == "hidden"))
+    hidden_input = (F.col("tag") == "input") & F.coalesce(F.lower(A["type"]) == "hidden", F.lit(False))
+    return F.col("tag").isin(LABELABLE_TAGS) & ~hidden_input
 
 
 def first_label(elements: DataFrame, ids: DataFrame, frames: DataFrame) -> DataFrame:
@@ -223,9 +216,8 @@ def first_label(elements: DataFrame, ids: DataFrame, frames: DataFrame) -> DataF
                                                              F.col("root_id"), A["for"].alias("for_id"))
     ctrl = elements.filter(labelable(elements)).select(*FRAME, "eid", "root_id", "path")
     by_for = (labels.filter(F.col("for_id").isNotNull())
-              .join(ids, [labels.page_id == ids.page_id, labels.frame_id == ids.frame_id,
-                          labels.root_id == ids.root_id, labels.for_id == ids.id])
-              .select(labels.page_id, labels.frame_id, "l_eid", F.col("ref_eid").alias("eid"))
+              .join(ids.withColumnRenamed("id", "for_id"), FRAME + ["root_id", "for_id"])
+              .select(*FRAME, "l_eid", F.col("ref_eid").alias("eid"))
               .join(ctrl.select(*FRAME, "eid"), FRAME + ["eid"]))
     wrapped = (ctrl.select(*FRAME, "eid", "root_id", F.explode("path").alias("l_eid"))
                .join(labels.filter(F.col("for_id").isNull()).drop("for_id"), FRAME + ["l_eid", "root_id"])

@@ -44,11 +44,12 @@ def with_walk_flags(elements: DataFrame) -> DataFrame:
     under_closed = covered(F.col("shadow_mode") == "closed", strict=True)
     reachable = ~in_skip & ~under_closed
     return (
-        elements
-        .withColumn("_reach", reachable)
-        .withColumn("walked", F.col("_reach") & (F.col("depth") <= MAX_DEPTH))
-        .withColumn("depth_hit", F.col("_reach") & (F.col("depth") == MAX_DEPTH + 1))
-        .withColumn("closed_host", F.coalesce(F.col("shadow_mode") == "closed", F.lit(False)))
+        elements.withColumn("_reach", reachable)
+        .withColumns({
+            "walked": F.col("_reach") & (F.col("depth") <= MAX_DEPTH),
+            "depth_hit": F.col("_reach") & (F.col("depth") == MAX_DEPTH + 1),
+            "closed_host": F.coalesce(F.col("shadow_mode") == "closed", F.lit(False)),
+        })
         .drop("_reach")
     )
 

@@ -73,7 +73,7 @@ def persist(df: DataFrame, reliable: bool = True) -> DataFrame:
 class Extraction:
     """All tables of one extraction run, built lazily."""
 
-    def __init__(self, pages: DataFrame, opts: ExtractOptions | None = None, style_rules: bool = False):
+    def __init__(self, pages: DataFrame, opts: ExtractOptions | None = None, style_rules: bool = True):
         self.opts = opts or ExtractOptions()
         self.spark = pages.sparkSession
         self.pages = pages
@@ -139,7 +139,7 @@ class Extraction:
     def subjects(self) -> DataFrame:
         """Elements that can become nodes or locator matches, with names and properties."""
         A = F.col("attrs")
-        el = self.elements.withColumn("role", P.role()).withColumn("test_attr", P.test_attr())
+        el = self.elements.withColumns({"role": P.role(), "test_attr": P.test_attr()})
         cond = (F.col("role").isNotNull() | F.col("tag").isin(SUBJECT_TAGS) | F.col("test_attr").isNotNull()
                 | A["tabindex"].isNotNull() | A["aria-label"].isNotNull() | A["aria-labelledby"].isNotNull()
                 | F.col("closed_host") | A["data-testid"].isNotNull())
@@ -184,38 +184,39 @@ class Extraction:
                 .otherwise(F.coalesce(nullif_empty(text_col), nullif_empty(collapse(F.col("img_alt"))))),
             )
 
-        href = F.when((tag == "a") & A["href"].isNotNull(), resolve_href(A["href"], F.col("base_url")))
-        href = F.when(~href.rlike(r"(?i)^javascript:"), cut(href, 300))
         vis_hidden = F.coalesce(F.col("visibility").isin("hidden", "collapse"), F.lit(False))
         empty_inline = (tag.isin(R.INLINE_TAGS) & F.coalesce(~F.col("st_display").isin("block", "inline-block", "flex",
                                                                                        "grid", "inline-flex"), F.lit(True))
                         & (F.col("ctext") == "") & (F.col("last_eid") == F.col("eid")))
         zero_box = F.col("zero_box_self") | empty_inline | (tag == "option")
         flags = F.col("dn_inh") | F.col("op0_inh") | F.col("hattr_inh") | F.col("ah_inh")
-        is_visible = ~(flags | vis_hidden | zero_box)
-        s = (s
-             .withColumn("aria_label_c", aria_label_c)
-             .withColumn("label_text", label_text)
-             .withColumn("is_form_field", P.is_form_field())
-             .withColumn("generated_id", P.is_generated_id(A["id"]))
-             .withColumn("included", included(tag, A, F.col("role"), F.col("test_attr")))
-             .withColumn("accessible_name", name(cut(F.col("ctext"), 120)))
-             .withColumn("name_full", name(F.col("ctext")))
-             .withColumn("text_content", F.when(~P.is_form_field(), nullif_empty(cut(F.col("ctext"), 120))))
-             .withColumn("is_visible", is_visible)
-             .withColumn("role_hidden", F.col("dn_inh") | F.col("hattr_inh") | F.col("ah_inh") | vis_hidden)
-             .withColumn("p_type", P.prop_type())
-             .withColumn("p_href", href)
-             .withColumn("p_required", P.prop_required())
-             .withColumn("p_disabled", P.prop_disabled())
-             .withColumn("p_checked", P.prop_checked()))
+        # one projection (one analysis pass) for all derived columns
+        s = s.withColumns({
+            "aria_label_c": aria_label_c,
+            "label_text": label_text,
+            "is_form_field": P.is_form_field(),
+            "generated_id": P.is_generated_id(A["id"]),
+            "included": included(tag, A, F.col("role"), F.col("test_attr")),
+            "accessible_name": name(cut(F.col("ctext"), 120)),
+            "name_full": name(F.col("ctext")),
+            "text_content": F.when(~P.is_form_field(), nullif_empty(cut(F.col("ctext"), 120))),
+            "is_visible": ~(flags | vis_hidden | zero_box),
+            "role_hidden": F.col("dn_inh") | F.col("hattr_inh") | F.col("ah_inh") | vis_hidden,
+            "p_type": P.prop_type(),
+            "_href": F.when((tag == "a") & A["href"].isNotNull(), resolve_href(A["href"], F.col("base_url"))),
+            "p_required": P.prop_required(),
+            "p_disabled": P.prop_disabled(),
+            "p_checked": P.prop_checked(),
+        })
+        s = s.withColumn("p_href", F.when(~F.col("_href").rlike(r"(?i)^javascript:"), cut(F.col("_href"), 300))) \
+             .drop("_href")
         if self.opts.include_click_targets:
             pointer = F.coalesce(F.col("cursor") == "pointer", F.lit(False))
             anc_pointer = F.coalesce(F.col("parent_cursor") == "pointer", F.lit(False))
             content = (F.col("ctext") != "") | F.coalesce(F.col("has_img"), F.lit(False))
-            s = (s.withColumn("click_target", ~F.col("included") & pointer & ~anc_pointer & content)
-                 .withColumn("heading_ok", F.coalesce((F.col("heading") != "") & (F.length("heading") <= 80),
-                                                      F.lit(False))))
+            s = s.withColumns({
+                "click_target": ~F.col("included") & pointer & ~anc_pointer & content,
+                "heading_ok": F.coalesce((F.col("heading") != "") & (F.length("heading") <= 80), F.lit(False))})
         else:
             s = s.withColumn("click_target", F.lit(False))
         return persist(s)
@@ -233,11 +234,12 @@ class Extraction:
         note = F.concat_ws(" ", L.candidate_note(),
                            F.when(F.col("click_target"), F.lit(NOTE_CLICK_TARGET)),
                            F.when(live, F.lit(NOTE_LIVE_REGION)))
-        s = (s.withColumn("kind", F.when(F.col("closed_host"), F.lit("shadow_boundary")).otherwise(F.lit("element")))
-             .withColumn("candidates", L.candidate_array(ct))
-             .withColumn("text_content", F.when(live, F.col("live_text")).otherwise(F.col("text_content")))
-             .withColumn("context_note", F.when(F.col("closed_host"), F.lit(NOTE_CLOSED_SHADOW))
-                         .otherwise(F.nullif(note, F.lit("")))))
+        s = s.withColumns({
+            "kind": F.when(F.col("closed_host"), F.lit("shadow_boundary")).otherwise(F.lit("element")),
+            "candidates": L.candidate_array(ct),
+            "text_content": F.when(live, F.col("live_text")).otherwise(F.col("text_content")),
+            "context_note": F.when(F.col("closed_host"), F.lit(NOTE_CLOSED_SHADOW)).otherwise(F.nullif(note, F.lit(""))),
+        })
         ft = self.frame_tree.select(*FRAME, "frame_key", "frame_path", "reachable")
         s = s.join(ft, FRAME).filter(F.col("reachable"))
         return persist(s)
@@ -351,5 +353,5 @@ class Extraction:
 
 
 def extract(pages: DataFrame, **kwargs) -> Extraction:
-    style_rules = kwargs.pop("style_rules", False)
+    style_rules = kwargs.pop("style_rules", True)
     return Extraction(pages, ExtractOptions(**kwargs), style_rules=style_rules)

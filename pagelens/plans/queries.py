@@ -25,7 +25,7 @@ def extraction(spark: SparkSession, sf_dir: str, **opts) -> Extraction:
     ex = _CACHE.get(key)
     if ex is None:
         configure(spark)
-        style = opts.pop("style_rules", False)
+        style = opts.pop("style_rules", True)
         ex = Extraction(read_pages(spark, sf_dir), ExtractOptions(**opts), style_rules=style)
         _CACHE[key] = ex
     return ex

@@ -181,6 +181,9 @@ class _TreeBuilder(HTMLParser):
                 self.html = self._open("html", attrs)
             return
         self._ensure_html()
+        if any(e.tag == "template" and not e.is_marker for e in self.stack):
+            self._insert(tag, attrs, self_closing)  # template contents: no implied head/body handling
+            return
         if self.body is None:
             if tag == "head":
                 if self.head is None:
