@@ -83,6 +83,17 @@ FROM pages"""
 TITLE = ("trim(regexp_replace(replace(replace(replace(replace(replace(title_raw, '&lt;', '<'), '&gt;', '>'), "
          "'&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '[\\t\\n\\f\\r ]+', ' ', 'g'))")
 
+from pagelens.operators.lint import PROMPT_DOM, PROMPT_ROLE_LINE, PROMPT_SCENARIO, PROMPT_TASK_LINE, TEAM_CONVENTIONS
+
+
+def _lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+PROMPT_BEFORE = _lit(PROMPT_ROLE_LINE.replace("{team}", "QA") + "\n" + PROMPT_TASK_LINE + "\n\n"
+                     + TEAM_CONVENTIONS + "\n\n" + PROMPT_SCENARIO + "\n")
+PROMPT_AFTER = _lit("\n\n" + PROMPT_DOM + "\n```json\n")
+
 ORACLE_SQL = {
     "src_tag_counts": """
 SELECT page_id, tag, count(*)::BIGINT AS n
@@ -192,4 +203,83 @@ SELECT page_id, requested_url, final_url,
 FROM (SELECT page_id, url AS requested_url,
              CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN url || '/' ELSE {ORIGIN} || '/login' END AS final_url
       FROM pages)""",
+    "lint_actions": """
+WITH a AS (
+  SELECT user_id AS list_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step,
+         CASE WHEN event_type IN ('click', 'purchase') THEN 'click' WHEN event_type = 'view' THEN 'wait'
+              WHEN event_type = 'error' THEN 'press' WHEN event_type = 'signup' THEN 'fill' ELSE event_type END AS type,
+         upper(left(event_type, 1)) || lower(substr(event_type, 2)) AS value,
+         CASE WHEN event_type = 'error' THEN json_extract_string(props, '$.k') END AS key,
+         CASE WHEN event_type = 'view' THEN CAST(value * 500 AS INTEGER) END AS ms,
+         count(*) OVER (PARTITION BY user_id) AS n
+  FROM events)
+SELECT list_id, step::BIGINT AS step, type,
+       CASE WHEN type NOT IN ('fill', 'click', 'press', 'wait') THEN 'invalid_type'
+            WHEN type <> 'wait' AND coalesce(value, '') = '' THEN 'empty_locator_value'
+            WHEN type = 'press' AND length(coalesce(key, '')) > 30 THEN 'key_too_long'
+            WHEN type = 'wait' AND NOT coalesce(ms BETWEEN 1 AND 10000, false) THEN 'wait_out_of_range'
+       END AS code,
+       n > 20 AS list_too_long
+FROM a""",
+    "lint_locators": f"""
+WITH {LINKS}
+SELECT page_id, node_no::BIGINT AS step, lower(txt) AS value, cnt::BIGINT AS match_count,
+       CASE WHEN cnt = 0 THEN 'missing' WHEN cnt = 1 THEN 'ok' ELSE 'ambiguous' END AS status
+FROM counted""",
+    "rep_prompts": f"""
+SELECT c.conv_id AS scenario_id, c.conv_id AS page_id, {PROMPT_BEFORE} || c.scenario || {PROMPT_AFTER} AS prompt_head
+FROM (SELECT conv_id, arg_min(text, turn) AS scenario FROM conversations WHERE role = 'user' GROUP BY conv_id) c
+JOIN pages p ON p.page_id = c.conv_id""",
 }
+
+# ---------------------------------------------------------------------------
+# board pages (rendered from orders, see plans/render.py)
+# ---------------------------------------------------------------------------
+BOARD = """
+WITH o AS (
+  SELECT o_custkey, o_orderkey, o_orderstatus, o_orderpriority,
+         (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 25 AS chunk
+  FROM orders),
+b AS (
+  SELECT o_custkey * 100000 + chunk AS page_id, o_custkey, o_orderkey, o_orderstatus, o_orderpriority,
+         o_orderpriority IN ('3-MEDIUM', '5-LOW') AND o_orderstatus <> 'O' AS role_match,
+         count(*) FILTER (WHERE o_orderpriority IN ('3-MEDIUM', '5-LOW') AND o_orderstatus <> 'O')
+           OVER (PARTITION BY o_custkey, chunk) AS n_role,
+         count(*) OVER (PARTITION BY o_custkey, chunk) AS n_text,
+         coalesce(count(*) FILTER (WHERE o_orderpriority IN ('3-MEDIUM', '5-LOW') AND o_orderstatus <> 'O')
+           OVER (PARTITION BY o_custkey, chunk ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+           AS role_idx
+  FROM o)"""
+
+_VISIBLE_DIVS = "count(*) FILTER (WHERE o_orderpriority = '5-LOW')"
+_VISIBLE_BUTTONS = "count(*) FILTER (WHERE o_orderpriority = '5-LOW' AND o_orderstatus <> 'O')"
+_DROPPED = f"(2 * count(*) - {_VISIBLE_DIVS} - {_VISIBLE_BUTTONS})"
+
+ORACLE_SQL.update({
+    "board_nodes": BOARD + """
+SELECT page_id, o_orderkey,
+       CASE o_custkey % 3 WHEN 0 THEN 'form#board-' || o_custkey WHEN 1 THEN 'form[name="b' || o_custkey || '"]'
+            ELSE 'form:nth(0)' END AS form_group,
+       'card-' || o_orderkey AS scope_hint,
+       o_orderstatus = 'F' AS is_disabled,
+       o_orderpriority = '5-LOW' AND o_orderstatus <> 'O' AS is_visible
+FROM b""",
+    "loc_board": BOARD + """
+SELECT page_id, o_orderkey,
+       CASE WHEN n_role = 1 OR n_text <> 1 THEN 'role' ELSE 'text' END AS strategy,
+       CASE WHEN n_role = 1 OR n_text <> 1 THEN 'getByRole(''button'', { name: ''Save'' })'
+            ELSE 'getByText(''Save'')' END AS playwright,
+       n_role = 1 OR n_text = 1 AS is_unique,
+       CASE WHEN n_role = 1 OR n_text = 1 THEN NULL
+            ELSE n_role || ' matches in frame; '
+                 || CASE WHEN role_match THEN 'use .nth(' || role_idx || '); ' ELSE '' END
+                 || 'or scope with getByTestId(''card-' || o_orderkey || ''') before locating.' END AS disambiguation
+FROM b""",
+    "flt_hidden": BOARD + f"""
+SELECT page_id, ({_VISIBLE_DIVS} + {_VISIBLE_BUTTONS})::BIGINT AS node_count,
+       CASE WHEN {_DROPPED} > 0 THEN {_DROPPED} || ' hidden node(s) excluded because include_hidden=false.'
+            ELSE '' END
+       || CASE WHEN {_VISIBLE_DIVS} + {_VISIBLE_BUTTONS} = 0
+               THEN CASE WHEN {_DROPPED} > 0 THEN chr(10) ELSE '' END || '{NOTE_EMPTY}' ELSE '' END AS notes
+FROM b GROUP BY page_id""",
+})

@@ -193,6 +193,92 @@ def q_diag_auth(spark, sf_dir):
     return gate.auth_check(gate.derived_fetch_log(read_pages(spark, sf_dir)))
 
 
+def q_lint_actions(spark, sf_dir):
+    """Q4: declared action lists (derived from the event log) validated row by row."""
+    from pagelens.operators.lint import check_actions, events_action_lists
+    from pagelens.sources.pages import read_table
+    return check_actions(events_action_lists(read_table(spark, sf_dir, "events"))).select(
+        F.col("page_id").alias("list_id"), F.col("step").cast("long").alias("step"), "type", "code", "list_too_long")
+
+
+def q_lint_locators(spark, sf_dir):
+    """Declared click locators (lower-cased link names) graded against each page."""
+    from pagelens.operators.lint import link_click_actions, lint_locators
+    ex = extraction(spark, sf_dir)
+    acts = link_click_actions(ex.kept_nodes)
+    return lint_locators(acts, ex).select("page_id", F.col("step").cast("long").alias("step"), "value",
+                                          "match_count", "status")
+
+
+def q_rep_prompts(spark, sf_dir):
+    """R2: prompt text (before the JSON block) per conversation scenario and its page."""
+    from pagelens.operators.lint import conversation_scenarios, prompt_head
+    from pagelens.sources.pages import read_table
+    sc = conversation_scenarios(read_table(spark, sf_dir, "conversations"))
+    pages = read_pages(spark, sf_dir).select("page_id")
+    return sc.join(pages, "page_id").select("scenario_id", "page_id",
+                                            prompt_head(None, None, F.col("scenario")).alias("prompt_head"))
+
+
+def q_sink_extract(spark, sf_dir):
+    """Pretty JSON document per page (rows-only check)."""
+    from pagelens.operators.lint import extract_json
+    docs = extract_json(extraction(spark, sf_dir).extracts)
+    return docs.select("page_id", F.length("json").cast("long").alias("json_chars"))
+
+
+def q_rep_payload_json(spark, sf_dir):
+    """A5: payload report with the extract JSON size and reductions (rows-only check)."""
+    from pagelens.operators.lint import extract_json
+    docs = extract_json(extraction(spark, sf_dir).extracts).select("page_id", F.length("json").alias("json_chars"))
+    p = report.payload_html(read_pages(spark, sf_dir)).join(docs, "page_id")
+    return p.select("page_id", "raw_chars", "cleaned_chars", F.col("json_chars").cast("long").alias("json_chars"),
+                    report.tokens(F.col("json_chars")).alias("json_tokens"),
+                    report.reduction(F.col("json_chars"), F.col("raw_chars")).alias("reduction_vs_raw_pct"),
+                    report.reduction(F.col("json_chars"), F.col("cleaned_chars")).alias("reduction_vs_cleaned_pct"))
+
+
+def board_extraction(spark, sf_dir, **opts) -> Extraction:
+    from pagelens.plans.render import board_pages
+    from pagelens.sources.pages import read_table
+    key = (id(spark), sf_dir, "board", tuple(sorted(opts.items())))
+    ex = _CACHE.get(key)
+    if ex is None:
+        configure(spark)
+        ex = Extraction(board_pages(read_table(spark, sf_dir, "orders")), ExtractOptions(**opts))
+        _CACHE[key] = ex
+    return ex
+
+
+def _board_buttons(spark, sf_dir):
+    n = board_extraction(spark, sf_dir).kept_nodes.filter(F.col("tag") == "button")
+    return n.withColumn("o_orderkey", F.regexp_extract("scope_hint", r"^card-(\d+)$", 1).cast("long"))
+
+
+def q_board_nodes(spark, sf_dir):
+    """J3 / W3 / J4 / J5 / J6 / P10 on board pages: form group, scope hint, visibility, disabled."""
+    n = _board_buttons(spark, sf_dir)
+    return n.select("page_id", "o_orderkey", "form_group", "scope_hint",
+                    F.col("properties.is_disabled").alias("is_disabled"),
+                    F.col("properties.is_visible").alias("is_visible"))
+
+
+def q_loc_board(spark, sf_dir):
+    """J7 / A1 / W4 / W1 / B1 on board pages: primary locator and guidance of every button."""
+    n = _board_buttons(spark, sf_dir)
+    return n.select("page_id", "o_orderkey", F.col("primary_locator.strategy").alias("strategy"),
+                    F.col("primary_locator.playwright").alias("playwright"),
+                    F.col("primary_locator.is_unique").alias("is_unique"),
+                    F.col("primary_locator.disambiguation").alias("disambiguation"))
+
+
+def q_flt_hidden(spark, sf_dir):
+    """F3 / A3 on board pages with include_hidden=false: kept nodes and notes."""
+    m = board_extraction(spark, sf_dir, include_hidden=False).page_meta
+    return m.select("page_id", F.col("node_count").cast("long").alias("node_count"),
+                    F.array_join("notes", "\n").alias("notes"))
+
+
 QUERIES = {
     "src_tag_counts": q_src_tag_counts,
     "src_walked_counts": q_src_walked_counts,
@@ -215,4 +301,12 @@ QUERIES = {
     "chk_contract": q_chk_contract,
     "gate_hosts": q_gate_hosts,
     "diag_auth": q_diag_auth,
+    "lint_actions": q_lint_actions,
+    "lint_locators": q_lint_locators,
+    "rep_prompts": q_rep_prompts,
+    "sink_extract": q_sink_extract,
+    "rep_payload_json": q_rep_payload_json,
+    "board_nodes": q_board_nodes,
+    "loc_board": q_loc_board,
+    "flt_hidden": q_flt_hidden,
 }

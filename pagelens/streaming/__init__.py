@@ -1 +1,5 @@
 """Structured Streaming wrappers."""
+
+from pagelens.streaming.stream import extract_batch, read_page_stream, start
+
+__all__ = ["extract_batch", "read_page_stream", "start"]
