@@ -64,7 +64,12 @@ def persist(df: DataFrame, reliable: bool = True) -> DataFrame:
     if reliable:
         from pagelens.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
+        # cache first: the checkpoint job then reads the cached blocks instead
+        # of computing the plan a second time
+        cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+        out = cached.checkpoint(eager=True)
+        cached.unpersist(blocking=False)
+        return out
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     df.count()
     return df
@@ -80,6 +85,34 @@ class Extraction:
         self.n_parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.use_style_rules = style_rules
 
+    # stages an option first influences; everything upstream is shared by with_options()
+    _SHARED_UNTIL = {
+        "match": ["parsed", "_split", "style_rules", "elements", "frame_tree", "frame_base", "subjects",
+                  "raw_nodes", "match_universe", "candidates", "elements_with_hosts", "page_urls"],
+        "max_nodes": ["parsed", "_split", "style_rules", "elements", "frame_tree", "frame_base", "subjects",
+                      "raw_nodes", "match_universe", "candidates", "match_pairs", "locators",
+                      "elements_with_hosts", "page_urls"],
+        "include_hidden": ["parsed", "_split", "style_rules", "elements", "frame_tree", "frame_base", "subjects",
+                           "raw_nodes", "match_universe", "candidates", "match_pairs", "locators", "nodes",
+                           "elements_with_hosts", "page_urls"],
+        "after_actions": ["parsed", "_split", "style_rules", "elements", "frame_tree", "frame_base", "subjects",
+                          "raw_nodes", "match_universe", "candidates", "match_pairs", "locators", "nodes",
+                          "kept_nodes", "elements_with_hosts", "page_urls"],
+    }
+
+    def with_options(self, **changes) -> "Extraction":
+        """A variant run that reuses every materialised table the changed options
+        do not influence (e.g. exact matching re-runs only the match join)."""
+        from dataclasses import replace
+        new = Extraction(self.pages, replace(self.opts, **changes), style_rules=self.use_style_rules)
+        shared = None
+        for k in changes:
+            keep = set(self._SHARED_UNTIL.get(k, []))
+            shared = keep if shared is None else shared & keep
+        for name in shared or ():
+            new.__dict__[name] = getattr(self, name)  # materialises it on the base run if needed
+        return new
+
     # ----------------------------------------------------------------- sources
     @cached_property
     def parsed(self) -> DataFrame:

@@ -283,3 +283,30 @@ SELECT page_id, ({_VISIBLE_DIVS} + {_VISIBLE_BUTTONS})::BIGINT AS node_count,
                THEN CASE WHEN {_DROPPED} > 0 THEN chr(10) ELSE '' END || '{NOTE_EMPTY}' ELSE '' END AS notes
 FROM b GROUP BY page_id""",
 })
+
+# ---------------------------------------------------------------------------
+# card pages (rendered from supplier, see plans/render.py)
+# ---------------------------------------------------------------------------
+CARDS = """
+WITH s AS (
+  SELECT s_nationkey * 100000 + (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) // 25 AS page_id,
+         s_nationkey, s_suppkey, s_name, s_acctbal,
+         (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) % 25 + 1 AS pos
+  FROM supplier)"""
+_CLICK_NOTE = ("Included via the opt-in cursor:pointer click-target heuristic; the element has no native interactive "
+               "semantics (consider adding a role or data-testid).")
+_CARD_PATH = "'html > body:nth-child(2) > div:nth-child(' || pos || ')'"
+ORACLE_SQL.update({
+    "sel_click_target": CARDS + f"""
+SELECT page_id, {_CARD_PATH} AS css_path,
+       CASE WHEN s_suppkey % 3 = 0 THEN 'text' ELSE 'css' END AS strategy,
+       CASE WHEN s_suppkey % 3 = 0 THEN 'getByText(' || {_q('s_name')} || ')'
+            ELSE 'locator(' || {_q(_CARD_PATH)} || ')' END AS playwright,
+       true AS is_unique,
+       '{_CLICK_NOTE}' AS context_note
+FROM s WHERE s_acctbal >= 0""",
+    "rel_image_name": CARDS + f"""
+SELECT page_id, s_name AS accessible_name, 'http://shop.test/s/' || s_suppkey AS href,
+       'getByRole(''link'', {{ name: ' || {_q('s_name')} || ' }})' AS playwright
+FROM s WHERE s_acctbal >= 0 AND s_suppkey % 3 = 2""",
+})

@@ -21,12 +21,16 @@ _CACHE: dict = {}
 
 
 def extraction(spark: SparkSession, sf_dir: str, **opts) -> Extraction:
+    """Shared extraction per (session, directory, options); option variants
+    reuse the default run's materialised upstream tables."""
     key = (id(spark), sf_dir, tuple(sorted(opts.items())))
     ex = _CACHE.get(key)
     if ex is None:
         configure(spark)
-        style = opts.pop("style_rules", True)
-        ex = Extraction(read_pages(spark, sf_dir), ExtractOptions(**opts), style_rules=style)
+        if opts:
+            ex = extraction(spark, sf_dir).with_options(**opts)
+        else:
+            ex = Extraction(read_pages(spark, sf_dir), ExtractOptions())
         _CACHE[key] = ex
     return ex
 
@@ -245,7 +249,10 @@ def board_extraction(spark, sf_dir, **opts) -> Extraction:
     ex = _CACHE.get(key)
     if ex is None:
         configure(spark)
-        ex = Extraction(board_pages(read_table(spark, sf_dir, "orders")), ExtractOptions(**opts))
+        if opts:
+            ex = board_extraction(spark, sf_dir).with_options(**opts)
+        else:
+            ex = Extraction(board_pages(read_table(spark, sf_dir, "orders")), ExtractOptions())
         _CACHE[key] = ex
     return ex
 
@@ -279,6 +286,34 @@ def q_flt_hidden(spark, sf_dir):
                     F.array_join("notes", "\n").alias("notes"))
 
 
+def card_extraction(spark, sf_dir) -> Extraction:
+    from pagelens.plans.render import card_pages
+    from pagelens.sources.pages import read_table
+    key = (id(spark), sf_dir, "cards")
+    ex = _CACHE.get(key)
+    if ex is None:
+        configure(spark)
+        ex = Extraction(card_pages(read_table(spark, sf_dir, "supplier")), ExtractOptions(include_click_targets=True))
+        _CACHE[key] = ex
+    return ex
+
+
+def q_sel_click_target(spark, sf_dir):
+    """F4 / J10 on card pages: click-target nodes with their primary locator and note."""
+    n = card_extraction(spark, sf_dir).kept_nodes.filter((F.col("tag") == "div"))
+    w = Window.partitionBy("page_id").orderBy("frame_key", "eid")
+    return n.select("page_id", F.col("css_path"), F.col("primary_locator.strategy").alias("strategy"),
+                    F.col("primary_locator.playwright").alias("playwright"),
+                    F.col("primary_locator.is_unique").alias("is_unique"), "context_note")
+
+
+def q_rel_image_name(spark, sf_dir):
+    """J10 / R1 on card pages: links named by the alt of their first image."""
+    n = card_extraction(spark, sf_dir).kept_nodes.filter(F.col("tag") == "a")
+    return n.select("page_id", "accessible_name", F.col("properties.href").alias("href"),
+                    F.col("primary_locator.playwright").alias("playwright"))
+
+
 QUERIES = {
     "src_tag_counts": q_src_tag_counts,
     "src_walked_counts": q_src_walked_counts,
@@ -309,4 +344,6 @@ QUERIES = {
     "board_nodes": q_board_nodes,
     "loc_board": q_loc_board,
     "flt_hidden": q_flt_hidden,
+    "sel_click_target": q_sel_click_target,
+    "rel_image_name": q_rel_image_name,
 }

@@ -53,3 +53,39 @@ def board_pages(orders: DataFrame) -> DataFrame:
         F.concat(F.lit("http://c"), (ck % 7).cast("string"), F.lit(".shop.test/board/"), ck.cast("string"),
                  F.lit("?page="), F.col("chunk").cast("string")).alias("url"),
         html.alias("html"))
+
+
+CARD_PAGE_SIZE = 25
+
+
+def card_pages(supplier: DataFrame) -> DataFrame:
+    """Card pages: one page per nation and chunk of at most ``CARD_PAGE_SIZE``
+    suppliers; every supplier is one ``cursor:pointer`` card in body order.
+
+      acctbal < 0        empty pointer div (decoration, never a click target)
+      suppkey mod 3 = 0  <h3>name</h3><p>Account</p>           (short heading)
+      suppkey mod 3 = 1  <h3>name x 5</h3>                      (heading over 80 chars)
+      suppkey mod 3 = 2  <a href="/s/key"><img alt="name"></a> (image link)
+    """
+    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    s = supplier.select("s_nationkey", "s_suppkey", "s_name", "s_acctbal",
+                        ((F.row_number().over(w) - 1) / CARD_PAGE_SIZE).cast("long").alias("chunk"))
+    name = F.col("s_name")
+    inner = (F.when(F.col("s_acctbal") < 0, F.lit(""))
+             .when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("<h3>"), name, F.lit("</h3><p>Account</p>")))
+             .when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("<h3>"), F.concat_ws(" ", name, name, name, name, name),
+                                                         F.lit("</h3>")))
+             .otherwise(F.concat(F.lit('<a href="/s/'), F.col("s_suppkey").cast("string"), F.lit('"><img src="x.png" alt="'),
+                                 name, F.lit('"></a>'))))
+    card = F.concat(F.lit('<div class="card" style="cursor: pointer">'), inner, F.lit("</div>"))
+    grouped = (s.select("s_nationkey", "chunk", "s_suppkey", card.alias("card"))
+               .groupBy("s_nationkey", "chunk")
+               .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "card"))),
+                                             lambda x: x["card"]), "").alias("cards")))
+    nk = F.col("s_nationkey")
+    return grouped.select(
+        (nk * PAGE_KEY_STRIDE + F.col("chunk")).alias("page_id"),
+        F.concat(F.lit("http://shop.test/suppliers/"), nk.cast("string"), F.lit("?page="),
+                 F.col("chunk").cast("string")).alias("url"),
+        F.concat(F.lit("<!DOCTYPE html><html><head><title>Suppliers</title></head><body>"), F.col("cards"),
+                 F.lit("</body></html>")).alias("html"))

@@ -38,7 +38,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.ui.enabled", "false").config("spark.driver.memory", "16g")
+    builder = (builder.config("spark.ui.enabled", "false").config("spark.driver.memory", "16g")
+               .config("spark.serializer", "org.apache.spark.serializer.KryoSerializer"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     configure(spark)
