@@ -310,3 +310,97 @@ SELECT page_id, s_name AS accessible_name, 'http://shop.test/s/' || s_suppkey AS
        'getByRole(''link'', {{ name: ' || {_q('s_name')} || ' }})' AS playwright
 FROM s WHERE s_acctbal >= 0 AND s_suppkey % 3 = 2""",
 })
+
+# ---------------------------------------------------------------------------
+# form pages (rendered from part, see plans/render.py)
+# ---------------------------------------------------------------------------
+FORM = r"""
+WITH p AS (
+  SELECT p_partkey AS k, p_name, p_type, p_size,
+         CAST(regexp_extract(p_brand, '(\d+)$', 1) AS BIGINT) AS brand_no,
+         row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn
+  FROM part),
+f AS (
+  SELECT *, brand_no * 100000 + (rn - 1) // 20 AS page_id, (rn - 1) % 20 + 1 AS pos,
+         CASE p_size % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'email' WHEN 2 THEN 'checkbox' WHEN 3 THEN 'number'
+              ELSE 'submit' END AS t,
+         CASE k % 3 WHEN 0 THEN 'p' || k WHEN 1 THEN 'rc_select_' || k END AS id_attr,
+         k % 4 AS mode,
+         CASE k % 6 WHEN 0 THEN 'data-testid' WHEN 1 THEN 'data-cy' WHEN 2 THEN 'data-qa' END AS tattr
+  FROM p),
+g AS (
+  SELECT *,
+         CASE t WHEN 'text' THEN 'textbox' WHEN 'email' THEN 'textbox' WHEN 'checkbox' THEN 'checkbox'
+                WHEN 'number' THEN 'spinbutton' ELSE 'button' END AS role,
+         (mode = 0 AND id_attr IS NOT NULL) OR mode = 1 AS has_label,
+         (mode = 0 AND id_attr IS NOT NULL) OR mode IN (1, 2) AS has_label_value,
+         CASE WHEN mode IN (1, 2) OR (mode = 0 AND id_attr IS NOT NULL) OR t = 'submit' THEN p_name END AS name,
+         CASE WHEN t IN ('text', 'email') AND k % 2 = 0 THEN p_type END AS ph
+  FROM f)"""
+
+FORM_COUNTS = FORM + r""",
+c AS (
+  SELECT a.*,
+    (SELECT count(*) FROM g b WHERE b.page_id = a.page_id AND b.role = a.role AND b.name IS NOT NULL
+            AND contains(lower(b.name), lower(a.name))) AS n_role,
+    (SELECT count(*) FROM g b WHERE b.page_id = a.page_id AND b.role = a.role AND b.name IS NOT NULL
+            AND contains(lower(b.name), lower(a.name)) AND b.pos < a.pos) AS i_role,
+    (SELECT count(*) FROM g b WHERE b.page_id = a.page_id AND b.has_label_value
+            AND contains(lower(b.p_name), lower(a.p_name))) AS n_label,
+    (SELECT count(*) FROM g b WHERE b.page_id = a.page_id AND b.has_label_value
+            AND contains(lower(b.p_name), lower(a.p_name)) AND b.pos < a.pos) AS i_label,
+    (SELECT count(*) FROM g b WHERE b.page_id = a.page_id AND b.ph IS NOT NULL
+            AND contains(lower(b.ph), lower(a.ph))) AS n_ph,
+    (SELECT count(*) FROM g b WHERE b.page_id = a.page_id AND b.ph IS NOT NULL
+            AND contains(lower(b.ph), lower(a.ph)) AND b.pos < a.pos) AS i_ph,
+    'html > body:nth-child(2) > form:nth-child(1) > div:nth-child(' || a.pos || ') > '
+      || CASE WHEN a.mode = 0 AND a.id_attr IS NOT NULL THEN 'input:nth-child(2)'
+              WHEN a.mode = 1 THEN 'label:nth-child(1) > input:nth-child(1)' ELSE 'input:nth-child(1)' END AS cpath
+  FROM g a),
+l AS (
+  SELECT *, list_filter([
+    CASE WHEN tattr = 'data-testid' THEN {'s': 'test-id', 'pw': 'getByTestId(''part-' || k || ''')', 'lr': false,
+                                          'u': true, 'n': 1::BIGINT, 'i': 0::BIGINT} END,
+    CASE WHEN tattr IN ('data-cy', 'data-qa') THEN {'s': 'css', 'pw': 'locator(''[' || tattr || '="part-' || k || '"]'')',
+                                                   'lr': false, 'u': true, 'n': 1::BIGINT, 'i': 0::BIGINT} END,
+    CASE WHEN name IS NOT NULL THEN {'s': 'role', 'pw': 'getByRole(''' || role || ''', { name: ''' || name || ''' })',
+                                     'lr': false, 'u': n_role = 1, 'n': n_role, 'i': i_role} END,
+    CASE WHEN has_label THEN {'s': 'label', 'pw': 'getByLabel(''' || p_name || ''')', 'lr': false,
+                              'u': n_label = 1, 'n': n_label, 'i': i_label} END,
+    CASE WHEN ph IS NOT NULL THEN {'s': 'placeholder', 'pw': 'getByPlaceholder(''' || ph || ''')', 'lr': false,
+                                   'u': n_ph = 1, 'n': n_ph, 'i': i_ph} END,
+    CASE WHEN id_attr IS NOT NULL THEN {'s': 'id', 'pw': 'locator(''#' || id_attr || ''')', 'lr': k % 3 = 1,
+                                        'u': true, 'n': 1::BIGINT, 'i': 0::BIGINT} END,
+    {'s': 'css', 'pw': 'locator(''' || cpath || ''')', 'lr': true, 'u': true, 'n': 1::BIGINT, 'i': 0::BIGINT}
+  ], lambda x: x IS NOT NULL) AS cands
+  FROM c),
+r AS (
+  SELECT *, CASE WHEN len(list_filter(cands, lambda x: NOT x.lr)) > 0 THEN list_filter(cands, lambda x: NOT x.lr)
+                 ELSE cands END AS pool,
+         len(list_filter(cands, lambda x: x.u AND NOT x.lr)) > 0 AS has_us
+  FROM l),
+q AS (
+  SELECT *, CASE WHEN len(list_filter(pool, lambda x: x.u)) > 0 THEN list_filter(pool, lambda x: x.u)[1]
+                 ELSE pool[1] END AS prim
+  FROM r)"""
+
+ORACLE_SQL.update({
+    "form_inputs": FORM + r"""
+SELECT page_id, k AS p_partkey, role, name AS accessible_name, 'form#f-' || brand_no AS form_group, t AS type,
+       ph AS placeholder, p_size % 4 = 1 AS is_required,
+       CASE WHEN t = 'checkbox' THEN p_size % 2 = 0 END AS is_checked,
+       NULLIF(concat_ws(' ',
+         CASE WHEN tattr IN ('data-cy', 'data-qa') THEN tattr
+              || ' present; getByTestId only reads data-testid unless the team configures testIdAttribute to '
+              || tattr || '.' END,
+         CASE WHEN k % 3 = 1 THEN 'Element id ''rc_select_' || k
+              || ''' looks framework-generated and may change between builds; demoted to last resort.' END), '')
+         AS context_note
+FROM g""",
+    "loc_form_rank": FORM_COUNTS + r"""
+SELECT page_id, k AS p_partkey, prim.s AS strategy, prim.pw AS playwright, prim.u AS is_unique,
+       CASE WHEN NOT prim.u THEN prim.n || ' matches in frame; use .nth(' || prim.i || ').' END AS disambiguation,
+       least(4, len(cands) - 1 - CASE WHEN has_us THEN len(list_filter(cands, lambda x: x.lr)) ELSE 0 END)::BIGINT
+         AS n_fallbacks
+FROM q""",
+})

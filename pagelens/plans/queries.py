@@ -314,6 +314,43 @@ def q_rel_image_name(spark, sf_dir):
                     F.col("primary_locator.playwright").alias("playwright"))
 
 
+def form_extraction(spark, sf_dir) -> Extraction:
+    from pagelens.plans.render import form_pages
+    from pagelens.sources.pages import read_table
+    key = (id(spark), sf_dir, "form")
+    ex = _CACHE.get(key)
+    if ex is None:
+        configure(spark)
+        ex = Extraction(form_pages(read_table(spark, sf_dir, "part")), ExtractOptions())
+        _CACHE[key] = ex
+    return ex
+
+
+def q_form_inputs(spark, sf_dir):
+    """P3-P7 / P9 / P11 / J1 / J2 / R1 / F1 on form pages: role, name, properties, note per input."""
+    ex = form_extraction(spark, sf_dir)
+    el = ex.elements.select("page_id", "frame_id", "eid", F.col("attrs")["name"].alias("_name"))
+    n = ex.kept_nodes.filter(F.col("tag") == "input").join(el, ["page_id", "frame_id", "eid"])
+    return n.select("page_id", F.substring("_name", 2, 20).cast("long").alias("p_partkey"), "role", "accessible_name",
+                    "form_group", F.col("properties.type").alias("type"),
+                    F.col("properties.placeholder").alias("placeholder"),
+                    F.col("properties.is_required").alias("is_required"),
+                    F.col("properties.is_checked").alias("is_checked"), "context_note")
+
+
+def q_loc_form_rank(spark, sf_dir):
+    """W7 / W4 / W5 / B1 / J7 on form pages: primary locator, guidance and fallback count per input."""
+    ex = form_extraction(spark, sf_dir)
+    el = ex.elements.select("page_id", "frame_id", "eid", F.col("attrs")["name"].alias("_name"))
+    n = ex.kept_nodes.filter(F.col("tag") == "input").join(el, ["page_id", "frame_id", "eid"])
+    return n.select("page_id", F.substring("_name", 2, 20).cast("long").alias("p_partkey"),
+                    F.col("primary_locator.strategy").alias("strategy"),
+                    F.col("primary_locator.playwright").alias("playwright"),
+                    F.col("primary_locator.is_unique").alias("is_unique"),
+                    F.col("primary_locator.disambiguation").alias("disambiguation"),
+                    F.size("fallback_locators").cast("long").alias("n_fallbacks"))
+
+
 QUERIES = {
     "src_tag_counts": q_src_tag_counts,
     "src_walked_counts": q_src_walked_counts,
@@ -346,4 +383,6 @@ QUERIES = {
     "flt_hidden": q_flt_hidden,
     "sel_click_target": q_sel_click_target,
     "rel_image_name": q_rel_image_name,
+    "form_inputs": q_form_inputs,
+    "loc_form_rank": q_loc_form_rank,
 }

@@ -89,3 +89,60 @@ def card_pages(supplier: DataFrame) -> DataFrame:
                  F.col("chunk").cast("string")).alias("url"),
         F.concat(F.lit("<!DOCTYPE html><html><head><title>Suppliers</title></head><body>"), F.col("cards"),
                  F.lit("</body></html>")).alias("html"))
+
+
+FORM_PAGE_SIZE = 20
+
+
+def form_pages(part: DataFrame) -> DataFrame:
+    """Form pages: one page per brand and chunk of at most ``FORM_PAGE_SIZE``
+    parts; each part is one row (``div``) of a single form. With k = partkey:
+
+      input type   by size mod 5: text, email, checkbox, number, submit (value = name)
+      id           by k mod 3: "p<k>", generated "rc_select_<k>", none
+      label        by k mod 4: label[for] (when an id exists), wrapping label, aria-label, none
+      test attr    by k mod 6: data-testid, data-cy, data-qa, none
+      required     size mod 4 = 1; checked (checkbox) size even; placeholder = type (text/email, k even)
+      name="n<k>"  keys the input back to its part
+    """
+    w = Window.partitionBy("p_brand").orderBy("p_partkey")
+    p = part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size",
+                    ((F.row_number().over(w) - 1) / FORM_PAGE_SIZE).cast("long").alias("chunk"))
+    k, size = F.col("p_partkey"), F.col("p_size")
+    itype = (F.when(size % 5 == 0, "text").when(size % 5 == 1, "email").when(size % 5 == 2, "checkbox")
+             .when(size % 5 == 3, "number").otherwise("submit"))
+    el_id = F.when(k % 3 == 0, F.concat(F.lit("p"), k.cast("string"))) \
+        .when(k % 3 == 1, F.concat(F.lit("rc_select_"), k.cast("string")))
+    test = (F.when(k % 6 == 0, F.concat(F.lit(' data-testid="part-'), k.cast("string"), F.lit('"')))
+            .when(k % 6 == 1, F.concat(F.lit(' data-cy="part-'), k.cast("string"), F.lit('"')))
+            .when(k % 6 == 2, F.concat(F.lit(' data-qa="part-'), k.cast("string"), F.lit('"')))
+            .otherwise(F.lit("")))
+    mode = k % 4
+    attrs = F.concat(
+        F.lit(' type="'), itype, F.lit('" name="n'), k.cast("string"), F.lit('"'),
+        F.when(el_id.isNotNull(), F.concat(F.lit(' id="'), el_id, F.lit('"'))).otherwise(F.lit("")),
+        test,
+        F.when(mode == 2, F.concat(F.lit(' aria-label="'), F.col("p_name"), F.lit('"'))).otherwise(F.lit("")),
+        F.when(itype == "submit", F.concat(F.lit(' value="'), F.col("p_name"), F.lit('"'))).otherwise(F.lit("")),
+        F.when(itype.isin("text", "email") & (k % 2 == 0), F.concat(F.lit(' placeholder="'), F.col("p_type"), F.lit('"')))
+        .otherwise(F.lit("")),
+        F.when(size % 4 == 1, F.lit(" required")).otherwise(F.lit("")),
+        F.when((itype == "checkbox") & (size % 2 == 0), F.lit(" checked")).otherwise(F.lit("")))
+    inp = F.concat(F.lit("<input"), attrs, F.lit(">"))
+    row = (F.when((mode == 0) & el_id.isNotNull(),
+                  F.concat(F.lit('<label for="'), el_id, F.lit('">'), F.col("p_name"), F.lit("</label>"), inp))
+           .when(mode == 1, F.concat(F.lit("<label>"), F.col("p_name"), F.lit(" "), inp, F.lit("</label>")))
+           .otherwise(inp))
+    row = F.concat(F.lit('<div class="row">'), row, F.lit("</div>"))
+    brand_no = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("long")
+    grouped = (p.select(brand_no.alias("brand_no"), "chunk", "p_partkey", row.alias("row"))
+               .groupBy("brand_no", "chunk")
+               .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "row"))),
+                                             lambda x: x["row"]), "").alias("rows")))
+    b = F.col("brand_no")
+    return grouped.select(
+        (b * PAGE_KEY_STRIDE + F.col("chunk")).alias("page_id"),
+        F.concat(F.lit("http://parts.test/brand/"), b.cast("string"), F.lit("?page="), F.col("chunk").cast("string"))
+        .alias("url"),
+        F.concat(F.lit("<!DOCTYPE html><html><head><title>Parts</title></head><body><form id=\"f-"), b.cast("string"),
+                 F.lit("\">"), F.col("rows"), F.lit("</form></body></html>")).alias("html"))
