@@ -71,8 +71,58 @@ def frame_tree(frames: DataFrame, hosts: DataFrame, page_urls: DataFrame) -> Dat
     url = F.col("frame_url")
     same = (F.col("frame_id") == 0) | (url == "") | url.startswith("about:") | \
         F.coalesce(url_origin(url) == F.col("main_origin"), F.lit(False))
-    return (j.join(paths, ["page_id", "frame_id"])
-            .select("page_id", "frame_id", "frame_key", "frame_path", url.alias("url"),
-                    F.coalesce(F.col("frame_name"), F.lit("")).alias("name"),
-                    same.alias("same_origin"), same.alias("reachable"), "selector",
-                    "parent_frame_id", "host_eid"))
+    t = (j.join(paths, ["page_id", "frame_id"])
+         .select("page_id", "frame_id", "frame_key", "frame_path", url.alias("url"),
+                 F.coalesce(F.col("frame_name"), F.lit("")).alias("name"),
+                 same.alias("same_origin"), "selector", "parent_frame_id", "host_eid"))
+    # reachable = same-origin and every ancestor frame same-origin: no ancestor
+    # key prefix may belong to a cross-origin frame
+    cross = t.filter(~F.col("same_origin")).select("page_id", F.col("frame_key").alias("x_key"))
+    blocked = (t.select("page_id", "frame_id", "frame_key").join(cross, "page_id")
+               .filter((F.size("x_key") < F.size("frame_key"))
+                       & (F.slice("frame_key", 1, F.greatest(F.size("x_key"), F.lit(1))) == F.col("x_key")))
+               .select("page_id", "frame_id").distinct().withColumn("_blocked", F.lit(True)))
+    t = t.join(blocked, ["page_id", "frame_id"], "left")
+    listed = ~F.coalesce(F.col("_blocked"), F.lit(False))
+    return t.filter(listed).withColumn("reachable", F.col("same_origin")).drop("_blocked")
+
+
+def src_frame_rows(elements: DataFrame, frames: DataFrame, page_urls: DataFrame) -> DataFrame:
+    """Frames given by ``src`` (iframe / frame without srcdoc): one row per host,
+    url resolved against the page url, keyed like parsed frames."""
+    from pagelens.functions.url import resolve_href
+    hosts = (elements.filter(F.col("tag").isin("iframe", "frame") & A["src"].isNotNull() & A["srcdoc"].isNull())
+             .select(*FRAME, F.col("eid").alias("host_eid"), A["src"].alias("src")))
+    parent = frames.select(*FRAME, "frame_key")
+    return (hosts.join(parent, FRAME).join(page_urls, "page_id")
+            .select("page_id",
+                    (F.lit(1000000) * (F.col("frame_id") + 1) + F.col("host_eid")).cast("int").alias("frame_id"),
+                    F.col("frame_id").alias("parent_frame_id"), "host_eid",
+                    F.concat(F.col("frame_key"), F.array(F.col("host_eid"))).alias("frame_key"),
+                    resolve_href(F.col("src"), F.col("url")).alias("frame_url"),
+                    F.col("url").alias("main_url")))
+
+
+def attach_src_frames(elements: DataFrame, frames: DataFrame, page_urls: DataFrame):
+    """Documents of same-origin ``src`` frames come from the captured page
+    with that url (equi join on url). One level deep: the embedded document's
+    own frames are not followed, which also stops self-embedding cycles.
+
+    Returns the deltas (embedded elements, src frame rows): frames whose
+    document is not captured, or that are cross-origin, have no elements.
+    """
+    src = src_frame_rows(elements, frames, page_urls)
+    same = F.coalesce(url_origin(F.col("frame_url")) == url_origin(F.col("main_url")), F.lit(False))
+    src = src.withColumn("_same", same)
+    target = page_urls.select(F.col("page_id").alias("src_page_id"), F.col("url").alias("frame_url"))
+    linked = src.filter(F.col("_same")).join(target, "frame_url")
+    emb_el = (elements.filter(F.col("frame_id") == 0).withColumnRenamed("page_id", "src_page_id").drop("frame_id")
+              .join(linked.select("src_page_id", "page_id", "frame_id"), "src_page_id").drop("src_page_id"))
+    emb_fr = (frames.filter(F.col("frame_id") == 0)
+              .select(F.col("page_id").alias("src_page_id"), "text", "mtext")
+              .join(linked.select("src_page_id", "page_id", "frame_id", "parent_frame_id", "host_eid", "frame_key",
+                                  "frame_url"), "src_page_id").drop("src_page_id"))
+    bare = (src.join(emb_fr.select("page_id", "frame_id"), ["page_id", "frame_id"], "left_anti")
+            .select("page_id", "frame_id", "parent_frame_id", "host_eid", "frame_key", "frame_url",
+                    F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("mtext")))
+    return emb_el.select(*elements.columns), emb_fr.select(*frames.columns).unionByName(bare.select(*frames.columns))

@@ -87,15 +87,15 @@ class Extraction:
 
     # stages an option first influences; everything upstream is shared by with_options()
     _SHARED_UNTIL = {
-        "match": ["parsed", "_split", "style_rules", "elements", "frame_tree", "frame_base", "subjects",
+        "match": ["parsed", "_split", "_with_src_frames", "style_rules", "elements", "frame_tree", "frame_base", "subjects",
                   "raw_nodes", "match_universe", "candidates", "elements_with_hosts", "page_urls"],
-        "max_nodes": ["parsed", "_split", "style_rules", "elements", "frame_tree", "frame_base", "subjects",
+        "max_nodes": ["parsed", "_split", "_with_src_frames", "style_rules", "elements", "frame_tree", "frame_base", "subjects",
                       "raw_nodes", "match_universe", "candidates", "match_pairs", "locators",
                       "elements_with_hosts", "page_urls"],
-        "include_hidden": ["parsed", "_split", "style_rules", "elements", "frame_tree", "frame_base", "subjects",
+        "include_hidden": ["parsed", "_split", "_with_src_frames", "style_rules", "elements", "frame_tree", "frame_base", "subjects",
                            "raw_nodes", "match_universe", "candidates", "match_pairs", "locators", "nodes",
                            "elements_with_hosts", "page_urls"],
-        "after_actions": ["parsed", "_split", "style_rules", "elements", "frame_tree", "frame_base", "subjects",
+        "after_actions": ["parsed", "_split", "_with_src_frames", "style_rules", "elements", "frame_tree", "frame_base", "subjects",
                           "raw_nodes", "match_universe", "candidates", "match_pairs", "locators", "nodes",
                           "kept_nodes", "elements_with_hosts", "page_urls"],
     }
@@ -122,13 +122,26 @@ class Extraction:
     def _split(self):
         return split_parsed(self.parsed)
 
+    @cached_property
+    def _with_src_frames(self):
+        """Attach captured documents of same-origin ``src`` frames.
+
+        Only the (small) delta is computed and checkpointed, partitioned like
+        the parse output; the union of the two keeps the page_id partitioning.
+        """
+        el, fr, _ = self._split
+        d_el, d_fr = FR.attach_src_frames(el, fr, self.page_urls)
+        d_el = persist(d_el.repartition(self.n_parts, "page_id"))
+        d_fr = persist(d_fr.repartition(self.n_parts, "page_id"))
+        return el.unionByName(d_el), fr.unionByName(d_fr)
+
     @property
     def elements_raw(self) -> DataFrame:
-        return self._split[0]
+        return self._with_src_frames[0]
 
     @property
     def frames_raw(self) -> DataFrame:
-        return self._split[1]
+        return self._with_src_frames[1]
 
     @property
     def parse_errors(self) -> DataFrame:

@@ -404,3 +404,45 @@ SELECT page_id, k AS p_partkey, prim.s AS strategy, prim.pw AS playwright, prim.
          AS n_fallbacks
 FROM q""",
 })
+
+# ---------------------------------------------------------------------------
+# frame pages (rendered from nation / region, see plans/render.py)
+# ---------------------------------------------------------------------------
+FRAMES = r"""
+WITH n AS (
+  SELECT 800000 + n_nationkey AS page_id, n_nationkey AS nk, n_regionkey AS rk, n_name,
+         CASE n_nationkey % 3 WHEN 0 THEN 'iframe#reg' WHEN 1 THEN 'iframe[name="reg-' || n_regionkey || '"]'
+              ELSE 'iframe >> nth=0' END AS sel,
+         CASE n_nationkey % 3 WHEN 1 THEN 'reg-' || n_regionkey ELSE '' END AS fname,
+         n_regionkey % 2 = 0 AS same,
+         CASE WHEN n_regionkey % 2 = 0 THEN 'http://www.regions.test/nation/' || n_nationkey
+              ELSE 'http://n' || n_nationkey || '.nations.test/nation/' || n_nationkey END AS url
+  FROM nation),
+r AS (SELECT 900000 + r_regionkey AS page_id, r_regionkey AS rk, r_name,
+             'http://www.regions.test/region/' || r_regionkey AS url FROM region)"""
+
+ORACLE_SQL.update({
+    "frm_tree": FRAMES + """
+SELECT page_id, '' AS frame_path, url, '' AS name, true AS same_origin, true AS reachable FROM r
+UNION ALL SELECT page_id, '', url, '', true, true FROM n
+UNION ALL SELECT page_id, sel, 'http://www.regions.test/region/' || rk, fname, same, same FROM n
+UNION ALL SELECT page_id, 'iframe >> nth=1', 'about:srcdoc', '', true, true FROM n""",
+    "frm_nodes": FRAMES + """
+SELECT page_id, '' AS frame_path, r_name AS accessible_name,
+       'getByRole(''button'', { name: ''' || r_name || ''' })' AS playwright, true AS is_unique FROM r
+UNION ALL SELECT page_id, '', n_name, 'getByRole(''button'', { name: ''' || n_name || ''' })', true FROM n
+UNION ALL SELECT n.page_id, n.sel, r.r_name, 'getByRole(''button'', { name: ''' || r.r_name || ''' })', true
+          FROM n JOIN r ON n.rk = r.rk WHERE n.same
+UNION ALL SELECT page_id, 'iframe >> nth=1', 'Inline ' || n_name,
+                 'getByRole(''button'', { name: ''Inline ' || n_name || ''' })', true FROM n""",
+    "frm_marker": FRAMES + """
+SELECT page_id, '' AS frame_path, NULLIF(fname, '') AS accessible_name, 'locator(''' || sel || ''')' AS playwright,
+       true AS is_unique,
+       'Cross-origin iframe (http://www.regions.test/region/' || rk
+         || '): DOM is unreachable from this context and was NOT extracted. Tests can still interact via frameLocator('''
+         || sel || ''').' AS context_note
+FROM n WHERE NOT same""",
+    "frm_meta": FRAMES + """
+SELECT page_id, 1::BIGINT AS node_count, 1::BIGINT AS frame_count, false AS truncated FROM r
+UNION ALL SELECT page_id, 3, 3, false FROM n""",
+})

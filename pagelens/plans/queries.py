@@ -351,6 +351,49 @@ def q_loc_form_rank(spark, sf_dir):
                     F.size("fallback_locators").cast("long").alias("n_fallbacks"))
 
 
+def frame_extraction(spark, sf_dir) -> Extraction:
+    from pagelens.plans.render import frame_pages
+    from pagelens.sources.pages import read_table
+    key = (id(spark), sf_dir, "frames")
+    ex = _CACHE.get(key)
+    if ex is None:
+        configure(spark)
+        ex = Extraction(frame_pages(read_table(spark, sf_dir, "nation"), read_table(spark, sf_dir, "region")),
+                        ExtractOptions())
+        _CACHE[key] = ex
+    return ex
+
+
+def q_frm_tree(spark, sf_dir):
+    """Frame report of every frame page."""
+    ft = frame_extraction(spark, sf_dir).frame_tree
+    return ft.select("page_id", F.array_join("frame_path", " > ").alias("frame_path"), "url", "name",
+                     "same_origin", "reachable")
+
+
+def q_frm_nodes(spark, sf_dir):
+    """J8 / W6 / J7 across frames: element nodes of every reachable frame with their frame path."""
+    n = frame_extraction(spark, sf_dir).kept_nodes.filter(F.col("kind") == "element")
+    return n.select("page_id", F.array_join("frame_path", " > ").alias("frame_path"), "accessible_name",
+                    F.col("primary_locator.playwright").alias("playwright"),
+                    F.col("primary_locator.is_unique").alias("is_unique"))
+
+
+def q_frm_marker(spark, sf_dir):
+    """Opaque cross-origin frame markers."""
+    n = frame_extraction(spark, sf_dir).kept_nodes.filter(F.col("kind") == "cross_origin_frame")
+    return n.select("page_id", F.array_join("frame_path", " > ").alias("frame_path"), "accessible_name",
+                    F.col("primary_locator.playwright").alias("playwright"),
+                    F.col("primary_locator.is_unique").alias("is_unique"), "context_note")
+
+
+def q_frm_meta(spark, sf_dir):
+    """A2 across frames: node and frame counts of every frame page."""
+    m = frame_extraction(spark, sf_dir).page_meta
+    return m.select("page_id", F.col("node_count").cast("long").alias("node_count"),
+                    F.col("frame_count").cast("long").alias("frame_count"), "truncated")
+
+
 QUERIES = {
     "src_tag_counts": q_src_tag_counts,
     "src_walked_counts": q_src_walked_counts,
@@ -385,4 +428,8 @@ QUERIES = {
     "rel_image_name": q_rel_image_name,
     "form_inputs": q_form_inputs,
     "loc_form_rank": q_loc_form_rank,
+    "frm_tree": q_frm_tree,
+    "frm_nodes": q_frm_nodes,
+    "frm_marker": q_frm_marker,
+    "frm_meta": q_frm_meta,
 }

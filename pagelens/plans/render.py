@@ -146,3 +146,32 @@ def form_pages(part: DataFrame) -> DataFrame:
         .alias("url"),
         F.concat(F.lit("<!DOCTYPE html><html><head><title>Parts</title></head><body><form id=\"f-"), b.cast("string"),
                  F.lit("\">"), F.col("rows"), F.lit("</form></body></html>")).alias("html"))
+
+
+def frame_pages(nation: DataFrame, region: DataFrame) -> DataFrame:
+    """Frame pages: one page per region (``http://www.regions.test/region/<rk>``)
+    and one host page per nation embedding its region page by ``src`` and an
+    inline ``srcdoc`` frame. Nations of an even region live on the regions host
+    (same origin, the region document is attached); the others on their own
+    host (cross-origin, an opaque marker). The region iframe has
+    ``id="reg"`` / ``name="reg-<rk>"`` / neither by nationkey mod 3.
+    """
+    regions = region.select(
+        (F.lit(900000) + F.col("r_regionkey")).cast("long").alias("page_id"),
+        F.concat(F.lit("http://www.regions.test/region/"), F.col("r_regionkey").cast("string")).alias("url"),
+        F.concat(F.lit("<!DOCTYPE html><html><head><title>Region "), F.col("r_name"),
+                 F.lit("</title></head><body><button>"), F.col("r_name"), F.lit("</button></body></html>")).alias("html"))
+    nk, rk = F.col("n_nationkey"), F.col("n_regionkey")
+    sel = (F.when(nk % 3 == 0, F.lit(' id="reg"'))
+           .when(nk % 3 == 1, F.concat(F.lit(' name="reg-'), rk.cast("string"), F.lit('"'))).otherwise(F.lit("")))
+    iframe = F.concat(F.lit("<iframe"), sel, F.lit(' src="http://www.regions.test/region/'), rk.cast("string"),
+                      F.lit('"></iframe>'))
+    inline = F.concat(F.lit('<iframe srcdoc="<button>Inline '), F.col("n_name"), F.lit('</button>"></iframe>'))
+    url = F.when(rk % 2 == 0, F.concat(F.lit("http://www.regions.test/nation/"), nk.cast("string"))) \
+        .otherwise(F.concat(F.lit("http://n"), nk.cast("string"), F.lit(".nations.test/nation/"), nk.cast("string")))
+    nations = nation.select(
+        (F.lit(800000) + nk).cast("long").alias("page_id"), url.alias("url"),
+        F.concat(F.lit("<!DOCTYPE html><html><head><title>Nation "), F.col("n_name"),
+                 F.lit("</title></head><body><button>"), F.col("n_name"), F.lit("</button>"), iframe, inline,
+                 F.lit("</body></html>")).alias("html"))
+    return nations.unionByName(regions)
