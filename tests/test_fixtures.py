@@ -211,3 +211,31 @@ def test_contract_holds(ex):
     from pagelens.operators.report import contract_violations
     bad = contract_violations(ex.kept_nodes, ex.page_meta).filter("violations > 0").collect()
     assert bad == []
+
+
+RESPONSIVE = """<html><head><style>
+@media (max-width: 600px) { .desk { display: none } }
+.muted { visibility: hidden } #gone { display: none !important }
+</style></head><body><button class="desk">Buy</button><button class="muted">Mute</button>
+<button id="gone" style="display:block">Gone</button><p class="muted"><button style="visibility:visible">Back</button></p></body></html>"""
+
+
+def test_viewport_media_rules(spark):
+    pages = spark.createDataFrame([(1, "http://app.test/r", RESPONSIVE)], "page_id long, url string, html string")
+    desk = {r["accessible_name"]: r["properties"]["is_visible"]
+            for r in Extraction(pages, ExtractOptions()).kept_nodes.collect()}
+    mob = {r["accessible_name"]: r["properties"]["is_visible"]
+           for r in Extraction(pages, ExtractOptions(viewport="mobile")).kept_nodes.collect()}
+    assert desk == {"Buy": True, "Mute": False, "Gone": False, "Back": True}
+    assert mob["Buy"] is False
+
+
+def test_no_candidate_fallback(spark):
+    doc = '<div id="h"><template shadowrootmode="open"><div role="button"></div></template></div>'
+    pages = spark.createDataFrame([(1, "http://app.test/b2", doc)], "page_id long, url string, html string")
+    n = Extraction(pages, ExtractOptions()).kept_nodes.collect()
+    assert len(n) == 1
+    p = n[0]["primary_locator"]
+    assert p["strategy"] == "css" and p["is_unique"] is False
+    assert p["playwright"] == "locator('div')"
+    assert p["disambiguation"] == "No usable locator candidate was derived for this node; locate it manually."
