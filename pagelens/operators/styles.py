@@ -87,9 +87,11 @@ def _attr_ok(cond, attrs):
     return F.when(has_val, F.coalesce(attrs[name] == val, F.lit(False))).otherwise(attrs[name].isNotNull())
 
 
-def stylesheet_values(elements: DataFrame, frames: DataFrame, viewport: str = "desktop") -> DataFrame:
+def stylesheet_values(elements: DataFrame, frames: DataFrame, viewport: str = "desktop",
+                      rules: DataFrame | None = None) -> DataFrame:
     """Winning style-sheet value (and its !important flag) per element and property."""
-    rules = css_rules(elements, frames, viewport)
+    if rules is None:
+        rules = css_rules(elements, frames, viewport)
     el = elements.select(*FRAME, "eid", "root_id", "tag", "attrs",
                          F.split(F.trim(F.coalesce(A["class"], F.lit(""))), JS_WS).alias("classes"))
     # equi join on the most selective part of each selector

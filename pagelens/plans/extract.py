@@ -130,6 +130,10 @@ class Extraction:
         the parse output; the union of the two keeps the page_id partitioning.
         """
         el, fr, _ = self._split
+        has_src = (el.filter(F.col("tag").isin("iframe", "frame") & F.col("attrs")["src"].isNotNull()
+                             & F.col("attrs")["srcdoc"].isNull()).limit(1).count() > 0)
+        if not has_src:  # nothing to attach: keep the plain (checkpointed) parse output
+            return el, fr
         d_el, d_fr = FR.attach_src_frames(el, fr, self.page_urls)
         d_el = persist(d_el.repartition(self.n_parts, "page_id"))
         d_fr = persist(d_fr.repartition(self.n_parts, "page_id"))
@@ -155,8 +159,13 @@ class Extraction:
     def style_rules(self) -> DataFrame | None:
         if not self.use_style_rules:
             return None
-        from pagelens.operators.styles import stylesheet_values
-        return stylesheet_values(self.elements_raw, self.frames_raw, self.opts.viewport)
+        from pagelens.operators.styles import css_rules, stylesheet_values
+        # the rule table is small (one row per selector and property): materialise it
+        # and skip the element joins entirely when no rule sets a relevant property
+        rules = persist(css_rules(self.elements_raw, self.frames_raw, self.opts.viewport))
+        if rules.limit(1).count() == 0:
+            return None
+        return stylesheet_values(self.elements_raw, self.frames_raw, self.opts.viewport, rules=rules)
 
     @cached_property
     def elements(self) -> DataFrame:
