@@ -289,7 +289,7 @@ FROM b GROUP BY page_id""",
 # ---------------------------------------------------------------------------
 CARDS = """
 WITH s AS (
-  SELECT s_nationkey * 100000 + (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) // 25 AS page_id,
+  SELECT (s_nationkey * 100000 + (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) // 25)::BIGINT AS page_id,
          s_nationkey, s_suppkey, s_name, s_acctbal,
          (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) % 25 + 1 AS pos
   FROM supplier)"""
@@ -410,7 +410,7 @@ FROM q""",
 # ---------------------------------------------------------------------------
 FRAMES = r"""
 WITH n AS (
-  SELECT 800000 + n_nationkey AS page_id, n_nationkey AS nk, n_regionkey AS rk, n_name,
+  SELECT (800000 + n_nationkey)::BIGINT AS page_id, n_nationkey AS nk, n_regionkey AS rk, n_name,
          CASE n_nationkey % 3 WHEN 0 THEN 'iframe#reg' WHEN 1 THEN 'iframe[name="reg-' || n_regionkey || '"]'
               ELSE 'iframe >> nth=0' END AS sel,
          CASE n_nationkey % 3 WHEN 1 THEN 'reg-' || n_regionkey ELSE '' END AS fname,
@@ -418,7 +418,7 @@ WITH n AS (
          CASE WHEN n_regionkey % 2 = 0 THEN 'http://www.regions.test/nation/' || n_nationkey
               ELSE 'http://n' || n_nationkey || '.nations.test/nation/' || n_nationkey END AS url
   FROM nation),
-r AS (SELECT 900000 + r_regionkey AS page_id, r_regionkey AS rk, r_name,
+r AS (SELECT (900000 + r_regionkey)::BIGINT AS page_id, r_regionkey AS rk, r_name,
              'http://www.regions.test/region/' || r_regionkey AS url FROM region)"""
 
 ORACLE_SQL.update({
