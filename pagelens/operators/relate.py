@@ -16,7 +16,17 @@ from pyspark.sql import functions as F
 
 from pagelens.functions.text import JS_WS, collapse, cut, nullif_empty, text_slice
 from pagelens.operators.select import FRAME, covered
-from pagelens.schema import LABELABLE_TAGS
+from pagelens.schema import LABELABLE_TAGS, MAX_DEPTH
+
+# Ancestor lists are exploded only down to the traversal's depth cap: a node
+# (and every element whose facts feed one) sits at depth <= MAX_DEPTH + 1, so
+# deeper ancestors never matter, and a pathologically deep page costs at most
+# MAX_DEPTH + 2 rows per element instead of its full depth.
+PATH_LIMIT = MAX_DEPTH + 2
+
+
+def bounded_path(col: str = "path") -> Column:
+    return F.slice(F.col(col), 1, PATH_LIMIT)
 
 from pagelens.functions.props import A  # noqa: E402
 
@@ -119,7 +129,7 @@ def ancestor_facts(subjects: DataFrame, elements: DataFrame) -> DataFrame:
     nearest visibility / cursor setter (J5/F4), strict-ancestor pointer flag,
     closest label eid (J2), live-region ancestor eids (J11).
     """
-    s = subjects.select(
+    s = subjects.filter(F.col("depth") <= PATH_LIMIT).select(
         *FRAME, F.col("eid").alias("s_eid"), F.col("root_id").alias("s_root"), F.col("depth").alias("s_depth"),
         F.col("in_shadow").alias("s_shadow"),
         F.posexplode(F.concat(F.col("path"), F.array(F.col("eid")))).alias("pos", "eid"))
@@ -219,7 +229,7 @@ def first_label(elements: DataFrame, ids: DataFrame, frames: DataFrame) -> DataF
               .join(ids.withColumnRenamed("id", "for_id"), FRAME + ["root_id", "for_id"])
               .select(*FRAME, "l_eid", F.col("ref_eid").alias("eid"))
               .join(ctrl.select(*FRAME, "eid"), FRAME + ["eid"]))
-    wrapped = (ctrl.select(*FRAME, "eid", "root_id", F.explode("path").alias("l_eid"))
+    wrapped = (ctrl.select(*FRAME, "eid", "root_id", F.explode(bounded_path()).alias("l_eid"))
                .join(labels.filter(F.col("for_id").isNull()).drop("for_id"), FRAME + ["l_eid", "root_id"])
                .groupBy(*FRAME, "l_eid").agg(F.min("eid").alias("eid")))
     first = (by_for.unionByName(wrapped.select(*FRAME, "l_eid", "eid"))
@@ -230,7 +240,7 @@ def first_label(elements: DataFrame, ids: DataFrame, frames: DataFrame) -> DataF
 def first_img_alt(subjects: DataFrame, elements: DataFrame) -> DataFrame:
     """Alt of the first ``img[alt]`` below the element (same tree)."""
     imgs = elements.filter((F.col("tag") == "img") & A["alt"].isNotNull()).select(
-        *FRAME, F.col("eid").alias("i_eid"), "root_id", A["alt"].alias("alt"), F.explode("path").alias("eid"))
+        *FRAME, F.col("eid").alias("i_eid"), "root_id", A["alt"].alias("alt"), F.explode(bounded_path()).alias("eid"))
     subj = subjects.select(*FRAME, "eid", "root_id")
     return (imgs.join(subj, FRAME + ["eid", "root_id"])
             .groupBy(*FRAME, "eid").agg(F.min_by("alt", "i_eid").alias("img_alt")))
@@ -239,14 +249,14 @@ def first_img_alt(subjects: DataFrame, elements: DataFrame) -> DataFrame:
 def first_heading(subjects: DataFrame, elements: DataFrame, frames: DataFrame) -> DataFrame:
     """Collapsed text of the first h1-h6 below the element (same tree)."""
     hs = elements.filter(F.col("tag").isin("h1", "h2", "h3", "h4", "h5", "h6")).select(
-        *FRAME, F.col("eid").alias("h_eid"), "root_id", F.explode("path").alias("eid"))
+        *FRAME, F.col("eid").alias("h_eid"), "root_id", F.explode(bounded_path()).alias("eid"))
     first = (hs.join(subjects.select(*FRAME, "eid", "root_id"), FRAME + ["eid", "root_id"])
              .groupBy(*FRAME, "eid").agg(F.min("h_eid").alias("h_eid")))
     return with_ctext(first, frames, "heading", key="h_eid", elements=elements).drop("h_eid")
 
 
 def has_img_below(subjects: DataFrame, elements: DataFrame) -> DataFrame:
-    imgs = elements.filter(F.col("tag") == "img").select(*FRAME, "root_id", F.explode("path").alias("eid"))
+    imgs = elements.filter(F.col("tag") == "img").select(*FRAME, "root_id", F.explode(bounded_path()).alias("eid"))
     return (imgs.join(subjects.select(*FRAME, "eid", "root_id"), FRAME + ["eid", "root_id"])
             .select(*FRAME, "eid").distinct().withColumn("has_img", F.lit(True)))
 
