@@ -239,3 +239,19 @@ def test_no_candidate_fallback(spark):
     assert p["strategy"] == "css" and p["is_unique"] is False
     assert p["playwright"] == "locator('div')"
     assert p["disambiguation"] == "No usable locator candidate was derived for this node; locate it manually."
+
+
+def test_salted_match_on_a_large_frame(spark):
+    """One frame with 9,000 equal links spans three salt buckets of the match join;
+    counts and nth must stay exact, and the node budget still caps the nodes."""
+    doc = "<nav>" + "".join('<a href="/x">dup</a>' for _ in range(9000)) + "</nav>"
+    pages = spark.createDataFrame([(1, "http://big.test/", doc)], "page_id long, url string, html string")
+    e = Extraction(pages, ExtractOptions())
+    rows = sorted(e.kept_nodes.select("doc_order", "primary_locator", "primary_count", "primary_nth").collect(),
+                  key=lambda r: r["doc_order"])
+    assert len(rows) == 5000
+    assert rows[0]["primary_count"] == 9000 and rows[0]["primary_nth"] == 0
+    assert rows[4999]["primary_nth"] == 4999
+    assert rows[4999]["primary_locator"]["disambiguation"] == "9000 matches in frame; use .nth(4999)."
+    m = e.page_meta.collect()[0]
+    assert m["truncated"] is True and m["notes"] == ["MAX_NODES (5000) hit; traversal stopped early."]
