@@ -10,8 +10,8 @@ from pagelens.schema import CLEANED_DROP_TAGS, NODE_KINDS, STRATEGIES
 
 # Whitespace class written with \x{...} escapes so Java and RE2 read it alike.
 WS_CLASS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
-PAIRED_DROP = ["script", "style", "svg", "noscript", "template"]
 VOID_DROP = ["link", "meta"]
+PAIRED_DROP = [t for t in CLEANED_DROP_TAGS if t not in VOID_DROP]
 
 
 def evidence(nodes: DataFrame) -> DataFrame:

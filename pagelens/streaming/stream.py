@@ -13,7 +13,6 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pagelens.plans.extract import ExtractOptions, Extraction
 from pagelens.schema import PAGES_SCHEMA
