@@ -185,6 +185,12 @@ def _pretty(js: pd.Series) -> pd.Series:
 def extract_json(extracts: DataFrame) -> DataFrame:
     """The pretty-printed document per page (two-space indent, optional
     members omitted when empty). Spark serialises; a vectorised UDF re-indents."""
+    from pyspark import cloudpickle
+    import pagelens.operators.lint as me
+    try:  # the UDF travels with the task: executors need no installed copy of the package
+        cloudpickle.register_pickle_by_value(me)
+    except (ValueError, AttributeError):
+        pass
     doc = F.struct("schema_version", "page_metadata", "interactive_nodes")
     compact = F.to_json(doc, {"ignoreNullFields": "false"})
     return extracts.select("page_id", _pretty(compact).alias("json"))

@@ -456,3 +456,12 @@ FROM pages""",
     "cap_depth": """
 SELECT page_id, false AS depth_capped, false AS depth_note FROM pages""",
 })
+
+ORACLE_SQL.update({
+    "diff_states": """
+SELECT 'http://c' || (o_custkey % 7) || '.shop.test/board/' || o_custkey || '?page=' || chunk AS url,
+       '' AS frame_path, 'getByTestId(''toast-' || o_custkey || '-' || chunk || ''')' AS locator,
+       1::BIGINT AS occurrence, 'added' AS change, 'status' AS role, 'Stored' AS accessible_name
+FROM (SELECT DISTINCT o_custkey,
+             (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 25 AS chunk FROM orders)""",
+})

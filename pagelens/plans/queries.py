@@ -411,6 +411,27 @@ def q_cap_depth(spark, sf_dir):
                     F.array_contains("notes", "MAX_DEPTH (50) hit; deeper nodes were not traversed.").alias("depth_note"))
 
 
+def q_diff_states(spark, sf_dir):
+    """Nodes added / removed / changed between each board page and its
+    capture after the declared save action."""
+    from pagelens.operators.lint import state_diff
+    from pagelens.plans.render import board_pages_after_save
+    from pagelens.sources.pages import read_table
+    key = (id(spark), sf_dir, "board-after")
+    after = _CACHE.get(key)
+    if after is None:
+        configure(spark)
+        after = Extraction(board_pages_after_save(read_table(spark, sf_dir, "orders")),
+                           ExtractOptions(after_actions=1))
+        _CACHE[key] = after
+    before = board_extraction(spark, sf_dir)
+    b = before.kept_nodes.join(before.pages.select("page_id", "url"), "page_id")
+    a = after.kept_nodes.join(after.pages.select("page_id", "url"), "page_id")
+    d = state_diff(b, a)
+    return d.select("url", F.array_join("frame_path", " > ").alias("frame_path"), "locator",
+                    F.col("occurrence").cast("long").alias("occurrence"), "change", "role", "accessible_name")
+
+
 QUERIES = {
     "src_tag_counts": q_src_tag_counts,
     "src_walked_counts": q_src_walked_counts,
@@ -451,4 +472,5 @@ QUERIES = {
     "frm_meta": q_frm_meta,
     "gate_selector": q_gate_selector,
     "cap_depth": q_cap_depth,
+    "diff_states": q_diff_states,
 }

@@ -175,3 +175,16 @@ def frame_pages(nation: DataFrame, region: DataFrame) -> DataFrame:
                  F.lit("</title></head><body><button>"), F.col("n_name"), F.lit("</button>"), iframe, inline,
                  F.lit("</body></html>")).alias("html"))
     return nations.unionByName(regions)
+
+
+def board_pages_after_save(orders: DataFrame) -> DataFrame:
+    """The board pages captured after a declared save action: each page shows a
+    status toast (``data-testid="toast-<custkey>-<chunk>"``) below the form."""
+    pages = board_pages(orders)
+    ck = (F.col("page_id") / PAGE_KEY_STRIDE).cast("long")
+    chunk = F.col("page_id") % PAGE_KEY_STRIDE
+    toast = F.concat(F.lit('<div role="status" data-testid="toast-'), ck.cast("string"), F.lit("-"),
+                     chunk.cast("string"), F.lit('">Stored</div>'))
+    return pages.select("page_id", "url",
+                        F.regexp_replace(F.col("html"), "</form></body>", F.concat(F.lit("</form>"), toast,
+                                                                                 F.lit("</body>"))).alias("html"))
