@@ -57,12 +57,19 @@ def configure(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint directory, setting a local one only if unset."""
+    """Return the reliable checkpoint directory named by the session.
+
+    Only a local-mode session (tests, a laptop) without one gets a temporary
+    directory; on a cluster a machine-local folder would be lost with its
+    executor, so an unset ``spark.checkpoint.dir`` is an error there.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if not current:
         current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS / object store) for this cluster")
         current = tempfile.mkdtemp(prefix="pagelens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(current)
     return current
