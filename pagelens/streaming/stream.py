@@ -14,6 +14,10 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+from pagelens.operators.report import fingerprint
 from pagelens.plans.extract import ExtractOptions, Extraction
 from pagelens.schema import PAGES_SCHEMA
 from pagelens.session import ensure_checkpoint_dir
@@ -30,6 +34,11 @@ def extract_batch(batch: DataFrame, batch_id: int, sink_dir: str, opts: ExtractO
     ex = Extraction(batch, opts)
     out = f"{sink_dir.rstrip('/')}/batch_id={batch_id}"
     ex.extracts.write.mode("overwrite").parquet(f"{out}/extracts")
+    # A6 input for the drift stream: one fingerprint per capture (captured_at excluded)
+    (ex.extracts.select(F.col("page_metadata.url").alias("url"),
+                        F.to_timestamp(F.col("page_metadata.captured_at")).alias("captured_at"),
+                        fingerprint(ex.extracts).alias("fp"))
+     .write.mode("overwrite").parquet(f"{sink_dir.rstrip('/')}/fingerprints/batch_id={batch_id}"))
     (ex.kept_nodes.select("page_id", "frame_id", "doc_order", "kind", "tag", "role", "accessible_name",
                           "primary_locator", "fallback_locators", "properties", "context_note")
      .write.mode("overwrite").parquet(f"{out}/nodes"))
@@ -46,3 +55,34 @@ def start(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_locati
     if available_now:
         w = w.trigger(availableNow=True)
     return w.start()
+
+
+FP_SCHEMA = "url string, captured_at timestamp, fp string, batch_id long"
+DRIFT_SCHEMA = "url string, captured_at timestamp, fp string, status string"
+
+
+def _drift(key, batches, state):
+    """Per url: compare each capture's fingerprint with the previous one held in state."""
+    import pandas as pd
+
+    last = state.get[0] if state.exists else None
+    out = []
+    for pdf in batches:
+        for row in pdf.sort_values("captured_at").itertuples(index=False):
+            status = "first" if last is None else ("same" if row.fp == last else "changed")
+            out.append((key[0], row.captured_at, row.fp, status))
+            last = row.fp
+    if last is not None:
+        state.update((last,))
+    yield pd.DataFrame(out, columns=["url", "captured_at", "fp", "status"])
+
+
+def drift_stream(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """A6 / J13 over a stream: for every new capture of a url, is its extract the
+    same as the previous capture's (captured_at removed)? State per url holds the
+    last fingerprint only (bounded: one string per url)."""
+    fps = (spark.readStream.schema(FP_SCHEMA).option("basePath", f"{sink_dir.rstrip('/')}/fingerprints")
+           .parquet(f"{sink_dir.rstrip('/')}/fingerprints"))
+    return fps.groupBy("url").applyInPandasWithState(
+        _drift, outputStructType=DRIFT_SCHEMA, stateStructType="fp string",
+        outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)

@@ -56,3 +56,20 @@ def test_streaming_available_now(spark):
     got = spark.read.parquet(os.path.join(out, "batch_id=0", "extracts"))
     assert got.count() == 2
     assert got.filter(F.col("page_id") == 2).select(F.size("interactive_nodes")).first()[0] == 4
+
+
+def test_drift_stream_across_captures(spark):
+    """Three captures of one url through the streaming extractor (one batch each),
+    then the stateful drift stream: first, same, changed."""
+    from pagelens.streaming import drift_stream, extract_batch
+    out = tempfile.mkdtemp(prefix="pagelens-drift-")
+    ck = tempfile.mkdtemp(prefix="pagelens-drift-ck-")
+    caps = [BEFORE, BEFORE, AFTER]
+    for i, html in enumerate(caps):
+        df = spark.createDataFrame([(i, "http://app.test/toast", html)], "page_id long, url string, html string")
+        extract_batch(df, i, out, ExtractOptions())
+    q = (drift_stream(spark, out).writeStream.format("memory").queryName("drift_q")
+         .option("checkpointLocation", ck).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    got = [r["status"] for r in spark.sql("SELECT * FROM drift_q").orderBy("captured_at").collect()]
+    assert sorted(got) == ["changed", "first", "same"]
