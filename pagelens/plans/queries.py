@@ -103,7 +103,7 @@ def q_loc_expression(spark, sf_dir):
                     expression(F.col("strategy"), F.col("value"), F.col("role")).alias("playwright"))
 
 
-def q_loc_match_role(spark, sf_dir):
+def q_loc_match_contains(spark, sf_dir):
     """Match count of every distinct role candidate (contains mode)."""
     ex = extraction(spark, sf_dir)
     keys = ex.candidates.filter(F.col("strategy") == "role").select(*FRAME, "role", "value").distinct()
@@ -441,7 +441,7 @@ QUERIES = {
     "rel_css_path": q_rel_css_path,
     "loc_candidates": q_loc_candidates,
     "loc_expression": q_loc_expression,
-    "loc_match_contains": q_loc_match_role,
+    "loc_match_contains": q_loc_match_contains,
     "loc_match_exact": q_loc_match_exact,
     "loc_primary": q_loc_primary,
     "loc_guidance": q_loc_guidance,
