@@ -355,7 +355,7 @@ class Extraction:
     def match_pairs(self) -> DataFrame:
         """(candidate key, matched element) pairs."""
         keys = self.candidates.select(*FRAME, *L.CKEY).distinct()
-        return persist(L.match_pairs(keys, self.match_universe, self.opts.match, self.n_parts))
+        return persist(L.match_pairs(keys, self.match_universe, self.opts.match, self.n_parts, materialize=persist))
 
     @cached_property
     def locators(self) -> DataFrame:
