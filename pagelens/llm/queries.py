@@ -1,11 +1,14 @@
-"""Registered queries: each applies one operator to its whole table and derives the digest columns."""
+"""Registered queries: each applies one operator to its whole table and derives the digest columns.
+
+ORACLE_SQL holds DuckDB SQL for those that SQL can express; the others are held against brute force in tests/llm.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, ngram_join, rans, substring_dedup
+from . import bpe, chat_threads, decontaminate, embedding_dedup, ngram_join, pitman_yor, quality, rans, substring_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +20,39 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_shingles", "component_id", "n_links"))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
 def op3_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.bpe_roundtrip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+#: (host, path, verdict)
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as mails that quote the turns before; the result has the quotes removed and the replies linked."""
+    return chat_threads.quote_links(chat_threads.as_mail(table(spark, sf_dir, "conversations")))
+
+
+def op6_pitman_yor_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("row.doc_id", F.round("p_bad", 6).alias("p_bad"), "rejected")
+
+
 def op8_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rans.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -32,5 +63,69 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_byte_level_bpe, op8_rans_token_files, op9_substring_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_near_dedup(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_ngram_jaccard_join, op2_benchmark_decontamination, op3_byte_level_bpe, op4_url_filters, op5_quotation_linking,
+    op6_pitman_yor_scoring, op7_quality_classifier, op8_rans_token_files, op9_substring_dedup, op10_embedding_near_dedup)}
+
+_LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BLANK_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+_ALNUM_WORDS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_BLANK_WORDS.format(_LOW.format("coalesce(text, '')"))} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, list_slice(w, i, i + least(len(w), 4) - 1) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 4) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 85 * (a.n + b.n - k)),
+r(doc, reach) AS (SELECT x, y FROM l UNION SELECT r.doc, l.y FROM r JOIN l ON l.x = r.reach)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(least(d.doc_id, (SELECT min(reach) FROM r WHERE r.doc = d.doc_id)), d.doc_id)::BIGINT AS component_id,
+(SELECT count(*) FROM l WHERE l.x = d.doc_id)::BIGINT AS n_links FROM d LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op2_benchmark_decontamination": f"""
+WITH d AS (SELECT doc_id, {_ALNUM_WORDS.format(_LOW.format("coalesce(text, '')"))} AS w FROM documents),
+b AS (SELECT item_id, {_ALNUM_WORDS.format(_LOW.format("coalesce(text, '')"))} AS w FROM benchmark),
+v AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, list_slice(w, i, i + least(len(w), 10) - 1) AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+p AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM v) WHERE len(w) >= k),
+h AS (SELECT p.doc_id, p.i, p.k, v.item_id FROM p JOIN v ON v.k = p.k AND v.g = list_slice(p.w, p.i, p.i + p.k - 1)),
+c AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id""",
+    "op4_url_filters": """
+WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+r(rh, rp, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block'))
+SELECT page_id, host, path, (SELECT rh || rp FROM r WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) ORDER BY length(rh || rp) DESC LIMIT 1) AS rule,
+coalesce((SELECT verdict FROM r WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) ORDER BY length(rh || rp) DESC LIMIT 1), 'allow') AS verdict FROM u""",
+    "op5_quotation_linking": r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+o AS (SELECT conv_id, turn, i, lower(trim(regexp_replace(string_split(text, chr(10))[i], '\s+', ' ', 'g'))) AS s FROM (SELECT conv_id, turn, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM c)),
+f AS (SELECT conv_id, s, min(turn) AS first FROM o WHERE s <> '' GROUP BY conv_id, s),
+q AS (SELECT conv_id, turn + 1 AS turn, i, 1 AS level, s FROM o WHERE s <> '' UNION ALL SELECT conv_id, turn + 2, 0, 2, s FROM o WHERE i = 1 AND s <> ''),
+l AS (SELECT q.conv_id, q.turn, level, i, first FROM q JOIN c USING (conv_id, turn) JOIN f ON f.conv_id = q.conv_id AND f.s = q.s),
+p AS (SELECT conv_id, turn, count(*) AS n, arg_max(first, i) FILTER (level = 1) AS reply_to FROM l GROUP BY conv_id, turn),
+t(conv_id, turn, up, depth) AS (SELECT conv_id, turn, turn, 0 FROM c UNION ALL SELECT t.conv_id, t.turn, p.reply_to, depth + 1 FROM t JOIN p ON p.conv_id = t.conv_id AND p.turn = t.up WHERE p.reply_to IS NOT NULL),
+z AS (SELECT conv_id, turn, min(up) AS root_turn, max(depth) AS depth FROM t GROUP BY conv_id, turn)
+SELECT c.conv_id, c.turn, role, p.reply_to, z.root_turn, z.depth::BIGINT AS depth, coalesce(p.n, 0)::BIGINT AS n_quoted, coalesce(p.n, 0)::BIGINT AS n_linked,
+trim(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g')) AS text
+FROM c LEFT JOIN p ON p.conv_id = c.conv_id AND p.turn = c.turn JOIN z ON z.conv_id = c.conv_id AND z.turn = c.turn""",
+    "op9_substring_dedup": f"""
+WITH d AS (SELECT doc_id, {_BLANK_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+v AS (SELECT doc_id, i, row_number() OVER (PARTITION BY list_slice(w, i, i + 19) ORDER BY doc_id, i) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM v WHERE k > 1),
+x AS (SELECT doc_id, w[j] AS word, j FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS j FROM d)),
+y AS (SELECT x.doc_id, count(g.j) AS n_removed, string_agg(word, ' ' ORDER BY x.j) FILTER (g.j IS NULL) AS kept FROM x LEFT JOIN g ON g.doc_id = x.doc_id AND g.j = x.j GROUP BY x.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN y ON y.doc_id = d.doc_id""",
+    "op10_embedding_near_dedup": """
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS n FROM e WHERE list_dot_product(v, v) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.98),
+r(vec, reach) AS (SELECT x, y FROM l UNION SELECT r.vec, l.y FROM r JOIN l ON l.x = r.reach),
+c AS (SELECT vec_id, coalesce(least(vec_id, (SELECT min(reach) FROM r WHERE r.vec = vec_id)), vec_id)::BIGINT AS component_id FROM embeddings)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.x = vec_id)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c""",
+}
