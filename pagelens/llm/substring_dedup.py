@@ -25,6 +25,8 @@ from . import common as C
 
 HOT_RUNS = 1000
 LAST_ID = (1 << 63) - 1
+WHOLE = (1 << 31) - 1  # end of a span over all words
+BROADCAST_ROWS = 1_000_000
 
 
 def gram_size(length: int) -> int:
@@ -80,28 +82,46 @@ def _runs(length):
     return run
 
 
+def stretch_hashes(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hash of the words start..stop for many stretches at once, from sums of h[i] * B^i and inverse powers."""
+    power, inverse = (np.full(len(h) + 1, x, np.uint64) for x in (BASE, pow(BASE, -1, 2**64)))
+    power[0] = inverse[0] = 1
+    power, inverse = np.cumprod(power), np.cumprod(inverse)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[:-1])])
+    return C.mix((total[stop] - total[start]) * inverse[start] + (stop - start).astype(np.uint64))
+
+
+BASE = 0x9E3779B97F4A7C15
+
+
 def _contexts(length):
-    """Per shared run its words; for runs of hot fingerprints a hash per window instead."""
+    """Per shared run its words; for runs of hot fingerprints the hashes of its windows instead."""
     def run(batches):
         cache = C.WordHash()
         for batch in C.slices(batches):
-            out = {k: [] for k in ("key", "rc", "d", "th", "lo", "n", "words")}
-            for blob, d, th, found in zip(*(batch.column(c).to_pylist() for c in ("text", "d", "th", "found"))):
-                words = blob.split()
-                h, _ = C.hash_words([blob], cache, lower=False)
-                w = C.windows(h, length) if any(x["hot"] for x in found) else None
-                for x in found:
-                    lo, n = x["lo"], x["n"]
-                    if x["hot"]:
-                        for s in range(lo, lo + n):
-                            for k, v in zip(out, (int(C.signed(w[s:s + 1])[0]), 0, d, th, s, 1, None)):
-                                out[k].append(v)
-                    else:
-                        context = b" ".join(words[lo:lo + n + length - 1])
-                        for k, v in zip(out, (x["f"], C.xxhash.xxh3_64_intdigest(context) - (1 << 63), d, th, lo, n, context)):
-                            out[k].append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
+            blobs = batch.column("text").to_pylist()
+            h, off = C.hash_words(blobs, cache, lower=False)
+            found = batch.column("found")
+            rows = found.flatten()
+            f, lo, n = (np.asarray(rows.field(k)) for k in (0, 1, 2))
+            hot = np.asarray(rows.field(3).cast(pa.int8())).astype(bool)
+            doc = np.repeat(np.arange(len(blobs)), np.diff(C.offsets_of(found)))
+            start = off[doc] + lo
+            stop = start + n + length - 1
+            words: list[bytes] = []
+            for blob in blobs:
+                words += blob.split()
+            context = [None if x else b" ".join(words[a:b]) for x, a, b in zip(hot.tolist(), start.tolist(), stop.tolist())]
+            w = C.signed(C.windows(h, length))
+            size = np.where(hot, n, 0)
+            ends = np.cumsum(size)
+            index = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)
+            take = pa.array(doc)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(f), pa.array(C.signed(stretch_hashes(h, start, stop))), batch.column("d").take(take), batch.column("th").take(take),
+                 pa.array(lo), pa.array(n), pa.array(context, pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(w[index]))],
+                ["key", "rc", "d", "th", "lo", "n", "words", "windows"])
     return run
 
 
@@ -218,7 +238,7 @@ def _shards(length):
     return run
 
 
-def _apply(extra):
+def _apply(length, extra):
     def run(batches):
         for batch in C.slices(batches):
             totals, gone, kept = [], [], []
@@ -227,8 +247,10 @@ def _apply(extra):
                 if found:
                     mask = np.zeros(len(words) + 1, np.int32)
                     for x in found:
+                        if x["hi"] == WHOLE and len(words) < length:
+                            continue
                         mask[x["lo"]] += 1
-                        mask[x["hi"]] -= 1
+                        mask[min(x["hi"], len(words))] -= 1
                     mask = np.cumsum(mask)
                     left = [w for w, m in zip(words, mask.tolist()) if not m]
                 else:
@@ -251,22 +273,33 @@ def substring_dedup(docs: DataFrame, length: int = 20, carry: list[str] | None =
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"),
                          *([F.struct(*carry).alias("row")] if carry else []))
     source = source.withColumn("d", F.coalesce("doc_id", F.lit(LAST_ID))).withColumn("th", F.hash("text"))
-    slim = source.select("d", "th", "text")
+    # whole copies: all but the first go at once and take no part in what follows
+    ids = C.stage(source.select("d", "th", F.xxhash64("text").alias("th8")), "ids")
+    first = ids.groupBy("th8", "th").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last")
+    copies = C.stage(ids.join(first, ["th8", "th"]).where("d > first").select("d", "th").distinct(), "copies")
+    small = copies.count() <= BROADCAST_ROWS
+    slim = source.select("d", "th", "text").where("text is not null").join(F.broadcast(copies) if small else copies, ["d", "th"], "left_anti")
     shared = slim.select("text").mapInArrow(_counts(length), "f long, runs long").groupBy("f").agg(F.sum("runs").alias("runs")).where("runs > 1")
     shared = C.stage(shared.select("f", (F.col("runs") > HOT_RUNS).alias("hot")), "shared")
     found = (slim.mapInArrow(_runs(length), "f long, d long, th int, lo int, n int").join(shared, "f")
              .groupBy("d", "th").agg(F.collect_set(F.struct("f", "lo", "n", "hot")).alias("found")))
     found = C.stage(found, "runs")
     contexts = C.stage(slim.dropDuplicates(["d", "th"]).join(found, ["d", "th"]).mapInArrow(
-        _contexts(length), "key long, rc long, d long, th int, lo int, n int, words binary"), "contexts")
-    cold, hot = contexts.where("words is not null"), contexts.where("words is null").select("key", "d", "th", "lo")
+        _contexts(length), "key long, rc long, d long, th int, lo int, n int, words binary, windows array<long>"), "contexts")
+    cold = contexts.where("words is not null").drop("windows")
     spans = cold.repartition("key").sortWithinPartitions("key", "rc", "d", "lo").mapInArrow(_shards(length), "d long, th int, lo int, n int")
-    first = hot.groupBy("key").agg(F.min(F.struct("d", "lo")).alias("first"), F.count("*").alias("k")).where("k > 1")
-    late = hot.join(first, "key").where((F.col("d") != F.col("first.d")) | (F.col("lo") != F.col("first.lo")))
-    spans = spans.union(late.select("d", "th", "lo", F.lit(1)))
-    gone = C.stage(spans.groupBy("d", "th").agg(F.collect_list(F.struct("lo", (F.col("lo") + F.col("n") + length - 1).alias("hi"))).alias("found")), "spans")
+    # hot fingerprints: equal contexts after the first go whole, the first ones' windows are counted
+    hot = contexts.where("words is null").select("key", "rc", "d", "th", "lo", "n", "windows")
+    lead = hot.groupBy("key", "rc").agg(F.min(F.struct("d", "lo")).alias("first"))
+    led = C.stage(hot.join(lead, ["key", "rc"]).withColumn("copy", (F.col("d") != F.col("first.d")) | (F.col("lo") != F.col("first.lo"))), "hot")
+    each = led.where("not copy").select("d", "th", "lo", F.posexplode("windows").alias("i", "w")).select("d", "th", (F.col("lo") + F.col("i")).alias("lo"), "w")
+    earliest = each.groupBy("w").agg(F.min(F.struct("d", "lo")).alias("first"), F.count("*").alias("k")).where("k > 1")
+    late = each.join(earliest, "w").where((F.col("d") != F.col("first.d")) | (F.col("lo") != F.col("first.lo")))
+    spans = spans.union(led.where("copy").select("d", "th", "lo", "n")).union(late.select("d", "th", "lo", F.lit(1)))
+    spans = spans.union(copies.select("d", "th", F.lit(0), F.lit(WHOLE - length + 1)))
+    gone = C.stage(spans.groupBy("d", "th").agg(F.collect_list(F.struct("lo", (F.col("lo") + (F.col("n") + (length - 1))).alias("hi"))).alias("found")), "spans")
     out = source.join(gone, ["d", "th"], "left").select("doc_id", "text", "found", *(["row"] if carry else []))
     schema = "doc_id long, n_words long, n_removed long, kept binary"
     if carry:
         schema += f", row {source.schema['row'].dataType.simpleString()}"
-    return out.mapInArrow(_apply(bool(carry)), schema).withColumn("kept", F.col("kept").cast("string"))
+    return out.mapInArrow(_apply(length, bool(carry)), schema).withColumn("kept", F.col("kept").cast("string"))
