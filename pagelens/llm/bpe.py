@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import common as C, units as U
 
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 64_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -30,7 +30,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-COLUMNS = ["block", "part", "data", "seq", "ids", "lens", "hash_parts"]
+COLUMNS = ["block", "part", "data", "seq", "ids", "lens", "hash_parts", "repeated"]
 
 
 def _blocks(pattern: str, parts: int):
@@ -41,10 +41,8 @@ def _blocks(pattern: str, parts: int):
             block = uuid.uuid4().int >> 65
             seq = np.concatenate(seqs)
             n = len(index.units)
-            order = np.argsort(-np.bincount(seq, minlength=n), kind="stable") if n else np.zeros(0, np.int64)
-            rank = np.empty(n, np.uint32)
-            rank[order] = np.arange(n, dtype=np.uint32)
-            units = [index.units[i].encode() for i in order.tolist()]
+            code, repeated = U.code_sequence(seq, n)
+            units = [u.encode() for u in index.units]
             part = np.fromiter((xxhash.xxh3_64_intdigest(u) % parts for u in units), np.uint32, n)
             by_part = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[by_part], np.arange(parts + 1))
@@ -56,9 +54,9 @@ def _blocks(pattern: str, parts: int):
 
             for p in np.flatnonzero(np.diff(cuts)).tolist():
                 put(block=block, part=p, data=U.pack([units[i] for i in by_part[cuts[p]:cuts[p + 1]].tolist()]))
-            put(block=block, part=parts, seq=U.planes(rank[seq]) if len(seq) else b"", ids=ids, lens=lens,
-                hash_parts=U.planes(part) if n else b"")
-            fields = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+            put(block=block, part=parts, seq=code, ids=ids, lens=lens,
+                hash_parts=U.planes(part) if n else b"", repeated=U.planes(repeated))
+            fields = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in zip(COLUMNS, fields)], COLUMNS)
 
         for batch in C.slices(batches):
@@ -91,7 +89,8 @@ def _encode(path: str, pattern: str):
                     if x is None:
                         x = known[unit] = np.array(enc.encode_ordinary(unit.decode()), "<u4").tobytes()
                     got.append(x)
-                out.append(U.pack(got))
+                counts = np.fromiter(map(len, got), np.int64, len(got)) // 4
+                out.append(U.pack([U.planes(counts), U.code_numbers(np.frombuffer(b"".join(got), "<u4"))]))
             yield pa.RecordBatch.from_arrays([blocks, batch.column("part"), pa.array(out, pa.binary())], ["block", "part", "data"])
     return run
 
@@ -105,15 +104,19 @@ def _reassemble(path: str):
         for batch in batches:
             for i in range(batch.num_rows):
                 if batch.column("seq")[i].as_py() is None:
-                    answers[batch.column("part")[i].as_py()] = U.unpack(batch.column("data")[i].as_py())
+                    counts, coded = U.unpack(batch.column("data")[i].as_py())
+                    answers[batch.column("part")[i].as_py()] = (U.unplanes(counts).astype(np.int64), U.decode_numbers(coded).astype(np.uint32))
                     continue
-                raw, ids, lens = (batch.column(c)[i].as_py() for c in ("seq", "ids", "lens"))
-                seq = U.unplanes(raw) if raw else np.zeros(0, np.uint32)
+                code, ids, lens, repeated = (batch.column(c)[i].as_py() for c in ("seq", "ids", "lens", "repeated"))
+                seq = U.read_sequence(code, U.unplanes(repeated).astype(np.int64))
                 parts = batch.column("hash_parts")[i].as_py()
-                iters = {p: iter(v) for p, v in answers.items()}
-                units = [next(iters[p]) for p in U.unplanes(parts).tolist()] if parts else []
-                counts = np.fromiter(map(len, units), np.int64, len(units)) // 4
-                flat = np.frombuffer(b"".join(units), "<u4")
+                # a part's answers are in the order of the block's units of that part
+                by_part = np.argsort(U.unplanes(parts), kind="stable") if parts else np.zeros(0, np.int64)
+                given = [answers[p] for p in sorted(answers)] or [(np.zeros(0, np.int64), np.zeros(0, np.uint32))]
+                place = np.empty(len(by_part), np.int64)
+                place[by_part] = np.arange(len(by_part))
+                counts, flat = (np.concatenate(x) for x in zip(*given))
+                seq = place[seq]
                 at = np.concatenate([[0], np.cumsum(lens)]).tolist()
                 for a in range(0, len(ids), 500):
                     b = min(len(ids), a + 500)
@@ -137,7 +140,7 @@ def bpe_roundtrip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
     docs = C.texts(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
     parts = max(16, int(16 * math.sqrt(docs.rdd.getNumPartitions())))
-    schema = "block long, part int, data binary, seq binary, ids array<long>, lens array<int>, hash_parts binary"
+    schema = "block long, part int, data binary, seq binary, ids array<long>, lens array<int>, hash_parts binary, repeated binary"
     blocks = C.stage(docs.mapInArrow(_blocks(pattern, parts), schema), "blocks")
     asked = blocks.where("data is not null").select("block", "part", "data").repartition("part").sortWithinPartitions("part", "block")
     answers = asked.mapInArrow(_encode(path, pattern), "block long, part int, data binary")

@@ -47,11 +47,10 @@ class UnitIndex:
             return np.fromiter(map(self.plain.__getitem__, parts), np.uint32, len(parts))
         head, *rest = text.split(" ")
         out = np.empty(len(rest) + 1, np.uint32)
-        out[1:] = np.fromiter(map(self.spaced.__getitem__, rest), np.uint32, len(rest))
-        if head:
+        if head:  # before the others: units are numbered by first appearance
             out[0] = self.plain[head]
-            return out
-        return out[1:]
+        out[1:] = np.fromiter(map(self.spaced.__getitem__, rest), np.uint32, len(rest))
+        return out if head else out[1:]
 
 
 def gather(counts: np.ndarray, flat: np.ndarray, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,9 +72,58 @@ def unplanes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.T).reshape(-1).view("<u4")
 
 
+def code_numbers(a: np.ndarray) -> bytes:
+    """Numbers of which small ones are frequent: their bit lengths, compressed, and the bits below the first, packed."""
+    a = a.astype(np.int64) + 1
+    size = np.frexp(a.astype(np.float64))[1].astype(np.uint8)
+    parts = [zstandard.compress(size.tobytes(), 9)]
+    for k in range(2, 34):
+        x = a[size == k]
+        if len(x):
+            bits = (x[:, None] >> np.arange(k - 1)) & 1
+            parts.append(np.packbits(bits.astype(np.uint8).reshape(-1)).tobytes())
+    return np.uint32(len(parts[0])).tobytes() + b"".join(parts)
+
+
+def decode_numbers(b: bytes) -> np.ndarray:
+    n = int(np.frombuffer(b, "<u4", 1)[0])
+    size = np.frombuffer(zstandard.decompress(b[4:4 + n]), np.uint8)
+    out, at = np.ones(len(size), np.int64), 4 + n
+    for k in range(2, 34):
+        where = np.flatnonzero(size == k)
+        if len(where):
+            m = len(where) * (k - 1)
+            bits = np.unpackbits(np.frombuffer(b, np.uint8, -(-m // 8), at), count=m).reshape(-1, k - 1).astype(np.int64)
+            out[where] = (bits << np.arange(k - 1)).sum(axis=1) + (1 << (k - 1))
+            at += -(-m // 8)
+    return out - 1
+
+
+def code_sequence(seq: np.ndarray, count: int) -> tuple[bytes, np.ndarray]:
+    """A sequence over 0..count-1 numbered by first appearance. A first appearance is coded 0, others by how frequent
+    their unit is; with the code come the units in order of frequency among those that repeat (needed to read it)."""
+    times = np.bincount(seq, minlength=count)
+    order = np.argsort(-times, kind="stable")
+    rank = np.empty(count, np.int64)
+    rank[order] = np.arange(count)
+    first = np.zeros(len(seq), bool)
+    first[np.unique(seq, return_index=True)[1]] = True
+    repeated = order[:int((times > 1).sum())]
+    return code_numbers(np.where(first, 0, rank[seq] + 1)), repeated
+
+
+def read_sequence(code: bytes, repeated: np.ndarray) -> np.ndarray:
+    x = decode_numbers(code)
+    out = np.empty(len(x), np.int64)
+    first = x == 0
+    out[first] = np.arange(int(first.sum()))
+    out[~first] = repeated[x[~first] - 1]
+    return out
+
+
 def pack(items: list[bytes]) -> bytes:
     lens = np.fromiter(map(len, items), "<u4", len(items))
-    return zstandard.compress(np.uint32(len(items)).tobytes() + lens.tobytes() + b"".join(items), 3)
+    return zstandard.compress(np.uint32(len(items)).tobytes() + lens.tobytes() + b"".join(items), 5)
 
 
 def unpack(blob: bytes) -> list[bytes]:
