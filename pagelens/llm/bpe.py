@@ -30,7 +30,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-COLUMNS = ["block", "part", "data", "seq", "ids", "lens", "hash_parts", "repeated"]
+COLUMNS = ["block", "part", "data", "seq", "ids", "lens", "hash_parts", "sizes"]
 
 
 def _blocks(pattern: str, parts: int):
@@ -41,7 +41,7 @@ def _blocks(pattern: str, parts: int):
             block = uuid.uuid4().int >> 65
             seq = np.concatenate(seqs)
             n = len(index.units)
-            code, repeated = U.code_sequence(seq, n)
+            code, sizes = U.code_sequence(seq, n)
             units = [u.encode() for u in index.units]
             part = np.fromiter((xxhash.xxh3_64_intdigest(u) % parts for u in units), np.uint32, n)
             by_part = np.argsort(part, kind="stable")
@@ -55,7 +55,7 @@ def _blocks(pattern: str, parts: int):
             for p in np.flatnonzero(np.diff(cuts)).tolist():
                 put(block=block, part=p, data=U.pack([units[i] for i in by_part[cuts[p]:cuts[p + 1]].tolist()]))
             put(block=block, part=parts, seq=code, ids=ids, lens=lens,
-                hash_parts=U.planes(part) if n else b"", repeated=U.planes(repeated))
+                hash_parts=U.planes(part) if n else b"", sizes=sizes)
             fields = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in zip(COLUMNS, fields)], COLUMNS)
 
@@ -107,8 +107,8 @@ def _reassemble(path: str):
                     counts, coded = U.unpack(batch.column("data")[i].as_py())
                     answers[batch.column("part")[i].as_py()] = (U.unplanes(counts).astype(np.int64), U.decode_numbers(coded).astype(np.uint32))
                     continue
-                code, ids, lens, repeated = (batch.column(c)[i].as_py() for c in ("seq", "ids", "lens", "repeated"))
-                seq = U.read_sequence(code, U.unplanes(repeated).astype(np.int64))
+                code, ids, lens, sizes = (batch.column(c)[i].as_py() for c in ("seq", "ids", "lens", "sizes"))
+                seq = U.read_sequence(code, sizes)
                 parts = batch.column("hash_parts")[i].as_py()
                 # a part's answers are in the order of the block's units of that part
                 by_part = np.argsort(U.unplanes(parts), kind="stable") if parts else np.zeros(0, np.int64)
@@ -140,7 +140,7 @@ def bpe_roundtrip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
     docs = C.texts(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
     parts = max(16, int(16 * math.sqrt(docs.rdd.getNumPartitions())))
-    schema = "block long, part int, data binary, seq binary, ids array<long>, lens array<int>, hash_parts binary, repeated binary"
+    schema = "block long, part int, data binary, seq binary, ids array<long>, lens array<int>, hash_parts binary, sizes binary"
     blocks = C.stage(docs.mapInArrow(_blocks(pattern, parts), schema), "blocks")
     asked = blocks.where("data is not null").select("block", "part", "data").repartition("part").sortWithinPartitions("part", "block")
     answers = asked.mapInArrow(_encode(path, pattern), "block long, part int, data binary")

@@ -14,7 +14,9 @@ import numpy as np
 import regex
 import zstandard
 
-ODD = re.compile(r"[^\S ] |  ")
+#: white space directly before a blank, for every white-space character
+ODD = [chr(c) + " " for c in range(0x3001) if re.match(r"\s", chr(c))]
+ODD_ASCII = [x for x in ODD if x.isascii()]
 
 
 class UnitIndex:
@@ -42,7 +44,7 @@ class UnitIndex:
     def numbers(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if ODD.search(text):
+        if any(x in text for x in (ODD_ASCII if text.isascii() else ODD)):
             parts = self.match(text)
             return np.fromiter(map(self.plain.__getitem__, parts), np.uint32, len(parts))
         head, *rest = text.split(" ")
@@ -99,20 +101,27 @@ def decode_numbers(b: bytes) -> np.ndarray:
     return out - 1
 
 
-def code_sequence(seq: np.ndarray, count: int) -> tuple[bytes, np.ndarray]:
-    """A sequence over 0..count-1 numbered by first appearance. A first appearance is coded 0, others by how frequent
-    their unit is; with the code come the units in order of frequency among those that repeat (needed to read it)."""
+def by_frequency(size: np.ndarray) -> np.ndarray:
+    """Units that repeat, in order of the bit length of their frequency, then of first appearance."""
+    order = np.argsort(-size.astype(np.int64), kind="stable")
+    return order[size[order] > 1]
+
+
+def code_sequence(seq: np.ndarray, count: int) -> tuple[bytes, bytes]:
+    """A sequence over 0..count-1 numbered by first appearance. A first appearance is coded 0, others by the place of
+    their unit by frequency; the bit lengths of the frequencies go with it."""
     times = np.bincount(seq, minlength=count)
-    order = np.argsort(-times, kind="stable")
-    rank = np.empty(count, np.int64)
-    rank[order] = np.arange(count)
+    size = np.frexp(times.astype(np.float64))[1].astype(np.uint8)
+    rank = np.zeros(count, np.int64)
+    repeated = by_frequency(size)
+    rank[repeated] = np.arange(len(repeated))
     first = np.zeros(len(seq), bool)
     first[np.unique(seq, return_index=True)[1]] = True
-    repeated = order[:int((times > 1).sum())]
-    return code_numbers(np.where(first, 0, rank[seq] + 1)), repeated
+    return code_numbers(np.where(first, 0, rank[seq] + 1)), zstandard.compress(size.tobytes(), 9)
 
 
-def read_sequence(code: bytes, repeated: np.ndarray) -> np.ndarray:
+def read_sequence(code: bytes, sizes: bytes) -> np.ndarray:
+    repeated = by_frequency(np.frombuffer(zstandard.decompress(sizes), np.uint8))
     x = decode_numbers(code)
     out = np.empty(len(x), np.int64)
     first = x == 0
@@ -123,7 +132,7 @@ def read_sequence(code: bytes, repeated: np.ndarray) -> np.ndarray:
 
 def pack(items: list[bytes]) -> bytes:
     lens = np.fromiter(map(len, items), "<u4", len(items))
-    return zstandard.compress(np.uint32(len(items)).tobytes() + lens.tobytes() + b"".join(items), 5)
+    return zstandard.compress(np.uint32(len(items)).tobytes() + lens.tobytes() + b"".join(items), 9)
 
 
 def unpack(blob: bytes) -> list[bytes]:
