@@ -5,6 +5,7 @@ A block holds whole documents; its ids run over interleaved lanes, each a 64-bit
 32-bit words. Every ``CHECKPOINT`` steps the states and the place in the words are stored, so the parts of a block
 can be decoded in parallel; a CRC-32 over the ids guards each block.
 
+Ids come from the tokenizers library's BPE model, called once per distinct match of the pre-token pattern and slice.
 The files are Parquet tables with one row per block: Spark writes and reads them on any store.
 """
 
@@ -22,8 +23,7 @@ BITS = 20
 LANES = 512
 CHECKPOINT = 128  # steps of LANES ids
 BLOCK_IDS = 1 << 18
-SPLIT_TEXT = 16_000_000
-SEPARATOR = "\n\n"
+SPLIT_TEXT = 32_000_000
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
@@ -105,38 +105,40 @@ class Coder:
 
 # --- encoding --------------------------------------------------------------
 
+def byte_alphabet() -> list[str]:
+    """The character that byte-level BPE files use for each byte: printable ones stand for themselves, the rest
+    follow from code point 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
 def _tokenize(path: str, pattern: str, end: int):
     def run(batches):
-        import os
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
-        split = {e.ids[0] for e in tok.encode_batch([SEPARATOR], add_special_tokens=False) if len(e.ids) == 1}
-        split = split.pop() if split else None
-
-        def encode(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            """(ids per unit, all ids): many units go as one text, with a separator whose id stands nowhere else."""
-            counts, flat = np.zeros(len(units), np.int64), [None] * len(units)
-            joined = [i for i, u in enumerate(units) if u[0] == " " and "\n" not in u and len(u) > 1 and not u[1:2].isspace() and not u[-1:].isspace()] if split is not None else []
-            for a in range(0, len(joined), 2000):
-                some = joined[a:a + 2000]
-                ids = np.array(tok.encode_batch_fast([SEPARATOR.join(units[i] for i in some)], add_special_tokens=False)[0].ids, np.uint32)
-                cuts = np.flatnonzero(ids == split)
-                if len(cuts) != len(some) - 1:
-                    raise ValueError("the separator's id occurs inside a unit")
-                for i, piece in zip(some, np.split(ids, cuts)):
-                    flat[i] = piece[1:] if len(piece) and piece[0] == split else piece
-            rest = [i for i, x in enumerate(flat) if x is None]
-            for i, e in zip(rest, tok.encode_batch_fast([units[i] for i in rest], add_special_tokens=False)):
-                flat[i] = np.array(e.ids, np.uint32)
-            counts = np.fromiter(map(len, flat), np.int64, len(flat))
-            return counts, np.concatenate(flat) if flat else np.zeros(0, np.uint32)
+        model = Tokenizer.from_file(path).model
+        split = regex.compile(pattern).findall
+        to_model = {b: c for b, c in enumerate(byte_alphabet())}
+
+        class Pieces(dict):
+            def __missing__(self, piece):
+                coded = piece.encode().decode("latin-1").translate(to_model)
+                ids = self[piece] = [t.id for t in model.tokenize(coded)]
+                return ids
 
         for batch in C.slices(batches, limit=SPLIT_TEXT):
-            index = U.UnitIndex(pattern)
+            index, pieces = U.UnitIndex(pattern), Pieces()
             seqs = [index.numbers((b or b"").decode("utf-8", "replace")) for b in batch.column("text").to_pylist()]
-            counts, flat = encode(index.units)
+            counts, flat = np.empty(len(index.units), np.int64), []
+            for i, unit in enumerate(index.units):
+                if unit[1:].isalpha() and unit[0] == " ":  # one match of the pattern
+                    ids = pieces[unit]
+                else:
+                    ids = [x for piece in split(unit) for x in pieces[piece]]
+                counts[i] = len(ids)
+                flat += ids
+            flat = np.array(flat, np.uint32)
             out = []
             for seq in seqs:
                 ids = U.gather(counts, flat, seq)[0] if len(seq) else flat[:0]
