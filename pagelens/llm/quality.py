@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import common as C
 
-SAMPLE = 20_000
+SAMPLE = 12_000
 BUCKETS = 1 << 18
 THRESHOLD = 0.5
 MIN_SUPPORT, MIN_SHARE, PURITY = 5, 0.01, 0.97
