@@ -59,7 +59,7 @@ def quote_links(messages: DataFrame) -> DataFrame:
     # the last level-1 line with an original names the message answered; its passage's first line decides
     quoted = quoted.select("conv_id", "turn", "row", "n", "level", found.alias("original"))
     per = quoted.groupBy("conv_id", "turn", "row").agg(
-        F.count("*").alias("n_quoted"), F.count("original").alias("n_linked"),
+        F.size(F.collect_set("n")).alias("n_quoted"), F.size(F.collect_set(F.when(F.col("original").isNotNull(), F.col("n")))).alias("n_linked"),
         F.max(F.when((F.col("level") == 1) & F.col("original").isNotNull(), F.struct("n", "original")))["original"].alias("reply_to"))
     per = C.stage(per.distinct(), "replies")
     ups = per.groupBy("conv_id", "turn").agg(F.min("reply_to").alias("up")).where("up is not null")

@@ -69,9 +69,9 @@ def _bands():
                 keys = band_keys(a / norm[:, None], turns[dim])
                 take = pa.array(np.repeat(at, BANDS))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("rep").take(take), batch.column("label").take(take), pa.array(np.full(len(at) * BANDS, dim, np.int32)),
+                    [batch.column("node").take(take), batch.column("label").take(take), pa.array(np.full(len(at) * BANDS, dim, np.int32)),
                      pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(at))), pa.array(keys.reshape(-1).astype(np.int32))],
-                    ["rep", "label", "dim", "band", "key"])
+                    ["node", "label", "dim", "band", "key"])
     return run
 
 
@@ -102,15 +102,15 @@ def _links(threshold):
 
     def run(table: pa.Table):
         one, two, band, dim = (table.column(c)[0].as_py() for c in ("block_a", "block_b", "band", "dim"))
-        block, rep, copies = (np.asarray(table.column(c)) for c in ("block", "rep", "copies"))
-        if one != two and block.min() == block.max() or len(rep) < 2:
+        block, node, copies = (np.asarray(table.column(c)) for c in ("block", "node", "copies"))
+        if one != two and block.min() == block.max() or len(node) < 2:
             return
         if dim not in turns:
             turns[dim] = rotations(dim)
         a, norm = unit_rows(table.column("vec").to_pylist())
         keys = band_keys(a / norm[:, None], turns[dim])
         rows, cols = np.flatnonzero(block == one), np.flatnonzero(block == two)
-        links, root = np.zeros(len(rep), np.int64), list(range(len(rep)))
+        links, root = np.zeros(len(node), np.int64), list(range(len(node)))
 
         def top(i):
             while root[i] != i:
@@ -129,8 +129,8 @@ def _links(threshold):
                     root[max(i, j)] = min(i, j)
         some = np.flatnonzero(links)
         if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(rep[[top(i) for i in some.tolist()]]), pa.array(links[some])],
-                                             ["rep", "root", "links"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[[top(i) for i in some.tolist()]]), pa.array(links[some])],
+                                             ["node", "root", "links"])
     return run
 
 
@@ -139,7 +139,7 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.98) -> DataFra
 
     Null labels and vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do
     vectors of different lengths; their component_id is their own vec_id. Repeated rows are rows of their own and equal
-    vectors link. A null vec_id only links with equal vectors. An empty table gives no rows; other columns are ignored.
+    vectors link. A null vec_id links like others but names no component. An empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     C.ship(spark)
@@ -147,19 +147,19 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.98) -> DataFra
     facts = vectors.mapInArrow(_facts(), "vec_id long, label long, digest binary, vec binary")
     facts = C.stage(facts.withColumn("digest", F.when(F.col("label").isNotNull(), F.col("digest"))), "vectors")
     classes = C.stage(facts.where("digest is not null").groupBy("label", "digest").agg(
-        F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec")), "classes")
-    live = classes.where("rep is not null")
-    keyed = C.stage(live.select("rep", "label", "vec").mapInArrow(_bands(), "rep long, label long, dim int, band int, key int"), "bands")
+        F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
+                      .withColumn("node", F.xxhash64("label", "digest")), "classes")
+    keyed = C.stage(classes.select("node", "label", "vec").mapInArrow(_bands(), "node long, label long, dim int, band int, key int"), "bands")
     bucket = ["label", "dim", "band", "key"]
     sizes = keyed.groupBy(*bucket).agg(F.count("*").alias("members")).where("members > 1")
-    dealt = C.block_pairs(keyed.join(sizes, bucket).join(live.select("rep", "copies", "vec"), "rep"), "members", "rep")
-    dealt = dealt.select(*bucket, "block_a", "block_b", "block", "rep", "copies", "vec")
-    found = C.stage(C.map_groups(dealt, [*bucket, "block_a", "block_b"], _links(threshold), "rep long, root long, links long"), "links")
-    label = C.components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = (classes.join(links, "rep", "left").join(label, "rep", "left")
-               .select("label", "digest", F.coalesce("component", "rep").alias("component_id"),
-                       (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    dealt = C.block_pairs(keyed.join(sizes, bucket).join(classes.select("node", "copies", "vec"), "node"), "members", "node")
+    dealt = dealt.select(*bucket, "block_a", "block_b", "block", "node", "copies", "vec")
+    found = C.stage(C.map_groups(dealt, [*bucket, "block_a", "block_b"], _links(threshold), "node long, root long, links long"), "links")
+    label = C.components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    classes = classes.join(links, "node", "left").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
+    classes = classes.join(least, "component").select("label", "digest", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = facts.select("vec_id", "label", "digest").join(classes, ["label", "digest"], "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                      F.when(F.col("digest").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))

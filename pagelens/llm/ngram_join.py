@@ -26,6 +26,7 @@ from . import common as C
 HOT_IN_TASK = 8
 HOT_ROWS = 1000
 BROADCAST_ROWS = 1_000_000
+LISTED_ROWS = 500_000
 
 
 def needed(n, percent):
@@ -121,9 +122,9 @@ def _members(size):
             keep = [i for i, (s, d) in enumerate(rows) if xxhash.xxh3_128_digest(s.tobytes()) == d]
             part = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [part.column("rep"), part.column("copies"), part.column("cluster"), part.column("members"),
+                [part.column("class"), part.column("copies"), part.column("cluster"), part.column("members"),
                  pa.array([rows[i][0].tobytes() for i in keep], pa.binary())],
-                ["rep", "copies", "cluster", "members", "set"])
+                ["class", "copies", "cluster", "members", "set"])
     return run
 
 
@@ -227,8 +228,9 @@ def trie_links(sets: list[np.ndarray], side: np.ndarray, percent: int):
 def _join(percent):
     def run(table: pa.Table):
         a, b = table.column("block_a")[0].as_py(), table.column("block_b")[0].as_py()
-        block = np.asarray(table.column("block"))
-        rep, copies = np.asarray(table.column("rep")), np.asarray(table.column("copies"))
+        # equal rows of one id both stand for their class: one is enough
+        table = table.take(np.unique(np.asarray(table.column("class")), return_index=True)[1])
+        block, node, copies = (np.asarray(table.column(c)) for c in ("block", "class", "copies"))
         sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
         if a != b and block.min() == block.max():
             return
@@ -249,8 +251,8 @@ def _join(percent):
                     root[max(x, y)] = min(x, y)
         some = np.flatnonzero(links)
         if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(rep[[top(i) for i in some.tolist()]]), pa.array(links[some])],
-                                             ["rep", "root", "links"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[[top(i) for i in some.tolist()]]), pa.array(links[some])],
+                                             ["class", "root", "links"])
     return run
 
 
@@ -289,16 +291,18 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
 
     classes = C.stage(facts.where("digest is not null").groupBy("digest")
                       .agg(F.min("class").alias("class"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    grouped = classes.where("rep is not null").join(clusters, "class").select("digest", "rep", "copies", "cluster")
+    grouped = classes.where("rep is not null").join(clusters, "class").select("digest", "class", "rep", "copies", "cluster")
     grouped = C.stage(grouped.join(grouped.groupBy("cluster").agg(F.count("*").alias("members")), "cluster").where("members > 1"), "grouped")
-    sets = (docs.join(grouped, docs["doc_id"] == grouped["rep"]).select("text", "digest", "rep", "copies", "cluster", "members")
-            .mapInArrow(_members(size), "rep long, copies long, cluster long, members long, set binary"))
-    dealt = C.block_pairs(sets, "members", "rep").select("cluster", "block_a", "block_b", "block", "rep", "copies", "set")
-    found = C.stage(C.map_groups(dealt, ["cluster", "block_a", "block_b"], _join(percent), "rep long, root long, links long"), "found")
-    label = C.components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = (classes.join(links, "rep", "left").join(label.withColumnRenamed("node", "rep"), "rep", "left")
-               .select("digest", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    listed = F.broadcast(grouped) if grouped.count() <= LISTED_ROWS else grouped  # else the texts are shuffled
+    sets = (docs.join(listed, docs["doc_id"] == listed["rep"]).select("text", "digest", "class", "copies", "cluster", "members")
+            .mapInArrow(_members(size), "class long, copies long, cluster long, members long, set binary"))
+    dealt = C.block_pairs(sets, "members", "class").select("cluster", "block_a", "block_b", "block", "class", "copies", "set")
+    found = C.stage(C.map_groups(dealt, ["cluster", "block_a", "block_b"], _join(percent), "class long, root long, links long"), "found")
+    label = C.components(found.select(F.col("class").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "class")
+    links = found.groupBy("class").agg(F.sum("links").alias("links"))
+    classes = classes.join(links, "class", "left").join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    least = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
+    classes = classes.join(least, "component").select("digest", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = facts.join(classes, "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
