@@ -99,7 +99,8 @@ def src_frame_rows(elements: DataFrame, frames: DataFrame, page_urls: DataFrame)
                     (F.lit(1000000) * (F.col("frame_id") + 1) + F.col("host_eid")).cast("int").alias("frame_id"),
                     F.col("frame_id").alias("parent_frame_id"), "host_eid",
                     F.concat(F.col("frame_key"), F.array(F.col("host_eid"))).alias("frame_key"),
-                    resolve_href(F.col("src"), F.col("url")).alias("frame_url"),
+                    # an empty src is a blank document, not the page itself
+                    F.when(F.trim("src") == "", F.lit("about:blank")).otherwise(resolve_href(F.col("src"), F.col("url"))).alias("frame_url"),
                     F.col("url").alias("main_url")))
 
 
@@ -114,7 +115,8 @@ def attach_src_frames(elements: DataFrame, frames: DataFrame, page_urls: DataFra
     src = src_frame_rows(elements, frames, page_urls)
     same = F.coalesce(url_origin(F.col("frame_url")) == url_origin(F.col("main_url")), F.lit(False))
     src = src.withColumn("_same", same)
-    target = page_urls.select(F.col("page_id").alias("src_page_id"), F.col("url").alias("frame_url"))
+    # a url captured more than once embeds its latest capture (the largest page_id), so a frame has one document
+    target = page_urls.groupBy(F.col("url").alias("frame_url")).agg(F.max("page_id").alias("src_page_id"))
     linked = src.filter(F.col("_same")).join(target, "frame_url")
     emb_el = (elements.filter(F.col("frame_id") == 0).withColumnRenamed("page_id", "src_page_id").drop("frame_id")
               .join(linked.select("src_page_id", "page_id", "frame_id"), "src_page_id").drop("src_page_id"))

@@ -62,11 +62,12 @@ def check_actions(actions: DataFrame, list_key: str = "page_id") -> DataFrame:
     actions: (list_key, step, type, strategy, value, role, nth, text, key, ms)
     """
     n = F.count(F.lit(1)).over(Window.partitionBy(list_key))
-    t = F.col("type")
+    t = F.coalesce(F.col("type"), F.lit(""))
     code = (F.when(~t.isin(ACTION_TYPES), F.lit("invalid_type"))
             .when((t != "wait") & (F.coalesce(F.col("value"), F.lit("")) == ""), F.lit("empty_locator_value"))
-            .when((t != "wait") & ~F.col("strategy").isin("test-id", "role", "label", "placeholder", "text", "id", "css"),
+            .when((t != "wait") & ~F.coalesce(F.col("strategy"), F.lit("")).isin("test-id", "role", "label", "placeholder", "text", "id", "css"),
                   F.lit("invalid_strategy"))
+            .when((t == "fill") & F.col("text").isNull(), F.lit("missing_text"))
             .when((t == "press") & (F.length(F.coalesce(F.col("key"), F.lit(""))) > 30), F.lit("key_too_long"))
             .when((t == "wait") & ~F.coalesce(F.col("ms").between(1, 10000), F.lit(False)), F.lit("wait_out_of_range"))
             .when(F.col("nth").isNotNull() & (F.col("nth") < 0), F.lit("negative_nth")))

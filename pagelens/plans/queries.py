@@ -23,7 +23,7 @@ _CACHE: dict = {}
 def extraction(spark: SparkSession, sf_dir: str, **opts) -> Extraction:
     """Shared extraction per (session, directory, options); option variants
     reuse the default run's materialised upstream tables."""
-    key = (id(spark), sf_dir, tuple(sorted(opts.items())))
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(sorted(opts.items())))
     ex = _CACHE.get(key)
     if ex is None:
         configure(spark)
@@ -245,7 +245,7 @@ def q_rep_payload_json(spark, sf_dir):
 def board_extraction(spark, sf_dir, **opts) -> Extraction:
     from pagelens.plans.render import board_pages
     from pagelens.sources.pages import read_table
-    key = (id(spark), sf_dir, "board", tuple(sorted(opts.items())))
+    key = (spark.sparkContext.applicationId, sf_dir, "board", tuple(sorted(opts.items())))
     ex = _CACHE.get(key)
     if ex is None:
         configure(spark)
@@ -289,7 +289,7 @@ def q_flt_hidden(spark, sf_dir):
 def card_extraction(spark, sf_dir) -> Extraction:
     from pagelens.plans.render import card_pages
     from pagelens.sources.pages import read_table
-    key = (id(spark), sf_dir, "cards")
+    key = (spark.sparkContext.applicationId, sf_dir, "cards")
     ex = _CACHE.get(key)
     if ex is None:
         configure(spark)
@@ -317,7 +317,7 @@ def q_rel_image_name(spark, sf_dir):
 def form_extraction(spark, sf_dir) -> Extraction:
     from pagelens.plans.render import form_pages
     from pagelens.sources.pages import read_table
-    key = (id(spark), sf_dir, "form")
+    key = (spark.sparkContext.applicationId, sf_dir, "form")
     ex = _CACHE.get(key)
     if ex is None:
         configure(spark)
@@ -354,7 +354,7 @@ def q_loc_form_rank(spark, sf_dir):
 def frame_extraction(spark, sf_dir) -> Extraction:
     from pagelens.plans.render import frame_pages
     from pagelens.sources.pages import read_table
-    key = (id(spark), sf_dir, "frames")
+    key = (spark.sparkContext.applicationId, sf_dir, "frames")
     ex = _CACHE.get(key)
     if ex is None:
         configure(spark)
@@ -417,7 +417,7 @@ def q_diff_states(spark, sf_dir):
     from pagelens.operators.lint import state_diff
     from pagelens.plans.render import board_pages_after_save
     from pagelens.sources.pages import read_table
-    key = (id(spark), sf_dir, "board-after")
+    key = (spark.sparkContext.applicationId, sf_dir, "board-after")
     after = _CACHE.get(key)
     if after is None:
         configure(spark)

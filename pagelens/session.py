@@ -64,12 +64,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     executor, so an unset ``spark.checkpoint.dir`` is an error there.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if not current:
-        current = spark.conf.get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
+    if current:  # set once per context: setting it again would nest a new folder below
+        return current
+    current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS / object store) for this cluster")
         current = tempfile.mkdtemp(prefix="pagelens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(current)
-    return current
+    return sc.getCheckpointDir()

@@ -47,7 +47,6 @@ SPECIAL_STOP = frozenset(
 )
 RAW_TEXT_TAGS = ("noscript", "iframe", "noembed", "noframes", "xmp")
 NO_MATCH_TEXT = frozenset(("script", "style", "noscript", "head"))
-MAX_FRAME_NESTING = 8
 
 
 class _El:
@@ -413,20 +412,15 @@ def parse_page(html_text: str, url: str):
     sorting by it gives the enumeration order of frames. Child frames given by
     ``src`` are resolved later against the pages table.
     """
-    counter = [0]
     out = []
-
-    def visit(doc, parent_fid, host_eid, key, furl, level):
-        frame_id = counter[0]
-        counter[0] += 1
+    # depth first, in order of the hosts; a srcdoc is shorter than its document, so this ends by itself
+    todo = [(html_text, None, None, [], url)]
+    while todo:
+        doc, parent_fid, host_eid, key, furl = todo.pop()
+        frame_id = len(out)
         root, text, mtext, t_base, m_base = parse_frame(doc)
         rows = flatten(root, t_base, m_base)
         out.append((frame_id, parent_fid, host_eid, key, furl, text, mtext, rows))
-        if level >= MAX_FRAME_NESTING:
-            return
-        for r in rows:
-            if r[6] in ("iframe", "frame") and "srcdoc" in r[7]:
-                visit(r[7]["srcdoc"], frame_id, r[0], key + [r[0]], "about:srcdoc", level + 1)
-
-    visit(html_text, None, None, [], url, 0)
+        todo += [(r[7]["srcdoc"], frame_id, r[0], key + [r[0]], "about:srcdoc")
+                 for r in reversed(rows) if r[6] in ("iframe", "frame") and "srcdoc" in r[7]]
     return out

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from pagelens.operators.lint import check_actions, lint_locators, state_diff
 from pagelens.plans.extract import ExtractOptions, Extraction
 
-BEFORE = """<form id="login"><label for="u">Username</label><input id="u" placeholder="Masukkan username">
-<button id="go" type="button">Do Login</button></form>"""
-AFTER = BEFORE + """<div role="alert" data-testid="toast-success">Login berhasil</div>"""
+BEFORE = """<form id="desk"><label for="badge">Badge number</label><input id="badge" placeholder="six digits">
+<button id="open" type="button">Open the desk</button></form>"""
+AFTER = BEFORE + """<div role="alert" data-testid="desk-open">The desk is open</div>"""
 
 
 def test_state_diff_added_toast(spark):
@@ -21,23 +21,27 @@ def test_state_diff_added_toast(spark):
     d = state_diff(n.filter("page_id = 1"), n.filter("page_id = 2")).collect()
     assert len(d) == 1
     assert d[0]["change"] == "added" and d[0]["role"] == "alert"
-    assert d[0]["locator"] == "getByTestId('toast-success')"
-    assert d[0]["accessible_name"] == "Login berhasil"
+    assert d[0]["locator"] == "getByTestId('desk-open')"
+    assert d[0]["accessible_name"] == "The desk is open"
 
 
 def test_actions_and_lint(spark):
     pages = spark.createDataFrame([(1, "http://app.test/toast", BEFORE)], "page_id long, url string, html string")
     ex = Extraction(pages, ExtractOptions())
     acts = spark.createDataFrame(
-        [(1, 1, "fill", "placeholder", "Masukkan username", None, None, "s3cret-pass", None, None),
-         (1, 2, "click", "role", "Do Login", "button", None, None, None, None),
+        [(1, 1, "fill", "placeholder", "six digits", None, None, "s3cret-pass", None, None),
+         (1, 2, "click", "role", "Open the desk", "button", None, None, None, None),
          (1, 3, "click", "role", "Nope", "button", None, None, None, None),
          (1, 4, "wait", None, None, None, None, None, None, 20000),
-         (1, 5, "press", "id", "go", None, None, None, "x" * 31, None)],
+         (1, 5, "press", "id", "open", None, None, None, "x" * 31, None),
+         (1, 6, None, "id", "open", None, None, None, None, None),
+         (1, 7, "click", None, "open", None, None, None, None, None),
+         (1, 8, "fill", "id", "badge", None, None, None, None, None)],
         "page_id long, step int, type string, strategy string, value string, role string, nth int, text string, "
         "key string, ms int")
     codes = {r["step"]: r["code"] for r in check_actions(acts).collect()}
-    assert codes == {1: None, 2: None, 3: None, 4: "wait_out_of_range", 5: "key_too_long"}
+    assert codes == {1: None, 2: None, 3: None, 4: "wait_out_of_range", 5: "key_too_long", 6: "invalid_type", 7: "invalid_strategy",
+                     8: "missing_text"}
     lint = lint_locators(acts, ex)
     status = {r["step"]: r["status"] for r in lint.collect()}
     assert status[1] == "ok" and status[2] == "ok" and status[3] == "missing" and status[5] == "ok"
