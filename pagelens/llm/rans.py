@@ -139,10 +139,10 @@ def _tokenize(path: str, pattern: str, end: int):
                 counts[i] = len(ids)
                 flat += ids
             flat = np.array(flat, np.uint32)
-            out = []
-            for seq in seqs:
-                ids = U.gather(counts, flat, seq)[0] if len(seq) else flat[:0]
-                out.append(np.append(ids, np.uint32(end)).astype("<u4").tobytes())
+            ids, n = U.gather(counts, flat, np.concatenate(seqs))
+            ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *map(len, seqs)])]
+            tail = np.uint32(end).tobytes()
+            out = [ids[x:y].astype("<u4").tobytes() + tail for x, y in zip(ends.tolist(), ends[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "ids"])
     return run
 
