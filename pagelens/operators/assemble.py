@@ -33,14 +33,16 @@ def cap_nodes(nodes: DataFrame, max_nodes: int) -> DataFrame:
     return nodes.withColumn("seq", F.row_number().over(w)).withColumn("within_budget", F.col("seq") <= max_nodes)
 
 
-def cross_origin_markers(frame_tree: DataFrame, hosts: DataFrame) -> DataFrame | None:
-    """One opaque node per enumerated frame that is not reachable."""
+def cross_origin_markers(frame_tree: DataFrame, hosts: DataFrame, shown: DataFrame) -> DataFrame | None:
+    """One opaque node per enumerated frame that is not reachable. It is visible when the first element that
+    its selector matches has a shown box (``shown``: page_id, frame_id, host_eid, box_shown)."""
     ft = frame_tree.filter(~F.col("reachable"))
     parent = frame_tree.select("page_id", F.col("frame_id").alias("parent_frame_id"),
                                F.col("frame_path").alias("parent_path"), F.col("frame_key").alias("parent_key"))
     # uniqueness of the selector within the parent frame
-    same_sel = hosts.groupBy("page_id", F.col("frame_id").alias("parent_frame_id"), "selector").agg(
-        F.count(F.lit(1)).alias("_sel_n"))
+    same_sel = (hosts.join(shown, FRAME + ["host_eid"], "left")
+                .groupBy("page_id", F.col("frame_id").alias("parent_frame_id"), "selector").agg(
+        F.count(F.lit(1)).alias("_sel_n"), F.min_by("box_shown", "host_eid").alias("_shown")))
     m = (ft.join(parent, ["page_id", "parent_frame_id"], "left")
          .join(same_sel, ["page_id", "parent_frame_id", "selector"], "left"))
     sel = F.coalesce(F.col("selector"), F.lit("iframe"))
@@ -52,7 +54,7 @@ def cross_origin_markers(frame_tree: DataFrame, hosts: DataFrame) -> DataFrame |
     props = F.struct(*(F.lit(None).cast(t).alias(n) for n, t in [
         ("type", "string"), ("placeholder", "string"), ("text_content", "string"), ("href", "string"),
         ("is_required", "boolean"), ("is_disabled", "boolean"), ("is_checked", "boolean")]),
-        F.lit(True).alias("is_visible"))
+        F.coalesce(F.col("_shown"), F.lit(True)).alias("is_visible"))
     return m.select(
         "page_id", F.col("parent_frame_id").alias("frame_id"), F.col("host_eid").alias("eid"),
         F.col("frame_key"), F.lit(-1).alias("doc_order"),

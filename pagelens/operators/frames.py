@@ -19,6 +19,10 @@ from pagelens.operators.select import FRAME
 from pagelens.functions.props import A  # noqa: E402
 
 
+# frame ids of ``src`` frames: above every parsed frame id, one range per parent frame
+SRC_FRAME_STRIDE = 1 << 31
+
+
 def css_escape_ident(c: Column) -> Column:
     """CSS.escape for the identifiers met in ids: escape ASCII non-identifier
     characters with a backslash, a leading digit as a code point escape."""
@@ -96,7 +100,7 @@ def src_frame_rows(elements: DataFrame, frames: DataFrame, page_urls: DataFrame)
     parent = frames.select(*FRAME, "frame_key")
     return (hosts.join(parent, FRAME).join(page_urls, "page_id")
             .select("page_id",
-                    (F.lit(1000000) * (F.col("frame_id") + 1) + F.col("host_eid")).cast("int").alias("frame_id"),
+                    ((F.col("frame_id").cast("long") + 1) * SRC_FRAME_STRIDE + F.col("host_eid")).alias("frame_id"),
                     F.col("frame_id").alias("parent_frame_id"), "host_eid",
                     F.concat(F.col("frame_key"), F.array(F.col("host_eid"))).alias("frame_key"),
                     # an empty src is a blank document, not the page itself

@@ -36,7 +36,7 @@ from pagelens.schema import (
 from pagelens.sources.pages import parse_pages, split_parsed
 
 SUBJECT_TAGS = ["input", "button", "a", "select", "textarea", "label", "option", "fieldset", "output", "legend",
-                "dialog", "meter", "progress", "area"]
+                "dialog", "meter", "progress", "area", "iframe", "frame"]
 
 
 @dataclass(frozen=True)
@@ -181,12 +181,24 @@ class Extraction:
 
     @cached_property
     def frame_base(self) -> DataFrame:
-        """Base URL per frame: first <base href>, else the page url (srcdoc frames inherit)."""
+        """Base URL per frame: its first <base href>, else its own url; frames without a url of
+        their own (srcdoc, about:blank) take their parent's base."""
         first_base = (self.elements.filter((F.col("tag") == "base") & F.col("attrs")["href"].isNotNull())
                       .groupBy(*FRAME).agg(F.min_by(F.col("attrs")["href"], "eid").alias("_bh")))
-        f = self.frames_raw.select(*FRAME).join(self.page_urls, "page_id").join(first_base, FRAME, "left")
-        return f.select(*FRAME, F.when(F.col("_bh").isNotNull(), resolve_href(F.col("_bh"), F.col("url")))
-                        .otherwise(F.col("url")).alias("base_url"))
+        own = F.when((F.col("frame_url") != "") & ~F.col("frame_url").startswith("about:"), F.col("frame_url"))
+        frames = self.frames_raw.select(*FRAME, "frame_key", own.alias("_own")).join(first_base, FRAME, "left")
+        level = F.explode(F.sequence(F.lit(0), F.size("frame_key")))
+        chain = (frames.select(*FRAME, "frame_key", level.alias("_lvl"))
+                 .withColumn("_anc", F.slice("frame_key", F.lit(1), F.col("_lvl"))).drop("frame_key")
+                 .join(frames.select("page_id", F.col("frame_key").alias("_anc"), "_own", "_bh"), ["page_id", "_anc"])
+                 .groupBy(*FRAME).agg(F.array_sort(F.collect_list(F.struct("_lvl", "_own", "_bh"))).alias("_chain"))
+                 .join(self.page_urls, "page_id"))
+
+        def down(base, x):  # from the main document to the frame
+            base = F.coalesce(x["_own"], base)
+            return F.when(x["_bh"].isNotNull(), resolve_href(x["_bh"], base)).otherwise(base)
+
+        return chain.select(*FRAME, F.aggregate("_chain", F.col("url"), down).alias("base_url"))
 
     # ---------------------------------------------------------------- subjects
     @cached_property
@@ -255,6 +267,7 @@ class Extraction:
             "name_full": name(F.col("ctext")),
             "text_content": F.when(~P.is_form_field(), nullif_empty(cut(F.col("ctext"), 120))),
             "is_visible": ~(flags | vis_hidden | zero_box),
+            "box_shown": ~(F.col("dn_inh") | vis_hidden | F.col("zero_box_self")),
             "role_hidden": F.col("dn_inh") | F.col("hattr_inh") | F.col("ah_inh") | vis_hidden,
             "p_type": P.prop_type(),
             "_href": F.when((tag == "a") & A["href"].isNotNull(), resolve_href(A["href"], F.col("base_url"))),
@@ -384,7 +397,8 @@ class Extraction:
     @cached_property
     def kept_nodes(self) -> DataFrame:
         n = self.nodes.filter(F.col("within_budget"))
-        markers = assemble.cross_origin_markers(self.frame_tree, self.elements_with_hosts)
+        shown = self.subjects.filter(F.col("tag").isin("iframe", "frame")).select(*FRAME, F.col("eid").alias("host_eid"), "box_shown")
+        markers = assemble.cross_origin_markers(self.frame_tree, self.elements_with_hosts, shown)
         if markers is not None:
             n = n.unionByName(markers, allowMissingColumns=True)
         if not self.opts.include_hidden:

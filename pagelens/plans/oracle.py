@@ -241,7 +241,7 @@ WITH o AS (
          (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 25 AS chunk
   FROM orders),
 b AS (
-  SELECT o_custkey * 100000 + chunk AS page_id, o_custkey, o_orderkey, o_orderstatus, o_orderpriority,
+  SELECT o_custkey::BIGINT * 100000000 + chunk AS page_id, o_custkey, o_orderkey, o_orderstatus, o_orderpriority,
          o_orderpriority IN ('3-MEDIUM', '5-LOW') AND o_orderstatus <> 'O' AS role_match,
          count(*) FILTER (WHERE o_orderpriority IN ('3-MEDIUM', '5-LOW') AND o_orderstatus <> 'O')
            OVER (PARTITION BY o_custkey, chunk) AS n_role,
@@ -289,7 +289,7 @@ FROM b GROUP BY page_id""",
 # ---------------------------------------------------------------------------
 CARDS = """
 WITH s AS (
-  SELECT (s_nationkey * 100000 + (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) // 25)::BIGINT AS page_id,
+  SELECT (s_nationkey::BIGINT * 100000000 + (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) // 25)::BIGINT AS page_id,
          s_nationkey, s_suppkey, s_name, s_acctbal,
          (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) % 25 + 1 AS pos
   FROM supplier)"""
@@ -321,7 +321,7 @@ WITH p AS (
          row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn
   FROM part),
 f AS (
-  SELECT *, brand_no * 100000 + (rn - 1) // 20 AS page_id, (rn - 1) % 20 + 1 AS pos,
+  SELECT *, brand_no::BIGINT * 100000000 + (rn - 1) // 20 AS page_id, (rn - 1) % 20 + 1 AS pos,
          CASE p_size % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'email' WHEN 2 THEN 'checkbox' WHEN 3 THEN 'number'
               ELSE 'submit' END AS t,
          CASE k % 3 WHEN 0 THEN 'p' || k WHEN 1 THEN 'rc_select_' || k END AS id_attr,

@@ -7,7 +7,7 @@ Board pages: one page per customer and chunk of at most ``BOARD_PAGE_SIZE``
 orders (pagination keeps every page, and so every collected group, bounded
 even when one customer holds a third of all orders).
 
-  page_id   = custkey * 100000 + chunk
+  page_id   = custkey * PAGE_KEY_STRIDE + chunk
   <form>    id / name / none by custkey mod 3
   per order <div data-testid="card-<orderkey>" [hiding by priority]>
               <button [disabled if status F] [hidden if status O]>Save</button></div>
@@ -17,11 +17,17 @@ even when one customer holds a third of all orders).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BOARD_PAGE_SIZE = 25
-PAGE_KEY_STRIDE = 100000
+PAGE_KEY_STRIDE = 100_000_000
+
+
+def page_key(key: Column) -> Column:
+    """bigint id of chunk ``chunk`` of ``key``; more chunks than the stride are an error, never a merged page."""
+    chunk = F.when(F.col("chunk") < PAGE_KEY_STRIDE, F.col("chunk")).otherwise(F.raise_error(F.lit("more pages than page ids for one key")).cast("long"))
+    return key.cast("long") * PAGE_KEY_STRIDE + chunk
 
 
 def board_pages(orders: DataFrame) -> DataFrame:
@@ -49,7 +55,7 @@ def board_pages(orders: DataFrame) -> DataFrame:
                     F.lit("</title></head><body><h1>Orders</h1>"), form_open, F.col("cards"),
                     F.lit("</form></body></html>"))
     return grouped.select(
-        (ck * PAGE_KEY_STRIDE + F.col("chunk")).alias("page_id"),
+        page_key(ck).alias("page_id"),
         F.concat(F.lit("http://c"), (ck % 7).cast("string"), F.lit(".shop.test/board/"), ck.cast("string"),
                  F.lit("?page="), F.col("chunk").cast("string")).alias("url"),
         html.alias("html"))
@@ -84,7 +90,7 @@ def card_pages(supplier: DataFrame) -> DataFrame:
                                              lambda x: x["card"]), "").alias("cards")))
     nk = F.col("s_nationkey")
     return grouped.select(
-        (nk * PAGE_KEY_STRIDE + F.col("chunk")).alias("page_id"),
+        page_key(nk).alias("page_id"),
         F.concat(F.lit("http://shop.test/suppliers/"), nk.cast("string"), F.lit("?page="),
                  F.col("chunk").cast("string")).alias("url"),
         F.concat(F.lit("<!DOCTYPE html><html><head><title>Suppliers</title></head><body>"), F.col("cards"),
@@ -141,7 +147,7 @@ def form_pages(part: DataFrame) -> DataFrame:
                                              lambda x: x["row"]), "").alias("rows")))
     b = F.col("brand_no")
     return grouped.select(
-        (b * PAGE_KEY_STRIDE + F.col("chunk")).alias("page_id"),
+        page_key(b).alias("page_id"),
         F.concat(F.lit("http://parts.test/brand/"), b.cast("string"), F.lit("?page="), F.col("chunk").cast("string"))
         .alias("url"),
         F.concat(F.lit("<!DOCTYPE html><html><head><title>Parts</title></head><body><form id=\"f-"), b.cast("string"),
@@ -181,7 +187,7 @@ def board_pages_after_save(orders: DataFrame) -> DataFrame:
     """The board pages captured after a declared save action: each page shows a
     status toast (``data-testid="toast-<custkey>-<chunk>"``) below the form."""
     pages = board_pages(orders)
-    ck = (F.col("page_id") / PAGE_KEY_STRIDE).cast("long")
+    ck = F.expr(f"page_id div {PAGE_KEY_STRIDE}")
     chunk = F.col("page_id") % PAGE_KEY_STRIDE
     toast = F.concat(F.lit('<div role="status" data-testid="toast-'), ck.cast("string"), F.lit("-"),
                      chunk.cast("string"), F.lit('">Stored</div>'))

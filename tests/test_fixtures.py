@@ -255,3 +255,25 @@ def test_salted_match_on_a_large_frame(spark):
     assert rows[4999]["primary_locator"]["disambiguation"] == "9000 matches in frame; use .nth(4999)."
     m = e.page_meta.collect()[0]
     assert m["truncated"] is True and m["notes"] == ["MAX_NODES (5000) hit; traversal stopped early."]
+
+
+def test_elements_below_the_depth_cap_keep_their_facts(spark):
+    """A hidden button far below the traversal's cap is no match; a labelled one there keeps its image name."""
+    deep = "<div>" * 60 + '<button style="visibility:hidden">Buy</button>' + "</div>" * 60
+    pages = spark.createDataFrame([(1, "http://app.test/d", f"<body><button>Buy</button>{deep}</body>")],
+                                  "page_id long, url string, html string")
+    n = Extraction(pages, ExtractOptions()).kept_nodes.collect()
+    assert [(x["primary_count"], x["primary_locator"]["is_unique"]) for x in n] == [(1, True)]
+
+
+def test_links_and_markers_of_src_frames(spark):
+    """Relative links resolve against the frame's own url; a marker is visible only when its host is."""
+    pages = spark.createDataFrame([
+        (1, "http://b.test/x/host", '<iframe src="/y/z/frame"></iframe><iframe id="n" src="http://o.test/" style="display:none"></iframe>'
+                                    '<iframe id="s" src="http://o.test/"></iframe><iframe srcdoc="<a href=w>W</a>"></iframe>'),
+        (2, "http://b.test/y/z/frame", '<a href="q">Q</a>')], "page_id long, url string, html string")
+    rows = [r for r in Extraction(pages, ExtractOptions()).kept_nodes.collect() if r["page_id"] == 1]
+    hrefs = {r["accessible_name"]: r["properties"]["href"] for r in rows if r["tag"] == "a"}
+    assert hrefs == {"Q": "http://b.test/y/z/q", "W": "http://b.test/x/w"}
+    shown = {r["primary_locator"]["playwright"]: r["properties"]["is_visible"] for r in rows if r["kind"] == "cross_origin_frame"}
+    assert shown == {"locator('iframe#n')": False, "locator('iframe#s')": True}
