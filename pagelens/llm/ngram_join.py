@@ -283,11 +283,16 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
              .where(F.size("known") >= miss_least + 1)
              # hashes of this set alone come first in the global order, then the shared ones by (df, h)
              .select("class", F.slice("known", F.lit(1), F.greatest(F.lit(0), 2 * miss - miss_least + 1 - (head - F.size("known"))).cast("int")).alias("known"))
-             .select("class", F.explode("known.h").alias("h")))
-    signature = C.stage(known, "signature")
-    centre = signature.groupBy("h").agg(F.min("class").alias("centre"), F.count("*").alias("k")).where("k > 1")
-    near = C.components(signature.join(centre, "h").select(F.col("class").alias("a"), F.col("centre").alias("b")))
-    clusters = near.select(F.col("node").alias("class"), F.col("component").alias("cluster"))
+             .select("class", F.col("known.h").alias("known")).where(F.size("known") > 0))
+    sets = C.stage(known, "signature")
+    # sets with the same smallest signature hash get one label; what follows has a row per (label, hash), so many
+    # copies of one text cost a join row each, not one per hash
+    first = sets.select("class", F.array_min("known").alias("pivot"))
+    labels = C.stage(first.join(first.groupBy("pivot").agg(F.min("class").alias("label")), "pivot").select("class", "label"), "labels")
+    shared = C.stage(sets.join(labels, "class").select("label", F.explode("known").alias("h")).distinct(), "shared")
+    centre = shared.groupBy("h").agg(F.min("label").alias("centre"), F.count("*").alias("k")).where("k > 1")
+    near = C.components(shared.join(centre, "h").select(F.col("label").alias("a"), F.col("centre").alias("b")))
+    clusters = labels.join(near.withColumnRenamed("node", "label"), "label", "left").select("class", F.coalesce("component", "label").alias("cluster"))
 
     classes = C.stage(facts.where("digest is not null").groupBy("digest")
                       .agg(F.min("class").alias("class"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
