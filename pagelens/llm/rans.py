@@ -5,12 +5,14 @@ A block holds whole documents; its ids run over interleaved lanes, each a 64-bit
 32-bit words. Every ``CHECKPOINT`` steps the states and the place in the words are stored, so the parts of a block
 can be decoded in parallel; a CRC-32 over the ids guards each block.
 
-Ids come from the tokenizers library's BPE model, called once per distinct match of the pre-token pattern and slice.
+Ids are those of the tokenizers library's ``encode``, called once per distinct unit and slice; texts that cannot be cut
+safely (odd white space, added tokens) are encoded whole.
 The files are Parquet tables with one row per block: Spark writes and reads them on any store.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -24,6 +26,7 @@ LANES = 512
 CHECKPOINT = 128  # steps of LANES ids
 BLOCK_IDS = 1 << 18
 SPLIT_TEXT = 32_000_000
+UNITS = 20_000  # given to the library at once
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
@@ -105,39 +108,23 @@ class Coder:
 
 # --- encoding --------------------------------------------------------------
 
-def byte_alphabet() -> list[str]:
-    """The character that byte-level BPE files use for each byte: printable ones stand for themselves, the rest
-    follow from code point 256 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = iter(range(256, 512))
-    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
-
-
-def _tokenize(path: str, pattern: str, end: int):
+def _tokenize(path: str, pattern: str, end: int, special: bool):
     def run(batches):
-        import regex
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has its core
         from tokenizers import Tokenizer
-        model = Tokenizer.from_file(path).model
-        split = regex.compile(pattern).findall
-        to_model = {b: c for b, c in enumerate(byte_alphabet())}
-
-        class Pieces(dict):
-            def __missing__(self, piece):
-                coded = piece.encode().decode("latin-1").translate(to_model)
-                ids = self[piece] = [t.id for t in model.tokenize(coded)]
-                return ids
+        tok = Tokenizer.from_file(path)
+        tok.encode_special_tokens = not special
+        added = [t.content for t in tok.get_added_tokens_decoder().values() if special or not t.special]
 
         for batch in C.slices(batches, limit=SPLIT_TEXT):
-            index, pieces = U.UnitIndex(pattern), Pieces()
+            index = U.UnitIndex(pattern, lambda text: tok.normalizer is not None or any(x in text for x in added))
             seqs = [index.numbers((b or b"").decode("utf-8", "replace")) for b in batch.column("text").to_pylist()]
             counts, flat = np.empty(len(index.units), np.int64), []
-            for i, unit in enumerate(index.units):
-                if unit[1:].isalpha() and unit[0] == " ":  # one match of the pattern
-                    ids = pieces[unit]
-                else:
-                    ids = [x for piece in split(unit) for x in pieces[piece]]
-                counts[i] = len(ids)
-                flat += ids
+            for a in range(0, len(index.units), UNITS):
+                for i, e in enumerate(tok.encode_batch_fast(index.units[a:a + UNITS], add_special_tokens=False), a):
+                    ids = e.ids
+                    counts[i] = len(ids)
+                    flat += ids
             flat = np.array(flat, np.uint32)
             ids, n = U.gather(counts, flat, np.concatenate(seqs))
             ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *map(len, seqs)])]
@@ -233,16 +220,17 @@ def read_ids(spark: SparkSession, path: str, freq) -> DataFrame:
             .join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids"))
 
 
-def token_files(docs: DataFrame, tokenizer: str, pattern: str, end: int = 2, path: str | None = None) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer: str, pattern: str, end: int = 2, path: str | None = None, special: bool = False) -> DataFrame:
     """Encode every text, append ``end``, write the files, read them back: doc_id, start, n_tokens, ids (bytes).
 
     Null and empty texts are just the end id. Rows with equal ids stand in one file part, in any order between them; a
-    null doc_id stands first. An empty table writes and gives no rows. Other columns are not looked at.
+    null doc_id stands first. ``special``: the tokenizer's special tokens that stand in a text get their own id, as in
+    ``encode(text, add_special_tokens=False)``; else they are ordinary text. An empty table writes and gives no rows. Other columns are not looked at.
     """
     from tokenizers import Tokenizer
     spark = docs.sparkSession
     size = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end + 1)
     docs = C.texts(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
-    ids = C.stage(docs.mapInArrow(_tokenize(tokenizer, pattern, end), "doc_id long, ids binary"), "ids")
+    ids = C.stage(docs.mapInArrow(_tokenize(tokenizer, pattern, end, special), "doc_id long, ids binary"), "ids")
     path = path or C.new_path(spark, "files")
     return read_ids(spark, path, write_ids(ids, path, size))

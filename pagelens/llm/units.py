@@ -22,8 +22,9 @@ ODD_ASCII = [x for x in ODD if x.isascii()]
 class UnitIndex:
     """Numbers the distinct units of a block of texts."""
 
-    def __init__(self, pattern: str):
-        self.match = regex.compile(pattern).findall
+    def __init__(self, pattern: str, whole=None):
+        """``whole``: tells the texts to be kept as one unit; those with odd white space are then, too."""
+        self.match, self.whole = regex.compile(pattern).findall, whole
         self.units: list[str] = []
         units = self.units
 
@@ -44,8 +45,8 @@ class UnitIndex:
     def numbers(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if any(x in text for x in (ODD_ASCII if text.isascii() else ODD)):
-            parts = self.match(text)
+        if self.whole and self.whole(text) or any(x in text for x in (ODD_ASCII if text.isascii() else ODD)):
+            parts = [text] if self.whole else self.match(text)
             return np.fromiter(map(self.plain.__getitem__, parts), np.uint32, len(parts))
         head, *rest = text.split(" ")
         out = np.empty(len(rest) + 1, np.uint32)

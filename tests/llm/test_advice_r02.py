@@ -1,0 +1,19 @@
+"""Cases of the second review of the operators."""
+
+import numpy as np
+import public_tokenizers as P
+from tokenizers import Tokenizer
+
+from pagelens.llm import rans
+
+
+def test_token_files_equal_the_library(spark):
+    """Added tokens and code points that are letters only in newer Unicode versions."""
+    texts = ["foo <|endoftext|> bar", "a<|endoftext|><|endoftext|>b  c \n d", "x՘y ֋ ౜z ՘՘ 1՘", "a ౜  b֋\n c", "it's  We'll　 x <|endoftext|",
+             "Ᲊa Ɤ \U00010d50b \U000105c0 \U0001e5d0"]
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = {i: tok.encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
+    assert 50256 in want[0]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rans.token_files(docs, P.path("byte_bpe_50k.json"), P.PATTERN, special=True).collect()}
+    assert got == want
