@@ -1,13 +1,13 @@
 """Operator 6: hierarchical Pitman-Yor language model over words.
 
-Restaurants: one per context, all sharing the unigram restaurant as parent, whose base is uniform over the V training
-words and one unknown word. A context is the previous word if it is one of the ``contexts`` most frequent training
-words, the start of a text, or "any other word".
+Restaurants: one per preceding training word and one for the start of a text, all sharing the unigram restaurant as
+parent, whose base is uniform over the V training words and one unknown word.
 
 1. texts are cut into words in blocks; per block the distinct (word, context) pairs with their training counts are dealt
-   by word, so a word's customers in all restaurants (at most contexts + 2 of them) meet in one task;
+   by word, so a word's customers in all restaurants meet in one task;
 2. Gibbs sweeps over that table: each sweep seats the customers of every dish anew given the parent's predictive
-   probability and the totals of the last sweep; sums per context come back (contexts + 3 numbers);
+   probability and the totals of the last sweep. Every task sends the customers and tables of its contexts to tasks dealt
+   by context, which add them up and send the totals back; only 8 numbers of the shared restaurant come to the driver;
 3. after burn-in the predictive probabilities of the sweeps are averaged; blocks get them per distinct pair and add
    up their documents' logarithms.
 """
@@ -24,12 +24,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common as C, units as U
 
-CONTEXTS = 255
-CANDIDATES = 4096  # a task's most frequent words, from which the context words are chosen
 BURN_IN, SAMPLES, SEED = 2, 3, 7
 BLOCK_WORDS = 4_000_000
 STRENGTH = 1.0
-END = np.uint64(0x5851F42D4C957F2D)  # stands for the end of a text
+END = np.uint64(0x5851F42D4C957F2D)  # stands for the end of a text, as a context for the start of one
 
 
 def held_out(doc_id) -> bool:
@@ -49,53 +47,30 @@ def _tokens(batch, cache):
     return out, np.concatenate([[0], ends + 1]).astype(np.int64)
 
 
-def _frequent():
-    def run(batches):
-        cache, parts = C.WordHash(), []
-        for batch in C.slices(batches):
-            t, off = _tokens(batch, cache)
-            train = np.repeat([not held_out(d) for d in batch.column("doc_id").to_pylist()], np.diff(off))
-            parts.append(np.unique(t[train & (t != END)], return_counts=True))
-        if parts:
-            h, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([p[1] for p in parts]), len(h)).astype(np.int64)
-            top = np.argsort(-n, kind="stable")[:CANDIDATES]
-            yield pa.RecordBatch.from_arrays([pa.array(C.signed(h[top])), pa.array(n[top])], ["h", "n"])
-    return run
-
-
-FIELDS = ["block", "part", "words", "ctx", "n", "ids", "lens", "seq", "pair_parts"]
-SCHEMA = "block long, part int, words binary, ctx binary, n binary, ids array<long>, lens array<int>, seq binary, pair_parts binary"
-KINDS = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
-
+FIELDS = ["block", "part", "words", "word_at", "ctxs", "ctx_at", "n", "ids", "lens", "seq", "pair_parts"]
+SCHEMA = ("block long, part int, words binary, word_at binary, ctxs binary, ctx_at binary, n binary, "
+          "ids array<long>, lens array<int>, seq binary, pair_parts binary")
+KINDS = [pa.int64(), pa.int32(), *[pa.binary()] * 5, pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
 
-def _blocks(context_words: np.ndarray, parts: int):
-    """context_words: sorted hashes; context k is the k-th, then start of text, then any other word."""
-    start, other = len(context_words), len(context_words) + 1
 
+def _blocks(parts: int):
+    """Per block and part: distinct words and contexts, and the pairs of places in them. The context is the word before."""
     def run(batches):
         cache, toks, ids, lens, train = C.WordHash(), [], [], [], []
 
         def close():
             t = np.concatenate(toks)
-            first = np.zeros(len(t), bool)
-            ends = np.cumsum(lens)
-            first[(ends - lens)[np.array(lens) > 0]] = True
-            prev = np.empty_like(t)
-            prev[1:] = t[:-1]
-            prev[:1] = 0
-            at = np.searchsorted(context_words, prev)
-            hit = at < len(context_words)
-            hit[hit] = context_words[at[hit]] == prev[hit]
-            ctx = np.where(first, start, np.where(hit, at, other)).astype(np.uint16)
             w, wi = np.unique(t, return_inverse=True)
-            pair, seq, count = np.unique(wi.astype(np.int64) * (other + 1) + ctx, return_inverse=True, return_counts=True)
+            ci = np.empty_like(wi)
+            ci[1:] = wi[:-1]  # every text ends with END, so the next one starts after it
+            ci[:1] = np.searchsorted(w, END)
+            pair, seq, count = np.unique(wi.astype(np.int64) * len(w) + ci, return_inverse=True, return_counts=True)
             seen = np.bincount(seq, np.repeat(train, lens), len(pair)).astype(np.int64)
             rank = np.empty(len(pair), np.uint32)
-            rank[np.argsort(-count, kind="stable")] = np.arange(len(pair), dtype=np.uint32)
             order = np.argsort(-count, kind="stable")
-            words, contexts, seen = w[pair[order] // (other + 1)], (pair[order] % (other + 1)).astype("<u2"), seen[order].astype("<u4")
-            part = (C.mix(words) % np.uint64(parts)).astype(np.uint32)
+            rank[order] = np.arange(len(pair), dtype=np.uint32)
+            words, contexts, seen = pair[order] // len(w), pair[order] % len(w), seen[order]
+            part = (C.mix(w) % np.uint64(parts)).astype(np.uint32)[words]
             by = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[by], np.arange(parts + 1))
             out = {k: [] for k in FIELDS}
@@ -107,7 +82,9 @@ def _blocks(context_words: np.ndarray, parts: int):
 
             for p in np.flatnonzero(np.diff(cuts)).tolist():
                 s = by[cuts[p]:cuts[p + 1]]
-                put(block=block, part=p, words=words[s].tobytes(), ctx=contexts[s].tobytes(), n=U.planes(seen[s]))
+                dw, at = np.unique(words[s], return_inverse=True)
+                dc, ctx_at = np.unique(contexts[s], return_inverse=True)
+                put(block=block, part=p, words=w[dw].tobytes(), word_at=U.planes(at), ctxs=w[dc].tobytes(), ctx_at=U.planes(ctx_at), n=U.planes(seen[s]))
             put(block=block, part=parts, ids=ids, lens=lens, seq=U.planes(rank[seq]), pair_parts=U.planes(part))
             return pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in zip(FIELDS, KINDS)], FIELDS)
 
@@ -125,34 +102,41 @@ def _blocks(context_words: np.ndarray, parts: int):
 
 # --- the restaurants -------------------------------------------------------
 
-MODEL = "part int, words binary, ctx binary, n binary, t binary, sums binary, kept binary"
+MODEL = "part int, words binary, runs binary, ctxs binary, ctx binary, n binary, t binary, sums binary, kept binary"
 
 
-def _customers(contexts: int):
-    """Rows sorted by part -> one row per part: its (word, context) customers, sorted by word."""
+def asked_pairs(row):
+    """(word hash, context hash) of every pair of a block's row."""
+    return (np.frombuffer(row["words"], np.uint64)[U.unplanes(row["word_at"])], np.frombuffer(row["ctxs"], np.uint64)[U.unplanes(row["ctx_at"])])
+
+
+def _customers():
+    """Rows sorted by part -> one row per part: its (word, context) customers, sorted by word; all contexts asked for."""
     def run(batches):
-        now, held = None, []
+        now, held, asked = None, [], []
 
         def close():
-            w = np.concatenate([h[0] for h in held])
-            c = np.concatenate([h[1] for h in held])
-            n = np.concatenate([h[2] for h in held])
-            w, c, n = w[n > 0], c[n > 0], n[n > 0]
+            ctxs = np.unique(np.concatenate(asked))
+            w, c, n = (np.concatenate([h[k] for h in held]) for k in range(3))
+            c = np.searchsorted(ctxs, c)
             order = np.lexsort((c, w))
             w, c, n = w[order], c[order], n[order]
             first = np.ones(len(w), bool)
             first[1:] = (w[1:] != w[:-1]) | (c[1:] != c[:-1])
             n = np.add.reduceat(n, np.flatnonzero(first)) if len(n) else n
-            return model_row(now, w[first], c[first], n, np.ones(len(n), np.int64), contexts, None)
+            return model_row(now, w[first], c[first], n, np.ones(len(n), np.int64), len(ctxs), None, ctxs=ctxs)
 
         for batch in batches:
-            for i, p in enumerate(batch.column("part").to_pylist()):
-                if held and p != now:
+            for i in range(batch.num_rows):
+                row = {k: batch.column(k)[i].as_py() for k in ("part", "words", "word_at", "ctxs", "ctx_at", "n")}
+                if held and row["part"] != now:
                     yield close()
-                    held = []
-                now = p
-                held.append((np.frombuffer(batch.column("words")[i].as_py(), np.uint64), np.frombuffer(batch.column("ctx")[i].as_py(), "<u2").astype(np.int64),
-                             U.unplanes(batch.column("n")[i].as_py()).astype(np.int64)))
+                    held, asked = [], []
+                now = row["part"]
+                w, c = asked_pairs(row)
+                n = U.unplanes(row["n"]).astype(np.int64)
+                held.append((w[n > 0], c[n > 0], n[n > 0]))
+                asked.append(np.frombuffer(row["ctxs"], np.uint64))
         if held:
             yield close()
     return run
@@ -166,19 +150,20 @@ def word_sums(w: np.ndarray, x: np.ndarray):
     return at, (np.add.reduceat(x, at) if len(at) else x[:0]), np.cumsum(first) - 1
 
 
-def model_row(part, w, c, n, t, contexts, tau, kept=b""):
-    """tau: the unigram restaurant's tables per distinct word, stored before the pairs' own tables; kept: earlier samples."""
+def model_row(part, w, c, n, t, contexts, tau, kept=b"", ctxs=np.zeros(0, np.uint64)):
+    """c: places in ctxs, the part's contexts. tau: the unigram restaurant's tables per distinct word, stored before the
+    pairs' own tables. kept: tables of earlier samples, each followed by the contexts' tables over all parts."""
     at, customers, _ = word_sums(w, t)
     tau = np.ones(len(at), np.int64) if tau is None else tau
     sums = np.concatenate([np.bincount(c, n, contexts), np.bincount(c, t, contexts),
                            [tau.sum(), customers.sum(), len(at), (n == 1).sum(), (n == 2).sum(), (customers == 1).sum(), (customers == 2).sum()]]).astype("<f8")
-    row = [part, w.tobytes(), c.astype("<u2").tobytes(), U.planes(n), U.planes(np.concatenate([tau, t])), sums.tobytes(), kept]
-    kinds = [pa.int32()] + [pa.binary()] * 6
-    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], ["part", "words", "ctx", "n", "t", "sums", "kept"])
+    row = [part, w[at].tobytes(), U.planes(np.diff(np.append(at, len(w)))), ctxs.tobytes(), U.planes(c), U.planes(n), U.planes(np.concatenate([tau, t])), sums.tobytes(), kept]
+    kinds = [pa.int32()] + [pa.binary()] * 8
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], ["part", "words", "runs", "ctxs", "ctx", "n", "t", "sums", "kept"])
 
 
 def read_row(row, tables=None):
-    w, c = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["ctx"], "<u2").astype(np.int64)
+    w, c = np.repeat(np.frombuffer(row["words"], np.uint64), U.unplanes(row["runs"])), U.unplanes(row["ctx"]).astype(np.int64)
     n, t = U.unplanes(row["n"]).astype(np.int64), U.unplanes(tables or row["t"]).astype(np.int64)
     at, _, index = word_sums(w, n)
     return w, c, n, t[len(at):], t[:len(at)], at, index
@@ -216,61 +201,162 @@ def seat(n: np.ndarray, a: np.ndarray, d: float, rng) -> np.ndarray:
     return t
 
 
-def _sweep(totals: Totals, contexts: int, turn: int, keep: bool):
+# --- totals per context ------------------------------------------------------
+
+SUMS = "part int, q int, ctxs binary, c binary, t binary"
+
+
+def _send(parts: int):
+    """Model rows -> per part and task q, which adds up: contexts, their customers and tables."""
     def run(batches):
+        for batch in batches:
+            for part, ctxs, sums in zip(*(batch.column(k).to_pylist() for k in ("part", "ctxs", "sums"))):
+                ctxs, sums = np.frombuffer(ctxs, np.uint64), np.frombuffer(sums, "<f8")
+                to = dealt(ctxs, parts)
+                out = []
+                for q in np.unique(to).tolist():
+                    at = np.flatnonzero(to == q)
+                    out.append((part, q, ctxs[at].tobytes(), U.planes(sums[at]), U.planes(sums[len(ctxs) + at])))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out), [pa.int32(), pa.int32(), *[pa.binary()] * 3])], ["part", "q", "ctxs", "c", "t"])
+    return run
+
+
+def dealt(ctxs: np.ndarray, parts: int) -> np.ndarray:
+    return (C.mix(ctxs) % np.uint64(parts)).astype(np.int64)
+
+
+def _add_up():
+    """Rows sorted by q -> the totals of the same contexts, one row for each that came."""
+    def run(batches):
+        now, held = None, []
+
+        def close():
+            h = np.concatenate([np.frombuffer(r[1], np.uint64) for r in held])
+            _, at = np.unique(h, return_inverse=True)
+            back = []
+            for k in (2, 3):
+                back.append(np.bincount(at, np.concatenate([U.unplanes(r[k]) for r in held])).astype("<i8")[at])
+            ends = np.cumsum([len(r[1]) // 8 for r in held]).tolist()
+            rows = [(r[0], now, None, U.pack([back[0][a:b].tobytes()]), U.pack([back[1][a:b].tobytes()])) for r, a, b in zip(held, [0, *ends], ends)]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), [pa.int32(), pa.int32(), *[pa.binary()] * 3])], ["part", "q", "ctxs", "c", "t"])
+
+        for batch in batches:
+            for part, q, *row in zip(*(batch.column(k).to_pylist() for k in ("part", "q", "ctxs", "c", "t"))):
+                if held and q != now:
+                    yield close()
+                    held = []
+                now = q
+                held.append((part, *row))
+        if held:
+            yield close()
+    return run
+
+
+def with_totals(model: DataFrame, parts: int, *more: DataFrame) -> DataFrame:
+    """Per part: its model row, the totals of its contexts (q, total_c, total_t), then its rows of ``more`` (with a block)."""
+    sent = model.select("part", "ctxs", "sums").mapInArrow(_send(parts), SUMS)
+    back = (sent.repartition("q").sortWithinPartitions("q").mapInArrow(_add_up(), SUMS)
+            .select("part", "q", F.col("c").alias("total_c"), F.col("t").alias("total_t")))
+    rows = model.drop("sums").unionByName(back, allowMissingColumns=True)
+    order = ["part", F.col("q").asc_nulls_first()]
+    for df in more:
+        rows, order = rows.unionByName(df, allowMissingColumns=True), ["part", F.col("block").asc_nulls_first(), F.col("q").asc_nulls_first()]
+    return rows.repartition("part").sortWithinPartitions(*order)
+
+
+class Part:
+    """A model row and the totals of its contexts as they come in."""
+
+    def __init__(self, row):
+        self.row, self.ctxs = row, np.frombuffer(row["ctxs"], np.uint64)
+        self.c, self.t = np.zeros(len(self.ctxs)), np.zeros(len(self.ctxs))
+
+    def take(self, row, parts: int):
+        at = np.flatnonzero(dealt(self.ctxs, parts) == row["q"])
+        self.c[at] = np.frombuffer(U.unpack(row["total_c"])[0], "<i8")
+        self.t[at] = np.frombuffer(U.unpack(row["total_t"])[0], "<i8")
+
+    def totals(self, shared, t=None) -> Totals:
+        return Totals(np.concatenate([self.c, self.t if t is None else t, shared]), len(self.ctxs))
+
+    def kept(self) -> list[bytes]:
+        """Tables and contexts' tables of the samples so far, the last one with the totals that came in."""
+        kept = U.unpack(self.row["kept"]) if self.row["kept"] else []
+        return kept + [U.pack([self.t.astype("<i8").tobytes()])] if kept else []
+
+
+def _sweep(shared: np.ndarray, parts: int, turn: int, keep: bool):
+    def run(batches):
+        part = None
+
+        def close():
+            totals = part.totals(shared)
+            w, c, n, t, tau, at, index = read_row(part.row)
+            rng = np.random.default_rng([SEED, turn, part.row["part"]])
+            customers = np.add.reduceat(t, at) if len(at) else t
+            up = totals.parent(customers, tau)[index]
+            t = seat(n, (STRENGTH + totals.d2 * totals.t[c]) * up, totals.d2, rng)
+            customers = np.add.reduceat(t, at) if len(at) else t
+            tau = seat(customers, np.full(len(at), (STRENGTH + totals.d1 * totals.tau) * totals.base), totals.d1, rng)
+            kept = part.kept()
+            if keep:
+                kept.append(U.planes(np.concatenate([tau, t])))
+            return model_row(part.row["part"], w, c, n, t, len(part.ctxs), tau, U.pack(kept) if kept else b"", part.ctxs)
+
         for batch in batches:
             for row in batch.to_pylist():
-                w, c, n, t, tau, at, index = read_row(row)
-                rng = np.random.default_rng([SEED, turn, row["part"]])
-                customers = np.add.reduceat(t, at) if len(at) else t
-                up = totals.parent(customers, tau)[index]
-                t = seat(n, (STRENGTH + totals.d2 * totals.t[c]) * up, totals.d2, rng)
-                customers = np.add.reduceat(t, at) if len(at) else t
-                tau = seat(customers, np.full(len(at), (STRENGTH + totals.d1 * totals.tau) * totals.base), totals.d1, rng)
-                kept = U.unpack(row["kept"]) if row["kept"] else []
-                if keep:
-                    kept.append(U.planes(np.concatenate([tau, t])))
-                yield model_row(row["part"], w, c, n, t, contexts, tau, U.pack(kept) if kept else b"")
+                if row["q"] is not None:
+                    part.take(row, parts)
+                    continue
+                if part:
+                    yield close()
+                part = Part(row)
+        if part:
+            yield close()
     return run
 
 
-def _answers(samples: list[Totals], contexts: int):
-    """Per part: its customers with the sampled tables first, then the asking blocks -> log10 P and counts per asked pair."""
+def _answers(shared: list[np.ndarray], parts: int):
+    """Per part: its customers with the sampled tables, the totals, then the asking blocks -> log10 P and counts per asked pair."""
     def run(batches):
-        now, models = None, []
+        part, models = None, None
+
+        def samples():
+            kept = part.kept()
+            for tables, t, s in zip(kept[::2], kept[1::2], shared):
+                w, c, n, own, tau, at, index = read_row(part.row, tables)
+                totals = part.totals(s, np.frombuffer(U.unpack(t)[0], "<i8"))
+                # pairs are sorted by (word, context): find the context inside the word's run
+                yield totals, w[at], np.add.reduceat(own, at) if len(at) else own, np.add.reduceat(n, at) if len(at) else n, tau, index * len(part.ctxs) + c, n, own
+
         for batch in batches:
             out = {k: [] for k in ("block", "part", "logp", "count")}
             for row in batch.to_pylist():
-                if row["part"] != now:
-                    now, models = row["part"], []
+                if row["q"] is not None:
+                    part.take(row, parts)
+                    continue
                 if row["block"] is None:
-                    models = [(k, read_row(row, tables)) for k, tables in enumerate(U.unpack(row["kept"]))]
+                    part, models = Part(row), None
                     continue
-                w = np.frombuffer(row["words"], np.uint64)
-                c = np.frombuffer(row["ctx"], "<u2").astype(np.int64)
+                models = models or list(samples())
+                w, c = asked_pairs(row)
+                c = np.searchsorted(part.ctxs, c)
                 p, count = np.zeros(len(w)), np.zeros(len(w), np.int64)
-                for k, (mw, mc, mn, mt, tau, at, _) in models:
-                    distinct = mw[at]
-                    customers, total = np.add.reduceat(mt, at), np.add.reduceat(mn, at)
-                    i = np.searchsorted(distinct, w)
-                    known = i < len(distinct)
-                    known[known] = distinct[i[known]] == w[known]
-                    i = np.where(known, i, 0)
-                    up = samples[k].parent(np.where(known, customers[i], 0), np.where(known, tau[i], 0))
-                    # pairs are sorted by (word, context): find the context inside the word's run
-                    key = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(mw)))) * contexts + mc
-                    j = np.searchsorted(key, i * contexts + c)
-                    there = known & (j < len(key))
-                    there[there] = key[j[there]] == (i * contexts + c)[there]
-                    j = np.where(there, j, 0)
-                    p += samples[k].child(c, np.where(there, mn[j], 0), np.where(there, mt[j], 0), up)
+                for totals, distinct, customers, total, tau, key, n, own in models:
+                    if not len(distinct):  # no training word of this part
+                        p += totals.child(c, np.zeros(len(w)), np.zeros(len(w)), totals.parent(np.zeros(len(w)), np.zeros(len(w))))
+                        continue
+                    i = np.minimum(np.searchsorted(distinct, w), len(distinct) - 1)
+                    known = distinct[i] == w
+                    up = totals.parent(np.where(known, customers[i], 0), np.where(known, tau[i], 0))
+                    k = i * len(part.ctxs) + c
+                    j = np.minimum(np.searchsorted(key, k), len(key) - 1)
+                    there = known & (key[j] == k)
+                    p += totals.child(c, np.where(there, n[j], 0), np.where(there, own[j], 0), up)
                     count = np.where(known, total[i], 0)
-                if not models:  # no training word of this part
-                    for s in samples:
-                        up = s.parent(np.zeros(len(w)), np.zeros(len(w)))
-                        p += s.child(c, np.zeros(len(w)), np.zeros(len(w)), up)
-                logp = np.log10(p / len(samples)).astype("<f4")
-                for k, v in (("block", row["block"]), ("part", now), ("logp", logp.tobytes()), ("count", U.planes(count))):
+                logp = np.log10(p / len(models)).astype("<f4")
+                for k, v in (("block", row["block"]), ("part", row["part"]), ("logp", logp.tobytes()), ("count", U.planes(count))):
                     out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out["block"], pa.int64()), pa.array(out["part"], pa.int32()),
                                               pa.array(out["logp"], pa.binary()), pa.array(out["count"], pa.binary())], list(out))
@@ -303,20 +389,27 @@ def _scores(train_tokens: int, vocabulary: int):
     return run
 
 
-def _total(model: DataFrame, contexts: int) -> Totals:
-    """Sum of the parts' 2 * contexts + 7 numbers, added up by Spark."""
+def _shared(model: DataFrame) -> np.ndarray:
+    """The shared restaurant's 7 sums and the number of customers, added up by Spark."""
     def run(batches):
         for batch in batches:
             for b in batch.column("sums"):
                 a = np.frombuffer(b.as_py(), "<f8")
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(a))), pa.array(a)], ["i", "x"])
-    sums = np.zeros(2 * contexts + 7)
+                x = np.append(a[-7:], a[:(len(a) - 7) // 2].sum())
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), pa.array(x)], ["i", "x"])
+    sums = np.zeros(8)
     for r in model.select("sums").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
         sums[r.i] = r.x
-    return Totals(sums, contexts)
+    return sums
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    """Give back the disk of a table that is not read again, and of the shuffles behind the one that was made from it."""
+    C.delete(spark, path)
+    spark.sparkContext._jvm.System.gc()
 
 
-def score_documents(docs: DataFrame, contexts: int = CONTEXTS, burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
+def score_documents(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per document.
 
     Learns from documents that are not held out (crc32 of the id modulo 5 is 1); a null id is never held out. Null and
@@ -324,24 +417,23 @@ def score_documents(docs: DataFrame, contexts: int = CONTEXTS, burn_in: int = BU
     word is unknown. An empty table gives no rows; other columns are not looked at.
     """
     docs = C.texts(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
-    parts = max(16, int(16 * math.sqrt(docs.rdd.getNumPartitions())))
-    top = docs.mapInArrow(_frequent(), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(contexts)
-    words = np.sort(np.array([r.h for r in top.collect()], np.int64).view(np.uint64))
-    restaurants = len(words) + 2
-    blocks = C.stage(docs.mapInArrow(_blocks(words, parts), SCHEMA), "blocks")
-    asked = blocks.where("words is not null").select("block", "part", "words", "ctx", "n")
-    model = C.stage(asked.drop("block").repartition("part").sortWithinPartitions("part").mapInArrow(_customers(restaurants), MODEL), "model")
-    totals = _total(model, restaurants)
-    train_tokens, vocabulary = int(totals.c.sum()), int(totals.vocabulary)
+    spark, parts = docs.sparkSession, max(16, int(16 * math.sqrt(docs.rdd.getNumPartitions())))
+    blocks = C.stage(docs.mapInArrow(_blocks(parts), SCHEMA), "blocks")
+    asked = blocks.where("words is not null").select("block", "part", "words", "word_at", "ctxs", "ctx_at", "n")
+    model = C.stage(asked.drop("block").repartition("part").sortWithinPartitions("part").mapInArrow(_customers(), MODEL), "model")
+    shared = _shared(model)
+    train_tokens, vocabulary = int(shared[7]), int(shared[2])
     chosen = []
     for turn in range(burn_in + samples):
-        model = C.stage(model.mapInArrow(_sweep(totals, restaurants, turn, turn >= burn_in), MODEL), "model")
-        totals = _total(model, restaurants)
+        before = C._TABLES[-1][1]
+        model = C.stage(with_totals(model, parts).mapInArrow(_sweep(shared[:7], parts, turn, turn >= burn_in), MODEL), "model")
+        _forget(spark, before)
+        shared = _shared(model)
         if turn >= burn_in:
-            chosen.append(totals)
-    ask = asked.drop("n").unionByName(model.drop("sums", "t"), allowMissingColumns=True)
-    answers = (ask.repartition("part").sortWithinPartitions("part", F.col("block").asc_nulls_first())
-               .mapInArrow(_answers(chosen, restaurants), "block long, part int, logp binary, count binary"))
+            chosen.append(shared[:7])
+    before = C._TABLES[-1][1]
+    answers = C.stage(with_totals(model, parts, asked.drop("n")).mapInArrow(_answers(chosen, parts), "block long, part int, logp binary, count binary"), "answers")
+    _forget(spark, before)
     whole = blocks.where("words is null").select("block", "part", "ids", "lens", "seq", "pair_parts").unionByName(answers, allowMissingColumns=True)
     return whole.repartition("block").sortWithinPartitions("block", "part").mapInArrow(
         _scores(train_tokens, vocabulary),

@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers as P
 from tokenizers import Tokenizer
 
-from pagelens.llm import rans
+from pagelens.llm import pitman_yor, rans
 
 
 def test_token_files_equal_the_library(spark):
@@ -17,3 +17,15 @@ def test_token_files_equal_the_library(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rans.token_files(docs, P.path("byte_bpe_50k.json"), P.PATTERN, special=True).collect()}
     assert got == want
+
+
+def test_pitman_yor_learns_every_context(spark):
+    """600 words, each always followed by its own partner: far more contexts than any fixed number of restaurants."""
+    train = [i for i in range(2000) if not pitman_yor.held_out(i)][:100]
+    held = [i for i in range(2000, 20000) if pitman_yor.held_out(i)]
+    rows = [(i, " ".join(f"x{k} y{k} z" for k in range(k0, 600, 7))) for k0, i in zip([*range(7)] * 12, train)]
+    rows += [(held[2 * k], f"x{k} y{k}") for k in range(600)] + [(held[2 * k + 1], f"x{k} y{(k + 1) % 600}") for k in range(600)]
+    got = {r.doc_id: r.score for r in pitman_yor.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert sum(got[held[2 * k]] > got[held[2 * k + 1]] + 1 for k in range(600)) == 600
+    # without training documents every word is unknown
+    assert [r.n_known for r in pitman_yor.score_documents(spark.createDataFrame([(held[0], "a b")], "doc_id long, text string")).collect()] == [0]
