@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers as P
 from tokenizers import Tokenizer
 
-from pagelens.llm import pitman_yor, rans
+from pagelens.llm import chat_threads, pitman_yor, rans
 
 
 def test_token_files_equal_the_library(spark):
@@ -29,3 +29,13 @@ def test_pitman_yor_learns_every_context(spark):
     assert sum(got[held[2 * k]] > got[held[2 * k + 1]] + 1 for k in range(600)) == 600
     # without training documents every word is unknown
     assert [r.n_known for r in pitman_yor.score_documents(spark.createDataFrame([(held[0], "a b")], "doc_id long, text string")).collect()] == [0]
+
+
+def test_quotes_are_linked_by_whole_passages(spark):
+    msgs = [(0, "Start here\nThanks."), (1, "other"), (2, "My answer\n\nThanks."), (3, "> My answer\n>\n> Thanks.\nok"),
+            (4, "> My answer\n> edited\n> Thanks.\nhm"),  # no message has it as a whole: lines still count
+            (5, ">> start here\n> ok"), (6, "> ok\n\n> hm\n> not there")]
+    frame = spark.createDataFrame([("e", t, "a", x) for t, x in msgs], "conv_id string, turn long, role string, text string")
+    got = {r.turn: (r.reply_to, r.root_turn, r.depth, r.n_quoted, r.n_linked) for r in chat_threads.quote_links(frame).collect()}
+    assert got == {0: (None, 0, 0, 0, 0), 1: (None, 1, 0, 0, 0), 2: (None, 2, 0, 0, 0), 3: (2, 2, 1, 2, 2), 4: (2, 2, 1, 3, 2),
+                   5: (3, 2, 2, 2, 2), 6: (4, 2, 2, 3, 2)}
