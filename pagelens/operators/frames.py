@@ -3,8 +3,8 @@
 Child documents come from two places: ``srcdoc`` (parsed with the parent page,
 same origin by definition) and ``src`` (another captured page whose url equals
 the resolved src). ``src`` children are attached by an equi join on the
-resolved url, level by level up to a fixed nesting bound, which also stops
-cycles (a page embedding itself).
+resolved url, level by level with all frames of the embedded page, until no
+new frame is found; a branch stops where a url equals an ancestor's (cycles).
 """
 
 from __future__ import annotations
@@ -108,27 +108,61 @@ def src_frame_rows(elements: DataFrame, frames: DataFrame, page_urls: DataFrame)
                     F.col("url").alias("main_url")))
 
 
+def nested_id(kind: str, parent: Column, child: Column) -> Column:
+    """Frame ids of deeper levels: above all those of ``src_frame_rows``."""
+    return F.lit(1 << 62).bitwiseOR(F.xxhash64(F.lit(kind), parent.cast("long"), child.cast("long")).bitwiseAND(F.lit((1 << 62) - 1)))
+
+
+def embedded_id(host: Column, frame_id: Column) -> Column:
+    """Id of a frame of an embedded page: its main document is the embedding frame ``host`` itself."""
+    return F.when(frame_id == 0, host).otherwise(nested_id("embedded", host, frame_id))
+
+
 def attach_src_frames(elements: DataFrame, frames: DataFrame, page_urls: DataFrame):
     """Documents of same-origin ``src`` frames come from the captured page
-    with that url (equi join on url). One level deep: the embedded document's
-    own frames are not followed, which also stops self-embedding cycles.
+    with that url (equi join on url), with the frames inside it (srcdoc and
+    src), level by level on the newly attached frames. A frame whose url equals
+    an ancestor's has no document.
 
     Returns the deltas (embedded elements, src frame rows): frames whose
     document is not captured, or that are cross-origin, have no elements.
     """
-    src = src_frame_rows(elements, frames, page_urls)
-    same = F.coalesce(url_origin(F.col("frame_url")) == url_origin(F.col("main_url")), F.lit(False))
-    src = src.withColumn("_same", same)
+    from pagelens.plans.extract import persist
     # a url captured more than once embeds its latest capture (the largest page_id), so a frame has one document
     target = page_urls.groupBy(F.col("url").alias("frame_url")).agg(F.max("page_id").alias("src_page_id"))
-    linked = src.filter(F.col("_same")).join(target, "frame_url")
-    emb_el = (elements.filter(F.col("frame_id") == 0).withColumnRenamed("page_id", "src_page_id").drop("frame_id")
-              .join(linked.select("src_page_id", "page_id", "frame_id"), "src_page_id").drop("src_page_id"))
-    emb_fr = (frames.filter(F.col("frame_id") == 0)
-              .select(F.col("page_id").alias("src_page_id"), "text", "mtext")
-              .join(linked.select("src_page_id", "page_id", "frame_id", "parent_frame_id", "host_eid", "frame_key",
-                                  "frame_url"), "src_page_id").drop("src_page_id"))
-    bare = (src.join(emb_fr.select("page_id", "frame_id"), ["page_id", "frame_id"], "left_anti")
+    links = persist(src_frame_rows(elements, frames, page_urls).join(target, "frame_url", "left"))
+    down = links.select(F.col("page_id").alias("src_page_id"), F.col("parent_frame_id").alias("_parent"), "host_eid",
+                        F.col("frame_key").alias("_key"), F.col("frame_url").alias("_url"), F.col("src_page_id").alias("_to"))
+    level = links.withColumn("above", F.array("main_url"))
+    attached = None
+    while True:
+        loads = F.coalesce((url_origin(F.col("frame_url")) == url_origin(F.col("main_url")))
+                           & ~F.array_contains("above", F.col("frame_url")), F.lit(False))
+        level = persist(level.select("page_id", "frame_id", "parent_frame_id", "host_eid", "frame_key", "frame_url", "main_url", "above",
+                                     F.when(loads, F.col("src_page_id")).alias("src_page_id")))
+        attached = level if attached is None else attached.unionByName(level)
+        opened = level.filter(F.col("src_page_id").isNotNull())
+        if opened.isEmpty():
+            break
+        level = (opened.drop("host_eid", "parent_frame_id").join(down, "src_page_id")
+                 .withColumn("parent_frame_id", embedded_id(F.col("frame_id"), F.col("_parent")))
+                 .select("page_id", nested_id("src", F.col("parent_frame_id"), F.col("host_eid")).alias("frame_id"), "parent_frame_id", "host_eid",
+                         F.concat("frame_key", "_key").alias("frame_key"), F.col("_url").alias("frame_url"), "main_url",
+                         F.concat("above", F.array("frame_url")).alias("above"), F.col("_to").alias("src_page_id")))
+    linked = attached.filter(F.col("src_page_id").isNotNull())
+    own = F.col("_frame") == 0
+    emb_el = (elements.withColumnRenamed("page_id", "src_page_id").withColumnRenamed("frame_id", "_frame")
+              .join(linked.select("src_page_id", "page_id", F.col("frame_id").alias("_host")), "src_page_id")
+              .withColumn("frame_id", embedded_id(F.col("_host"), F.col("_frame"))))
+    emb_fr = (frames.select(F.col("page_id").alias("src_page_id"), F.col("frame_id").alias("_frame"), F.col("parent_frame_id").alias("_parent"),
+                            F.col("host_eid").alias("_eid"), F.col("frame_key").alias("_key"), F.col("frame_url").alias("_url"), "text", "mtext")
+              .join(linked.withColumnRenamed("frame_id", "_host"), "src_page_id")
+              .select("page_id", embedded_id(F.col("_host"), F.col("_frame")).alias("frame_id"),
+                      F.when(own, F.col("parent_frame_id")).otherwise(embedded_id(F.col("_host"), F.col("_parent"))).alias("parent_frame_id"),
+                      F.when(own, F.col("host_eid")).otherwise(F.col("_eid")).alias("host_eid"),
+                      F.concat("frame_key", F.coalesce("_key", F.array().cast("array<int>"))).alias("frame_key"),
+                      F.when(own, F.col("frame_url")).otherwise(F.col("_url")).alias("frame_url"), "text", "mtext"))
+    bare = (attached.filter(F.col("src_page_id").isNull())
             .select("page_id", "frame_id", "parent_frame_id", "host_eid", "frame_key", "frame_url",
                     F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("mtext")))
     return emb_el.select(*elements.columns), emb_fr.select(*frames.columns).unionByName(bare.select(*frames.columns))
