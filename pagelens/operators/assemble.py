@@ -27,10 +27,13 @@ NODE_FIELDS = ["kind", "tag", "role", "in_shadow", "frame_path", "form_group", "
                "primary_locator", "fallback_locators", "properties", "context_note"]
 
 
-def cap_nodes(nodes: DataFrame, max_nodes: int) -> DataFrame:
+NO_LIMIT = 1 << 62
+
+
+def cap_nodes(nodes: DataFrame, max_nodes: int | None) -> DataFrame:
     """Sequence of nodes per page in frame order then document order."""
     w = Window.partitionBy("page_id").orderBy("frame_key", "eid")
-    return nodes.withColumn("seq", F.row_number().over(w)).withColumn("within_budget", F.col("seq") <= max_nodes)
+    return nodes.withColumn("seq", F.row_number().over(w)).withColumn("within_budget", F.col("seq") <= (NO_LIMIT if max_nodes is None else max_nodes))
 
 
 def cross_origin_markers(frame_tree: DataFrame, hosts: DataFrame, shown: DataFrame) -> DataFrame | None:
@@ -75,7 +78,7 @@ def cross_origin_markers(frame_tree: DataFrame, hosts: DataFrame, shown: DataFra
 
 def page_metadata(ex, opts) -> DataFrame:
     """A2 / A3 / A7 / Q3 per page, notes in the contract's order."""
-    max_nodes = opts.max_nodes
+    max_nodes = NO_LIMIT if opts.max_nodes is None else opts.max_nodes
     ft = ex.frame_tree
     nodes = ex.nodes
     el = ex.elements
@@ -93,7 +96,7 @@ def page_metadata(ex, opts) -> DataFrame:
                     F.concat(F.lit("[frame "), F.array_join("frame_path", " > "), F.lit("] "))).otherwise(F.lit(""))
     depth_note = F.when(walked & F.col("deep_eid").isNotNull()
                         & (F.col("break_eid").isNull() | (F.col("deep_eid") < F.col("break_eid"))),
-                        F.struct(F.col("deep_eid").alias("pos"), F.concat(prefix, F.lit(NOTE_DEPTH)).alias("note")))
+                        F.struct(F.col("deep_eid").alias("pos"), F.concat(prefix, F.lit(NOTE_DEPTH.replace("50", str(opts.max_depth)))).alias("note")))
     cap_note = F.when(walked & F.col("break_eid").isNotNull(),
                       F.struct(F.col("break_eid").alias("pos"),
                                F.concat(prefix, F.replace(F.lit(NOTE_NODES), F.lit("{n}"),

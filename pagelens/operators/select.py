@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pagelens.schema import (
     FORM_ASSOCIATED_TAGS,
     INCLUDED_ROLES,
-    MAX_DEPTH,
     NATIVE_INTERACTIVE_TAGS,
     SKIP_TAGS,
 )
@@ -37,17 +36,17 @@ def covered(flag: Column, strict: bool = False) -> Column:
     return F.coalesce(reach >= F.col("eid"), F.lit(False))
 
 
-def with_walk_flags(elements: DataFrame) -> DataFrame:
+def with_walk_flags(elements: DataFrame, max_depth: int | None) -> DataFrame:
     """Adds ``walked`` (the traversal visits the element), ``depth_hit`` (the
-    element is where the depth cap stops the traversal) and ``closed_host``."""
+    element is where the depth cap stops the traversal, never without a cap) and ``closed_host``."""
     in_skip = covered(F.col("tag").isin(SKIP_TAGS))
     under_closed = covered(F.col("shadow_mode") == "closed", strict=True)
     reachable = ~in_skip & ~under_closed
     return (
         elements.withColumn("_reach", reachable)
         .withColumns({
-            "walked": F.col("_reach") & (F.col("depth") <= MAX_DEPTH),
-            "depth_hit": F.col("_reach") & (F.col("depth") == MAX_DEPTH + 1),
+            "walked": F.col("_reach") & (F.col("depth") <= max_depth if max_depth is not None else F.lit(True)),
+            "depth_hit": F.col("_reach") & (F.col("depth") == max_depth + 1 if max_depth is not None else F.lit(False)),
             "closed_host": F.coalesce(F.col("shadow_mode") == "closed", F.lit(False)),
         })
         .drop("_reach")

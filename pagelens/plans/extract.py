@@ -9,7 +9,7 @@ Execution shape (see README "Plan"):
      ancestor facts by one path explode + join + aggregate;
   4. candidate keys are de-duplicated per frame before matching; the
      value-containment joins are salted by frame size;
-  5. the nested extract groups at most ``max_nodes`` nodes per page.
+  5. the nested extract groups the nodes of a page, at most ``max_nodes`` if set.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pagelens.operators import assemble, frames as FR, locate as L, relate as R
 from pagelens.operators.select import FRAME, included, with_walk_flags
 from pagelens.schema import (
     DEFAULT_MAX_NODES,
+    MAX_DEPTH,
     LIVE_REGION_ROLES,
     NOTE_CLICK_TARGET,
     NOTE_CLOSED_SHADOW,
@@ -42,7 +43,8 @@ SUBJECT_TAGS = ["input", "button", "a", "select", "textarea", "label", "option",
 @dataclass(frozen=True)
 class ExtractOptions:
     include_hidden: bool = True
-    max_nodes: int = DEFAULT_MAX_NODES
+    max_nodes: int | None = DEFAULT_MAX_NODES  # None: no limit
+    max_depth: int | None = MAX_DEPTH          # None: no limit
     include_click_targets: bool = False
     viewport: str = "desktop"
     match: str = "contains"          # locator match mode: "contains" or "exact"
@@ -91,6 +93,7 @@ class Extraction:
         "max_nodes": ["parsed", "_split", "_with_src_frames", "style_rules", "elements", "frame_tree", "frame_base", "subjects",
                       "raw_nodes", "match_universe", "candidates", "match_pairs", "locators",
                       "elements_with_hosts", "page_urls"],
+        "max_depth": ["parsed", "_split", "_with_src_frames", "style_rules", "page_urls"],
         "include_hidden": ["parsed", "_split", "_with_src_frames", "style_rules", "elements", "frame_tree", "frame_base", "subjects",
                            "raw_nodes", "match_universe", "candidates", "match_pairs", "locators", "nodes",
                            "elements_with_hosts", "page_urls"],
@@ -169,7 +172,7 @@ class Extraction:
     @cached_property
     def elements(self) -> DataFrame:
         """Every element with walk flags, style values and inherited visibility flags."""
-        el = with_walk_flags(self.elements_raw)
+        el = with_walk_flags(self.elements_raw, self.opts.max_depth)
         el = R.with_styles(el, self.style_rules)
         el = R.with_inherited_flags(el)
         return persist(el)

@@ -17,6 +17,8 @@ from pagelens.plans.extract import ExtractOptions, Extraction
 from pagelens.session import configure
 from pagelens.sources.pages import read_pages
 
+# pages are extracted as a whole; only the cap queries set the limits
+WHOLE = {"max_nodes": None, "max_depth": None}
 _CACHE: dict = {}
 
 
@@ -30,7 +32,7 @@ def extraction(spark: SparkSession, sf_dir: str, **opts) -> Extraction:
         if opts:
             ex = extraction(spark, sf_dir).with_options(**opts)
         else:
-            ex = Extraction(read_pages(spark, sf_dir), ExtractOptions())
+            ex = Extraction(read_pages(spark, sf_dir), ExtractOptions(**WHOLE))
         _CACHE[key] = ex
     return ex
 
@@ -252,7 +254,7 @@ def board_extraction(spark, sf_dir, **opts) -> Extraction:
         if opts:
             ex = board_extraction(spark, sf_dir).with_options(**opts)
         else:
-            ex = Extraction(board_pages(read_table(spark, sf_dir, "orders")), ExtractOptions())
+            ex = Extraction(board_pages(read_table(spark, sf_dir, "orders")), ExtractOptions(**WHOLE))
         _CACHE[key] = ex
     return ex
 
@@ -293,7 +295,7 @@ def card_extraction(spark, sf_dir) -> Extraction:
     ex = _CACHE.get(key)
     if ex is None:
         configure(spark)
-        ex = Extraction(card_pages(read_table(spark, sf_dir, "supplier")), ExtractOptions(include_click_targets=True))
+        ex = Extraction(card_pages(read_table(spark, sf_dir, "supplier")), ExtractOptions(include_click_targets=True, **WHOLE))
         _CACHE[key] = ex
     return ex
 
@@ -321,7 +323,7 @@ def form_extraction(spark, sf_dir) -> Extraction:
     ex = _CACHE.get(key)
     if ex is None:
         configure(spark)
-        ex = Extraction(form_pages(read_table(spark, sf_dir, "part")), ExtractOptions())
+        ex = Extraction(form_pages(read_table(spark, sf_dir, "part")), ExtractOptions(**WHOLE))
         _CACHE[key] = ex
     return ex
 
@@ -359,7 +361,7 @@ def frame_extraction(spark, sf_dir) -> Extraction:
     if ex is None:
         configure(spark)
         ex = Extraction(frame_pages(read_table(spark, sf_dir, "nation"), read_table(spark, sf_dir, "region")),
-                        ExtractOptions())
+                        ExtractOptions(**WHOLE))
         _CACHE[key] = ex
     return ex
 
@@ -404,7 +406,7 @@ def q_gate_selector(spark, sf_dir):
 
 def q_cap_depth(spark, sf_dir):
     """pages where the depth cap stops the traversal (with the depth note)."""
-    ex = extraction(spark, sf_dir)
+    ex = extraction(spark, sf_dir, max_depth=50)
     deep = ex.elements.filter(F.col("depth_hit")).select("page_id").distinct().withColumn("hit", F.lit(True))
     m = ex.page_meta.join(deep, "page_id", "left")
     return m.select("page_id", F.coalesce("hit", F.lit(False)).alias("depth_capped"),
@@ -422,7 +424,7 @@ def q_diff_states(spark, sf_dir):
     if after is None:
         configure(spark)
         after = Extraction(board_pages_after_save(read_table(spark, sf_dir, "orders")),
-                           ExtractOptions(after_actions=1))
+                           ExtractOptions(after_actions=1, **WHOLE))
         _CACHE[key] = after
     before = board_extraction(spark, sf_dir)
     b = before.kept_nodes.join(before.pages.select("page_id", "url"), "page_id")
