@@ -12,17 +12,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions.url import url_host, url_hostport, url_path
+from pagelens.operators.select import covered
+from pagelens.operators.selectors import compile_selectors, match_selectors, split_list
 from pagelens.schema import LOGGED_OUT_PATTERN
 
 # Example allow list used by the registered gate query (hosts of the kind in `pages`).
 DEMO_ALLOWED_HOSTS = ["*.example.net", "therwh.example.org", "localhost:8080"]
 
-# Refusal texts of the URL gate.
+# Refusal texts of the URL gate.
 REFUSE_INVALID = "Not a valid URL: {url}"
 REFUSE_SCHEME = "Only http/https URLs are allowed (got scheme '{scheme}')."
-REFUSE_UNSET = ("QA_MCP_ALLOWED_HOSTS is not set. Set it to a comma-separated list of staging hostnames; "
-                "navigation is denied by default.")
-REFUSE_HOST = "Host '{host}' is not in QA_MCP_ALLOWED_HOSTS ({hosts})."
+REFUSE_UNSET = "allowed_hosts is empty. Pass a list of staging hostnames; opening pages is denied by default."
+REFUSE_HOST = "Host '{host}' is not in allowed_hosts ({hosts})."
 
 
 def normalize_hosts(hosts) -> list:
@@ -39,7 +40,7 @@ def refusal(url: Column, hosts) -> Column:
     if hosts:
         entries = F.array(*[F.lit(h) for h in hosts])
         allowed = F.exists(entries, lambda e: F.when(e.startswith("*."),
-                                                      host.endswith(F.substring(e, 2, 1 << 20)) | (host == F.substring(e, 3, 1 << 20)))
+                                                      host.endswith(F.substring(e, F.lit(2), F.length(e))) | (host == F.substring(e, F.lit(3), F.length(e))))
                            .when(F.instr(e, ":") > 0, hostport == e)
                            .otherwise(host == e))
         host_refusal = F.when(~allowed, F.replace(F.replace(F.lit(REFUSE_HOST), F.lit("{host}"), hostport),
@@ -96,38 +97,45 @@ WAIT_SELECTOR_MESSAGE = "wait_selector '{selector}' did not appear within 15s."
 WAIT_SELECTOR_HINT = "Verify the selector, or extract without it to inspect what the page actually contains."
 
 
-def selector_matches(elements: DataFrame, selector: str) -> DataFrame:
-    """Elements of the main document matching a simple compound selector
-    (``tag``, ``#id``, ``.class``, ``[attr]``, ``[attr="v"]`` and combinations)."""
-    import re
-
-    tag = re.match(r"^([A-Za-z][A-Za-z0-9-]*)", selector)
-    ids = re.findall(r"#([A-Za-z0-9_-]+)", selector)
-    classes = re.findall(r"\.([A-Za-z0-9_-]+)", selector)
-    attrs = re.findall(r"\[([^\]=]+)(?:=\"?([^\]\"]*)\"?)?\]", selector)
-    cond = (F.col("frame_id") == 0) & (F.col("root_id") == 0)
-    if tag:
-        cond = cond & (F.col("tag") == tag.group(1).lower())
-    for i in ids:
-        cond = cond & (F.col("attrs")["id"] == i)
-    if classes:
-        cls = F.split(F.trim(F.coalesce(F.col("attrs")["class"], F.lit(""))), r"\s+")
-        for c in classes:
-            cond = cond & F.array_contains(cls, c)
-    for name, value in attrs:
-        a = F.col("attrs")[name.strip().lower()]
-        cond = cond & (a == value if value else a.isNotNull())
-    return elements.filter(cond)
-
-
-def presence_gate(pages: DataFrame, elements: DataFrame, selector: str):
-    """pages whose main document contains ``selector`` pass (left semi join);
-    the others become ``wait_selector_timeout`` error rows (left anti join)."""
-    hits = selector_matches(elements, selector).select("page_id")
-    passed = pages.join(hits, "page_id", "left_semi")
-    failed = pages.join(hits, "page_id", "left_anti").select(
-        "page_id", "url",
-        F.struct(F.lit("wait_selector_timeout").alias("code"),
-                 F.lit(WAIT_SELECTOR_MESSAGE.replace("{selector}", selector)).alias("message"),
-                 F.lit(WAIT_SELECTOR_HINT).alias("hint")).alias("error"))
-    return passed, failed
+SELECTOR_UNSUPPORTED = "wait_selector '{selector}' is not evaluated: {reason}."
+SELECTOR_HINT = "Use tags, ids, classes, attributes, child positions, :not() / :is() and the combinators of CSS."
+
+
+def presence(pages: DataFrame, elements: DataFrame, selectors: list[str], keep=lambda df: df) -> DataFrame:
+    """F6 for several selectors at once: (page_id, url, selector, present, error), a row per page and selector.
+
+    A selector list holds where any of its selectors matches an element of the main document, open shadow trees included. An
+    error row says that the selector is absent, or that it is not evaluated at all.
+    """
+    spark = pages.sparkSession
+    asked = spark.createDataFrame([(i, s) for i, s in enumerate(selectors)], "no int, whole string")  # the caller's list
+    items = compile_selectors(asked.select("no", "whole", F.posexplode_outer(split_list(F.col("whole"))).alias("item", "selector")))
+    reason = F.first("reason", ignorenulls=True).alias("reason")
+    state = items.groupBy("no", "whole").agg(reason)
+    # one refused selector refuses its list
+    usable = items.join(state.filter(F.col("reason").isNull()).select("no"), "no").select("no", "item", "steps")
+    closed = covered(F.col("shadow_mode") == "closed", strict=True)
+    main = elements.filter(F.col("frame_id") == 0).withColumn("_closed", closed).filter(~F.col("_closed")).drop("_closed")
+    hits = match_selectors(main, usable, ["no", "item"], [], keep, pierce=True).select("page_id", "no").distinct().withColumn("hit", F.lit(True))
+    rows = pages.select("page_id", "url", F.explode(F.array(*[F.lit(i) for i in range(len(selectors))])).alias("no"))
+    rows = rows.join(F.broadcast(state), "no").join(hits, ["page_id", "no"], "left")
+    text = lambda template, **of: _fill(F.lit(template), of)
+    refused, absent = F.col("reason").isNotNull(), F.col("hit").isNull()
+    error = F.when(refused, F.struct(F.lit("wait_selector_unsupported").alias("code"), text(SELECTOR_UNSUPPORTED, selector=F.col("whole"), reason=F.col("reason")).alias("message"),
+                                     F.lit(SELECTOR_HINT).alias("hint"))) \
+        .when(absent, F.struct(F.lit("wait_selector_timeout").alias("code"), text(WAIT_SELECTOR_MESSAGE, selector=F.col("whole")).alias("message"),
+                               F.lit(WAIT_SELECTOR_HINT).alias("hint")))
+    return rows.select("page_id", "url", F.col("whole").alias("selector"), (~refused & ~absent).alias("present"), error.alias("error"))
+
+
+def _fill(template: Column, of: dict[str, Column]) -> Column:
+    for name, value in of.items():
+        template = F.replace(template, F.lit("{" + name + "}"), value)
+    return template
+
+
+def presence_gate(pages: DataFrame, elements: DataFrame, selector: str, keep=lambda df: df):
+    """(pages whose main document holds ``selector``, error rows of the others)."""
+    found = presence(pages, elements, [selector], keep)
+    passed = pages.join(found.filter("present").select("page_id"), "page_id", "left_semi")
+    return passed, found.filter(~F.col("present")).select("page_id", "url", "error")

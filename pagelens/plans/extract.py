@@ -88,16 +88,17 @@ class Extraction:
 
     # stages an option first influences; everything upstream is shared by with_options()
     _SHARED_UNTIL = {
-        "match": ["parsed", "_split", "_with_src_frames", "style_rules", "elements", "frame_tree", "frame_base", "subjects",
+        "match": ["parsed", "_split", "_with_src_frames", "css_rules", "style_rules", "elements", "frame_tree", "frame_base", "subjects",
                   "raw_nodes", "match_universe", "candidates", "elements_with_hosts", "page_urls"],
-        "max_nodes": ["parsed", "_split", "_with_src_frames", "style_rules", "elements", "frame_tree", "frame_base", "subjects",
+        "max_nodes": ["parsed", "_split", "_with_src_frames", "css_rules", "style_rules", "elements", "frame_tree", "frame_base", "subjects",
                       "raw_nodes", "match_universe", "candidates", "match_pairs", "locators",
                       "elements_with_hosts", "page_urls"],
-        "max_depth": ["parsed", "_split", "_with_src_frames", "style_rules", "page_urls"],
-        "include_hidden": ["parsed", "_split", "_with_src_frames", "style_rules", "elements", "frame_tree", "frame_base", "subjects",
+        "max_depth": ["parsed", "_split", "_with_src_frames", "css_rules", "style_rules", "page_urls"],
+        "viewport": ["parsed", "_split", "_with_src_frames", "page_urls"],
+        "include_hidden": ["parsed", "_split", "_with_src_frames", "css_rules", "style_rules", "elements", "frame_tree", "frame_base", "subjects",
                            "raw_nodes", "match_universe", "candidates", "match_pairs", "locators", "nodes",
                            "elements_with_hosts", "page_urls"],
-        "after_actions": ["parsed", "_split", "_with_src_frames", "style_rules", "elements", "frame_tree", "frame_base", "subjects",
+        "after_actions": ["parsed", "_split", "_with_src_frames", "css_rules", "style_rules", "elements", "frame_tree", "frame_base", "subjects",
                           "raw_nodes", "match_universe", "candidates", "match_pairs", "locators", "nodes",
                           "kept_nodes", "elements_with_hosts", "page_urls"],
     }
@@ -157,17 +158,28 @@ class Extraction:
     def page_urls(self) -> DataFrame:
         return self.pages.select("page_id", "url")
 
+    @cached_property
+    def css_rules(self) -> DataFrame | None:
+        """The compiled rules that set a relevant property; None when no page has one."""
+        from pagelens.operators.styles import css_declarations, css_rules
+        declarations = persist(css_declarations(self.elements_raw, self.frames_raw, self.opts.viewport))
+        return None if declarations.isEmpty() else persist(css_rules(declarations))
+
+    @property
+    def style_notes(self) -> DataFrame:
+        """Selectors of relevant rules that are not evaluated, with the reason."""
+        from pagelens.operators.styles import RULE, style_notes
+        if self.css_rules is None:
+            none = ", ".join(f"{c} long" for c in [*FRAME, "root_id", *RULE])
+            return self.spark.createDataFrame([], f"{none}, selector string, reason string")
+        return style_notes(self.css_rules)
+
     @cached_property
     def style_rules(self) -> DataFrame | None:
-        if not self.use_style_rules:
-            return None
-        from pagelens.operators.styles import css_rules, stylesheet_values
-        # the rule table is small (one row per selector and property): materialise it
-        # and skip the element joins entirely when no rule sets a relevant property
-        rules = persist(css_rules(self.elements_raw, self.frames_raw, self.opts.viewport))
-        if rules.limit(1).count() == 0:
+        from pagelens.operators.styles import stylesheet_values
+        if not self.use_style_rules or self.css_rules is None:
             return None
-        return stylesheet_values(self.elements_raw, self.frames_raw, self.opts.viewport, rules=rules)
+        return stylesheet_values(self.elements_raw, self.css_rules, persist)
 
     @cached_property
     def elements(self) -> DataFrame:

@@ -76,7 +76,7 @@ SELECT page_id, url, ({allowed}) AS allowed,
        CASE WHEN ({allowed}) THEN NULL ELSE 'url_not_allowed' END AS error_code,
        CASE WHEN {SCHEME} NOT IN ('http', 'https') THEN 'Only http/https URLs are allowed (got scheme ''' || {SCHEME} || ''').'
             WHEN ({allowed}) THEN NULL
-            ELSE 'Host ''' || {HOSTPORT} || ''' is not in QA_MCP_ALLOWED_HOSTS ({hosts}).' END AS message
+            ELSE 'Host ''' || {HOSTPORT} || ''' is not in allowed_hosts ({hosts}).' END AS message
 FROM pages"""
 
 
@@ -465,3 +465,38 @@ SELECT 'http://c' || (o_custkey % 7) || '.shop.test/board/' || o_custkey || '?pa
 FROM (SELECT DISTINCT o_custkey,
              (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 25 AS chunk FROM orders)""",
 })
+
+
+def _style_sql(mobile: bool) -> str:
+    """Visibility of the buttons of the style pages, rule by rule."""
+    return f"""
+WITH c AS (SELECT c_custkey AS k, c_custkey // 25 AS page_id, lower(c_mktsegment) AS seg, c_acctbal < 0 AS low, c_acctbal > 8000 AS gold FROM customer),
+p AS (SELECT *, row_number() OVER w AS pos, count(*) OVER (PARTITION BY page_id) AS n, coalesce(lag(gold) OVER w, false) AS after_gold,
+coalesce(bool_or(gold) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS later FROM c WINDOW w AS (PARTITION BY page_id ORDER BY k))
+SELECT page_id::BIGINT AS page_id, k::BIGINT AS c_custkey, NOT (
+low OR (pos % 7 = 2 AND k % 3 = 0) OR ({str(mobile).lower()} AND seg = 'building' AND k % 3 = 2)
+OR (later AND k % 4 = 3 AND k % 3 = 0) OR (seg = 'household' AND k % 4 = 2)
+OR CASE WHEN pos = n AND k % 3 = 1 THEN true WHEN seg = 'furniture' AND k % 4 = 0 AND k % 3 = 0 THEN false ELSE after_gold OR seg = 'furniture' END) AS is_visible FROM p"""
+
+
+_GATE_TESTS = {
+    "div.ad": "contains(html, '<div class=\"ad\">')",
+    "main .ad": "false",
+    "nav + div.ad": "regexp_matches(html, '</nav>(<!--[^>]*-->)?<div class=\"ad\">')",
+    "article > h1": "contains(html, '<article><h1>')",
+    "nav li:nth-child(5) > a[href^='/t']": "starts_with(hrefs[5], '/t')",
+    "html[lang|=fr] footer": "contains(html, '<html lang=\"fr\">') AND contains(html, '<footer>')",
+    "li:nth-last-child(2) ~ li > a:not([href$='.'], [href$=','])": "len(hrefs) >= 2 AND NOT ends_with(hrefs[-1], '.') AND NOT ends_with(hrefs[-1], ',')",
+    "body > *:not(nav, div):first-of-type b": "regexp_matches(html, '<article>(.|\\n)*<b>')",
+}
+_GATE_REFUSED = ["p >> text=the", "a:has(b)"]
+
+ORACLE_SQL |= {
+    "vis_styles": _style_sql(False),
+    "vis_media": _style_sql(True),
+    "vis_notes": "SELECT DISTINCT (c_custkey // 25)::BIGINT AS page_id, 'li:has(.b0) button' AS selector, 'pseudo-class not evaluated' AS reason FROM customer",
+    "gate_selectors": "WITH d AS (SELECT page_id, html, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS hrefs FROM pages) " + " UNION ALL ".join(
+        [f"SELECT page_id, {_lit(s)} AS selector, coalesce({t}, false) AS present, CASE WHEN coalesce({t}, false) THEN NULL ELSE 'wait_selector_timeout' END AS error_code FROM d"
+         for s, t in _GATE_TESTS.items()]
+        + [f"SELECT page_id, {_lit(s)} AS selector, false AS present, 'wait_selector_unsupported' AS error_code FROM d" for s in _GATE_REFUSED]),
+}

@@ -434,7 +434,58 @@ def q_diff_states(spark, sf_dir):
                     F.col("occurrence").cast("long").alias("occurrence"), "change", "role", "accessible_name")
 
 
+def style_extraction(spark, sf_dir, **opts) -> Extraction:
+    from pagelens.plans.render import style_pages
+    from pagelens.sources.pages import read_table
+    key = (spark.sparkContext.applicationId, sf_dir, "styles", tuple(sorted(opts.items())))
+    ex = _CACHE.get(key)
+    if ex is None:
+        configure(spark)
+        if opts:
+            ex = style_extraction(spark, sf_dir).with_options(**opts)
+        else:
+            ex = Extraction(style_pages(read_table(spark, sf_dir, "customer")), ExtractOptions(**WHOLE))
+        _CACHE[key] = ex
+    return ex
+
+
+def _style_visibility(ex: Extraction) -> DataFrame:
+    n = ex.kept_nodes.filter(F.col("tag") == "button").join(ex.elements.select(*FRAME, "eid", "attrs"), FRAME + ["eid"])
+    return n.select("page_id", F.substring(F.col("attrs")["data-testid"], 2, 20).cast("long").alias("c_custkey"), F.col("properties.is_visible").alias("is_visible"))
+
+
+def q_vis_styles(spark, sf_dir):
+    """J6 / J5 on style pages: visibility under rules with combinators, positions, lists and nested blocks."""
+    return _style_visibility(style_extraction(spark, sf_dir))
+
+
+def q_vis_media(spark, sf_dir):
+    """J6 on style pages in the mobile viewport."""
+    return _style_visibility(style_extraction(spark, sf_dir, viewport="mobile"))
+
+
+def q_vis_notes(spark, sf_dir):
+    """Selectors of relevant rules that are not evaluated, per page."""
+    return style_extraction(spark, sf_dir).style_notes.select("page_id", "selector", "reason")
+
+
+GATE_SELECTORS = ["div.ad", "main .ad", "nav + div.ad", "article > h1", "nav li:nth-child(5) > a[href^='/t']", "html[lang|=fr] footer",
+                  "li:nth-last-child(2) ~ li > a:not([href$='.'], [href$=','])", "body > *:not(nav, div):first-of-type b", "p >> text=the", "a:has(b)"]
+
+
+def q_gate_selectors(spark, sf_dir):
+    """Presence of several selectors in every page; selectors that are not evaluated are refused."""
+    from pagelens.plans.extract import persist
+    pages = read_pages(spark, sf_dir).select("page_id", "url")
+    out = gate.presence(pages, extraction(spark, sf_dir).elements, GATE_SELECTORS, persist)
+    return out.select("page_id", "selector", "present", F.col("error.code").alias("error_code"))
+
+
 QUERIES = {
+    "vis_styles": q_vis_styles,
+    "vis_media": q_vis_media,
+    "vis_notes": q_vis_notes,
+    "gate_selectors": q_gate_selectors,
     "src_tag_counts": q_src_tag_counts,
     "src_walked_counts": q_src_walked_counts,
     "sel_link_nodes": q_sel_link_nodes,

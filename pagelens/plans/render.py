@@ -194,3 +194,40 @@ def board_pages_after_save(orders: DataFrame) -> DataFrame:
     return pages.select("page_id", "url",
                         F.regexp_replace(F.col("html"), "</form></body>", F.concat(F.lit("</form>"), toast,
                                                                                  F.lit("</body>"))).alias("html"))
+
+
+STYLE_PAGE_SIZE = 25
+STYLE_SHEET = """
+@import url("other.css");
+@font-face { font-family: x; src: url(x) }
+@keyframes spin { from { opacity: 0 } 50% { opacity: 0 } to { opacity: 1 } }
+/* li button { display: none } */
+li.low > div > button { display: none }
+li.gold + li button { visibility: hidden }
+li.gold ~ li .c3 .b0, .missing button { opacity: 0 }
+li:nth-child(7n+2) button:not(.b1, .b2) { display: none }
+ul[data-kind="list"] li:last-child button.b1 { visibility: hidden }
+.missing .c1 button { display: none }
+li.seg-machinery:hover button { display: none }
+li.seg-furniture div.c0 > button.b0 { visibility: visible }
+li.seg-furniture button { visibility: hidden }
+@media print { li button { display: none } }
+@media (max-width: 500px) { li.seg-building div > button.b2 { display: none } }
+@supports (display: grid) { @media screen and (min-width: 300px) { body > ul > li.seg-household .c2 > button { opacity: 0 } } }
+li:has(.b0) button { display: none }
+"""
+
+
+def style_pages(customer: DataFrame) -> DataFrame:
+    """Style pages: every ``STYLE_PAGE_SIZE`` customer keys one page with a list item per customer, hidden by the rules of STYLE_SHEET
+    according to segment, account balance, key and place in the list. Pages are keyed by key range, so none grows with the data."""
+    k, bal = F.col("c_custkey"), F.col("c_acctbal")
+    page = F.floor(k / STYLE_PAGE_SIZE)
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    item = text('<li class="seg-', F.lower("c_mktsegment"), F.when(bal < 0, " low").otherwise(""), F.when(bal > 8000, " gold").otherwise(""), '"><div class="c', k % 4,
+                '"><button class="b', k % 3, '" data-testid="t', k, '">', F.col("c_name"), "</button></div></li>")
+    items = customer.select(page.alias("page_id"), "c_custkey", item.alias("item")).groupBy("page_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "item"))), lambda x: x["item"]), "").alias("items"))
+    return items.select("page_id", text("http://shop.test/customers/", F.col("page_id")).alias("url"),
+                        text("<!DOCTYPE html><html><head><title>Customers</title><style>", STYLE_SHEET, '</style></head><body><ul data-kind="list">',
+                             F.col("items"), "</ul></body></html>").alias("html"))

@@ -32,7 +32,7 @@ def test_allow_list_cases(spark):
     scheme = [r for r in got if r["url"].startswith("ftp")][0]["r"]
     assert scheme == "Only http/https URLs are allowed (got scheme 'ftp')."
     none = df.select(refusal(F.col("url"), []).alias("r")).first()["r"]
-    assert none.startswith("QA_MCP_ALLOWED_HOSTS is not set.")
+    assert none.startswith("allowed_hosts is empty.")
 
 
 def test_auth_check(spark):
