@@ -355,24 +355,18 @@ class Extraction:
         placeholders = (el.filter(A["placeholder"].isNotNull())
                         .select(*FRAME, F.col("eid").alias("m_eid"), collapse(A["placeholder"]).alias("ph"))
                         .withColumn("ph_l", F.lower("ph")))
-        ft = self.frames_raw.select(*FRAME, F.col("mtext").alias("_mt"))
-        texts = (el.filter(F.col("m_end") > F.col("m_start"))
-                 .select(*FRAME, "eid", "parent_eid", "m_start", "m_end", "tag", "attrs")
-                 .join(ft, FRAME)
-                 .select(*FRAME, F.col("eid").alias("m_eid"), F.col("parent_eid").alias("m_parent"),
-                         collapse(text_slice(F.col("_mt"), F.col("m_start"), F.col("m_end"))).alias("mt"),
-                         "tag", "attrs")
-                 .filter(F.col("mt") != ""))
         itype = F.lower(A["type"])
-        value_texts = (el.filter((F.col("tag") == "input") & itype.isin("button", "submit") & A["value"].isNotNull())
-                       .select(*FRAME, F.col("eid").alias("m_eid"), F.col("parent_eid").alias("m_parent"),
-                               collapse(A["value"]).alias("mt"), "tag", "attrs")
-                       .filter(F.col("mt") != ""))
-        texts = texts.unionByName(value_texts).drop("tag", "attrs").withColumn("mt_l", F.lower("mt"))
+        shown = (el.filter((F.col("tag") == "input") & itype.isin("button", "submit") & A["value"].isNotNull())
+                 .select(*FRAME, "eid", collapse(A["value"]).alias("mt")).filter(F.col("mt") != ""))
+
+        def text_pairs(keys: DataFrame, mode: str) -> DataFrame:
+            from pagelens.operators.textmatch import text_pairs
+            return text_pairs(keys, el, self.frames_raw, shown, mode)
+
         paths = (self.raw_nodes.filter(F.col("css_path") != "")
                  .select(*FRAME, F.col("css_path").alias("value"), F.col("eid").alias("m_eid")))
         return {"attr_index": attr_index, "roles": roles, "labels": labels, "placeholders": placeholders,
-                "texts": texts, "paths": paths}
+                "text_pairs": text_pairs, "paths": paths}
 
     @cached_property
     def candidates(self) -> DataFrame:

@@ -500,3 +500,18 @@ ORACLE_SQL |= {
          for s, t in _GATE_TESTS.items()]
         + [f"SELECT page_id, {_lit(s)} AS selector, false AS present, 'wait_selector_unsupported' AS error_code FROM d" for s in _GATE_REFUSED]),
 }
+
+ORACLE_SQL["loc_match_form"] = """
+WITH p AS (SELECT regexp_extract(p_brand, '(\\d+)$', 1)::BIGINT AS b, p_partkey AS k, p_name AS name, lower(p_name) AS low, p_type AS kind, p_size AS size,
+(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 20 AS chunk FROM part),
+q AS (SELECT b * 100000000 + chunk AS page_id, k, name, low, kind, ['textbox', 'textbox', 'checkbox', 'spinbutton', 'button'][size % 5 + 1] AS role, size % 5 = 4 AS submit,
+k % 4 = 2 AS aria, (k % 4 = 0 AND k % 3 < 2) OR k % 4 = 1 AS labelled, k % 4 = 1 AS wrapped, CASE WHEN size % 5 < 2 AND k % 2 = 0 THEN kind END AS hint,
+CASE k % 3 WHEN 0 THEN 'p' || k WHEN 1 THEN 'rc_select_' || k END AS id FROM p),
+c AS (SELECT page_id, 'test-id' AS strategy, '' AS role, 'part-' || k AS value, 1 AS n FROM q WHERE k % 6 = 0
+UNION ALL SELECT page_id, 'css', '', '[' || CASE k % 6 WHEN 1 THEN 'data-cy' ELSE 'data-qa' END || '="part-' || k || '"]', 1 FROM q WHERE k % 6 IN (1, 2)
+UNION ALL SELECT page_id, 'id', '', id, 1 FROM q WHERE id IS NOT NULL
+UNION ALL SELECT page_id, 'role', role, name, (SELECT count(*) FROM q o WHERE o.page_id = q.page_id AND o.role = q.role AND (o.aria OR o.labelled OR o.submit) AND contains(o.low, q.low)) FROM q WHERE aria OR labelled OR submit
+UNION ALL SELECT page_id, 'label', '', name, (SELECT count(*) FROM q o WHERE o.page_id = q.page_id AND (o.aria OR o.labelled) AND contains(o.low, q.low)) FROM q WHERE labelled
+UNION ALL SELECT page_id, 'placeholder', '', hint, (SELECT count(*) FROM q o WHERE o.page_id = q.page_id AND contains(lower(o.hint), lower(q.hint))) FROM q WHERE hint IS NOT NULL
+UNION ALL SELECT page_id, 'text', '', name, (SELECT count(*) FILTER (o.labelled AND NOT (o.wrapped AND o.submit)) + count(*) FILTER (o.submit) FROM q o WHERE o.page_id = q.page_id AND contains(o.low, q.low)) FROM q WHERE labelled)
+SELECT DISTINCT page_id::BIGINT AS page_id, strategy, role, value, n::BIGINT AS match_count FROM c"""

@@ -454,6 +454,17 @@ def _style_visibility(ex: Extraction) -> DataFrame:
     return n.select("page_id", F.substring(F.col("attrs")["data-testid"], 2, 20).cast("long").alias("c_custkey"), F.col("properties.is_visible").alias("is_visible"))
 
 
+def q_loc_match_form(spark, sf_dir):
+    """J7 / A1 on form pages: match count of every candidate key, all strategies (css: by attribute)."""
+    ex = form_extraction(spark, sf_dir)
+    key = ["strategy", "role", "value", "m_attr"]
+    keys = ex.candidates.select(*FRAME, *key).distinct().filter("m_attr is null or m_attr <> '#path'")
+    counts = ex.match_pairs.groupBy(*FRAME, *key).agg(F.count(F.lit(1)).alias("n"))
+    from pagelens.operators.locate import join_null_safe
+    return join_null_safe(keys, counts, [*FRAME, *key], "left").select(
+        "page_id", "strategy", F.coalesce("role", F.lit("")).alias("role"), "value", F.coalesce("n", F.lit(0)).cast("long").alias("match_count"))
+
+
 def q_vis_styles(spark, sf_dir):
     """J6 / J5 on style pages: visibility under rules with combinators, positions, lists and nested blocks."""
     return _style_visibility(style_extraction(spark, sf_dir))
@@ -482,6 +493,7 @@ def q_gate_selectors(spark, sf_dir):
 
 
 QUERIES = {
+    "loc_match_form": q_loc_match_form,
     "vis_styles": q_vis_styles,
     "vis_media": q_vis_media,
     "vis_notes": q_vis_notes,
