@@ -57,14 +57,14 @@ def test_innermost(exact):
 def test_megabyte_page(spark):
     """A page of a megabyte, 400 levels deep, with 20,000 texts asked for: linear, and nothing but pairs leaves the stage."""
     from pagelens.plans.extract import Extraction, ExtractOptions
-    doc = "<div>" * 400 + "".join(f"<p>word{i} and some more text of paragraph number {i}</p>" for i in range(15000)) + "</div>" * 400
-    assert len(doc) > 900_000
+    doc = "<div>" * 400 + "".join(f"<p>word{i} and some more text of paragraph number {i}</p>" for i in range(18000)) + "</div>" * 400
+    assert len(doc) > 1_000_000
     ex = Extraction(spark.createDataFrame([(1, "http://b.test/", doc), (2, "http://b.test/2", None)], "page_id long, url string, html string"), ExtractOptions(max_depth=None, max_nodes=None))
     keys = spark.range(20000).selectExpr("1L page_id", "0 frame_id", "concat('Word', id) value").union(spark.sql("select 2L, 0, 'x'")).union(spark.sql("select 1L, 0, cast(null as string)"))
     keys = keys.select("page_id", keys.frame_id.cast(dict(ex.elements_raw.dtypes)["frame_id"]).alias("frame_id"), "value")
     shown = spark.createDataFrame([], "page_id long, frame_id int, eid int, mt string")
     out = textmatch.text_pairs(keys, ex.elements_raw, ex.frames_raw, shown, "contains")
     n = {r["value"]: r["count"] for r in out.groupBy("value").count().collect()}
-    assert len(n) == 15000 and n["Word14999"] == 1 and n["Word1"] == sum(str(i).startswith("1") for i in range(15000))
+    assert len(n) == 18000 and n["Word17999"] == 1 and n["Word1"] == sum(str(i).startswith("1") for i in range(18000))
     exact = textmatch.text_pairs(spark.sql("select 1L page_id, 0 frame_id, 'word7 and some more text of paragraph number 7' value"), ex.elements_raw, ex.frames_raw, shown, "exact")
     assert exact.count() == 1
