@@ -122,9 +122,8 @@ def page_metadata(ex, opts) -> DataFrame:
         dropped = None
     title = (el.filter((F.col("frame_id") == 0) & (F.col("tag") == "title"))
              .groupBy("page_id").agg(F.min("eid").alias("title_eid")))
-    from pagelens.operators.relate import with_ctext
-    title = with_ctext(title.withColumn("frame_id", F.lit(0)), ex.frames_raw, "title_text", key="title_eid",
-                       elements=el)
+    from pagelens.operators.relate import with_text
+    title = with_text(title.withColumn("frame_id", F.lit(0)), ex.element_texts, "title_text", "title_eid")
     title = title.select("page_id", F.trim(F.regexp_replace("title_text", r"[\t\n\f\r ]+", " ")).alias("title"))
     pages = ex.pages
     cap = F.col("captured_at") if "captured_at" in pages.columns else F.current_timestamp()

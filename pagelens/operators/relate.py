@@ -2,11 +2,9 @@
 hint, J5 inherited visibility, J6 style values (inline + UA defaults), J10
 descendant image alt, J11 live-region text, P14 css path, R1 accessible name.
 
-Ancestor rules use one path explode of the *subject* elements (those that can
-become nodes or locator matches, a small share of all elements) joined with
-the element table on (page_id, frame_id, eid) and one aggregation per
-subject. Both sides are hash-partitioned on page_id once after the parse, so
-these joins and aggregations add no exchange.
+Ancestor facts and texts come from one fold over each frame's arrays
+(``pagelens.operators.ancestors``); "the first X below" is a running minimum
+over the preorder. No relation reads a list of ancestors.
 """
 
 from __future__ import annotations
@@ -14,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelens.functions.text import JS_WS, collapse, cut, nullif_empty, text_slice
+from pagelens.functions.text import JS_WS, collapse, cut, nullif_empty
 from pagelens.operators.select import FRAME, covered
 from pagelens.schema import LABELABLE_TAGS
 
@@ -93,93 +91,53 @@ def with_inherited_flags(el: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# Text
+# Ancestor facts and texts
 # ---------------------------------------------------------------------------
-def with_ctext(df: DataFrame, frames: DataFrame, name: str = "ctext", key: str = "eid",
-               elements: DataFrame | None = None) -> DataFrame:
-    """Collapsed textContent of the element ``key`` (offsets taken from ``df`` or ``elements``)."""
-    src = df
-    if elements is not None:
-        src = df.join(elements.select(*FRAME, F.col("eid").alias(key), "t_start", "t_end"), FRAME + [key], "left")
-    f = frames.select(*FRAME, F.col("text").alias("_ft"))
-    return (
-        src.join(f, FRAME, "left")
-        .withColumn(name, collapse(text_slice(F.col("_ft"), F.col("t_start"), F.col("t_end"))))
-        .drop("_ft", *(["t_start", "t_end"] if elements is not None else []))
-    )
-
-
-# ---------------------------------------------------------------------------
-# Ancestor facts for subjects
-# ---------------------------------------------------------------------------
-def ancestor_facts(subjects: DataFrame, elements: DataFrame) -> DataFrame:
-    """One row per subject with values taken from its ancestors-or-self:
-
-    css_path (P14), form group parts (J3), region parts (J3), scope hint (J4),
-    nearest visibility / cursor setter (J5/F4), strict-ancestor pointer flag,
-    closest label eid (J2), live-region ancestor eids (J11).
-    """
-    s = subjects.select(
-        *FRAME, F.col("eid").alias("s_eid"), F.col("root_id").alias("s_root"), F.col("depth").alias("s_depth"),
-        F.col("in_shadow").alias("s_shadow"),
-        F.posexplode(F.concat(F.col("path"), F.array(F.col("eid")))).alias("pos", "eid"))
-    e = elements.select(
-        *FRAME, "eid", "tag", "sib_index", "root_id", "form_idx", "st_visibility", "st_cursor",
-        F.col("attrs")["id"].alias("a_id"), F.col("attrs")["name"].alias("a_name"),
-        F.col("attrs")["role"].alias("a_role"), F.col("attrs")["aria-label"].alias("a_label"),
-        F.col("attrs")["data-testid"].alias("a_testid"))
-    j = s.join(e, FRAME + ["eid"])
-    same = F.col("root_id") == F.col("s_root")
-    strict = F.col("pos") < F.col("s_depth")
-    part = F.when(F.col("pos") == 0, F.col("tag")).otherwise(
-        F.concat(F.col("tag"), F.lit(":nth-child("), F.col("sib_index").cast("string"), F.lit(")")))
-    is_form = same & (F.col("tag") == "form")
-    is_region = same & ((F.col("a_role") == "form") | (F.col("tag") == "section"))
-    live_hop = same & strict & (F.col("pos") >= 2) & (F.col("pos") >= F.col("s_depth") - 3)
-
-    def nearest(cond: Column, value: Column) -> Column:
-        return F.max_by(F.when(cond, value), F.when(cond, F.col("pos")))
-
-    agg = j.groupBy(*FRAME, "s_eid").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", part.alias("p")))),
-                                 lambda x: x["p"]), " > ").alias("_css"),
-        F.first("s_shadow").alias("_shadow"),
-        F.bool_and(same).alias("_all_same"),
-        nearest(is_form, F.struct(F.col("a_id").alias("id"), F.col("a_name").alias("name"),
-                                  F.col("form_idx").alias("idx"))).alias("form"),
-        nearest(is_region, F.struct(F.col("tag").alias("tag"), (F.col("a_role") == "form").alias("role_form"),
-                                    F.col("a_id").alias("id"), F.col("a_label").alias("label"))).alias("region"),
-        nearest(same & strict & F.coalesce(F.col("a_testid") != "", F.lit(False)), F.col("a_testid")).alias("scope_hint"),
-        nearest(F.col("st_visibility").isNotNull(), F.col("st_visibility")).alias("visibility"),
-        nearest(F.col("st_cursor").isNotNull(), F.col("st_cursor")).alias("cursor"),
-        F.max(F.when(strict & F.col("st_cursor").isNotNull(), F.col("pos"))).alias("_anc_cursor_pos"),
-        nearest(strict & F.col("st_cursor").isNotNull(), F.col("st_cursor")).alias("parent_cursor"),
-        nearest(same & (F.col("tag") == "label"), F.col("eid")).alias("closest_label_eid"),
-        F.transform(F.array_sort(F.collect_list(F.when(live_hop, F.struct((-F.col("pos")).alias("k"),
-                                                                          F.col("eid").alias("e"))))),
-                    lambda x: x["e"]).alias("live_anc"),
-    )
-    region = F.col("region")
-    region_base = F.when(region["role_form"], F.concat(region["tag"], F.lit('[role="form"]'))).otherwise(region["tag"])
-    region_label = collapse(region["label"])
-    form = F.col("form")
-    form_group = (
-        F.when(form.isNotNull(),
-               F.when(F.coalesce(form["id"] != "", F.lit(False)), F.concat(F.lit("form#"), form["id"]))
-               .when(F.coalesce(form["name"] != "", F.lit(False)),
-                     F.concat(F.lit('form[name="'), form["name"], F.lit('"]')))
-               .otherwise(F.concat(F.lit("form:nth("), F.coalesce(form["idx"], F.lit(0)).cast("string"), F.lit(")"))))
-        .when(region.isNotNull(),
-              F.when(F.coalesce(region["id"] != "", F.lit(False)), F.concat(region_base, F.lit("#"), region["id"]))
-              .when(region_label != "", F.concat(region_base, F.lit('[aria-label="'), region_label, F.lit('"]')))
-              .otherwise(region_base))
-    )
-    return agg.select(
-        *FRAME, F.col("s_eid").alias("eid"),
-        F.when(F.col("_shadow") | ~F.col("_all_same"), F.lit("")).otherwise(F.col("_css")).alias("css_path"),
-        form_group.alias("form_group"),
-        "scope_hint", "visibility", "cursor", "parent_cursor", "closest_label_eid", "live_anc",
-    )
+def fact_flags(elements: DataFrame, subject: Column) -> DataFrame:
+    """Marks subjects, the elements whose text some rule reads (``want``: 1 what a cut keeps, 2 whole) and empty-able live regions."""
+    refs = (elements.filter(subject & A["aria-labelledby"].isNotNull())
+            .select(*FRAME, "root_id", F.explode(F.split(A["aria-labelledby"], JS_WS)).alias("id")).distinct())
+    hit = refs.join(id_index(elements), FRAME + ["root_id", "id"]).select(*FRAME, F.col("ref_eid").alias("eid"), F.lit(2).alias("_ref")).distinct()
+    el = elements.join(hit, FRAME + ["eid"], "left")
+    whole = F.col("_ref").isNotNull() | F.col("tag").isin("label", "title") | (subject & F.col("role").isNotNull())
+    some = subject | F.col("tag").isin("h1", "h2", "h3", "h4", "h5", "h6")
+    return el.withColumns({"subject": subject, "want": F.when(whole, 2).when(some, 1).otherwise(0),
+                           "live": subject & F.coalesce(F.col("role").isin("alert", "status"), F.lit(False))}).drop("_ref")
+
+
+def form_group(form: Column, region: Column) -> Column:
+    """J3 as a table of (condition, label), first that holds: the form by id, name or index, else the region by id, label or tag."""
+    has = lambda c: F.coalesce(c != "", F.lit(False))
+    kind = F.concat(region["tag"], F.when(region["role_form"], F.lit('[role="form"]')).otherwise(F.lit("")))
+    caption = collapse(region["label"])
+    rules = [
+        (form.isNotNull() & has(form["id"]), F.concat(F.lit("form#"), form["id"])),
+        (form.isNotNull() & has(form["name"]), F.concat(F.lit('form[name="'), form["name"], F.lit('"]'))),
+        (form.isNotNull(), F.concat(F.lit("form:nth("), F.coalesce(form["idx"], F.lit(0)).cast("string"), F.lit(")"))),
+        (region.isNotNull() & has(region["id"]), F.concat(kind, F.lit("#"), region["id"])),
+        (region.isNotNull() & (caption != ""), F.concat(kind, F.lit('[aria-label="'), caption, F.lit('"]'))),
+        (region.isNotNull(), kind)]
+    return F.coalesce(*[F.when(condition, label) for condition, label in rules])
+
+
+def ancestor_facts(folded: DataFrame) -> DataFrame:
+    """One row per subject: css_path (P14), form_group (J3), scope_hint (J4), visibility / cursor of the nearest setters (J5 / F4),
+    closest_label_eid (J2), live_anc (J11) and its own ctext."""
+    return folded.filter("subject").select(
+        *FRAME, "eid", F.col("_css").alias("css_path"), form_group(F.col("form"), F.col("region")).alias("form_group"),
+        "scope_hint", "visibility", "cursor", "parent_cursor", "closest_label_eid", "live_anc", "ctext")
+
+
+def with_text(df: DataFrame, texts: DataFrame, name: str, key: str) -> DataFrame:
+    """Adds the collapsed text of the element ``key`` (null: none) as ``name``."""
+    return df.join(texts.select(*FRAME, F.col("eid").alias(key), F.col("ctext").alias(name)), FRAME + [key], "left")
+
+
+def first_below(elements: DataFrame, found: Column, name: str) -> DataFrame:
+    """Adds ``name``: eid of the first element of the same tree strictly below that meets ``found``, from one backward sort."""
+    w = Window.partitionBy(*FRAME, "root_id").orderBy(F.desc("eid")).rowsBetween(Window.unboundedPreceding, -1)
+    after = F.min(F.when(found, F.col("eid"))).over(w)
+    return elements.withColumn("_after", after).withColumn(name, F.when(F.col("_after") <= F.col("last_eid"), F.col("_after"))).drop("_after")
 
 
 # ---------------------------------------------------------------------------
@@ -191,14 +149,13 @@ def id_index(elements: DataFrame) -> DataFrame:
             .groupBy(*FRAME, "root_id", A["id"].alias("id")).agg(F.min("eid").alias("ref_eid")))
 
 
-def labelledby_text(subjects: DataFrame, ids: DataFrame, elements: DataFrame, frames: DataFrame) -> DataFrame:
+def labelledby_text(subjects: DataFrame, ids: DataFrame, texts: DataFrame) -> DataFrame:
     """Texts of the aria-labelledby references, in list order, joined by a space."""
     refs = (subjects.filter(A["aria-labelledby"].isNotNull())
             .select(*FRAME, "eid", "root_id",
                     F.posexplode(F.split(A["aria-labelledby"], JS_WS)).alias("k", "id"))
             .filter(F.col("id") != ""))
-    hit = refs.join(ids, FRAME + ["root_id", "id"])
-    hit = with_ctext(hit, frames, "rtext", key="ref_eid", elements=elements)
+    hit = with_text(refs.join(ids, FRAME + ["root_id", "id"]), texts, "rtext", "ref_eid")
     return (hit.groupBy(*FRAME, "eid")
             .agg(collapse(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "rtext"))),
                                                    lambda x: x["rtext"]), " ")).alias("lb_text")))
@@ -209,52 +166,56 @@ def labelable(df: DataFrame) -> Column:
     return F.col("tag").isin(LABELABLE_TAGS) & ~hidden_input
 
 
-def first_label(elements: DataFrame, ids: DataFrame, frames: DataFrame) -> DataFrame:
+def first_label(elements: DataFrame, ids: DataFrame, texts: DataFrame) -> DataFrame:
     """``labels[0]`` per labelable control: label[for] pointing at it, or a
     label without ``for`` whose first labelable descendant it is."""
-    labels = elements.filter(F.col("tag") == "label").select(*FRAME, F.col("eid").alias("l_eid"),
-                                                             F.col("root_id"), A["for"].alias("for_id"))
-    ctrl = elements.filter(labelable(elements)).select(*FRAME, "eid", "root_id", "path")
-    by_for = (labels.filter(F.col("for_id").isNotNull())
-              .join(ids.withColumnRenamed("id", "for_id"), FRAME + ["root_id", "for_id"])
-              .select(*FRAME, "l_eid", F.col("ref_eid").alias("eid"))
-              .join(ctrl.select(*FRAME, "eid"), FRAME + ["eid"]))
-    wrapped = (ctrl.select(*FRAME, "eid", "root_id", F.explode("path").alias("l_eid"))
-               .join(labels.filter(F.col("for_id").isNull()).drop("for_id"), FRAME + ["l_eid", "root_id"])
-               .groupBy(*FRAME, "l_eid").agg(F.min("eid").alias("eid")))
-    first = (by_for.unionByName(wrapped.select(*FRAME, "l_eid", "eid"))
-             .groupBy(*FRAME, "eid").agg(F.min("l_eid").alias("label_eid")))
-    return with_ctext(first, frames, "fl_text", key="label_eid", elements=elements).drop("label_eid")
+    control = labelable(elements)
+    by_for = (elements.filter((F.col("tag") == "label") & A["for"].isNotNull())
+              .select(*FRAME, "root_id", F.col("eid").alias("l_eid"), A["for"].alias("id"))
+              .join(ids, FRAME + ["root_id", "id"]).select(*FRAME, "l_eid", F.col("ref_eid").alias("eid"))
+              .join(elements.filter(control).select(*FRAME, "eid"), FRAME + ["eid"]))
+    relevant = elements.filter(control | (F.col("tag") == "label")).select(*FRAME, "root_id", "eid", "last_eid", "tag", "attrs")
+    wrapped = (first_below(relevant, labelable(relevant), "_control")
+               .filter((F.col("tag") == "label") & A["for"].isNull() & F.col("_control").isNotNull())
+               .select(*FRAME, F.col("eid").alias("l_eid"), F.col("_control").alias("eid")))
+    first = by_for.unionByName(wrapped.select(*by_for.columns)).groupBy(*FRAME, "eid").agg(F.min("l_eid").alias("label_eid"))
+    return with_text(first, texts, "fl_text", "label_eid").drop("label_eid")
 
 
 def first_img_alt(subjects: DataFrame, elements: DataFrame) -> DataFrame:
     """Alt of the first ``img[alt]`` below the element (same tree)."""
-    imgs = elements.filter((F.col("tag") == "img") & A["alt"].isNotNull()).select(
-        *FRAME, F.col("eid").alias("i_eid"), "root_id", A["alt"].alias("alt"), F.explode("path").alias("eid"))
-    subj = subjects.select(*FRAME, "eid", "root_id")
-    return (imgs.join(subj, FRAME + ["eid", "root_id"])
-            .groupBy(*FRAME, "eid").agg(F.min_by("alt", "i_eid").alias("img_alt")))
+    image = (F.col("tag") == "img") & A["alt"].isNotNull()
+    some = _subjects_and(subjects, elements, image)
+    hit = first_below(some, image, "i_eid").filter(F.col("_subject") & F.col("i_eid").isNotNull()).select(*FRAME, "eid", "i_eid")
+    alts = elements.filter(image).select(*FRAME, F.col("eid").alias("i_eid"), A["alt"].alias("img_alt"))
+    return hit.join(alts, FRAME + ["i_eid"]).select(*FRAME, "eid", "img_alt")
+
+
+def _subjects_and(subjects: DataFrame, elements: DataFrame, other: Column) -> DataFrame:
+    """Subjects and the elements that meet ``other``, once each."""
+    cols = [*FRAME, "root_id", "eid", "last_eid", "tag", "attrs"]
+    rows = subjects.select(*cols, F.lit(True).alias("_subject")).unionByName(elements.filter(other).select(*cols, F.lit(False).alias("_subject")))
+    return rows.groupBy(*FRAME, "root_id", "eid").agg(F.first("last_eid").alias("last_eid"), F.first("tag").alias("tag"), F.first("attrs").alias("attrs"), F.bool_or("_subject").alias("_subject"))
 
 
-def first_heading(subjects: DataFrame, elements: DataFrame, frames: DataFrame) -> DataFrame:
+def first_heading(subjects: DataFrame, elements: DataFrame, texts: DataFrame) -> DataFrame:
     """Collapsed text of the first h1-h6 below the element (same tree)."""
-    hs = elements.filter(F.col("tag").isin("h1", "h2", "h3", "h4", "h5", "h6")).select(
-        *FRAME, F.col("eid").alias("h_eid"), "root_id", F.explode("path").alias("eid"))
-    first = (hs.join(subjects.select(*FRAME, "eid", "root_id"), FRAME + ["eid", "root_id"])
-             .groupBy(*FRAME, "eid").agg(F.min("h_eid").alias("h_eid")))
-    return with_ctext(first, frames, "heading", key="h_eid", elements=elements).drop("h_eid")
+    heading = F.col("tag").isin("h1", "h2", "h3", "h4", "h5", "h6")
+    hit = (first_below(_subjects_and(subjects, elements, heading), heading, "h_eid")
+           .filter(F.col("_subject") & F.col("h_eid").isNotNull()).select(*FRAME, "eid", "h_eid"))
+    return with_text(hit, texts, "heading", "h_eid").drop("h_eid")
 
 
 def has_img_below(subjects: DataFrame, elements: DataFrame) -> DataFrame:
-    imgs = elements.filter(F.col("tag") == "img").select(*FRAME, "root_id", F.explode("path").alias("eid"))
-    return (imgs.join(subjects.select(*FRAME, "eid", "root_id"), FRAME + ["eid", "root_id"])
-            .select(*FRAME, "eid").distinct().withColumn("has_img", F.lit(True)))
+    image = F.col("tag") == "img"
+    hit = first_below(_subjects_and(subjects, elements, image), image, "i_eid").filter(F.col("_subject") & F.col("i_eid").isNotNull())
+    return hit.select(*FRAME, "eid", F.lit(True).alias("has_img"))
 
 
-def live_region_text(nodes: DataFrame, elements: DataFrame, frames: DataFrame) -> DataFrame:
+def live_region_text(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """First non-empty text among the (at most 3) enclosing containers below body."""
     need = (nodes.filter(F.col("role").isin("alert", "status") & F.col("text_content").isNull())
             .select(*FRAME, "eid", F.posexplode("live_anc").alias("hop", "a_eid")))
-    t = with_ctext(need, frames, "atext", key="a_eid", elements=elements).filter(F.col("atext") != "")
+    t = with_text(need, texts, "atext", "a_eid").filter(F.col("atext") != "")
     return (t.groupBy(*FRAME, "eid").agg(F.min_by("atext", "hop").alias("live_text"))
             .withColumn("live_text", cut(F.col("live_text"), 120)))

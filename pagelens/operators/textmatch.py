@@ -63,7 +63,9 @@ def occurrences(text: str, wanted: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def owners(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first character, place of the deepest interval from there on; -1: none); intervals are nested and in preorder."""
+    """(first character, place of the deepest interval from there on; -1: none); intervals are nested or apart, outer ones first.
+
+    The text of a shadow tree stands behind that of its document, so starts need not rise with the places."""
     at, owner, stack = [-1], [-1], []
 
     def close(until: int) -> None:
@@ -71,14 +73,13 @@ def owners(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             at.append(end[stack.pop()])
             owner.append(stack[-1] if stack else -1)
 
-    start, end = start.tolist(), end.tolist()
-    for i, (a, b) in enumerate(zip(start, end)):
-        if b > a:
-            close(a)
-            at.append(a)
-            owner.append(i)
-            stack.append(i)
-    close(max(end, default=0))
+    filled = np.flatnonzero(end > start)
+    for i in filled[np.lexsort((filled, -end[filled], start[filled]))].tolist():
+        close(start[i])
+        at.append(start[i])
+        owner.append(i)
+        stack.append(i)
+    close(end.max(initial=0))
     return np.array(at), np.array(owner)
 
 

@@ -6,7 +6,7 @@ Execution shape (see README "Plan"):
      first and reuses that partitioning;
   2. walk / style / inherited-flag windows: one sort per frame;
   3. subjects (elements that can be nodes or locator matches) get their
-     ancestor facts by one path explode + join + aggregate;
+     ancestor facts and texts from one fold over each frame's arrays;
   4. candidate keys are de-duplicated per frame before matching; the
      value-containment joins are salted by frame size;
   5. the nested extract groups the nodes of a page, at most ``max_nodes`` if set.
@@ -22,9 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions import props as P
-from pagelens.functions.text import collapse, cut, nullif_empty, text_slice
+from pagelens.functions.text import collapse, cut, nullif_empty
 from pagelens.functions.url import resolve_href
 from pagelens.operators import assemble, frames as FR, locate as L, relate as R
+from pagelens.operators.ancestors import fold_frames
 from pagelens.operators.select import FRAME, included, with_walk_flags
 from pagelens.schema import (
     DEFAULT_MAX_NODES,
@@ -88,17 +89,17 @@ class Extraction:
 
     # stages an option first influences; everything upstream is shared by with_options()
     _SHARED_UNTIL = {
-        "match": ["parsed", "_split", "_with_src_frames", "css_rules", "style_rules", "elements", "frame_tree", "frame_base", "subjects",
+        "match": ["parsed", "_split", "_with_src_frames", "css_rules", "style_rules", "elements", "frame_tree", "frame_base", "element_texts", "subjects",
                   "raw_nodes", "match_universe", "candidates", "elements_with_hosts", "page_urls"],
-        "max_nodes": ["parsed", "_split", "_with_src_frames", "css_rules", "style_rules", "elements", "frame_tree", "frame_base", "subjects",
+        "max_nodes": ["parsed", "_split", "_with_src_frames", "css_rules", "style_rules", "elements", "frame_tree", "frame_base", "element_texts", "subjects",
                       "raw_nodes", "match_universe", "candidates", "match_pairs", "locators",
                       "elements_with_hosts", "page_urls"],
         "max_depth": ["parsed", "_split", "_with_src_frames", "css_rules", "style_rules", "page_urls"],
         "viewport": ["parsed", "_split", "_with_src_frames", "page_urls"],
-        "include_hidden": ["parsed", "_split", "_with_src_frames", "css_rules", "style_rules", "elements", "frame_tree", "frame_base", "subjects",
+        "include_hidden": ["parsed", "_split", "_with_src_frames", "css_rules", "style_rules", "elements", "frame_tree", "frame_base", "element_texts", "subjects",
                            "raw_nodes", "match_universe", "candidates", "match_pairs", "locators", "nodes",
                            "elements_with_hosts", "page_urls"],
-        "after_actions": ["parsed", "_split", "_with_src_frames", "css_rules", "style_rules", "elements", "frame_tree", "frame_base", "subjects",
+        "after_actions": ["parsed", "_split", "_with_src_frames", "css_rules", "style_rules", "elements", "frame_tree", "frame_base", "element_texts", "subjects",
                           "raw_nodes", "match_universe", "candidates", "match_pairs", "locators", "nodes",
                           "kept_nodes", "elements_with_hosts", "page_urls"],
     }
@@ -217,8 +218,8 @@ class Extraction:
 
     # ---------------------------------------------------------------- subjects
     @cached_property
-    def subjects(self) -> DataFrame:
-        """Elements that can become nodes or locator matches, with names and properties."""
+    def _subject_rule(self):
+        """(elements with role and test attribute, condition of the elements that can become nodes or locator matches)."""
         A = F.col("attrs")
         el = self.elements.withColumns({"role": P.role(), "test_attr": P.test_attr()})
         cond = (F.col("role").isNotNull() | F.col("tag").isin(SUBJECT_TAGS) | F.col("test_attr").isNotNull()
@@ -226,24 +227,32 @@ class Extraction:
                 | F.col("closed_host") | A["data-testid"].isNotNull())
         if self.opts.include_click_targets:
             cond = cond | F.col("walked")
+        return el, F.coalesce(cond, F.lit(False))
+
+    @cached_property
+    def element_texts(self) -> DataFrame:
+        """Ancestor facts of the subjects and the texts that rules read, one fold per frame."""
+        el, subject = self._subject_rule
+        return persist(fold_frames(R.fact_flags(el, subject), self.frames_raw).repartition(self.n_parts, "page_id"))
+
+    @cached_property
+    def subjects(self) -> DataFrame:
+        """Elements that can become nodes or locator matches, with names and properties."""
+        A = F.col("attrs")
+        el, cond = self._subject_rule
         # every side table below derives from this one materialised base, so no
         # plan embeds another copy of the growing subject plan
         base = persist(el.filter(cond))
         keys = FRAME + ["eid"]
-        facts = R.ancestor_facts(base, self.elements)
-        texts = R.with_ctext(base.select(*keys, "t_start", "t_end"), self.frames_raw, "ctext").drop("t_start", "t_end")
+        folded = self.element_texts
+        facts = R.with_text(R.ancestor_facts(folded), folded, "cl_text", "closest_label_eid").drop("closest_label_eid")
         ids = R.id_index(self.elements)
-        lb = R.labelledby_text(base, ids, self.elements, self.frames_raw)
-        fl = R.first_label(self.elements, ids, self.frames_raw)
-        closest = R.with_ctext(facts.filter(F.col("closest_label_eid").isNotNull())
-                               .select(*keys, "closest_label_eid"),
-                               self.frames_raw, "cl_text", key="closest_label_eid",
-                               elements=self.elements).drop("closest_label_eid")
+        lb = R.labelledby_text(base, ids, folded)
+        fl = R.first_label(self.elements, ids, folded)
         img = R.first_img_alt(base, self.elements)
-        s = (base.join(facts, keys, "left").join(texts, keys, "left").join(lb, keys, "left")
-             .join(fl, keys, "left").join(closest, keys, "left").join(img, keys, "left"))
+        s = base.join(facts, keys, "left").join(lb, keys, "left").join(fl, keys, "left").join(img, keys, "left")
         if self.opts.include_click_targets:
-            s = s.join(R.first_heading(base, self.elements, self.frames_raw), keys, "left")
+            s = s.join(R.first_heading(base, self.elements, folded), keys, "left")
             s = s.join(R.has_img_below(base, self.elements), keys, "left")
         s = s.join(self.frame_base, FRAME, "left")
 
@@ -309,8 +318,7 @@ class Extraction:
         """F1/F2/F5/F7 (+F4): nodes of reachable frames before the budget, with candidates."""
         s = self.subjects.filter(F.col("walked") & (F.col("included") | F.col("closed_host") | F.col("click_target")))
         s = s.join(R.live_region_text(s.filter(F.col("role").isin(LIVE_REGION_ROLES)).select(
-            *FRAME, "eid", "role", "text_content", "live_anc"), self.elements, self.frames_raw),
-            FRAME + ["eid"], "left")
+            *FRAME, "eid", "role", "text_content", "live_anc"), self.element_texts), FRAME + ["eid"], "left")
         live = F.col("role").isin(LIVE_REGION_ROLES) & F.col("text_content").isNull() & F.col("live_text").isNotNull()
         ct = F.col("click_target") if self.opts.include_click_targets else None
         note = F.concat_ws(" ", L.candidate_note(),

@@ -89,7 +89,6 @@ PARSED_SCHEMA = T.StructType([
     T.StructField("last_eid", T.IntegerType()),
     T.StructField("parent_eid", T.IntegerType()),
     T.StructField("depth", T.IntegerType()),
-    T.StructField("path", T.ArrayType(T.IntegerType())),
     T.StructField("sib_index", T.IntegerType()),
     T.StructField("tag", T.StringType()),
     T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),

@@ -376,28 +376,27 @@ def parse_frame(html_text: str):
 def flatten(root, t_base, m_base):
     """Walk order numbering: element, light subtree, then shadow subtree."""
     rows = []
-    # stack entries: (el, parent_eid, depth, path tuple, sib_index)
-    stack = [(root, -1, 0, (), 1)]
+    # stack entries: (el, parent_eid, depth, sib_index)
+    stack = [(root, -1, 0, 1)]
     while stack:
-        el, parent_eid, depth, path, sib = stack.pop()
+        el, parent_eid, depth, sib = stack.pop()
         if el is None:
             # subtree end marker: parent_eid carries the row index
             rows[parent_eid][1] = len(rows) - 1
             continue
         eid = len(rows)
-        rows.append([eid, eid, parent_eid, depth, list(path), sib, el])
-        stack.append((None, eid, 0, (), 0))
-        child_path = path + (eid,)
+        rows.append([eid, eid, parent_eid, depth, sib, el])
+        stack.append((None, eid, 0, 0))
         if el.shadow:
             for i in range(len(el.shadow) - 1, -1, -1):
-                stack.append((el.shadow[i], eid, depth + 1, child_path, i + 1))
+                stack.append((el.shadow[i], eid, depth + 1, i + 1))
         for i in range(len(el.children) - 1, -1, -1):
-            stack.append((el.children[i], eid, depth + 1, child_path, i + 1))
+            stack.append((el.children[i], eid, depth + 1, i + 1))
     out = []
-    for eid, last, parent_eid, depth, path, sib, el in rows:
+    for eid, last, parent_eid, depth, sib, el in rows:
         tb, mb = t_base[el.root_id], m_base[el.root_id]
         out.append((
-            eid, last, parent_eid, depth, path, sib, el.tag, el.attrs,
+            eid, last, parent_eid, depth, sib, el.tag, el.attrs,
             el.t0 + tb, el.t1 + tb, el.m0 + mb, el.m1 + mb,
             el.in_shadow, el.root_id, el.shadow_mode,
         ))
@@ -421,6 +420,6 @@ def parse_page(html_text: str, url: str):
         root, text, mtext, t_base, m_base = parse_frame(doc)
         rows = flatten(root, t_base, m_base)
         out.append((frame_id, parent_fid, host_eid, key, furl, text, mtext, rows))
-        todo += [(r[7]["srcdoc"], frame_id, r[0], key + [r[0]], "about:srcdoc")
-                 for r in reversed(rows) if r[6] in ("iframe", "frame") and "srcdoc" in r[7]]
+        todo += [(r[6]["srcdoc"], frame_id, r[0], key + [r[0]], "about:srcdoc")
+                 for r in reversed(rows) if r[5] in ("iframe", "frame") and "srcdoc" in r[6]]
     return out

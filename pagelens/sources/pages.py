@@ -23,7 +23,7 @@ def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ARROW_SCHEMA = pa.schema([
     ("page_id", pa.int64()), ("frame_id", pa.int32()), ("eid", pa.int32()), ("last_eid", pa.int32()),
-    ("parent_eid", pa.int32()), ("depth", pa.int32()), ("path", pa.list_(pa.int32())),
+    ("parent_eid", pa.int32()), ("depth", pa.int32()),
     ("sib_index", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())),
     ("t_start", pa.int32()), ("t_end", pa.int32()), ("m_start", pa.int32()), ("m_end", pa.int32()),
     ("in_shadow", pa.bool_()), ("root_id", pa.int32()), ("shadow_mode", pa.string()),
@@ -51,7 +51,7 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 frames = parse_page(doc or "", url or "")
             except Exception as exc:  # S5: a page that cannot be parsed becomes an error row
                 msg = (str(exc) or type(exc).__name__).split("\n")[0]
-                row = [page_id, 0, -1, -1, None, None, None, None, None, None, None, None, None, None,
+                row = [page_id, 0, -1, -1, None, None, None, None, None, None, None, None, None,
                        None, None, None, None, None, None, url, None, None, "internal_error", msg]
                 for i in range(n):
                     cols[i].append(row[i])
@@ -59,8 +59,8 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             for frame_id, parent_fid, host_eid, key, furl, text, mtext, rows in frames:
                 for r in rows:
                     root = r[0] == 0
-                    vals = (page_id, frame_id, r[0], r[1], None if r[2] < 0 else r[2], r[3], r[4], r[5],
-                            r[6], list(r[7].items()), r[8], r[9], r[10], r[11], r[12], r[13], r[14],
+                    vals = (page_id, frame_id, r[0], r[1], None if r[2] < 0 else r[2], r[3], r[4],
+                            r[5], list(r[6].items()), r[7], r[8], r[9], r[10], r[11], r[12], r[13],
                             parent_fid if root else None, host_eid if root else None,
                             key if root else None, furl if root else None,
                             text if root else None, mtext if root else None, None, None)

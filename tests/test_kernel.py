@@ -8,9 +8,9 @@ def rows_of(doc, url="http://a.test/"):
     out = []
     for fid, pfid, host, key, furl, text, mtext, rows in frames:
         for r in rows:
-            out.append(dict(frame=fid, eid=r[0], last=r[1], parent=r[2], depth=r[3], path=r[4], sib=r[5], tag=r[6],
-                            attrs=r[7], text=text[r[8]:r[9]], mtext=mtext[r[10]:r[11]], shadow=r[12], root=r[13],
-                            mode=r[14]))
+            out.append(dict(frame=fid, eid=r[0], last=r[1], parent=r[2], depth=r[3], sib=r[4], tag=r[5],
+                            attrs=r[6], text=text[r[7]:r[8]], mtext=mtext[r[9]:r[10]], shadow=r[11], root=r[12],
+                            mode=r[13]))
     return frames, out
 
 
