@@ -34,7 +34,7 @@ def test_facts_of_a_deep_and_large_page(spark):
     assert {k: rows[k]["scope_hint"] for k in ("b100", "b1000", "b2999")} == {"b100": None, "b1000": "t750", "b2999": "t2750"}
     assert [rows[k]["properties"]["is_visible"] for k in ("b100", "b1000", "b2999")] == [True, True, True]
     assert {r["form_group"] for r in rows.values()} == {"form#f0"}
-    assert rows["b100"]["css_path"].count(">") == 102 and rows["b2999"]["css_path"].count(">") == 3001
+    assert rows["b100"]["css_path"].count(">") == 103 and rows["b2999"]["css_path"].count(">") == 3002
     assert any(r["tag"] == "input" and r["accessible_name"] == "outer name" for r in rows.values())
     long = [r for r in rows.values() if r["tag"] == "a"][0]
     assert long["accessible_name"] == ("word " * 24)[:120] and long["properties"]["text_content"] == ("word " * 24)[:120]
