@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelens.operators.frames import PARENT_SOURCE, placed
 from pagelens.operators.select import FRAME
 from pagelens.schema import (
     GUIDANCE_IFRAME,
@@ -44,10 +45,10 @@ def cross_origin_markers(frame_tree: DataFrame, hosts: DataFrame, shown: DataFra
                                F.col("frame_path").alias("parent_path"), F.col("frame_key").alias("parent_key"))
     # uniqueness of the selector within the parent frame
     same_sel = (hosts.join(shown, FRAME + ["host_eid"], "left")
-                .groupBy("page_id", F.col("frame_id").alias("parent_frame_id"), "selector").agg(
+                .groupBy(F.col("page_id").alias(PARENT_SOURCE[0]), F.col("frame_id").cast("long").alias(PARENT_SOURCE[1]), "selector").agg(
         F.count(F.lit(1)).alias("_sel_n"), F.min_by("box_shown", "host_eid").alias("_shown")))
     m = (ft.join(parent, ["page_id", "parent_frame_id"], "left")
-         .join(same_sel, ["page_id", "parent_frame_id", "selector"], "left"))
+         .join(same_sel, [*PARENT_SOURCE, "selector"], "left"))
     sel = F.coalesce(F.col("selector"), F.lit("iframe"))
     sel_q = F.replace(sel, F.lit("'"), F.lit("\\'"))
     unique = F.coalesce(F.col("_sel_n") == 1, F.lit(False))
@@ -84,7 +85,7 @@ def page_metadata(ex, opts) -> DataFrame:
     el = ex.elements
     # per frame: node count, first depth-cap element, eid of the node that breaks the walk
     per_frame = nodes.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("n_f"))
-    deep = el.filter(F.col("depth_hit")).groupBy(*FRAME).agg(F.min("eid").alias("deep_eid"))
+    deep = placed(ft, el.filter(F.col("depth_hit")).groupBy(*FRAME).agg(F.min("eid").alias("deep_eid")), []).select(*FRAME, "deep_eid")
     brk = nodes.filter(F.col("seq") == max_nodes + 1).select(*FRAME, F.col("eid").alias("break_eid"))
     fr = (ft.join(per_frame, FRAME, "left").join(deep, FRAME, "left").join(brk, FRAME, "left")
           .withColumn("n_f", F.coalesce("n_f", F.lit(0))))

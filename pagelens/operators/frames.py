@@ -2,9 +2,11 @@
 
 Child documents come from two places: ``srcdoc`` (parsed with the parent page,
 same origin by definition) and ``src`` (another captured page whose url equals
-the resolved src). ``src`` children are attached by an equi join on the
-resolved url, level by level with all frames of the embedded page, until no
-new frame is found; a branch stops where a url equals an ancestor's (cycles).
+the resolved src). Every captured page is parsed and resolved once, in its own
+right. Where it is framed, only rows of the frame map are made: (page, frame)
+of the host and (page, frame) of the source. The map grows level by level by an
+equi join on the source page, until no new frame is found; a branch stops where
+a url equals an ancestor's (cycles). Nodes are attached through the map.
 """
 
 from __future__ import annotations
@@ -13,12 +15,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelens.functions.text import dq_escape
-from pagelens.functions.url import url_origin
+from pagelens.functions.url import resolve_href, url_origin
 from pagelens.operators.select import FRAME
 
 from pagelens.functions.props import A  # noqa: E402
 
 
+# the parsed frame that is a frame's document, and its parent's
+SOURCE, PARENT_SOURCE = ["src_page_id", "src_frame_id"], ["up_page_id", "up_frame_id"]
+
 # frame ids of ``src`` frames: above every parsed frame id, one range per parent frame
 SRC_FRAME_STRIDE = 1 << 31
 
@@ -50,15 +55,13 @@ def frame_hosts(elements: DataFrame) -> DataFrame:
 
 
 def frame_tree(frames: DataFrame, hosts: DataFrame, page_urls: DataFrame) -> DataFrame:
-    """J8 for frames parsed with their page (main document + srcdoc children).
-
-    Returns one row per enumerated frame: page_id, frame_id, frame_key,
+    """One row per enumerated frame of the frame map: page_id, frame_id, frame_key,
     frame_path array<string>, url, name, same_origin, reachable, selector,
-    parent_frame_id, host_eid.
+    parent_frame_id, host_eid and the source ids of the frame and its parent.
     """
-    f = frames.select(*FRAME, "parent_frame_id", "host_eid", "frame_key", "frame_url")
-    h = hosts.select("page_id", F.col("frame_id").alias("parent_frame_id"), "host_eid", "selector", "frame_name")
-    j = f.join(h, ["page_id", "parent_frame_id", "host_eid"], "left")
+    f = frames.select(*FRAME, "parent_frame_id", "host_eid", "frame_key", "frame_url", *SOURCE, *PARENT_SOURCE)
+    h = hosts.select(F.col("page_id").alias(PARENT_SOURCE[0]), F.col("frame_id").cast("long").alias(PARENT_SOURCE[1]), "host_eid", "selector", "frame_name")
+    j = f.join(h, [*PARENT_SOURCE, "host_eid"], "left")
     main_origin = page_urls.select("page_id", url_origin(F.col("url")).alias("main_origin"))
     j = j.join(main_origin, "page_id", "left")
     # path: selectors of the host iframes from the main document down
@@ -78,7 +81,7 @@ def frame_tree(frames: DataFrame, hosts: DataFrame, page_urls: DataFrame) -> Dat
     t = (j.join(paths, ["page_id", "frame_id"])
          .select("page_id", "frame_id", "frame_key", "frame_path", url.alias("url"),
                  F.coalesce(F.col("frame_name"), F.lit("")).alias("name"),
-                 same.alias("same_origin"), "selector", "parent_frame_id", "host_eid"))
+                 same.alias("same_origin"), "selector", "parent_frame_id", "host_eid", *SOURCE, *PARENT_SOURCE))
     # reachable = same-origin and every ancestor frame same-origin: no ancestor
     # key prefix may belong to a cross-origin frame
     cross = t.filter(~F.col("same_origin")).select("page_id", F.col("frame_key").alias("x_key"))
@@ -91,20 +94,40 @@ def frame_tree(frames: DataFrame, hosts: DataFrame, page_urls: DataFrame) -> Dat
     return t.filter(listed).withColumn("reachable", F.col("same_origin")).drop("_blocked")
 
 
+def base_urls(elements: DataFrame, frames: DataFrame, page_urls: DataFrame) -> DataFrame:
+    """Base URL per parsed frame: its first <base href>, else its own url; frames without a url of
+    their own (srcdoc, about:blank) take their parent's base."""
+    first_base = (elements.filter((F.col("tag") == "base") & A["href"].isNotNull())
+                  .groupBy(*FRAME).agg(F.min_by(A["href"], "eid").alias("_bh")))
+    own = F.when((F.col("frame_url") != "") & ~F.col("frame_url").startswith("about:"), F.col("frame_url"))
+    frames = frames.select(*FRAME, "frame_key", own.alias("_own")).join(first_base, FRAME, "left")
+    level = F.explode(F.sequence(F.lit(0), F.size("frame_key")))
+    chain = (frames.select(*FRAME, "frame_key", level.alias("_lvl"))
+             .withColumn("_anc", F.slice("frame_key", F.lit(1), F.col("_lvl"))).drop("frame_key")
+             .join(frames.select("page_id", F.col("frame_key").alias("_anc"), "_own", "_bh"), ["page_id", "_anc"])
+             .groupBy(*FRAME).agg(F.array_sort(F.collect_list(F.struct("_lvl", "_own", "_bh"))).alias("_chain"))
+             .join(page_urls, "page_id"))
+
+    def down(base, x):  # from the main document to the frame
+        base = F.coalesce(x["_own"], base)
+        return F.when(x["_bh"].isNotNull(), resolve_href(x["_bh"], base)).otherwise(base)
+
+    return chain.select(*FRAME, F.aggregate("_chain", F.col("url"), down).alias("base_url"))
+
+
 def src_frame_rows(elements: DataFrame, frames: DataFrame, page_urls: DataFrame) -> DataFrame:
-    """Frames given by ``src`` (iframe / frame without srcdoc): one row per host,
-    url resolved against the page url, keyed like parsed frames."""
-    from pagelens.functions.url import resolve_href
-    hosts = (elements.filter(F.col("tag").isin("iframe", "frame") & A["src"].isNotNull() & A["srcdoc"].isNull())
+    """Frames without srcdoc (iframe / frame): one row per host, url resolved against the base of
+    its document, keyed like parsed frames. Without a src, or with an empty one, it is a blank document."""
+    hosts = (elements.filter(F.col("tag").isin("iframe", "frame") & A["srcdoc"].isNull())
              .select(*FRAME, F.col("eid").alias("host_eid"), A["src"].alias("src")))
     parent = frames.select(*FRAME, "frame_key")
-    return (hosts.join(parent, FRAME).join(page_urls, "page_id")
+    blank = F.trim(F.coalesce("src", F.lit(""))) == ""
+    return (hosts.join(parent, FRAME).join(base_urls(elements, frames, page_urls), FRAME).join(page_urls, "page_id")
             .select("page_id",
                     ((F.col("frame_id").cast("long") + 1) * SRC_FRAME_STRIDE + F.col("host_eid")).alias("frame_id"),
-                    F.col("frame_id").alias("parent_frame_id"), "host_eid",
+                    F.col("frame_id").cast("long").alias("parent_frame_id"), "host_eid",
                     F.concat(F.col("frame_key"), F.array(F.col("host_eid"))).alias("frame_key"),
-                    # an empty src is a blank document, not the page itself
-                    F.when(F.trim("src") == "", F.lit("about:blank")).otherwise(resolve_href(F.col("src"), F.col("url"))).alias("frame_url"),
+                    F.when(blank, F.lit("about:blank")).otherwise(resolve_href(F.col("src"), F.col("base_url"))).alias("frame_url"),
                     F.col("url").alias("main_url")))
 
 
@@ -118,51 +141,62 @@ def embedded_id(host: Column, frame_id: Column) -> Column:
     return F.when(frame_id == 0, host).otherwise(nested_id("embedded", host, frame_id))
 
 
-def attach_src_frames(elements: DataFrame, frames: DataFrame, page_urls: DataFrame):
-    """Documents of same-origin ``src`` frames come from the captured page
-    with that url (equi join on url), with the frames inside it (srcdoc and
-    src), level by level on the newly attached frames. A frame whose url equals
-    an ancestor's has no document.
+def frame_map(elements: DataFrame, frames: DataFrame, page_urls: DataFrame, keep) -> DataFrame:
+    """Every frame of every page with the parsed frame that is its document (SOURCE; null: not captured, blank, cross-origin, or its
+    url equals an ancestor's) and its parent's (PARENT_SOURCE). ``keep`` materialises a table that is read again.
 
-    Returns the deltas (embedded elements, src frame rows): frames whose
-    document is not captured, or that are cross-origin, have no elements.
+    A url captured more than once is framed in its latest capture, the one with the largest page_id.
     """
-    from pagelens.plans.extract import persist
-    # a url captured more than once embeds its latest capture (the largest page_id), so a frame has one document
-    target = page_urls.groupBy(F.col("url").alias("frame_url")).agg(F.max("page_id").alias("src_page_id"))
-    links = persist(src_frame_rows(elements, frames, page_urls).join(target, "frame_url", "left"))
-    down = links.select(F.col("page_id").alias("src_page_id"), F.col("parent_frame_id").alias("_parent"), "host_eid",
-                        F.col("frame_key").alias("_key"), F.col("frame_url").alias("_url"), F.col("src_page_id").alias("_to"))
-    level = links.withColumn("above", F.array("main_url"))
+    parsed = frames.select("page_id", F.col("frame_id").cast("long").alias("frame_id"), F.col("parent_frame_id").cast("long").alias("parent_frame_id"), "host_eid",
+                           F.coalesce("frame_key", F.array().cast("array<int>")).alias("frame_key"), "frame_url")
+    own = parsed.select("*", F.col("page_id").alias(SOURCE[0]), F.col("frame_id").alias(SOURCE[1]),
+                        F.when(F.col("parent_frame_id").isNotNull(), F.col("page_id")).alias(PARENT_SOURCE[0]), F.col("parent_frame_id").alias(PARENT_SOURCE[1]))
+    target = page_urls.groupBy(F.col("url").alias("frame_url")).agg(F.max("page_id").alias("_to"))
+    links = keep(src_frame_rows(elements, frames, page_urls).join(target, "frame_url", "left"))
+    if links.isEmpty():
+        return own
+    down = links.select(F.col("page_id").alias("_doc"), F.col("parent_frame_id").alias("_parent"), "host_eid",
+                        F.col("frame_key").alias("_key"), F.col("frame_url").alias("_url"), F.col("_to").alias("_next"))
+    level = links.withColumns({"above": F.array("main_url"), PARENT_SOURCE[0]: F.col("page_id"), PARENT_SOURCE[1]: F.col("parent_frame_id")})
     attached = None
     while True:
         loads = F.coalesce((url_origin(F.col("frame_url")) == url_origin(F.col("main_url")))
                            & ~F.array_contains("above", F.col("frame_url")), F.lit(False))
-        level = persist(level.select("page_id", "frame_id", "parent_frame_id", "host_eid", "frame_key", "frame_url", "main_url", "above",
-                                     F.when(loads, F.col("src_page_id")).alias("src_page_id")))
+        level = keep(level.select(*FRAME, "parent_frame_id", "host_eid", "frame_key", "frame_url", "main_url", "above", *PARENT_SOURCE,
+                                  F.when(loads, F.col("_to")).alias("_doc")))
         attached = level if attached is None else attached.unionByName(level)
-        opened = level.filter(F.col("src_page_id").isNotNull())
+        opened = level.filter(F.col("_doc").isNotNull())
         if opened.isEmpty():
             break
-        level = (opened.drop("host_eid", "parent_frame_id").join(down, "src_page_id")
+        level = (opened.drop("host_eid", "parent_frame_id", *PARENT_SOURCE).join(down, "_doc")
                  .withColumn("parent_frame_id", embedded_id(F.col("frame_id"), F.col("_parent")))
                  .select("page_id", nested_id("src", F.col("parent_frame_id"), F.col("host_eid")).alias("frame_id"), "parent_frame_id", "host_eid",
                          F.concat("frame_key", "_key").alias("frame_key"), F.col("_url").alias("frame_url"), "main_url",
-                         F.concat("above", F.array("frame_url")).alias("above"), F.col("_to").alias("src_page_id")))
-    linked = attached.filter(F.col("src_page_id").isNotNull())
-    own = F.col("_frame") == 0
-    emb_el = (elements.withColumnRenamed("page_id", "src_page_id").withColumnRenamed("frame_id", "_frame")
-              .join(linked.select("src_page_id", "page_id", F.col("frame_id").alias("_host")), "src_page_id")
-              .withColumn("frame_id", embedded_id(F.col("_host"), F.col("_frame"))))
-    emb_fr = (frames.select(F.col("page_id").alias("src_page_id"), F.col("frame_id").alias("_frame"), F.col("parent_frame_id").alias("_parent"),
-                            F.col("host_eid").alias("_eid"), F.col("frame_key").alias("_key"), F.col("frame_url").alias("_url"), "text", "mtext")
-              .join(linked.withColumnRenamed("frame_id", "_host"), "src_page_id")
+                         F.concat("above", F.array("frame_url")).alias("above"), F.col("_doc").alias(PARENT_SOURCE[0]), F.col("_parent").alias(PARENT_SOURCE[1]),
+                         F.col("_next").alias("_to")))
+    # the frames of an opened document: its main document stands in the framing frame itself
+    main = F.col("_frame") == 0
+    inner = parsed.select(F.col("page_id").alias("_doc"), F.col("frame_id").alias("_frame"), F.col("parent_frame_id").alias("_up"), F.col("host_eid").alias("_eid"),
+                          F.col("frame_key").alias("_key"), F.col("frame_url").alias("_url"))
+    framed = (attached.filter(F.col("_doc").isNotNull()).withColumnRenamed("frame_id", "_host").join(inner, "_doc")
               .select("page_id", embedded_id(F.col("_host"), F.col("_frame")).alias("frame_id"),
-                      F.when(own, F.col("parent_frame_id")).otherwise(embedded_id(F.col("_host"), F.col("_parent"))).alias("parent_frame_id"),
-                      F.when(own, F.col("host_eid")).otherwise(F.col("_eid")).alias("host_eid"),
-                      F.concat("frame_key", F.coalesce("_key", F.array().cast("array<int>"))).alias("frame_key"),
-                      F.when(own, F.col("frame_url")).otherwise(F.col("_url")).alias("frame_url"), "text", "mtext"))
-    bare = (attached.filter(F.col("src_page_id").isNull())
-            .select("page_id", "frame_id", "parent_frame_id", "host_eid", "frame_key", "frame_url",
-                    F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("mtext")))
-    return emb_el.select(*elements.columns), emb_fr.select(*frames.columns).unionByName(bare.select(*frames.columns))
+                      F.when(main, F.col("parent_frame_id")).otherwise(embedded_id(F.col("_host"), F.col("_up"))).alias("parent_frame_id"),
+                      F.when(main, F.col("host_eid")).otherwise(F.col("_eid")).alias("host_eid"),
+                      F.concat("frame_key", "_key").alias("frame_key"),
+                      F.when(main, F.col("frame_url")).otherwise(F.col("_url")).alias("frame_url"),
+                      F.col("_doc").alias(SOURCE[0]), F.col("_frame").alias(SOURCE[1]),
+                      F.when(main, F.col(PARENT_SOURCE[0])).otherwise(F.col("_doc")).alias(PARENT_SOURCE[0]),
+                      F.when(main, F.col(PARENT_SOURCE[1])).otherwise(F.col("_up")).alias(PARENT_SOURCE[1])))
+    bare = attached.filter(F.col("_doc").isNull()).withColumns({c: F.lit(None).cast("long") for c in SOURCE})
+    return own.unionByName(framed.select(*own.columns)).unionByName(bare.select(*own.columns))
+
+
+def placed(tree: DataFrame, df: DataFrame, cols: list[str]) -> DataFrame:
+    """Rows of ``df`` (page_id, frame_id of a parsed frame) once for every reachable frame that has it as its document, with that frame's
+    page_id, frame_id and ``cols``; SOURCE keeps where they come from. A page's own frames join without a shuffle."""
+    tree = tree.filter(F.col("reachable") & F.col(SOURCE[0]).isNotNull()).select(*FRAME, *SOURCE, *cols)
+    is_own = (F.col("page_id") == F.col(SOURCE[0])) & (F.col("frame_id") == F.col(SOURCE[1]))
+    own = df.withColumn("frame_id", F.col("frame_id").cast("long")).join(tree.filter(is_own), FRAME)
+    renamed = df.withColumnRenamed("page_id", SOURCE[0]).withColumn(SOURCE[1], F.col("frame_id").cast("long")).drop("frame_id")
+    framed = renamed.join(tree.filter(~is_own), SOURCE)
+    return own.unionByName(framed.select(*own.columns))

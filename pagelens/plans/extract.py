@@ -89,17 +89,17 @@ class Extraction:
 
     # stages an option first influences; everything upstream is shared by with_options()
     _SHARED_UNTIL = {
-        "match": ["parsed", "_split", "_with_src_frames", "css_rules", "style_rules", "elements", "frame_tree", "frame_base", "element_texts", "subjects",
+        "match": ["parsed", "_split", "css_rules", "style_rules", "elements", "frame_tree", "frame_base", "element_texts", "subjects",
                   "raw_nodes", "match_universe", "candidates", "elements_with_hosts", "page_urls"],
-        "max_nodes": ["parsed", "_split", "_with_src_frames", "css_rules", "style_rules", "elements", "frame_tree", "frame_base", "element_texts", "subjects",
+        "max_nodes": ["parsed", "_split", "css_rules", "style_rules", "elements", "frame_tree", "frame_base", "element_texts", "subjects",
                       "raw_nodes", "match_universe", "candidates", "match_pairs", "locators",
                       "elements_with_hosts", "page_urls"],
-        "max_depth": ["parsed", "_split", "_with_src_frames", "css_rules", "style_rules", "page_urls"],
-        "viewport": ["parsed", "_split", "_with_src_frames", "page_urls"],
-        "include_hidden": ["parsed", "_split", "_with_src_frames", "css_rules", "style_rules", "elements", "frame_tree", "frame_base", "element_texts", "subjects",
+        "max_depth": ["parsed", "_split", "css_rules", "style_rules", "page_urls"],
+        "viewport": ["parsed", "_split", "page_urls"],
+        "include_hidden": ["parsed", "_split", "css_rules", "style_rules", "elements", "frame_tree", "frame_base", "element_texts", "subjects",
                            "raw_nodes", "match_universe", "candidates", "match_pairs", "locators", "nodes",
                            "elements_with_hosts", "page_urls"],
-        "after_actions": ["parsed", "_split", "_with_src_frames", "css_rules", "style_rules", "elements", "frame_tree", "frame_base", "element_texts", "subjects",
+        "after_actions": ["parsed", "_split", "css_rules", "style_rules", "elements", "frame_tree", "frame_base", "element_texts", "subjects",
                           "raw_nodes", "match_universe", "candidates", "match_pairs", "locators", "nodes",
                           "kept_nodes", "elements_with_hosts", "page_urls"],
     }
@@ -126,30 +126,13 @@ class Extraction:
     def _split(self):
         return split_parsed(self.parsed)
 
-    @cached_property
-    def _with_src_frames(self):
-        """Attach captured documents of same-origin ``src`` frames.
-
-        Only the (small) delta is computed and checkpointed, partitioned like
-        the parse output; the union of the two keeps the page_id partitioning.
-        """
-        el, fr, _ = self._split
-        has_src = (el.filter(F.col("tag").isin("iframe", "frame") & F.col("attrs")["src"].isNotNull()
-                             & F.col("attrs")["srcdoc"].isNull()).limit(1).count() > 0)
-        if not has_src:  # nothing to attach: keep the plain (checkpointed) parse output
-            return el, fr
-        d_el, d_fr = FR.attach_src_frames(el, fr, self.page_urls)
-        d_el = persist(d_el.repartition(self.n_parts, "page_id"))
-        d_fr = persist(d_fr.repartition(self.n_parts, "page_id"))
-        return el.unionByName(d_el), fr.unionByName(d_fr)
-
     @property
     def elements_raw(self) -> DataFrame:
-        return self._with_src_frames[0]
+        return self._split[0]
 
     @property
     def frames_raw(self) -> DataFrame:
-        return self._with_src_frames[1]
+        return self._split[1]
 
     @property
     def parse_errors(self) -> DataFrame:
@@ -192,29 +175,13 @@ class Extraction:
 
     @cached_property
     def frame_tree(self) -> DataFrame:
-        hosts = FR.frame_hosts(self.elements)
-        return persist(FR.frame_tree(self.frames_raw, hosts, self.page_urls))
+        """Every frame of every page, with the parsed frame that is its document."""
+        frames = FR.frame_map(self.elements_raw, self.frames_raw, self.page_urls, persist)
+        return persist(FR.frame_tree(frames, self.elements_with_hosts, self.page_urls).repartition(self.n_parts, "page_id"))
 
     @cached_property
     def frame_base(self) -> DataFrame:
-        """Base URL per frame: its first <base href>, else its own url; frames without a url of
-        their own (srcdoc, about:blank) take their parent's base."""
-        first_base = (self.elements.filter((F.col("tag") == "base") & F.col("attrs")["href"].isNotNull())
-                      .groupBy(*FRAME).agg(F.min_by(F.col("attrs")["href"], "eid").alias("_bh")))
-        own = F.when((F.col("frame_url") != "") & ~F.col("frame_url").startswith("about:"), F.col("frame_url"))
-        frames = self.frames_raw.select(*FRAME, "frame_key", own.alias("_own")).join(first_base, FRAME, "left")
-        level = F.explode(F.sequence(F.lit(0), F.size("frame_key")))
-        chain = (frames.select(*FRAME, "frame_key", level.alias("_lvl"))
-                 .withColumn("_anc", F.slice("frame_key", F.lit(1), F.col("_lvl"))).drop("frame_key")
-                 .join(frames.select("page_id", F.col("frame_key").alias("_anc"), "_own", "_bh"), ["page_id", "_anc"])
-                 .groupBy(*FRAME).agg(F.array_sort(F.collect_list(F.struct("_lvl", "_own", "_bh"))).alias("_chain"))
-                 .join(self.page_urls, "page_id"))
-
-        def down(base, x):  # from the main document to the frame
-            base = F.coalesce(x["_own"], base)
-            return F.when(x["_bh"].isNotNull(), resolve_href(x["_bh"], base)).otherwise(base)
-
-        return chain.select(*FRAME, F.aggregate("_chain", F.col("url"), down).alias("base_url"))
+        return FR.base_urls(self.elements_raw, self.frames_raw, self.page_urls)
 
     # ---------------------------------------------------------------- subjects
     @cached_property
@@ -315,7 +282,7 @@ class Extraction:
     # ------------------------------------------------------------------- nodes
     @cached_property
     def raw_nodes(self) -> DataFrame:
-        """F1/F2/F5/F7 (+F4): nodes of reachable frames before the budget, with candidates."""
+        """F1/F2/F5/F7 (+F4): nodes of every parsed frame before the budget, with candidates."""
         s = self.subjects.filter(F.col("walked") & (F.col("included") | F.col("closed_host") | F.col("click_target")))
         s = s.join(R.live_region_text(s.filter(F.col("role").isin(LIVE_REGION_ROLES)).select(
             *FRAME, "eid", "role", "text_content", "live_anc"), self.element_texts), FRAME + ["eid"], "left")
@@ -330,8 +297,6 @@ class Extraction:
             "text_content": F.when(live, F.col("live_text")).otherwise(F.col("text_content")),
             "context_note": F.when(F.col("closed_host"), F.lit(NOTE_CLOSED_SHADOW)).otherwise(F.nullif(note, F.lit(""))),
         })
-        ft = self.frame_tree.select(*FRAME, "frame_key", "frame_path", "reachable")
-        s = s.join(ft, FRAME).filter(F.col("reachable"))
         return persist(s)
 
     @cached_property
@@ -404,8 +369,8 @@ class Extraction:
             F.col("text_content").alias("text_content"), F.col("p_href").alias("href"),
             F.col("p_required").alias("is_required"), F.col("p_disabled").alias("is_disabled"),
             F.col("p_checked").alias("is_checked"), F.col("is_visible").alias("is_visible"))
-        n = n.select(
-            "page_id", "frame_id", "eid", "frame_key", F.col("eid").alias("doc_order"), "kind", "tag", "role",
+        n = FR.placed(self.frame_tree, n, ["frame_key", "frame_path"]).select(
+            "page_id", "frame_id", *FR.SOURCE, "eid", "frame_key", F.col("eid").alias("doc_order"), "kind", "tag", "role",
             "in_shadow", "frame_path", "form_group", "accessible_name", "scope_hint", "css_path",
             "primary_locator", "fallback_locators", props.alias("properties"), "context_note",
             "primary_count", "primary_nth")

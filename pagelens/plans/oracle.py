@@ -515,3 +515,32 @@ UNION ALL SELECT page_id, 'label', '', name, (SELECT count(*) FROM q o WHERE o.p
 UNION ALL SELECT page_id, 'placeholder', '', hint, (SELECT count(*) FROM q o WHERE o.page_id = q.page_id AND contains(lower(o.hint), lower(q.hint))) FROM q WHERE hint IS NOT NULL
 UNION ALL SELECT page_id, 'text', '', name, (SELECT count(*) FILTER (o.labelled AND NOT (o.wrapped AND o.submit)) + count(*) FILTER (o.submit) FROM q o WHERE o.page_id = q.page_id AND contains(o.low, q.low)) FROM q WHERE labelled)
 SELECT DISTINCT page_id::BIGINT AS page_id, strategy, role, value, n::BIGINT AS match_count FROM c"""
+
+
+# the frames of every nested page: (page_id, frame_path, url, name) and the name of the one node in it
+_NESTED = """
+WITH RECURSIVE s AS (SELECT s_suppkey::BIGINT AS k FROM supplier),
+ring AS (SELECT DISTINCT k % 5 AS j FROM s),
+leaf(page_id, path, j, seen) AS (
+SELECT k * 10 + 1, 'iframe >> nth=2', k % 5, [k % 5] FROM s WHERE k % 4 = 0
+UNION ALL SELECT k * 10, 'iframe[name="next"] > iframe >> nth=2', k % 5, [k % 5] FROM s WHERE k % 4 = 0
+UNION ALL SELECT -j * 10 - 10 + v, '', j, [j] FROM ring, (VALUES (2), (3)) t(v)
+UNION ALL SELECT page_id, path || CASE path WHEN '' THEN '' ELSE ' > ' END || 'iframe#ring', (j + 1) % 5, list_append(seen, (j + 1) % 5) FROM leaf
+WHERE j IN (SELECT j FROM ring) AND len(list_distinct(seen)) = len(seen)),
+f AS (SELECT k * 10 AS page_id, '' AS frame_path, 'http://s.test/a/' || k AS url, '' AS name, 'main ' || k AS node, NULL AS href FROM s
+UNION ALL SELECT k * 10, 'iframe[name="next"]', 'http://s.test/' || CASE k % 2 WHEN 0 THEN 'b' ELSE 'a' END || '/x' || k, 'next', CASE k % 2 WHEN 0 THEN 'to ' || k END, 'http://s.test/b/y' FROM s
+UNION ALL SELECT k * 10, 'iframe[name="next"] > iframe >> nth=0', 'about:blank', '', NULL, NULL FROM s WHERE k % 2 = 0
+UNION ALL SELECT k * 10, 'iframe[name="next"] > iframe >> nth=1', 'about:srcdoc', '', 'inner ' || k, NULL FROM s WHERE k % 2 = 0
+UNION ALL SELECT k * 10 + 1, '', 'http://s.test/b/x' || k, '', 'to ' || k, 'http://s.test/b/y' FROM s WHERE k % 2 = 0
+UNION ALL SELECT k * 10 + 1, 'iframe >> nth=0', 'about:blank', '', NULL, NULL FROM s WHERE k % 2 = 0
+UNION ALL SELECT k * 10 + 1, 'iframe >> nth=1', 'about:srcdoc', '', 'inner ' || k, NULL FROM s WHERE k % 2 = 0
+UNION ALL SELECT page_id, path, 'http://s.test/c/' || j, '', CASE WHEN len(list_distinct(seen)) < len(seen) OR j NOT IN (SELECT j FROM ring) THEN NULL
+WHEN path = '' AND -page_id % 10 = 8 THEN 'old ' || j ELSE 'new ' || j END, NULL FROM leaf)
+"""
+
+ORACLE_SQL |= {
+    "frm_nested": _NESTED + "SELECT page_id::BIGINT AS page_id, frame_path, url, name, true AS same_origin, true AS reachable FROM f",
+    "frm_captures": _NESTED + """SELECT page_id::BIGINT AS page_id, frame_path, node AS accessible_name,
+'getByRole(''' || CASE WHEN href IS NULL THEN 'button' ELSE 'link' END || ''', { name: ''' || node || ''' })' AS playwright, true AS is_unique, href FROM f WHERE node IS NOT NULL""",
+    "frm_blank": _NESTED + "SELECT page_id::BIGINT AS page_id, count(node)::BIGINT AS node_count, count(*)::BIGINT AS frame_count FROM f GROUP BY page_id",
+}

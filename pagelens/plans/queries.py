@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagelens.operators import gate, report
+from pagelens.operators.frames import SOURCE
 from pagelens.operators.select import FRAME
 from pagelens.plans.extract import ExtractOptions, Extraction
 from pagelens.session import configure
@@ -86,11 +87,16 @@ def q_rel_css_path(spark, sf_dir):
     return n.select("page_id", F.col("node_no").cast("long").alias("node_no"), "css_path")
 
 
+def _placed_candidates(ex: Extraction, nodes: DataFrame) -> DataFrame:
+    """Candidates of nodes, which are ranked once per parsed frame."""
+    nn = nodes.select(*SOURCE, "eid", "page_id", "node_no")
+    return ex.candidates.withColumnsRenamed(dict(zip(FRAME, SOURCE))).join(nn, [*SOURCE, "eid"])
+
+
 def q_loc_candidates(spark, sf_dir):
     """Ranked locator candidates."""
     ex = extraction(spark, sf_dir)
-    nn = _link_nodes(spark, sf_dir).select(*FRAME, "eid", "page_id", "node_no")
-    c = ex.candidates.join(nn, FRAME + ["eid"])
+    c = _placed_candidates(ex, _link_nodes(spark, sf_dir))
     return c.select("page_id", F.col("node_no").cast("long").alias("node_no"), F.col("rank").cast("long").alias("rank"),
                     "strategy", "value", "last_resort")
 
@@ -99,8 +105,7 @@ def q_loc_expression(spark, sf_dir):
     """Expression of each candidate."""
     from pagelens.operators.locate import expression
     ex = extraction(spark, sf_dir)
-    nn = _link_nodes(spark, sf_dir).select(*FRAME, "eid", "node_no")
-    c = ex.candidates.join(nn, FRAME + ["eid"])
+    c = _placed_candidates(ex, _link_nodes(spark, sf_dir))
     return c.select("page_id", F.col("node_no").cast("long").alias("node_no"), F.col("rank").cast("long").alias("rank"),
                     expression(F.col("strategy"), F.col("value"), F.col("role")).alias("playwright"))
 
@@ -434,6 +439,37 @@ def q_diff_states(spark, sf_dir):
                     F.col("occurrence").cast("long").alias("occurrence"), "change", "role", "accessible_name")
 
 
+def nested_extraction(spark, sf_dir) -> Extraction:
+    from pagelens.plans.render import nested_pages
+    from pagelens.sources.pages import read_table
+    key = (spark.sparkContext.applicationId, sf_dir, "nested")
+    ex = _CACHE.get(key)
+    if ex is None:
+        configure(spark)
+        ex = Extraction(nested_pages(read_table(spark, sf_dir, "supplier")), ExtractOptions(**WHOLE))
+        _CACHE[key] = ex
+    return ex
+
+
+def q_frm_nested(spark, sf_dir):
+    """J8 / P13 / D2 on nested pages: frames of frames, <base>, frames without src, pages that frame each other."""
+    ft = nested_extraction(spark, sf_dir).frame_tree
+    return ft.select("page_id", F.array_join("frame_path", " > ").alias("frame_path"), "url", "name", "same_origin", "reachable")
+
+
+def q_frm_captures(spark, sf_dir):
+    """J8 / U1 on nested pages: nodes attached from the latest capture of every framed page."""
+    n = nested_extraction(spark, sf_dir).kept_nodes
+    return n.select("page_id", F.array_join("frame_path", " > ").alias("frame_path"), "accessible_name", F.col("primary_locator.playwright").alias("playwright"),
+                    F.col("primary_locator.is_unique").alias("is_unique"), F.col("properties.href").alias("href"))
+
+
+def q_frm_blank(spark, sf_dir):
+    """A2 on nested pages: node and frame counts, blank frames included."""
+    m = nested_extraction(spark, sf_dir).page_meta
+    return m.select("page_id", F.col("node_count").cast("long").alias("node_count"), F.col("frame_count").cast("long").alias("frame_count"))
+
+
 def style_extraction(spark, sf_dir, **opts) -> Extraction:
     from pagelens.plans.render import style_pages
     from pagelens.sources.pages import read_table
@@ -493,6 +529,9 @@ def q_gate_selectors(spark, sf_dir):
 
 
 QUERIES = {
+    "frm_nested": q_frm_nested,
+    "frm_captures": q_frm_captures,
+    "frm_blank": q_frm_blank,
     "loc_match_form": q_loc_match_form,
     "vis_styles": q_vis_styles,
     "vis_media": q_vis_media,

@@ -231,3 +231,29 @@ def style_pages(customer: DataFrame) -> DataFrame:
     return items.select("page_id", text("http://shop.test/customers/", F.col("page_id")).alias("url"),
                         text("<!DOCTYPE html><html><head><title>Customers</title><style>", STYLE_SHEET, '</style></head><body><ul data-kind="list">',
                              F.col("items"), "</ul></body></html>").alias("html"))
+
+
+NESTED_LEAVES = 5
+
+
+def nested_pages(supplier: DataFrame) -> DataFrame:
+    """Nested pages. With k = suppkey, all on one origin:
+
+      /a/k  a button "main k" and <iframe name="next" src="xk">; for even k a <base href="/b/"> stands before it
+      /b/xk (even k only) a link "to k", an <iframe> without src, a srcdoc frame with a button, and for k mod 4 = 0 an iframe of /c/(k mod NESTED_LEAVES)
+      /c/j  captured twice, as "old j" and later as "new j"; it frames /c/(j + 1), so the leaves frame each other in a ring
+    """
+    k = F.col("s_suppkey").cast("long")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    doc = lambda *parts: text("<!DOCTYPE html><html><head><title>Nested</title></head><body>", *parts, "</body></html>")
+    even = k % 2 == 0
+    main = supplier.select((k * 10).alias("page_id"), text("http://s.test/a/", k).alias("url"),
+                           doc(F.when(even, '<base href="/b/">').otherwise(""), "<button>main ", k, '</button><iframe name="next" src="x', k, '"></iframe>').alias("html"))
+    leaf = F.when(k % 4 == 0, text('<iframe src="/c/', k % NESTED_LEAVES, '"></iframe>')).otherwise("")
+    child = supplier.filter(even).select((k * 10 + 1).alias("page_id"), text("http://s.test/b/x", k).alias("url"),
+                                         doc('<a href="y">to ', k, '</a><iframe></iframe><iframe srcdoc="<button>inner ', k, '</button>"></iframe>', leaf).alias("html"))
+    rings = supplier.select((k % NESTED_LEAVES).alias("j")).distinct().withColumn("v", F.explode(F.array(F.lit(2), F.lit(3))))
+    j = F.col("j")
+    rings = rings.select((-j * 10 - 10 + F.col("v")).alias("page_id"), text("http://s.test/c/", j).alias("url"),
+                         doc("<button>", F.when(F.col("v") == 2, "old ").otherwise("new "), j, '</button><iframe id="ring" src="', (j + 1) % NESTED_LEAVES, '"></iframe>').alias("html"))
+    return main.unionByName(child).unionByName(rings)
