@@ -4,8 +4,8 @@ J13 state diff between two captures, R2 prompt rows, S4 JSON sink.
 * Q4 validates declared action lists row by row (window count per list).
 * J12 resolves declared locators with the same match join as the extraction
   (distinct keys per frame -> match pairs -> counts) and grades them.
-* J13 full-outer-joins the nodes of a before and an after capture on
-  (url, frame_path, primary expression, occurrence).
+* J13 aligns the nodes of a before and an after capture in document order
+  (``pagelens.operators.align``).
 * R2 renders the team prompt per (scenario, page) from columns.
 """
 
@@ -135,31 +135,34 @@ def link_click_actions(nodes: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # J13
 # ---------------------------------------------------------------------------
-def _keyed(nodes: DataFrame, url_col: str = "url") -> DataFrame:
-    expr = F.col("primary_locator.playwright")
-    w = Window.partitionBy(url_col, "frame_path", expr).orderBy("frame_key", "doc_order")
-    return nodes.select(url_col, "frame_path", expr.alias("locator"), F.row_number().over(w).alias("occurrence"),
-                        "kind", "role", "accessible_name", F.col("properties").alias("props"))
+def _numbered(nodes: DataFrame) -> DataFrame:
+    """Nodes of a url in document order, with the hashes that alignment compares and their place among nodes of the same key."""
+    key = ["frame_path", "kind", "role", "locator"]
+    order = Window.partitionBy("url").orderBy("frame_key", "doc_order")
+    twins = Window.partitionBy("url", *key).orderBy("frame_key", "doc_order")
+    rows = nodes.select("url", "frame_path", "kind", "role", F.col("primary_locator.playwright").alias("locator"), "accessible_name", "frame_key", "doc_order",
+                        F.col("properties").alias("props"))
+    return rows.select("url", F.row_number().over(order).cast("long").alias("no"), F.row_number().over(twins).alias("occurrence"), *key, "accessible_name", "props",
+                       F.xxhash64(*key).alias("key"), F.xxhash64(*key, "accessible_name", F.to_json("props")).alias("whole"))
 
 
 def state_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Nodes added, removed or changed between two captures of the same url.
+    """Nodes added, removed, moved or changed between two captures of the same url.
 
     before / after: node rows carrying ``url`` (page url), frame_key, doc_order,
-    frame_path, primary_locator, properties, role, accessible_name.
+    frame_path, primary_locator, properties, role, accessible_name. A node that moved and changed is ``changed``;
+    ``occurrence`` is its place among nodes of the same key, after the change where it still exists.
     """
-    b = _keyed(before).select("url", "frame_path", "locator", "occurrence",
-                              *[F.col(c).alias("b_" + c) for c in ["kind", "role", "accessible_name", "props"]])
-    a = _keyed(after).select("url", "frame_path", "locator", "occurrence",
-                             *[F.col(c).alias("a_" + c) for c in ["kind", "role", "accessible_name", "props"]])
-    j = b.join(a, ["url", "frame_path", "locator", "occurrence"], "full_outer")
-    change = (F.when(F.col("b_kind").isNull(), "added").when(F.col("a_kind").isNull(), "removed")
-              .when((F.to_json("b_props") != F.to_json("a_props"))
-                    | ~F.col("b_accessible_name").eqNullSafe(F.col("a_accessible_name")), "changed"))
+    from pagelens.operators.align import align_states
+    b, a = _numbered(before), _numbered(after)
+    pairs = align_states(b.select("url", "no", "key", "whole"), a.select("url", "no", "key", "whole"))
+    side = lambda df, s: df.select("url", *[F.col(c).alias(f"{s}_{c}") for c in df.columns if c not in ("url", "key")])
+    j = pairs.join(side(b, "b"), ["url", "b_no"], "left").join(side(a, "a"), ["url", "a_no"], "left")
+    change = (F.when(F.col("b_no").isNull(), "added").when(F.col("a_no").isNull(), "removed")
+              .when(F.col("b_whole") != F.col("a_whole"), "changed").when(F.col("moved"), "moved"))
+    either = lambda c: F.coalesce(f"a_{c}", f"b_{c}").alias(c)
     return j.withColumn("change", change).filter(F.col("change").isNotNull()).select(
-        "url", "frame_path", "locator", "occurrence", "change",
-        F.coalesce("a_role", "b_role").alias("role"),
-        F.coalesce("a_accessible_name", "b_accessible_name").alias("accessible_name"),
+        "url", either("frame_path"), either("locator"), either("occurrence"), "change", either("role"), either("accessible_name"),
         F.col("b_props").alias("before"), F.col("a_props").alias("after"))
 
 

@@ -544,3 +544,13 @@ ORACLE_SQL |= {
 'getByRole(''' || CASE WHEN href IS NULL THEN 'button' ELSE 'link' END || ''', { name: ''' || node || ''' })' AS playwright, true AS is_unique, href FROM f WHERE node IS NOT NULL""",
     "frm_blank": _NESTED + "SELECT page_id::BIGINT AS page_id, count(node)::BIGINT AS node_count, count(*)::BIGINT AS frame_count FROM f GROUP BY page_id",
 }
+
+ORACLE_SQL["diff_toast"] = """
+WITH e AS (SELECT event_id AS id, event_type AS t, event_id // 20 AS page, min(event_id) OVER (PARTITION BY event_id // 20) = event_id AS is_first,
+count(*) FILTER (event_type NOT IN ('signup', 'view')) OVER (PARTITION BY event_id // 20) AS kept,
+count(*) FILTER (event_type <> 'signup') OVER (PARTITION BY event_id // 20) AS early, count(*) FILTER (event_type <> 'view') OVER (PARTITION BY event_id // 20) AS late FROM events),
+d AS (SELECT page, CASE t WHEN 'error' THEN 'getByRole(''button'', { name: ''Error'' })' ELSE 'getByTestId(''e' || id || ''')' END AS locator,
+CASE WHEN t = 'signup' THEN 'added' WHEN t = 'view' THEN 'removed' WHEN t = 'click' THEN 'changed' WHEN t = 'purchase' AND is_first AND kept > 1 THEN 'moved' END AS change,
+upper(left(t, 1)) || substr(t, 2) AS accessible_name, CASE t WHEN 'signup' THEN NULL ELSE false END AS was_disabled, CASE t WHEN 'view' THEN NULL ELSE t = 'click' END AS is_disabled FROM e
+UNION ALL SELECT DISTINCT page, 'getByRole(''button'', { name: ''Error'' })', 'added', 'Error', NULL::BOOLEAN, false FROM e WHERE page % 2 = 0 AND late > 0)
+SELECT 'http://toast.test/' || page AS url, locator, change, 'button' AS role, accessible_name, was_disabled, is_disabled FROM d WHERE change IS NOT NULL"""

@@ -439,6 +439,26 @@ def q_diff_states(spark, sf_dir):
                     F.col("occurrence").cast("long").alias("occurrence"), "change", "role", "accessible_name")
 
 
+def toast_extraction(spark, sf_dir, after: bool) -> Extraction:
+    from pagelens.plans.render import toast_pages
+    from pagelens.sources.pages import read_table
+    key = (spark.sparkContext.applicationId, sf_dir, "toast", after)
+    ex = _CACHE.get(key)
+    if ex is None:
+        configure(spark)
+        ex = Extraction(toast_pages(read_table(spark, sf_dir, "events"), after), ExtractOptions(**WHOLE))
+        _CACHE[key] = ex
+    return ex
+
+
+def q_diff_toast(spark, sf_dir):
+    """J13 on toast pages: nodes added, removed, moved and changed, twins among them."""
+    from pagelens.operators.lint import state_diff
+    sides = [toast_extraction(spark, sf_dir, after) for after in (False, True)]
+    b, a = [x.kept_nodes.join(x.pages.select("page_id", "url"), "page_id") for x in sides]
+    return state_diff(b, a).select("url", "locator", "change", "role", "accessible_name", F.col("before.is_disabled").alias("was_disabled"), F.col("after.is_disabled").alias("is_disabled"))
+
+
 def nested_extraction(spark, sf_dir) -> Extraction:
     from pagelens.plans.render import nested_pages
     from pagelens.sources.pages import read_table
@@ -529,6 +549,7 @@ def q_gate_selectors(spark, sf_dir):
 
 
 QUERIES = {
+    "diff_toast": q_diff_toast,
     "frm_nested": q_frm_nested,
     "frm_captures": q_frm_captures,
     "frm_blank": q_frm_blank,

@@ -257,3 +257,28 @@ def nested_pages(supplier: DataFrame) -> DataFrame:
     rings = rings.select((-j * 10 - 10 + F.col("v")).alias("page_id"), text("http://s.test/c/", j).alias("url"),
                          doc("<button>", F.when(F.col("v") == 2, "old ").otherwise("new "), j, '</button><iframe id="ring" src="', (j + 1) % NESTED_LEAVES, '"></iframe>').alias("html"))
     return main.unionByName(child).unionByName(rings)
+
+
+TOAST_PAGE_SIZE = 20
+
+
+def toast_pages(events: DataFrame, after: bool) -> DataFrame:
+    """Toast pages, before and after an interaction: every TOAST_PAGE_SIZE event ids one page with a button per event, named by its type.
+
+      signup    only after            view      only before
+      click     disabled after        purchase  with a test id; if it is the page's first event, it stands last after
+      error     no test id, so errors are twins; every other one (by id) is disabled; on even pages a new enabled twin stands first after
+    """
+    e, t = F.col("event_id").cast("long"), F.col("event_type")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    page = F.floor(e / TOAST_PAGE_SIZE).cast("long")
+    off = (F.lit(after) & (t == "click")) | ((t == "error") & (e % 2 == 0))
+    button = text("<button", F.when(t == "error", "").otherwise(text(' data-testid="e', e, '"')), F.when(off, " disabled").otherwise(""), ">", F.initcap(t), "</button>")
+    shown = events.filter(t != ("view" if after else "signup")).select(page.alias("page_id"), e.alias("e"), t.alias("t"), button.alias("button"))
+    first = events.groupBy(page.alias("page_id")).agg(F.min(e).alias("first"))
+    last = F.lit(after) & (F.col("t") == "purchase") & (F.col("e") == F.col("first"))
+    rows = shown.join(first, "page_id").groupBy("page_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(last.alias("last"), "e", "button"))), lambda x: x["button"]), "").alias("buttons"))
+    twin = F.when(F.lit(after) & (F.col("page_id") % 2 == 0), "<button>Error</button>").otherwise("")
+    return rows.select("page_id", text("http://toast.test/", F.col("page_id")).alias("url"),
+                       text("<!DOCTYPE html><html><head><title>Toast</title></head><body>", twin, F.col("buttons"), "</body></html>").alias("html"))
