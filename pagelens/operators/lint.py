@@ -11,12 +11,8 @@ J13 state diff between two captures, R2 prompt rows, S4 JSON sink.
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pagelens.operators.locate import CKEY, match_pairs
 
@@ -169,35 +165,61 @@ def state_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # S4 JSON sink and R2 prompts
 # ---------------------------------------------------------------------------
-OPTIONAL_MEMBERS = ("disambiguation", "context_note")
-
-
-def _drop_optional(o):
-    if isinstance(o, dict):
-        return {k: _drop_optional(v) for k, v in o.items() if not (k in OPTIONAL_MEMBERS and v is None)}
-    if isinstance(o, list):
-        return [_drop_optional(v) for v in o]
-    return o
-
-
-@F.pandas_udf(T.StringType())
-def _pretty(js: pd.Series) -> pd.Series:
-    return js.map(lambda s: None if s is None else json.dumps(_drop_optional(json.loads(s)), indent=2,
-                                                              ensure_ascii=False))
-
-
-def extract_json(extracts: DataFrame) -> DataFrame:
-    """The pretty-printed document per page (two-space indent, optional
-    members omitted when empty). Spark serialises; a vectorised UDF re-indents."""
-    from pyspark import cloudpickle
-    import pagelens.operators.lint as me
-    try:  # the UDF travels with the task: executors need no installed copy of the package
-        cloudpickle.register_pickle_by_value(me)
-    except (ValueError, AttributeError):
-        pass
-    doc = F.struct("schema_version", "page_metadata", "interactive_nodes")
-    compact = F.to_json(doc, {"ignoreNullFields": "false"})
-    return extracts.select("page_id", _pretty(compact).alias("json"))
+def json_text(c: Column) -> Column:
+    """A string as JSON."""
+    quoted = F.to_json(F.array(c))
+    return F.when(c.isNull(), F.lit("null")).otherwise(F.substring(quoted, F.lit(2), F.length(quoted) - 2))
+
+
+def json_plain(c: Column) -> Column:
+    """A number or boolean as JSON."""
+    return F.coalesce(c.cast("string"), F.lit("null"))
+
+
+class JsonLayout:
+    """Objects and arrays as JSON text at known depths, on one line or indented by two spaces like JSON.stringify(doc, null, 2)."""
+
+    def __init__(self, pretty: bool):
+        self.colon, self.pad = (": ", lambda level: "\n" + "  " * level) if pretty else (":", lambda level: "")
+
+    def object(self, level: int, members: list[tuple], optional: list[tuple] = ()) -> Column:
+        """``members`` (name, JSON) stand always, ``optional`` ones (name, JSON, value) where their value is not null."""
+        write = lambda name, js: F.concat(F.lit(f'"{name}"{self.colon}'), js)
+        lines = [write(n, js) for n, js in members] + [F.when(v.isNotNull(), write(n, js)) for n, js, v in optional]
+        inner, outer = self.pad(level + 1), self.pad(level)
+        return F.concat(F.lit("{" + inner), F.array_join(F.array_compact(F.array(*lines)), "," + inner), F.lit(outer + "}"))
+
+    def array(self, level: int, items: Column) -> Column:
+        inner, outer = self.pad(level + 1), self.pad(level)
+        return F.when(F.size(items) == 0, F.lit("[]")).otherwise(F.concat(F.lit("[" + inner), F.array_join(items, "," + inner), F.lit(outer + "]")))
+
+
+def extract_json(extracts: DataFrame, pretty: bool = True) -> DataFrame:
+    """The document per page as JSON text; ``disambiguation`` and ``context_note`` are left out where they are null, other
+    members stand as null. Built from columns, level by level."""
+    lay = JsonLayout(pretty)
+    strings = lambda level, c: lay.array(level, F.transform(c, json_text))
+
+    def locator(level: int):
+        return lambda x: lay.object(level, [("strategy", json_text(x["strategy"])), ("playwright", json_text(x["playwright"])), ("is_unique", json_plain(x["is_unique"]))],
+                                    [("disambiguation", json_text(x["disambiguation"]), x["disambiguation"])])
+
+    def node(n: Column) -> Column:
+        p = n["properties"]
+        properties = lay.object(3, [(k, json_text(p[k])) for k in ("type", "placeholder", "text_content", "href")]
+                                + [(k, json_plain(p[k])) for k in ("is_required", "is_disabled", "is_checked", "is_visible")])
+        return lay.object(2, [
+            ("kind", json_text(n["kind"])), ("tag", json_text(n["tag"])), ("role", json_text(n["role"])), ("in_shadow", json_plain(n["in_shadow"])),
+            ("frame_path", strings(3, n["frame_path"])), ("form_group", json_text(n["form_group"])), ("accessible_name", json_text(n["accessible_name"])),
+            ("primary_locator", locator(3)(n["primary_locator"])), ("fallback_locators", lay.array(3, F.transform(n["fallback_locators"], locator(4)))),
+            ("properties", properties)], [("context_note", json_text(n["context_note"]), n["context_note"])])
+
+    md = F.col("page_metadata")
+    metadata = lay.object(1, [(k, json_text(md[k])) for k in ("title", "url", "captured_at")] + [(k, json_plain(md[k])) for k in ("node_count", "frame_count", "truncated")]
+                          + [("notes", strings(2, md["notes"]))])
+    doc = lay.object(0, [("schema_version", json_text(F.col("schema_version"))), ("page_metadata", metadata),
+                         ("interactive_nodes", lay.array(1, F.transform("interactive_nodes", node)))])
+    return extracts.select("page_id", doc.alias("json"))
 
 
 def prompt_head(team: str | None = None, framework_note=None, scenario=None):

@@ -48,6 +48,16 @@ def payload_html(pages: DataFrame) -> DataFrame:
         .withColumn("cleaned_tokens", tokens(F.col("cleaned_chars")))
 
 
+def payload_totals(payload: DataFrame) -> DataFrame:
+    """A5 totals: pages, characters, tokens and reduction of cleaned against raw html per host and over the corpus (host null).
+
+    payload: (host, raw_chars, cleaned_chars, raw_tokens, cleaned_tokens). Sums are partial before the shuffle, which has a row per host.
+    """
+    sums = [F.sum(c).alias(c) for c in ("raw_chars", "cleaned_chars", "raw_tokens", "cleaned_tokens")]
+    total = payload.rollup("host").agg(F.grouping("host").alias("corpus"), F.count(F.lit(1)).alias("pages"), *sums)
+    return total.withColumn("reduction_pct", F.when(F.col("raw_chars") > 0, reduction(F.col("cleaned_chars"), F.col("raw_chars"))))
+
+
 def reduction(small, big):
     """Percent reduction rounded to one decimal."""
     return F.round((F.lit(1.0) - small / big) * 100, 1)

@@ -26,6 +26,7 @@ from pagelens.functions.text import collapse, cut, nullif_empty
 from pagelens.functions.url import resolve_href
 from pagelens.operators import assemble, frames as FR, locate as L, relate as R
 from pagelens.operators.ancestors import fold_frames
+from pagelens.operators.gate import split_allowed
 from pagelens.operators.select import FRAME, included, with_walk_flags
 from pagelens.schema import (
     DEFAULT_MAX_NODES,
@@ -50,6 +51,7 @@ class ExtractOptions:
     viewport: str = "desktop"
     match: str = "contains"          # locator match mode: "contains" or "exact"
     after_actions: int | None = None  # number of declared actions before the snapshot
+    allowed_hosts: tuple[str, ...] | None = None  # None: no gate; an empty list refuses every page
 
 
 def persist(df: DataFrame, reliable: bool = True) -> DataFrame:
@@ -83,6 +85,9 @@ class Extraction:
     def __init__(self, pages: DataFrame, opts: ExtractOptions | None = None, style_rules: bool = True):
         self.opts = opts or ExtractOptions()
         self.spark = pages.sparkSession
+        self.refusals = None
+        if self.opts.allowed_hosts is not None:  # S2: refused pages never reach the parse
+            pages, self.refusals = split_allowed(pages, self.opts.allowed_hosts)
         self.pages = pages
         self.n_parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.use_style_rules = style_rules
@@ -108,7 +113,8 @@ class Extraction:
         """A variant run that reuses every materialised table the changed options
         do not influence (e.g. exact matching re-runs only the match join)."""
         from dataclasses import replace
-        new = Extraction(self.pages, replace(self.opts, **changes), style_rules=self.use_style_rules)
+        new = Extraction(self.pages, replace(self.opts, allowed_hosts=None, **changes), style_rules=self.use_style_rules)
+        new.refusals = self.refusals
         shared = None
         for k in changes:
             keep = set(self._SHARED_UNTIL.get(k, []))
@@ -138,6 +144,12 @@ class Extraction:
     def parse_errors(self) -> DataFrame:
         return self._split[2]
 
+    @property
+    def errors(self) -> DataFrame:
+        """Refused and unparsable pages of this run."""
+        from pagelens.operators.errors import dead_letters
+        return dead_letters(refusals=self.refusals, parse=self.parse_errors)
+
     @cached_property
     def page_urls(self) -> DataFrame:
         return self.pages.select("page_id", "url")

@@ -554,3 +554,54 @@ CASE WHEN t = 'signup' THEN 'added' WHEN t = 'view' THEN 'removed' WHEN t = 'cli
 upper(left(t, 1)) || substr(t, 2) AS accessible_name, CASE t WHEN 'signup' THEN NULL ELSE false END AS was_disabled, CASE t WHEN 'view' THEN NULL ELSE t = 'click' END AS is_disabled FROM e
 UNION ALL SELECT DISTINCT page, 'getByRole(''button'', { name: ''Error'' })', 'added', 'Error', NULL::BOOLEAN, false FROM e WHERE page % 2 = 0 AND late > 0)
 SELECT 'http://toast.test/' || page AS url, locator, change, 'button' AS role, accessible_name, was_disabled, is_disabled FROM d WHERE change IS NOT NULL"""
+
+
+def _toast_json_sql() -> str:
+    """The JSON document of the toast pages before the interaction, written out from the events."""
+    def lines(level: int, *rows: str) -> str:
+        return "'" + "' || chr(10) || '".join("  " * level + r for r in rows) + "'"
+
+    role, text = "getByRole(''button'', { name: ''' || name || ''' })", "getByText(''' || name || ''')"
+    unique = "' || (n = 1) || '"
+
+    def locator(level: int, strategy: str, expression: str, is_unique: str, hint: str = "") -> str:
+        return lines(level, f'  "strategy": "{strategy}",', f'  "playwright": "{expression}",', f'  "is_unique": {is_unique}') + hint + " || chr(10) || " + lines(level, "}")
+
+    css = "locator(''html > body:nth-child(2) > button:nth-child(' || pos || ')'')"
+    hint = """ || CASE WHEN n > 1 THEN ',' || chr(10) || '        "disambiguation": "' || n || ' matches in frame; use .nth(' || nth || ')."' ELSE '' END"""
+    item = "'        {' || chr(10) || "
+    comma = " || ',' || chr(10) || "
+    node = (lines(2, "{", '  "kind": "element",', '  "tag": "button",', '  "role": "button",', '  "in_shadow": false,', '  "frame_path": [],', '  "form_group": null,',
+                  "  \"accessible_name\": \"' || name || '\",", '  "primary_locator": {')
+            + " || chr(10) || CASE WHEN t <> 'error' THEN " + locator(3, "test-id", "getByTestId(''e' || id || ''')", "true") + " ELSE " + locator(3, "role", role, unique, hint)
+            + " END || ',' || chr(10) || " + lines(3, '"fallback_locators": [') + " || chr(10) || CASE WHEN t <> 'error' THEN " + item + locator(4, "role", role, unique) + comma
+            + item + locator(4, "text", text, unique) + " ELSE " + item + locator(4, "text", text, unique) + " || CASE WHEN n > 1 THEN ',' || chr(10) || " + item + locator(4, "css", css, "true")
+            + " ELSE '' END END || chr(10) || "
+            + lines(3, "],", '"properties": {', '  "type": "submit",', '  "placeholder": null,', "  \"text_content\": \"' || name || '\",", '  "href": null,', '  "is_required": null,',
+                    "  \"is_disabled\": ' || (t = 'error' AND id % 2 = 0) || ',", '  "is_checked": null,', '  "is_visible": true', "}") + " || chr(10) || '    }'")
+    doc = (lines(0, "{", '  "schema_version": "1.1",', '  "page_metadata": {', '    "title": "Toast",', "    \"url\": \"http://toast.test/' || page || '\",", '    "captured_at": "",',
+                 "    \"node_count\": ' || count(*) || ',", '    "frame_count": 1,', '    "truncated": false,', '    "notes": []', "  },", '  "interactive_nodes": [')
+           + " || chr(10) || string_agg(node, ',' || chr(10) ORDER BY id) || chr(10) || " + lines(0, "  ]", "}"))
+    return f"""
+WITH e AS (SELECT event_id AS id, event_type AS t, event_id // 20 AS page, upper(left(event_type, 1)) || substr(event_type, 2) AS name,
+row_number() OVER (PARTITION BY event_id // 20 ORDER BY event_id) AS pos, count(*) OVER (PARTITION BY event_id // 20, event_type) AS n,
+row_number() OVER (PARTITION BY event_id // 20, event_type ORDER BY event_id) - 1 AS nth FROM events WHERE event_type <> 'signup'),
+x AS (SELECT page, id, {node} AS node FROM e),
+d AS (SELECT page, {doc} AS doc FROM x GROUP BY page)
+SELECT page::BIGINT AS page_id, length(doc)::BIGINT AS json_chars, sha256(doc) AS json_sha256 FROM d"""
+
+
+ORACLE_SQL |= {
+    "sink_toast": _toast_json_sql(),
+    "rep_payload_totals": f"""
+SELECT host, grouping(host)::INTEGER AS corpus, count(*)::BIGINT AS pages, sum(raw_chars)::BIGINT AS raw_chars, sum(cleaned_chars)::BIGINT AS cleaned_chars,
+sum(raw_tokens)::BIGINT AS raw_tokens, sum(cleaned_tokens)::BIGINT AS cleaned_tokens,
+round((1.0::DOUBLE - sum(cleaned_chars)::DOUBLE / sum(raw_chars)::DOUBLE) * 100, 1) AS reduction_pct
+FROM ({ORACLE_SQL["rep_payload"]}) p JOIN (SELECT page_id, {HOST} AS host FROM pages) h USING (page_id) GROUP BY ROLLUP (host)""",
+    "err_rows": f"""
+SELECT 'gate' AS stage, page_id AS key, NULL AS item, error_code AS code, message FROM ({ORACLE_SQL["gate_hosts"]}) WHERE NOT allowed
+UNION ALL SELECT 'selector', page_id, 'main .ad', 'wait_selector_timeout', 'wait_selector ''main .ad'' did not appear within 15s.' FROM pages
+UNION ALL SELECT 'selector', page_id, 'a:has(b)', 'wait_selector_unsupported', 'wait_selector ''a:has(b)'' is not evaluated: pseudo-class not evaluated.' FROM pages
+UNION ALL SELECT 'action', list_id, step::VARCHAR, code, 'Action ' || step || ' (' || coalesce(type, 'no type') || ') was refused: ' || replace(code, '_', ' ') || '.' FROM ({ORACLE_SQL["lint_actions"]}) WHERE code IS NOT NULL
+UNION ALL SELECT DISTINCT 'action', list_id, NULL, 'too_many_actions', 'The action list has more than 20 actions.' FROM ({ORACLE_SQL["lint_actions"]}) WHERE list_too_long""",
+}

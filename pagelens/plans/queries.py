@@ -231,11 +231,43 @@ def q_rep_prompts(spark, sf_dir):
                                             prompt_head(None, None, F.col("scenario")).alias("prompt_head"))
 
 
+def _masked_json(extracts: DataFrame) -> DataFrame:
+    """S4 documents without their time of capture: characters and digest."""
+    from pagelens.operators.lint import extract_json
+    doc = F.regexp_replace("json", '"captured_at": "[^"]*"', '"captured_at": ""')
+    return extract_json(extracts).select("page_id", F.length(doc).cast("long").alias("json_chars"), F.sha2(doc, 256).alias("json_sha256"))
+
+
 def q_sink_extract(spark, sf_dir):
     """Pretty JSON document per page (rows-only check)."""
-    from pagelens.operators.lint import extract_json
-    docs = extract_json(extraction(spark, sf_dir).extracts)
-    return docs.select("page_id", F.length("json").cast("long").alias("json_chars"))
+    return _masked_json(extraction(spark, sf_dir).extracts)
+
+
+def q_sink_toast(spark, sf_dir):
+    """S4 on toast pages: pretty JSON document per page."""
+    return _masked_json(toast_extraction(spark, sf_dir, False).extracts)
+
+
+def q_rep_payload_totals(spark, sf_dir):
+    """A5: payload totals per host and over the corpus."""
+    from pagelens.functions.url import url_host
+    pages = read_pages(spark, sf_dir)
+    hosts = pages.select("page_id", F.coalesce(url_host(F.col("url")), F.lit("")).alias("host"))
+    out = report.payload_totals(report.payload_html(pages).join(hosts, "page_id"))
+    return out.select("host", F.col("corpus").cast("int").alias("corpus"), F.col("pages").cast("long").alias("pages"), "raw_chars", "cleaned_chars", "raw_tokens", "cleaned_tokens", "reduction_pct")
+
+
+def q_err_rows(spark, sf_dir):
+    """Refusals of all gates in one table: urls off the list, selectors absent or not evaluated, invalid declared actions."""
+    from pagelens.operators.errors import dead_letters
+    from pagelens.operators.lint import check_actions, events_action_lists
+    from pagelens.plans.extract import persist
+    from pagelens.sources.pages import read_table
+    pages, ex = read_pages(spark, sf_dir), extraction(spark, sf_dir)
+    refused = gate.split_allowed(pages, gate.DEMO_ALLOWED_HOSTS)[1]
+    absent = gate.presence(pages.select("page_id", "url"), ex.elements, ["main .ad", "a:has(b)"], persist)
+    actions = check_actions(events_action_lists(read_table(spark, sf_dir, "events")))
+    return dead_letters(refusals=refused, parse=ex.parse_errors, selectors=absent, actions=actions).select("stage", "key", "item", "code", "message")
 
 
 def q_rep_payload_json(spark, sf_dir):
@@ -549,6 +581,9 @@ def q_gate_selectors(spark, sf_dir):
 
 
 QUERIES = {
+    "sink_toast": q_sink_toast,
+    "rep_payload_totals": q_rep_payload_totals,
+    "err_rows": q_err_rows,
     "diff_toast": q_diff_toast,
     "frm_nested": q_frm_nested,
     "frm_captures": q_frm_captures,
