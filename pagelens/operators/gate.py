@@ -33,6 +33,7 @@ def normalize_hosts(hosts) -> list:
 def refusal(url: Column, hosts) -> Column:
     """Null when the URL may be opened, else the refusal text."""
     hosts = normalize_hosts(hosts)
+    url = F.coalesce(url, F.lit(""))  # a missing url is refused like an empty one
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
     host = url_host(url)
     hostport = url_hostport(url)
