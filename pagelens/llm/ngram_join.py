@@ -89,10 +89,12 @@ def _hot(size, percent):
     return run
 
 
-def _heads(size, percent):
-    """(class, n, h) for every head hash; a task gives each set once while its memory of sets lasts."""
+def _heads(size, percent, listed=None):
+    """(class, n, h, df) for every head hash; a task gives each set once while its memory of sets lasts. ``listed`` is a broadcast pair of sorted
+    hot hashes and their frequencies; df is null for all others."""
     def run(batches):
         cache, seen = C.WordHash(), set()
+        hot, freq = listed.value if listed is not None else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         for batch in C.slices(batches):
             keys, lens, heads = [], [], []
             for s in shingle_sets(batch, cache, size):
@@ -107,9 +109,13 @@ def _heads(size, percent):
                 heads += _head_rows([s], percent)
             if keys:
                 reps = [len(x) for x in heads]
+                h = C.signed(np.concatenate(heads))
+                at = np.minimum(np.searchsorted(hot, h), max(len(hot) - 1, 0))
+                known = hot[at] == h if len(hot) else np.zeros(len(h), bool)
+                df = freq[at] if len(hot) else np.zeros(len(h), np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(np.array(keys, np.int64), reps)), pa.array(np.repeat(np.array(lens, np.int32), reps)),
-                     pa.array(C.signed(np.concatenate(heads)))], ["class", "n", "h"])
+                     pa.array(h), pa.array(df, mask=~known)], ["class", "n", "h", "df"])
     return run
 
 
@@ -267,9 +273,14 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     facts = C.stage(docs.mapInArrow(_facts(size), "doc_id long, n long, digest binary, class long"), "facts")
     hot = C.stage(docs.select("text").mapInArrow(_hot(size, percent), "h long, rows long").groupBy("h").agg(F.sum("rows").alias("df"))
                   .where(F.col("df") >= HOT_ROWS), "hot")
-    heads = docs.select("text").mapInArrow(_heads(size, percent), "class long, n int, h long")
     # the often met hashes are known to be shared; the rest is counted by hash, in groups bounded by the hot rule
-    heads = heads.join(F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot, "h", "left")
+    row = "class long, n int, h long, df long"
+    if hot.count() <= BROADCAST_ROWS:  # looked up where the heads are made: no row for it passes a join
+        found = hot.orderBy("h").toArrow()
+        listed = docs.sparkSession.sparkContext.broadcast((np.asarray(found.column("h")), np.asarray(found.column("df"))))
+        heads = docs.select("text").mapInArrow(_heads(size, percent, listed), row)
+    else:
+        heads = docs.select("text").mapInArrow(_heads(size, percent), row).drop("df").join(hot, "h", "left")
     by_h = Window.partitionBy("h")
     cold = (heads.where("df is null").select("class", "n", "h", F.count("*").over(by_h).alias("df"),
                                              F.min("class").over(by_h).alias("lo"), F.max("class").over(by_h).alias("hi"))
