@@ -5,8 +5,9 @@ parent, whose base is uniform over the V training words and one unknown word.
 
 1. texts are cut into words in blocks; per block the distinct (word, context) pairs with their training counts are dealt
    by word, so a word's customers in all restaurants meet in one task;
-2. Gibbs sweeps over that table: each sweep seats the customers of every dish anew given the parent's predictive
-   probability and the totals of the last sweep. Every task sends the customers and tables of its contexts to tasks dealt
+2. Gibbs sweeps over that table: each sweep seats the customers of every dish anew, one after the other, given the
+   parent's predictive probability and the other dishes' tables of the last sweep. Draws are hashes of word, context and
+   sweep, so scores don't depend on how the rows are partitioned. Every task sends the customers and tables of its contexts to tasks dealt
    by context, which add them up and send the totals back; only 8 numbers of the shared restaurant come to the driver;
 3. after burn-in the predictive probabilities of the sweeps are averaged; blocks get them per distinct pair and add
    up their documents' logarithms.
@@ -27,6 +28,7 @@ from . import common as C, units as U
 BURN_IN, SAMPLES, SEED = 2, 3, 7
 BLOCK_WORDS = 4_000_000
 STRENGTH = 1.0
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 END = np.uint64(0x5851F42D4C957F2D)  # stands for the end of a text, as a context for the start of one
 
 
@@ -186,18 +188,61 @@ class Totals:
         return (np.maximum(n - self.d2 * t, 0) + (STRENGTH + self.d2 * self.t[c]) * parent) / (STRENGTH + self.c[c])
 
 
-def seat(n: np.ndarray, a: np.ndarray, d: float, rng) -> np.ndarray:
-    """Tables of dishes with ``n`` customers seated anew; ``a``: the weight of a new table. Customers sit down one by
-    one at first, later in groups of a sixteenth of those seated, within which the weights stand still."""
+def draws(key: np.ndarray, step) -> np.ndarray:
+    """A number in (0, 1) per dish and step, from hashes alone: the same wherever the dish is seated."""
+    with np.errstate(over="ignore"):
+        h = C.mix(key + np.asarray(step).astype(np.uint64) * GOLDEN)
+    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0 ** -53
+
+
+def dish_keys(w: np.ndarray, ctxs: np.ndarray | None, turn: int) -> np.ndarray:
+    """Seeds of the dishes of a sweep, by word and context (None: the shared restaurant)."""
+    with np.errstate(over="ignore"):
+        key = w if ctxs is None else w ^ C.mix(ctxs + GOLDEN)
+        return C.mix(key + np.uint64(2 * turn + (ctxs is None) + 1) * C.mix(np.array([SEED], np.uint64)))
+
+
+def rise(x: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """log gamma(x + a) - log gamma(x) for x of 12 or more, without the cancellation of the two."""
+    tail = lambda y: 1 / (12 * y) - 1 / (360 * y ** 3)
+    return (x - 0.5) * np.log1p(a / x) + a * np.log(x + a) - a + tail(x + a) - tail(x)
+
+
+def seat(n: np.ndarray, weight: np.ndarray, step: np.ndarray, d: float, key: np.ndarray, few: int = 2048) -> np.ndarray:
+    """Tables of dishes with ``n`` customers, all seated anew one after the other.
+
+    A customer who finds s seated at t tables opens the next one with weight a = weight + step * t against s - d * t, so
+    weights move with every table. The first ``few`` customers are seated by a draw each. Beyond, one draw gives the next customer who opens a table: the chance that none does from s to m is
+    exp(rise(s - d * t, a) - rise(m - d * t, a)), solved for m by Newton steps. Both ways have the same distribution.
+    """
     t = np.ones(len(n), np.int64)
     live, seated = np.flatnonzero(n > 1), 1
-    while len(live):
-        group = np.minimum(max(1, seated // 16), n[live] - seated)
-        weight = a[live]
-        p = weight / (weight + np.maximum(seated + (group - 1) / 2 - d * t[live], 1e-9))
-        t[live] += rng.binomial(group, np.clip(p, 0, 1))
-        seated += max(1, seated // 16)
+    while len(live) and seated < few:
+        a = weight[live] + step[live] * t[live]
+        t[live] += draws(key[live], seated) * (a + seated - d * t[live]) < a
+        seated += 1
         live = live[n[live] > seated]
+    at = np.full(len(live), seated, np.int64)
+    while len(live):
+        a, off = weight[live] + step[live] * t[live], d * t[live]
+        start, last = at - off, n[live] - off
+        goal = rise(start, a) - np.log(draws(key[live], at))
+        on = rise(last, a) > goal  # others reach their last customer without a new table
+        live, at, a, off, start, last, goal = (v[on] for v in (live, at, a, off, start, last, goal))
+        y = np.log(start)
+        top = np.log(last)
+        for _ in range(8):  # convex in log x: after the first step from above
+            x = np.exp(y)
+            slope = x * (np.log1p(a / x) - 0.5 / (x + a) + 0.5 / x)
+            y_next = np.clip(y - (rise(x, a) - goal) / slope, np.log(start), top)
+            if not len(y) or np.abs(y_next - y).max() < 1e-14:
+                break
+            y = y_next
+        opened = np.clip(np.floor(np.exp(y) + off).astype(np.int64), at, n[live] - 1)
+        t[live] += 1
+        at = opened + 1
+        on = n[live] > at
+        live, at = live[on], at[on]
     return t
 
 
@@ -293,12 +338,11 @@ def _sweep(shared: np.ndarray, parts: int, turn: int, keep: bool):
         def close():
             totals = part.totals(shared)
             w, c, n, t, tau, at, index = read_row(part.row)
-            rng = np.random.default_rng([SEED, turn, part.row["part"]])
             customers = np.add.reduceat(t, at) if len(at) else t
             up = totals.parent(customers, tau)[index]
-            t = seat(n, (STRENGTH + totals.d2 * totals.t[c]) * up, totals.d2, rng)
+            t = seat(n, (STRENGTH + totals.d2 * (totals.t[c] - t)) * up, totals.d2 * up, totals.d2, dish_keys(w, part.ctxs[c], turn))
             customers = np.add.reduceat(t, at) if len(at) else t
-            tau = seat(customers, np.full(len(at), (STRENGTH + totals.d1 * totals.tau) * totals.base), totals.d1, rng)
+            tau = seat(customers, (STRENGTH + totals.d1 * (totals.tau - tau)) * totals.base, np.full(len(at), totals.d1 * totals.base), totals.d1, dish_keys(w[at], None, turn))
             kept = part.kept()
             if keep:
                 kept.append(U.planes(np.concatenate([tau, t])))
@@ -355,7 +399,7 @@ def _answers(shared: list[np.ndarray], parts: int):
                     there = known & (key[j] == k)
                     p += totals.child(c, np.where(there, n[j], 0), np.where(there, own[j], 0), up)
                     count = np.where(known, total[i], 0)
-                logp = np.log10(p / len(models)).astype("<f4")
+                logp = np.log10(p / len(models))
                 for k, v in (("block", row["block"]), ("part", row["part"]), ("logp", logp.tobytes()), ("count", U.planes(count))):
                     out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out["block"], pa.int64()), pa.array(out["part"], pa.int32()),
@@ -369,7 +413,7 @@ def _scores(train_tokens: int, vocabulary: int):
         for batch in batches:
             for row in batch.to_pylist():
                 if row["seq"] is None:
-                    answers[row["part"]] = (np.frombuffer(row["logp"], "<f4"), U.unplanes(row["count"]))
+                    answers[row["part"]] = (np.frombuffer(row["logp"], "<f8"), U.unplanes(row["count"]))
                     continue
                 part = U.unplanes(row["pair_parts"])
                 logp, count = np.empty(len(part)), np.empty(len(part), np.int64)

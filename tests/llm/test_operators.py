@@ -195,6 +195,15 @@ def test_url_filter(spark):
     assert {r.verdict for r in url_filter.judge_urls(pages, frame.limit(0)).collect()} == {"allow"}
 
 
+def test_url_filter_on_very_long_urls(spark):
+    """A host of 200,000 labels and a path of a megabyte: the work follows the rules, not the url."""
+    host, path = "a." * 200_000, "/de/" + "x/" * 500_000
+    pages = spark.createDataFrame([(1, f"http://{host}b.com{path}"), (2, f"http://{host}b.net{path}"), (3, f"http://{host}")], "page_id long, url string")
+    rules = spark.createDataFrame([("b.com", "/de/", "block"), ("net", "/de/x/", "block"), ("", "/", "block")], "host string, path string, verdict string")
+    got = {r.page_id: (r.rule, r.verdict, len(r.host), len(r.path)) for r in url_filter.judge_urls(pages, rules).collect()}
+    assert got == {1: ("b.com/de/", "block", len(host) + 5, len(path)), 2: ("net/de/x/", "block", len(host) + 5, len(path)), 3: (None, "allow", len(host), 0)}
+
+
 def test_quotes(spark):
     msgs = [("c", 0, "a", "Hello there\n\nhow are   you"), ("c", 1, "b", "> Hello  there\n> how are you\nFine."), ("c", 2, "a", ">> hello there\n> fine.\nGood"),
             ("c", 3, "b", "> unknown line\nWhat"), ("c", 4, "a", "> > hello there\nlate"), ("d", 0, "a", None), ("d", 1, "b", "> Hello there"), (None, 0, "a", "> Good"),
@@ -227,6 +236,42 @@ def test_pitman_yor(docs, rows, none):
     assert pitman_yor.score_documents(none).collect() == []
 
 
+def seatings(n, weight, step, d):
+    """Distribution of the number of tables after n customers, by dynamic programming."""
+    p = {1: 1.0}
+    for s in range(1, n):
+        after = collections.Counter()
+        for t, x in p.items():
+            a = weight + step * t
+            after[t + 1] += x * a / (a + s - d * t)
+            after[t] += x * (s - d * t) / (a + s - d * t)
+        p = after
+    return p
+
+
+@pytest.mark.parametrize("few", [20, 60, 2048])
+@pytest.mark.parametrize("n,weight,step,d", [(1, 0.5, 0.1, 0.5), (2, 0.5, 0.1, 0.5), (120, 0.4, 0.05, 0.7), (300, 8.0, 0.02, 0.3), (90, 1e-7, 1e-8, 0.9), (400, 40.0, 0.2, 0.6)])
+def test_seating_has_the_restaurant_distribution(n, weight, step, d, few):
+    """Customer by customer and jump by jump: the same distribution of tables, which the recursion gives exactly."""
+    size = 20_000
+    full = lambda x: np.full(size, x)
+    key = pitman_yor.dish_keys(np.arange(size, dtype=np.uint64), np.arange(size, dtype=np.uint64) % np.uint64(7), 3)
+    got = np.bincount(pitman_yor.seat(full(n), full(weight), full(step), d, key, few), minlength=n + 1) / size
+    want = np.zeros(n + 1)
+    for t, x in seatings(n, weight, step, d).items():
+        want[t] = x
+    assert np.abs(np.cumsum(got) - np.cumsum(want)).max() < 1.95 / math.sqrt(size)  # Kolmogorov's bound, 0.1 %
+
+
+def test_pitman_yor_scores_do_not_depend_on_partitions(spark):
+    rng = random.Random(11)
+    rows = [(i, " ".join(words(rng, rng.choice([3, 40, 200])))) for i in range(120)] + [(7, "again the same id"), (None, "w0 w1"), (3, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens)
+    a, b = (sorted(map(tuple, sorted(pitman_yor.score_documents(frame.repartition(k)).collect(), key=key)), key=str) for k in (2, 7))
+    assert a == b and len(a) == len(rows)
+
+
 def test_pitman_yor_is_a_distribution():
     """Probabilities of all words and the unknown one add up to one in every context."""
     rng = np.random.default_rng(3)
@@ -235,7 +280,7 @@ def test_pitman_yor_is_a_distribution():
     n = rng.integers(0, 9, c.size)
     keep = n > 0
     w, c, n = w.reshape(-1)[keep].astype(np.uint64), c.reshape(-1)[keep], n[keep]
-    t = pitman_yor.seat(n, np.full(len(n), 0.7), 0.5, rng)
+    t = pitman_yor.seat(n, np.full(len(n), 0.7), np.zeros(len(n)), 0.5, pitman_yor.dish_keys(w, c.astype(np.uint64), 0))
     assert ((t >= 1) & (t <= n)).all()
     at, customers, index = pitman_yor.word_sums(w, t)
     tau = pitman_yor.seat(customers, np.full(len(at), 0.3), 0.5, rng)
