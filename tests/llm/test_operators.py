@@ -283,7 +283,7 @@ def test_pitman_yor_is_a_distribution():
     t = pitman_yor.seat(n, np.full(len(n), 0.7), np.zeros(len(n)), 0.5, pitman_yor.dish_keys(w, c.astype(np.uint64), 0))
     assert ((t >= 1) & (t <= n)).all()
     at, customers, index = pitman_yor.word_sums(w, t)
-    tau = pitman_yor.seat(customers, np.full(len(at), 0.3), 0.5, rng)
+    tau = pitman_yor.seat(customers, np.full(len(at), 0.3), np.zeros(len(at)), 0.5, pitman_yor.dish_keys(w[at], None, 0))
     row = pitman_yor.model_row(0, w, c, n, t, contexts, tau)
     totals = pitman_yor.Totals(np.frombuffer(row.column("sums")[0].as_py(), "<f8"), contexts)
     up = totals.parent(customers, tau)
