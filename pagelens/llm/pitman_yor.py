@@ -215,13 +215,17 @@ def seat(n: np.ndarray, weight: np.ndarray, step: np.ndarray, d: float, key: np.
     weights move with every table. The first ``few`` customers are seated by a draw each. Beyond, one draw gives the next customer who opens a table: the chance that none does from s to m is
     exp(rise(s - d * t, a) - rise(m - d * t, a)), solved for m by Newton steps. Both ways have the same distribution.
     """
-    t = np.ones(len(n), np.int64)
-    live, seated = np.flatnonzero(n > 1), 1
-    while len(live) and seated < few:
-        a = weight[live] + step[live] * t[live]
-        t[live] += draws(key[live], seated) * (a + seated - d * t[live]) < a
+    by = np.argsort(-n, kind="stable")  # dishes with customers left are a prefix
+    t, size, base, more, seed = np.ones(len(n), np.int64), n[by], weight[by], step[by], key[by]
+    seated, own = 1, t.astype(np.float64)
+    left = np.searchsorted(-size, -1)  # of more than 1 customer
+    while left and seated < few:
+        a = base[:left] + more[:left] * own[:left]
+        own[:left] += draws(seed[:left], seated) * (a + (seated - d * own[:left])) < a
         seated += 1
-        live = live[n[live] > seated]
+        left = np.searchsorted(-size[:left], -seated)
+    t[by] = own.astype(np.int64)
+    live = by[:left]
     at = np.full(len(live), seated, np.int64)
     while len(live):
         a, off = weight[live] + step[live] * t[live], d * t[live]
