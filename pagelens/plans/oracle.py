@@ -109,6 +109,12 @@ GROUP BY page_id""",
 WITH {LINKS}
 SELECT page_id, node_no::BIGINT AS node_no, 'element' AS kind, 'a' AS tag, 'link' AS role,
        NULLIF(left(txt, 120), '') AS accessible_name, true AS is_visible
+FROM links""",
+    "sink_nodes": f"""
+WITH {LINKS}
+SELECT page_id, url, node_no::BIGINT AS node_no, 'element' AS kind, 'a' AS tag, 'link' AS role,
+       NULLIF(left(txt, 120), '') AS accessible_name, '1.1' AS schema_version, 'all' AS run_id,
+       count(*) OVER (PARTITION BY page_id)::BIGINT AS page_nodes
 FROM links""",
     "prop_text": f"""
 WITH {LINKS}

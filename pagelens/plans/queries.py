@@ -243,6 +243,19 @@ def q_sink_extract(spark, sf_dir):
     return _masked_json(extraction(spark, sf_dir).extracts)
 
 
+def q_sink_nodes(spark, sf_dir):
+    """Nodes written to the bucketed table and read back, with the number of nodes of their page."""
+    import uuid
+
+    from pagelens.operators.nodes_table import read_nodes, write_nodes
+    from pagelens.session import ensure_checkpoint_dir
+    name = f"pagelens_nodes_{uuid.uuid4().hex}"
+    write_nodes(extraction(spark, sf_dir), name, "all", path=f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}")
+    nodes = read_nodes(spark, name, latest=True)
+    per_page = nodes.groupBy("page_id").agg(F.count(F.lit(1)).alias("page_nodes"))
+    return nodes.join(per_page, "page_id").select("page_id", "url", "node_no", "kind", "tag", "role", "accessible_name", "schema_version", "run_id", "page_nodes")
+
+
 def q_sink_toast(spark, sf_dir):
     """S4 on toast pages: pretty JSON document per page."""
     return _masked_json(toast_extraction(spark, sf_dir, False).extracts)
@@ -582,6 +595,7 @@ def q_gate_selectors(spark, sf_dir):
 
 QUERIES = {
     "sink_toast": q_sink_toast,
+    "sink_nodes": q_sink_nodes,
     "rep_payload_totals": q_rep_payload_totals,
     "err_rows": q_err_rows,
     "diff_toast": q_diff_toast,

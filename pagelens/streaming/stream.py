@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from pagelens.operators.nodes_table import write_nodes
 from pagelens.operators.report import fingerprint
 from pagelens.plans.extract import ExtractOptions, Extraction
 from pagelens.schema import PAGES_SCHEMA
@@ -30,7 +31,8 @@ def read_page_stream(spark: SparkSession, source_dir: str, schema=PAGES_SCHEMA,
     return s
 
 
-def extract_batch(batch: DataFrame, batch_id: int, sink_dir: str, opts: ExtractOptions) -> None:
+def extract_batch(batch: DataFrame, batch_id: int, sink_dir: str, opts: ExtractOptions, nodes_table: str | None = None, nodes_path: str | None = None) -> None:
+    """Write one micro-batch's extracts, fingerprints and nodes; nodes go to the bucketed ``nodes_table`` if one is named."""
     ex = Extraction(batch, opts)
     out = f"{sink_dir.rstrip('/')}/batch_id={batch_id}"
     ex.extracts.write.mode("overwrite").parquet(f"{out}/extracts")
@@ -39,18 +41,21 @@ def extract_batch(batch: DataFrame, batch_id: int, sink_dir: str, opts: ExtractO
                         F.to_timestamp(F.col("page_metadata.captured_at")).alias("captured_at"),
                         fingerprint(ex.extracts).alias("fp"))
      .write.mode("overwrite").parquet(f"{sink_dir.rstrip('/')}/fingerprints/batch_id={batch_id}"))
+    if nodes_table is not None:
+        write_nodes(ex, nodes_table, f"batch-{batch_id}", path=nodes_path)
+        return
     (ex.kept_nodes.select("page_id", "frame_id", "doc_order", "kind", "tag", "role", "accessible_name",
                           "primary_locator", "fallback_locators", "properties", "context_note")
      .write.mode("overwrite").parquet(f"{out}/nodes"))
 
 
 def start(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_location: str | None = None,
-          available_now: bool = False, **opts):
+          available_now: bool = False, nodes_table: str | None = None, nodes_path: str | None = None, **opts):
     """Start the streaming extraction; returns the StreamingQuery."""
     options = ExtractOptions(**opts)
     ckpt = checkpoint_location or os.path.join(ensure_checkpoint_dir(spark), "pagelens-stream")
     w = (read_page_stream(spark, source_dir).writeStream
-         .foreachBatch(lambda df, bid: extract_batch(df, bid, sink_dir, options))
+         .foreachBatch(lambda df, bid: extract_batch(df, bid, sink_dir, options, nodes_table, nodes_path))
          .option("checkpointLocation", ckpt))
     if available_now:
         w = w.trigger(availableNow=True)
