@@ -5,8 +5,9 @@ A block holds whole documents; its ids run over interleaved lanes, each a 64-bit
 32-bit words. Every ``CHECKPOINT`` steps the states and the place in the words are stored, so the parts of a block
 can be decoded in parallel; a CRC-32 over the ids guards each block.
 
-Ids are those of the tokenizers library's ``encode``, called once per distinct unit and slice; texts that cannot be cut
-safely (odd white space, added tokens) are encoded whole.
+Ids are those of the tokenizers library's ``encode``, given each distinct unit of a slice once, many units to a call's
+text; texts that cannot be cut safely (odd white space, added tokens) are encoded whole. Ids are staged and shuffled in
+16 bits where the vocabulary allows it.
 The files are Parquet tables with one row per block: Spark writes and reads them on any store.
 """
 
@@ -17,6 +18,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common as C, units as U
@@ -26,7 +28,8 @@ LANES = 512
 CHECKPOINT = 128  # steps of LANES ids
 BLOCK_IDS = 1 << 18
 SPLIT_TEXT = 32_000_000
-UNITS = 20_000  # given to the library at once
+JOINED = 256  # units of one text given to the library
+UNITS = 80 * JOINED  # given to the library at once
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
@@ -108,28 +111,87 @@ class Coder:
 
 # --- encoding --------------------------------------------------------------
 
-def _tokenize(path: str, pattern: str, end: int, special: bool):
+def id_type(size: int) -> str:
+    """Of staged ids below ``size``; files and results have 32 bits."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+def cut(texts: list[str], whole) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
+    """(plain units, units after a blank, unit numbers of all texts, their count per text).
+
+    A text is cut at every blank; ``whole`` ones and those with odd white space are one plain unit. Plain units come
+    first in the numbering; units after a blank are named without it.
+    """
+    kept = np.array([not whole(t) and not any(x in t for x in (U.ODD_ASCII if t.isascii() else U.ODD)) for t in texts], bool)
+    parts = pc.split_pattern(pa.array([t if k else "" for t, k in zip(texts, kept.tolist())], pa.large_string()), " ")
+    count = np.diff(C.offsets_of(parts)).astype(np.int64)
+    heads = np.zeros(int(count.sum()), bool)
+    heads[np.cumsum(count) - count] = True
+    values = parts.flatten()
+    rest = values.filter(pa.array(~heads)).dictionary_encode()
+    first = values.filter(pa.array(heads)).to_pylist()
+    plain: dict[str, int] = {}
+    head = np.array([plain.setdefault(x, len(plain)) if x else -1
+                     for x in (f if k else t for f, t, k in zip(first, texts, kept.tolist()))], np.int64)
+    seq = np.empty(len(heads), np.int64)
+    seq[heads] = head
+    seq[~heads] = rest.indices.to_numpy(zero_copy_only=False).astype(np.int64) + len(plain)
+    return list(plain), rest.dictionary.to_pylist(), seq[seq >= 0], count - (head < 0)
+
+
+def encode_units(tok, width: np.ndarray, plain: list[str], spaced: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of all units one after the other, ids per unit in that order, place of each unit in it).
+
+    A unit with a leading blank has a border before it whatever stands there but white space. Such units are encoded
+    many to a text, and the bytes of the ids' tokens (``width``) tell where each one ends; where an end falls into a
+    token, one by one.
+    """
+    units = plain + [" " + x for x in spaced]
+    alone = list(range(len(plain))) + [i for i, x in enumerate(spaced, len(plain)) if not x or x[-1].isspace()]
+    single = np.zeros(len(units), bool)
+    single[alone] = True
+    joined = np.flatnonzero(~single)
+    order, counts, flat = [], [], []
+    for a in range(0, len(joined), UNITS):
+        groups = [joined[k:k + JOINED] for k in range(a, min(a + UNITS, len(joined)), JOINED)]
+        texts = [[units[i] for i in g.tolist()] for g in groups]
+        for group, parts, e in zip(groups, texts, tok.encode_batch_fast(["".join(x) for x in texts], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.cumsum([len(x.encode()) for x in parts])
+            reach = np.cumsum(width[ids])
+            at = np.searchsorted(reach, ends)
+            if not len(ids) or reach[-1] != ends[-1] or (reach[at] != ends).any():
+                alone += group.tolist()
+                continue
+            order.append(group), counts.append(np.diff(at, prepend=-1)), flat.append(ids)
+    for a in range(0, len(alone), UNITS):
+        some = alone[a:a + UNITS]
+        ids = [e.ids for e in tok.encode_batch_fast([units[i] for i in some], add_special_tokens=False)]
+        order.append(np.array(some)), counts.append(np.array([len(x) for x in ids]))
+        flat += [np.array(x, np.uint32) for x in ids]
+    none = np.zeros(0, np.int64)
+    place = np.empty(len(units), np.int64)
+    place[np.concatenate([none, *order])] = np.arange(len(units))
+    return np.concatenate([none.astype(np.uint32), *flat]), np.concatenate([none, *counts]), place
+
+
+def _tokenize(path: str, end: int, special: bool, kind: str):
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has its core
         from tokenizers import Tokenizer
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = not special
         added = [t.content for t in tok.get_added_tokens_decoder().values() if special or not t.special]
+        width = np.array([len(tok.id_to_token(i) or "") for i in range(tok.get_vocab_size())], np.int64)  # a character a byte
 
         for batch in C.slices(batches, limit=SPLIT_TEXT):
-            index = U.UnitIndex(pattern, lambda text: tok.normalizer is not None or any(x in text for x in added))
-            seqs = [index.numbers((b or b"").decode("utf-8", "replace")) for b in batch.column("text").to_pylist()]
-            counts, flat = np.empty(len(index.units), np.int64), []
-            for a in range(0, len(index.units), UNITS):
-                for i, e in enumerate(tok.encode_batch_fast(index.units[a:a + UNITS], add_special_tokens=False), a):
-                    ids = e.ids
-                    counts[i] = len(ids)
-                    flat += ids
-            flat = np.array(flat, np.uint32)
-            ids, n = U.gather(counts, flat, np.concatenate(seqs))
-            ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *map(len, seqs)])]
-            tail = np.uint32(end).tobytes()
-            out = [ids[x:y].astype("<u4").tobytes() + tail for x, y in zip(ends.tolist(), ends[1:].tolist())]
+            texts = [(b or b"").decode("utf-8", "replace") for b in batch.column("text").to_pylist()]
+            plain, spaced, seq, per = cut(texts, lambda text: tok.normalizer is not None or any(x in text for x in added))
+            flat, counts, place = encode_units(tok, width, plain, spaced)
+            ids, n = U.gather(counts, flat, place[seq])
+            ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *per.tolist()])]
+            ids, tail = ids.astype(kind), np.array([end], kind).tobytes()
+            out = [ids[x:y].tobytes() + tail for x, y in zip(ends.tolist(), ends[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "ids"])
     return run
 
@@ -139,7 +201,7 @@ def _count(size: int):
         total = np.zeros(size, np.int64)
         for batch in batches:
             for x in batch.column("ids"):
-                total += np.bincount(np.frombuffer(x.as_py(), "<u4"), minlength=size)
+                total += np.bincount(np.frombuffer(x.as_py(), id_type(size)), minlength=size)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
     return run
@@ -148,7 +210,7 @@ def _count(size: int):
 FILE = "part int, at long, n long, doc_ids array<long>, lens array<long>, crc long, marks binary, words binary"
 
 
-def _write(freq):
+def _write(freq, kind: str):
     """Rows in doc_id order per partition -> blocks; ``at``: ids of the partition before the block."""
     def run(batches):
         coder, part, at = Coder(freq.value), None, 0
@@ -163,7 +225,7 @@ def _write(freq):
 
         for batch in batches:
             for p, d, x in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids")):
-                a = np.frombuffer(x.as_py(), "<u4")
+                a = np.frombuffer(x.as_py(), kind)
                 if ids and (p != part or size + len(a) > BLOCK_IDS):
                     yield close()
                     at = 0 if p != part else at + size
@@ -194,7 +256,7 @@ def _read(freq):
 
 
 def write_ids(ids: DataFrame, path: str, size: int):
-    """Write (doc_id, ids) in ascending doc_id order to ``path``; returns the broadcast frequency table."""
+    """Write (doc_id, ids as bytes of ``id_type(size)``) in ascending doc_id order to ``path``; returns the broadcast frequency table."""
     spark = ids.sparkSession
     counts = np.zeros(size, np.int64)
     # one row per id of the vocabulary comes to the driver
@@ -202,7 +264,7 @@ def write_ids(ids: DataFrame, path: str, size: int):
         counts[r.id] = r.n
     freq = spark.sparkContext.broadcast(scaled(counts))
     dealt = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
-    dealt.mapInArrow(_write(freq), FILE).write.parquet(path)
+    dealt.mapInArrow(_write(freq, id_type(size)), FILE).write.parquet(path)
     return freq
 
 
@@ -223,7 +285,8 @@ def read_ids(spark: SparkSession, path: str, freq) -> DataFrame:
 def token_files(docs: DataFrame, tokenizer: str, pattern: str, end: int = 2, path: str | None = None, special: bool = False) -> DataFrame:
     """Encode every text, append ``end``, write the files, read them back: doc_id, start, n_tokens, ids (bytes).
 
-    Null and empty texts are just the end id. Rows with equal ids stand in one file part, in any order between them; a
+    Null and empty texts are just the end id. ``pattern`` names the tokenizer's pre-token rule; cutting at
+    blanks needs no more of it. Rows with equal ids stand in one file part, in any order between them; a
     null doc_id stands first. ``special``: the tokenizer's special tokens that stand in a text get their own id, as in
     ``encode(text, add_special_tokens=False)``; else they are ordinary text. An empty table writes and gives no rows. Other columns are not looked at.
     """
@@ -231,6 +294,6 @@ def token_files(docs: DataFrame, tokenizer: str, pattern: str, end: int = 2, pat
     spark = docs.sparkSession
     size = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end + 1)
     docs = C.texts(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
-    ids = C.stage(docs.mapInArrow(_tokenize(tokenizer, pattern, end, special), "doc_id long, ids binary"), "ids")
+    ids = C.stage(docs.mapInArrow(_tokenize(tokenizer, end, special, id_type(size)), "doc_id long, ids binary"), "ids")
     path = path or C.new_path(spark, "files")
     return read_ids(spark, path, write_ids(ids, path, size))
