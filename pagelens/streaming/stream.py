@@ -15,7 +15,6 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from pagelens.operators.nodes_table import write_nodes
 from pagelens.operators.report import fingerprint
@@ -63,31 +62,80 @@ def start(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_locati
 
 
 FP_SCHEMA = "url string, captured_at timestamp, fp string, batch_id long"
-DRIFT_SCHEMA = "url string, captured_at timestamp, fp string, status string"
-
-
-def _drift(key, batches, state):
-    """Per url: compare each capture's fingerprint with the previous one held in state."""
-    import pandas as pd
-
-    last = state.get[0] if state.exists else None
-    out = []
-    for pdf in batches:
-        for row in pdf.sort_values("captured_at").itertuples(index=False):
-            status = "first" if last is None else ("same" if row.fp == last else "changed")
-            out.append((key[0], row.captured_at, row.fp, status))
-            last = row.fp
-    if last is not None:
-        state.update((last,))
-    yield pd.DataFrame(out, columns=["url", "captured_at", "fp", "status"])
-
-
-def drift_stream(spark: SparkSession, sink_dir: str) -> DataFrame:
-    """A6 / J13 over a stream: for every new capture of a url, is its extract the
-    same as the previous capture's (captured_at removed)? State per url holds the
-    last fingerprint only (bounded: one string per url)."""
-    fps = (spark.readStream.schema(FP_SCHEMA).option("basePath", f"{sink_dir.rstrip('/')}/fingerprints")
-           .parquet(f"{sink_dir.rstrip('/')}/fingerprints"))
-    return fps.groupBy("url").applyInPandasWithState(
-        _drift, outputStructType=DRIFT_SCHEMA, stateStructType="fp string",
-        outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)
+DRIFT_SCHEMA = "url string, captured_at timestamp, fp string, status string, revision int"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _drift_processor(horizon_us: int):
+    """State per url: its captures of the last ``horizon_us`` with their status, and the newest capture before those.
+
+    The class stands in here so that it travels to the workers by value.
+    """
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Drift(StatefulProcessor):
+        def init(self, handle):
+            self.recent = handle.getMapState("recent", "at long, batch long, fp string", "status string, revision int")
+            self.before = handle.getValueState("before", "at long, batch long, fp string")
+
+        def handleInputRows(self, key, rows, timerValues):
+            import pandas as pd
+
+            recent = {tuple(k): tuple(v) for k, v in self.recent.iterator()}
+            before = tuple(self.before.get()) if self.before.exists() else None
+            out, new = [], set()
+            for pdf in rows:  # a url's rows of one trigger may come in several pieces
+                for at, batch, fp in zip(pdf["at"].tolist(), pdf["batch_id"].tolist(), pdf["fp"].tolist()):
+                    new.add((int(at), int(batch), fp))
+            for p in sorted(p for p in new if before is not None and p <= before):
+                out.append((*p, "late", 1))
+            new = sorted(p for p in new if p not in recent and (before is None or p > before))
+
+            last = before[2] if before else None
+            for p in sorted([*recent, *new]):
+                status = "first" if last is None else "same" if p[2] == last else "changed"
+                old, revision = recent.get(p, (None, 0))
+                if status != old:  # new, or a capture has come in between
+                    recent[p] = (status, revision + 1)
+                    self.recent.updateValue(p, recent[p])
+                    out.append((*p, status, revision + 1))
+                last = p[2]
+
+            order = sorted(recent)
+            past = [p for p in order if p[0] < order[-1][0] - horizon_us] if order else []
+            for p in past:
+                self.recent.removeKey(p)
+            if past:
+                self.before.update(past[-1])
+            yield pd.DataFrame({"url": [key[0]] * len(out), "captured_at": pd.to_datetime([o[0] if o[0] >= 0 else None for o in out], unit="us"),
+                                "fp": [o[2] for o in out], "status": [o[3] for o in out], "revision": pd.Series([o[4] for o in out], dtype="int32")})
+
+        def close(self):
+            pass
+
+    return Drift()
+
+
+def drift_stream(spark: SparkSession, sink_dir: str, horizon: str = "7 days", max_files: int | None = None) -> DataFrame:
+    """A6 over a stream: is a capture's extract (captured_at removed) the same as that of the capture before it?
+
+    Rows: url, captured_at, fp, status (first, same, changed, late), revision. Captures are ordered by captured_at, then
+    by batch and fingerprint; null captured_at comes first. A capture that arrives between two known ones gives its own
+    row and, where the later one's status turns, that row again with the next ``revision``: the highest revision per
+    capture does not depend on the order of arrival. State per url is bounded by its captures within ``horizon`` of the
+    newest one and one capture before; what arrives older than that capture is reported as ``late`` and compared with nothing.
+    A capture delivered again within the horizon gives no row. Rows without url count as captures of one null url.
+
+    Needs the RocksDB state store, which is set for the session.
+    """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # the interval's length by Spark's own interval parser
+    micros = spark.range(1).select(F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"interval {horizon}")).alias("us")).first().us
+    reader = spark.readStream.schema(FP_SCHEMA).option("basePath", f"{sink_dir.rstrip('/')}/fingerprints")
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    fps = reader.parquet(f"{sink_dir.rstrip('/')}/fingerprints").select(
+        "url", F.coalesce(F.unix_micros("captured_at"), F.lit(-1).cast("long")).alias("at"),
+        F.coalesce("batch_id", F.lit(-1).cast("long")).alias("batch_id"), F.coalesce("fp", F.lit("")).alias("fp"))
+    return fps.groupBy("url").transformWithStateInPandas(
+        _drift_processor(micros), outputStructType=DRIFT_SCHEMA, outputMode="Append", timeMode="None")
