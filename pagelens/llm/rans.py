@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import common as C, units as U
 
 BITS = 20
-LANES = 512
-CHECKPOINT = 128  # steps of LANES ids
+LANES = 1024
+CHECKPOINT = 64  # steps of LANES ids
 BLOCK_IDS = 1 << 18
 SPLIT_TEXT = 32_000_000
 JOINED = 256  # units of one text given to the library
@@ -116,7 +116,7 @@ def id_type(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
 
-def cut(texts: list[str], whole) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
+def cut(texts: list[str], whole) -> tuple[list[str], pa.Array, np.ndarray, np.ndarray]:
     """(plain units, units after a blank, unit numbers of all texts, their count per text).
 
     A text is cut at every blank; ``whole`` ones and those with odd white space are one plain unit. Plain units come
@@ -129,35 +129,35 @@ def cut(texts: list[str], whole) -> tuple[list[str], list[str], np.ndarray, np.n
     heads[np.cumsum(count) - count] = True
     values = parts.flatten()
     rest = values.filter(pa.array(~heads)).dictionary_encode()
-    first = values.filter(pa.array(heads)).to_pylist()
+    first = values.filter(pa.array(heads)).to_numpy(zero_copy_only=False).tolist()
     plain: dict[str, int] = {}
     head = np.array([plain.setdefault(x, len(plain)) if x else -1
                      for x in (f if k else t for f, t, k in zip(first, texts, kept.tolist()))], np.int64)
     seq = np.empty(len(heads), np.int64)
     seq[heads] = head
     seq[~heads] = rest.indices.to_numpy(zero_copy_only=False).astype(np.int64) + len(plain)
-    return list(plain), rest.dictionary.to_pylist(), seq[seq >= 0], count - (head < 0)
+    return list(plain), rest.dictionary, seq[seq >= 0], count - (head < 0)
 
 
-def encode_units(tok, width: np.ndarray, plain: list[str], spaced: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def encode_units(tok, width: np.ndarray, plain: list[str], spaced: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids of all units one after the other, ids per unit in that order, place of each unit in it).
 
     A unit with a leading blank has a border before it whatever stands there but white space. Such units are encoded
     many to a text, and the bytes of the ids' tokens (``width``) tell where each one ends; where an end falls into a
     token, one by one.
     """
-    units = plain + [" " + x for x in spaced]
-    alone = list(range(len(plain))) + [i for i, x in enumerate(spaced, len(plain)) if not x or x[-1].isspace()]
-    single = np.zeros(len(units), bool)
-    single[alone] = True
-    joined = np.flatnonzero(~single)
+    units = plain + [" " + x for x in spaced.to_numpy(zero_copy_only=False).tolist()]
+    size = np.asarray(pc.binary_length(spaced)).astype(np.int64)
+    closed = (size > 0) & (size == np.asarray(pc.binary_length(pc.utf8_rtrim_whitespace(spaced))))  # no white space at its end
+    joined = np.flatnonzero(closed) + len(plain)
+    alone = [*range(len(plain)), *(np.flatnonzero(~closed) + len(plain)).tolist()]
     order, counts, flat = [], [], []
     for a in range(0, len(joined), UNITS):
         groups = [joined[k:k + JOINED] for k in range(a, min(a + UNITS, len(joined)), JOINED)]
-        texts = [[units[i] for i in g.tolist()] for g in groups]
-        for group, parts, e in zip(groups, texts, tok.encode_batch_fast(["".join(x) for x in texts], add_special_tokens=False)):
+        texts = ["".join([units[i] for i in g.tolist()]) for g in groups]
+        for group, e in zip(groups, tok.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(e.ids, np.uint32)
-            ends = np.cumsum([len(x.encode()) for x in parts])
+            ends = np.cumsum(size[group - len(plain)] + 1)
             reach = np.cumsum(width[ids])
             at = np.searchsorted(reach, ends)
             if not len(ids) or reach[-1] != ends[-1] or (reach[at] != ends).any():
@@ -188,9 +188,9 @@ def _tokenize(path: str, end: int, special: bool, kind: str):
             texts = [(b or b"").decode("utf-8", "replace") for b in batch.column("text").to_pylist()]
             plain, spaced, seq, per = cut(texts, lambda text: tok.normalizer is not None or any(x in text for x in added))
             flat, counts, place = encode_units(tok, width, plain, spaced)
-            ids, n = U.gather(counts, flat, place[seq])
+            ids, n = U.gather(counts, flat.astype(kind), place[seq])
             ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *per.tolist()])]
-            ids, tail = ids.astype(kind), np.array([end], kind).tobytes()
+            tail = np.array([end], kind).tobytes()
             out = [ids[x:y].tobytes() + tail for x, y in zip(ends.tolist(), ends[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "ids"])
     return run

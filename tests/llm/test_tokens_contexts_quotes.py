@@ -1,7 +1,11 @@
 """Cases of the second review of the operators."""
 
+import random
+
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
+import pytest
 from tokenizers import Tokenizer
 
 from pagelens.llm import chat_threads, pitman_yor, rans
@@ -19,6 +23,22 @@ def test_token_files_equal_the_library(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("special", [True, False])
+def test_units_of_random_texts_equal_the_library(special):
+    """Blanks, tabs, wide blanks, added tokens, a long text; also when a token's bytes are misjudged."""
+    rng, pieces = random.Random(3), [*" \n\t　 ab'1,.é中ౝ😀s", "<|endoftext|>", "  "]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["", " ", " x" * 50_000, "é" * 50_000]
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = not special
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([t.encode() for t in texts], pa.binary())], ["doc_id", "text"])
+    out = [x for b in rans._tokenize(P.path("byte_bpe_50k.json"), 2, special, "<u2")([batch]) for x in b.column("ids").to_pylist()]
+    assert [np.frombuffer(x, "<u2").tolist() for x in out] == [tok.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    # wrong widths: no group fits, every unit is encoded on its own
+    flat, counts, place = rans.encode_units(tok, np.ones(tok.get_vocab_size(), np.int64), ["a b"], pa.array(["word", "é,"], pa.large_string()))
+    ends = np.cumsum(counts)
+    assert [flat[ends[i] - counts[i]:ends[i]].tolist() for i in place] == [tok.encode(t, add_special_tokens=False).ids for t in ["a b", " word", " é,"]]
+
+
 def test_pitman_yor_learns_every_context(spark):
     """600 words, each always followed by its own partner: far more contexts than any fixed number of restaurants."""
     train = [i for i in range(2000) if not pitman_yor.held_out(i)][:100]
