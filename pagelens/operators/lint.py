@@ -167,9 +167,8 @@ def state_diff(before: DataFrame, after: DataFrame, keep=lambda df, by: df) -> D
 # S4 JSON sink and R2 prompts
 # ---------------------------------------------------------------------------
 def json_text(c: Column) -> Column:
-    """A string as JSON."""
-    quoted = F.to_json(F.array(c))
-    return F.when(c.isNull(), F.lit("null")).otherwise(F.substring(quoted, F.lit(2), F.length(quoted) - 2))
+    """A string as JSON: the array that holds it alone, without its brackets (the string's own ones stand between quotes)."""
+    return F.when(c.isNull(), F.lit("null")).otherwise(F.btrim(F.to_json(F.array(c)), F.lit("[]")))
 
 
 def json_plain(c: Column) -> Column:
@@ -188,18 +187,19 @@ class JsonLayout:
         write = lambda name, js: F.concat(F.lit(f'"{name}"{self.colon}'), js)
         lines = [write(n, js) for n, js in members] + [F.when(v.isNotNull(), write(n, js)) for n, js, v in optional]
         inner, outer = self.pad(level + 1), self.pad(level)
-        return F.concat(F.lit("{" + inner), F.array_join(F.array_compact(F.array(*lines)), "," + inner), F.lit(outer + "}"))
+        return F.concat(F.lit("{" + inner), F.concat_ws("," + inner, *lines), F.lit(outer + "}"))
 
-    def array(self, level: int, items: Column) -> Column:
+    def array(self, level: int, values: Column, item) -> Column:
+        """``values`` written one by one by ``item``; the size is asked of the values, so that every item is written once."""
         inner, outer = self.pad(level + 1), self.pad(level)
-        return F.when(F.size(items) == 0, F.lit("[]")).otherwise(F.concat(F.lit("[" + inner), F.array_join(items, "," + inner), F.lit(outer + "]")))
+        return F.when(F.size(values) == 0, F.lit("[]")).otherwise(F.concat(F.lit("[" + inner), F.array_join(F.transform(values, item), "," + inner), F.lit(outer + "]")))
 
 
 def extract_json(extracts: DataFrame, pretty: bool = True) -> DataFrame:
     """The document per page as JSON text; ``disambiguation`` and ``context_note`` are left out where they are null, other
     members stand as null. Built from columns, level by level."""
     lay = JsonLayout(pretty)
-    strings = lambda level, c: lay.array(level, F.transform(c, json_text))
+    strings = lambda level, c: lay.array(level, c, json_text)
 
     def locator(level: int):
         return lambda x: lay.object(level, [("strategy", json_text(x["strategy"])), ("playwright", json_text(x["playwright"])), ("is_unique", json_plain(x["is_unique"]))],
@@ -212,14 +212,14 @@ def extract_json(extracts: DataFrame, pretty: bool = True) -> DataFrame:
         return lay.object(2, [
             ("kind", json_text(n["kind"])), ("tag", json_text(n["tag"])), ("role", json_text(n["role"])), ("in_shadow", json_plain(n["in_shadow"])),
             ("frame_path", strings(3, n["frame_path"])), ("form_group", json_text(n["form_group"])), ("accessible_name", json_text(n["accessible_name"])),
-            ("primary_locator", locator(3)(n["primary_locator"])), ("fallback_locators", lay.array(3, F.transform(n["fallback_locators"], locator(4)))),
+            ("primary_locator", locator(3)(n["primary_locator"])), ("fallback_locators", lay.array(3, n["fallback_locators"], locator(4))),
             ("properties", properties)], [("context_note", json_text(n["context_note"]), n["context_note"])])
 
     md = F.col("page_metadata")
     metadata = lay.object(1, [(k, json_text(md[k])) for k in ("title", "url", "captured_at")] + [(k, json_plain(md[k])) for k in ("node_count", "frame_count", "truncated")]
                           + [("notes", strings(2, md["notes"]))])
     doc = lay.object(0, [("schema_version", json_text(F.col("schema_version"))), ("page_metadata", metadata),
-                         ("interactive_nodes", lay.array(1, F.transform("interactive_nodes", node)))])
+                         ("interactive_nodes", lay.array(1, F.col("interactive_nodes"), node))])
     return extracts.select("page_id", doc.alias("json"))
 
 
