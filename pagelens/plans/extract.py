@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property as _own
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,6 +73,8 @@ def persist(df: DataFrame, by: str = "page_id") -> DataFrame:
     they read only the columns they use. Rows are bucketed by ``by``, if they
     have it: joins / windows / aggregates keyed by it first then add no
     exchange (nor does the write, where the rows are dealt by it already).
+    A bucket is one file in document order, so those keyed by page, frame and
+    element add no sort either (the write sorts by bucket in any case).
     """
     from pagelens.session import ensure_checkpoint_dir
     spark = df.sparkSession
@@ -83,13 +85,26 @@ def persist(df: DataFrame, by: str = "page_id") -> DataFrame:
         return spark.read.schema(df.schema).parquet(path)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.repartition(n, by)
-    rows.write.bucketBy(n, by).format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
+    order = [c for c in dict.fromkeys([by, *FRAME, "eid"]) if c in df.columns]
+    rows.write.bucketBy(n, by).sortBy(*order).format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
+class cached_property(_own):
+    """A table built when it is first read; a variant run takes it from its base run, where its options do not influence it."""
+
+    def __get__(self, run, owner=None):
+        if run is not None and self.attrname in run.shared:
+            return getattr(run.base, self.attrname)
+        return super().__get__(run, owner)
+
+
 class Extraction:
     """All tables of one extraction run, built lazily."""
 
+    base: Extraction | None = None
+    shared: frozenset[str] = frozenset()
+
     def __init__(self, pages: DataFrame, opts: ExtractOptions | None = None, style_rules: bool = True):
         self.opts = opts or ExtractOptions()
         self.spark = pages.sparkSession
@@ -127,8 +142,7 @@ class Extraction:
         for k in changes:
             keep = set(self._SHARED_UNTIL.get(k, []))
             shared = keep if shared is None else shared & keep
-        for name in shared or ():
-            new.__dict__[name] = getattr(self, name)  # materialises it on the base run if needed
+        new.base, new.shared = self, frozenset(shared or ())
         return new
 
     # ----------------------------------------------------------------- sources
@@ -160,7 +174,7 @@ class Extraction:
 
     @cached_property
     def page_urls(self) -> DataFrame:
-        return self.pages.select("page_id", "url")
+        return persist(self.pages.select("page_id", "url"))  # rendered pages: not rendered again for every reader
 
     @cached_property
     def css_rules(self) -> DataFrame | None:

@@ -33,6 +33,11 @@ DEFAULT_CONF = {
     # work tables are Parquet a tenth of their rows' size: without this, sides
     # of 100 MB and more count as small and are broadcast
     "spark.sql.sources.fileCompressionFactor": "10",
+    # work tables are one sorted file per bucket: windows, joins and grouped
+    # arrays by page, frame and element read them in order, without a sort
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
+    "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
+    "spark.sql.execution.replaceHashWithSortAgg": "true",
 }
 
 

@@ -34,14 +34,48 @@ _ARROW_SCHEMA = pa.schema([
 _ROWS_PER_OUTPUT_BATCH = 20000
 
 
-def _emit(cols):
-    arrays = [pa.array(cols[i], type=_ARROW_SCHEMA.field(i).type) for i in range(len(cols))]
-    return pa.RecordBatch.from_arrays(arrays, schema=_ARROW_SCHEMA)
+_ATTRS = _ARROW_SCHEMA.get_field_index("attrs")
+
+
+class _Rows:
+    """Rows of one output batch, column by column; attributes flat, as a map column holds them."""
+
+    def __init__(self):
+        self.cols = [[] for _ in _ARROW_SCHEMA]
+        self.keys, self.values, self.offsets = [], [], []
+
+    def __len__(self):
+        return len(self.offsets)
+
+    def frame(self, page_id, frame_id, parent_fid, host_eid, key, furl, text, mtext, rows):
+        n = len(rows)
+        for d in (part := list(zip(*rows)))[6]:
+            self.offsets.append(len(self.keys))
+            self.keys += d
+            self.values += d.values()
+        part[2] = [None if p < 0 else p for p in part[2]]
+        rest = [None] * (n - 1)  # the root, which stands first, carries what belongs to the frame
+        of_frame = [[x, *rest] for x in (parent_fid, host_eid, key, furl, text, mtext)]
+        for i, values in enumerate([[page_id] * n, [frame_id] * n, *part, *of_frame, [None] * n, [None] * n]):
+            if i != _ATTRS:
+                self.cols[i] += values
+
+    def error(self, page_id, url, message):
+        row = [page_id, 0, -1, -1, None, None, None, None, None, None, None, None, None,
+               None, None, None, None, None, None, url, None, None, "internal_error", message]
+        self.offsets.append(None)
+        for i, value in enumerate(row):
+            if i != _ATTRS:
+                self.cols[i].append(value)
+
+    def batch(self):
+        arrays = [None if i == _ATTRS else pa.array(c, type=_ARROW_SCHEMA.field(i).type) for i, c in enumerate(self.cols)]
+        arrays[_ATTRS] = pa.MapArray.from_arrays(pa.array([*self.offsets, len(self.keys)], pa.int32()), pa.array(self.keys, pa.string()), pa.array(self.values, pa.string()))
+        return pa.RecordBatch.from_arrays(arrays, schema=_ARROW_SCHEMA)
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = len(_ARROW_SCHEMA)
-    cols = [[] for _ in range(n)]
+    out = _Rows()
     for batch in batches:
         ids = batch.column("page_id").to_pylist()
         urls = batch.column("url").to_pylist()
@@ -50,27 +84,15 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             try:
                 frames = parse_page(doc or "", url or "")
             except Exception as exc:  # S5: a page that cannot be parsed becomes an error row
-                msg = (str(exc) or type(exc).__name__).split("\n")[0]
-                row = [page_id, 0, -1, -1, None, None, None, None, None, None, None, None, None,
-                       None, None, None, None, None, None, url, None, None, "internal_error", msg]
-                for i in range(n):
-                    cols[i].append(row[i])
+                out.error(page_id, url, (str(exc) or type(exc).__name__).split("\n")[0])
                 continue
-            for frame_id, parent_fid, host_eid, key, furl, text, mtext, rows in frames:
-                for r in rows:
-                    root = r[0] == 0
-                    vals = (page_id, frame_id, r[0], r[1], None if r[2] < 0 else r[2], r[3], r[4],
-                            r[5], list(r[6].items()), r[7], r[8], r[9], r[10], r[11], r[12], r[13],
-                            parent_fid if root else None, host_eid if root else None,
-                            key if root else None, furl if root else None,
-                            text if root else None, mtext if root else None, None, None)
-                    for i in range(n):
-                        cols[i].append(vals[i])
-            if len(cols[0]) >= _ROWS_PER_OUTPUT_BATCH:
-                yield _emit(cols)
-                cols = [[] for _ in range(n)]
-    if cols[0]:
-        yield _emit(cols)
+            for frame in frames:
+                out.frame(page_id, *frame)
+            if len(out) >= _ROWS_PER_OUTPUT_BATCH:
+                yield out.batch()
+                out = _Rows()
+    if len(out):
+        yield out.batch()
 
 
 def _ship_kernel_by_value() -> None:
