@@ -27,6 +27,7 @@ HOT_IN_TASK = 8
 HOT_ROWS = 1000
 BROADCAST_ROWS = 1_000_000
 LISTED_ROWS = 500_000
+FACTS = ["doc_id", "n", "digest", "class", "h", "rows"]
 
 
 def needed(n, percent):
@@ -50,21 +51,33 @@ def shingle_sets(batch: pa.RecordBatch, cache: C.WordHash, size: int) -> list[np
     return out
 
 
-def _facts(size):
+def _facts(size, percent):
+    """One reading of the texts gives two kinds of rows: per document its id, set size, digest and class; and (h, rows) of the
+    head hashes that the task meets often (n is null). A hash missing there is met less often in every task."""
     def run(batches):
-        cache = C.WordHash()
+        cache, seen, parts = C.WordHash(), set(), []
         for batch in C.slices(batches):
             sets = shingle_sets(batch, cache, size)
             digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            classes = [_class_of(d) for d in digests]
+            for s, k in zip(sets, classes):
+                if k is not None and k not in seen:
+                    if len(seen) < C.CACHE_WORDS:
+                        seen.add(k)
+                    parts += _head_rows([s], percent)
+            none = pa.nulls(len(sets), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
-                 pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64())],
-                ["doc_id", "n", "digest", "class"])
+                 pa.array(classes, pa.int64()), none, none], FACTS)
+        h, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        keep = n >= HOT_IN_TASK
+        none = pa.nulls(int(keep.sum()), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(none), pa.binary()), none, pa.array(C.signed(h[keep])), pa.array(n[keep])], FACTS)
     return run
 
 
-def _class_of(s: np.ndarray) -> int:
-    return int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True)
+def _class_of(digest: bytes | None) -> int | None:
+    return int.from_bytes(digest[:8], "little", signed=True) if digest else None
 
 
 def _head_rows(sets, percent):
@@ -72,23 +85,6 @@ def _head_rows(sets, percent):
     return heads
 
 
-def _hot(size, percent):
-    """(h, rows) of head hashes that a task meets often; a hash missing here is met less often in every task."""
-    def run(batches):
-        cache, seen, parts = C.WordHash(), set(), []
-        for batch in C.slices(batches):
-            for s in shingle_sets(batch, cache, size):
-                k = _class_of(s) if len(s) else None
-                if k is not None and k not in seen:
-                    if len(seen) < C.CACHE_WORDS:
-                        seen.add(k)
-                    parts += _head_rows([s], percent)
-        h, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        keep = n >= HOT_IN_TASK
-        yield pa.RecordBatch.from_arrays([pa.array(C.signed(h[keep])), pa.array(n[keep])], ["h", "rows"])
-    return run
-
-
 def _heads(size, percent, listed=None):
     """(class, n, h, df) for every head hash; a task gives each set once while its memory of sets lasts. ``listed`` is a broadcast pair of sorted
     hot hashes and their frequencies; df is null for all others."""
@@ -100,7 +96,7 @@ def _heads(size, percent, listed=None):
             for s in shingle_sets(batch, cache, size):
                 if not len(s):
                     continue
-                k = _class_of(s)
+                k = _class_of(xxhash.xxh3_128_digest(s.tobytes()))
                 if k in seen:
                     continue
                 if len(seen) < C.CACHE_WORDS:
@@ -270,9 +266,9 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     smallest non-null id names a component. An empty table gives no rows. Other columns are not looked at.
     """
     docs = C.texts(docs)
-    facts = C.stage(docs.mapInArrow(_facts(size), "doc_id long, n long, digest binary, class long"), "facts")
-    hot = C.stage(docs.select("text").mapInArrow(_hot(size, percent), "h long, rows long").groupBy("h").agg(F.sum("rows").alias("df"))
-                  .where(F.col("df") >= HOT_ROWS), "hot")
+    read = C.stage(docs.mapInArrow(_facts(size, percent), "doc_id long, n long, digest binary, class long, h long, rows long"), "facts")
+    facts = read.where("n is not null").drop("h", "rows")
+    hot = C.stage(read.where("n is null").groupBy("h").agg(F.sum("rows").alias("df")).where(F.col("df") >= HOT_ROWS), "hot")
     # the often met hashes are known to be shared; the rest is counted by hash, in groups bounded by the hot rule
     row = "class long, n int, h long, df long"
     if hot.count() <= BROADCAST_ROWS:  # looked up where the heads are made: no row for it passes a join

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -135,6 +136,18 @@ def tokens(rows):
     return {k: np.array(enc.encode_ordinary(v or ""), "<u4") for k, v in rows.items()}
 
 
+def test_ngram_join_reads_facts_and_hot_heads_at_once(monkeypatch):
+    """The pass over the texts that gives sets and classes counts the head hashes, too; copies count once."""
+    monkeypatch.setattr(ngram_join, "HOT_IN_TASK", 2)
+    texts = ["a b c d", "a b c d", "a b c d e", None, "x y z w", "z a b c d", ""]
+    batch = pa.RecordBatch.from_arrays([pa.array([*range(6), None]), pa.array([t and t.encode() for t in texts], pa.binary())], ["doc_id", "text"])
+    out = [r for b in ngram_join._facts(4, 50)(iter([batch])) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["n"]) for r in out if r["n"] is not None] == [(0, 1), (1, 1), (2, 2), (3, 0), (4, 1), (5, 2), (None, 0)]
+    assert out[0]["class"] == out[1]["class"] is not None and out[3]["class"] is None
+    assert [r["rows"] for r in out if r["n"] is None] == [3]  # "a b c d" in three different sets
+    assert all(r["h"] is None for r in out if r["n"] is not None)
+
+
 def test_bpe(docs, rows, none, tokens):
     got = {r.doc_id: (r.n_tokens, bytes(r.ids), bytes(r.decoded)) for r in bpe.bpe_roundtrip(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()}
     assert got == {k: (len(t), t.tobytes(), (rows[k] or "").encode()) for k, t in tokens.items()}
