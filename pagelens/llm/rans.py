@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -122,8 +123,10 @@ def cut(texts: list[str], whole) -> tuple[list[str], pa.Array, np.ndarray, np.nd
     A text is cut at every blank; ``whole`` ones and those with odd white space are one plain unit. Plain units come
     first in the numbering; units after a blank are named without it.
     """
-    kept = np.array([not whole(t) and not any(x in t for x in (U.ODD_ASCII if t.isascii() else U.ODD)) for t in texts], bool)
-    parts = pc.split_pattern(pa.array([t if k else "" for t, k in zip(texts, kept.tolist())], pa.large_string()), " ")
+    column = pa.array(texts, pa.large_string())
+    odd = np.asarray(pc.match_substring_regex(column, U.ODD_CLASS)).astype(bool)
+    kept = np.array([not whole(t) for t in texts], bool) & ~odd
+    parts = pc.split_pattern(column if kept.all() else pc.if_else(pa.array(kept), column, pa.scalar("", pa.large_string())), " ")
     count = np.diff(C.offsets_of(parts)).astype(np.int64)
     heads = np.zeros(int(count.sum()), bool)
     heads[np.cumsum(count) - count] = True
@@ -175,14 +178,21 @@ def encode_units(tok, width: np.ndarray, plain: list[str], spaced: pa.Array) ->
     return np.concatenate([none.astype(np.uint32), *flat]), np.concatenate([none, *counts]), place
 
 
+@lru_cache(maxsize=1)
+def library(path: str, special: bool):
+    """(tokenizer, its added tokens, bytes per id); a worker's tasks share them."""
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = not special
+    tok.model._resize_cache(0)  # units are distinct: the library's memory of words costs more than it finds
+    added = [t.content for t in tok.get_added_tokens_decoder().values() if special or not t.special]
+    return tok, added, np.array([len(tok.id_to_token(i) or "") for i in range(tok.get_vocab_size())], np.int64)  # a character a byte
+
+
 def _tokenize(path: str, end: int, special: bool, kind: str):
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has its core
-        from tokenizers import Tokenizer
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = not special
-        added = [t.content for t in tok.get_added_tokens_decoder().values() if special or not t.special]
-        width = np.array([len(tok.id_to_token(i) or "") for i in range(tok.get_vocab_size())], np.int64)  # a character a byte
+        tok, added, width = library(path, special)
 
         for batch in C.slices(batches, limit=SPLIT_TEXT):
             texts = [(b or b"").decode("utf-8", "replace") for b in batch.column("text").to_pylist()]
@@ -200,8 +210,10 @@ def _count(size: int):
     def run(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for x in batch.column("ids"):
-                total += np.bincount(np.frombuffer(x.as_py(), id_type(size)), minlength=size)
+            ids = batch.column("ids")
+            a, b = C.offsets_of(ids)[[0, -1]].tolist()
+            if b > a:  # all rows at once: a count over the vocabulary for each would cost more than the ids
+                total += np.bincount(np.frombuffer(ids.buffers()[2], np.uint8)[a:b].view(id_type(size)), minlength=size)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
     return run

@@ -17,6 +17,8 @@ import zstandard
 #: white space directly before a blank, for every white-space character
 ODD = [chr(c) + " " for c in range(0x3001) if re.match(r"\s", chr(c))]
 ODD_ASCII = [x for x in ODD if x.isascii()]
+#: the same for Arrow's expressions
+ODD_CLASS = "[" + "".join(f"\\x{{{ord(x[0]):x}}}" for x in ODD) + "] "
 
 
 class UnitIndex:

@@ -39,6 +39,24 @@ def test_units_of_random_texts_equal_the_library(special):
     assert [flat[ends[i] - counts[i]:ends[i]].tolist() for i in place] == [tok.encode(t, add_special_tokens=False).ids for t in ["a b", " word", " é,"]]
 
 
+def test_ids_are_counted_over_whole_batches():
+    """Also over slices; a worker reads the tokenizer once."""
+    lists = [[7, 1, 1], [2], [], [299, 2]]
+    batch = pa.RecordBatch.from_arrays([pa.array([np.array(x, "<u2").tobytes() for x in lists], pa.binary())], ["ids"])
+    for part, want in ((batch, {1: 2, 2: 2, 7: 1, 299: 1}), (batch.slice(1, 3), {2: 2, 299: 1}), (batch.slice(2, 1), {}), (batch.slice(0, 0), {})):
+        out, = rans._count(300)([part])
+        assert dict(zip(out.column("id").to_pylist(), out.column("n").to_pylist())) == want
+    path = P.path("byte_bpe_50k.json")
+    assert rans.library(path, True) is rans.library(path, True) is not rans.library(path, False)
+
+
+def test_white_space_before_a_blank_is_found_in_any_script():
+    odd = [chr(c) for c in range(0x3001) if chr(c).isspace() and rans.U.re.match(r"\s", chr(c))]
+    texts = [f"a b{c} d" for c in odd] + [f"a{c}b d" for c in odd] + ["", "a b", "\u180e b", "\u200b b"]
+    plain, *_ = rans.cut(texts, lambda t: False)
+    assert [t for t in texts if t in plain and t] == [f"a b{c} d" for c in odd]
+
+
 def test_pitman_yor_learns_every_context(spark):
     """600 words, each always followed by its own partner: far more contexts than any fixed number of restaurants."""
     train = [i for i in range(2000) if not pitman_yor.held_out(i)][:100]
